@@ -45,7 +45,7 @@ WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
 ), s AS (
   SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
-    ELSE list_transform(range(1, len(ws) - 2), i -> array_to_string(ws[i:i + 3], ' ')) END) AS g FROM w
+    ELSE list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' ')) END) AS g FROM w
 ), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1
 ), p AS (
   SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id
@@ -55,14 +55,55 @@ WITH RECURSIVE w AS (
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.c AS component_id
 FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS c FROM r GROUP BY 1) m USING (doc_id)
 """
-ORACLE["op5_sharding"] = r"""
-WITH RECURSIVE j(doc_id, k, b, j) AS (
-  SELECT doc_id, doc_id::HUGEINT & 18446744073709551615::HUGEINT, 0::BIGINT, 0::BIGINT FROM documents
-  UNION ALL
-  SELECT doc_id, n, j, floor((j + 1)::DOUBLE * (2147483648.0::DOUBLE / ((n >> 33) + 1)::DOUBLE))::BIGINT
-  FROM (SELECT *, (k * 2862933555777941757::HUGEINT + 1) & 18446744073709551615::HUGEINT AS n FROM j WHERE j < 16)
-), w AS (SELECT doc_id, b, j FROM j WHERE j >= 16)
-SELECT doc_id, (strlen(coalesce(text, '')) + 1)::BIGINT AS size, 'key' AS law, b::INTEGER AS shard,
-  (CASE WHEN j = 16 THEN 16 ELSE b END)::INTEGER AS grown_shard
-FROM documents JOIN w USING (doc_id)
+
+
+@query
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dialectry.llm.substring_dedup import numbered, removed_units
+
+    return removed_units(numbered(read_table(spark, sf_dir, "documents")), unit="line", min_words=8).drop("_row")
+
+
+ORACLE["op3_substring_dedup"] = r"""
+WITH l AS (
+  SELECT doc_id, (i - 1)::INTEGER AS unit, ls[i] AS line,
+    (coalesce(list_sum(list_transform(ls[1:i - 1], lambda x: length(x) + 1)), 0))::INTEGER AS start
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents), unnest(range(1, len(ls) + 1)) AS t(i)
+), u AS (
+  SELECT doc_id, unit, start, (start + length(line))::INTEGER AS "end", len(ws)::INTEGER AS words, lower(array_to_string(ws, ' ')) AS body
+  FROM (SELECT *, regexp_extract_all(line, '[^\s]+') AS ws FROM l) WHERE len(ws) >= 8
+), k AS (
+  SELECT *, count(*) OVER (PARTITION BY body) AS copies, row_number() OVER w AS r, first_value(doc_id) OVER w AS kept_doc_id,
+    first_value(unit) OVER w AS kept_unit, first_value(start) OVER w AS kept_start, first_value("end") OVER w AS kept_end
+  FROM u WINDOW w AS (PARTITION BY body ORDER BY doc_id, unit)
+)
+SELECT doc_id, unit, start, "end", words, kept_doc_id, kept_unit, kept_start, kept_end, copies FROM k WHERE r > 1
 """
+
+
+@query
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dialectry.llm.decontamination import contained_items
+
+    return contained_items(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), k=5, threshold=0.8)
+
+
+ORACLE["op8_decontamination"] = r"""
+WITH w AS (
+  SELECT 'd' AS kind, doc_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9\x{80}-\x{10FFFF}]+') AS ws FROM documents
+  UNION ALL SELECT 'i', item_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9\x{80}-\x{10FFFF}]+') FROM benchmark
+), s AS (
+  SELECT DISTINCT kind, id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS g FROM w
+), n AS (SELECT id, count(*) AS n FROM s WHERE kind = 'i' GROUP BY 1)
+SELECT d.id AS doc_id, i.id AS item_id, count(*)::BIGINT AS shared, any_value(n.n)::BIGINT AS item_shingles, count(*) / any_value(n.n)::DOUBLE AS containment
+FROM s i JOIN s d ON d.g = i.g AND d.kind = 'd' JOIN n ON n.id = i.id
+WHERE i.kind = 'i' GROUP BY d.id, i.id HAVING count(*) >= 0.8 * any_value(n.n)
+"""
+
+
+@query
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dialectry.llm.language_id import identify
+
+    return identify(read_table(spark, sf_dir, "documents"), per_label=500)
