@@ -107,3 +107,30 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from dialectry.llm.language_id import identify
 
     return identify(read_table(spark, sf_dir, "documents"), per_label=500)
+
+
+@query
+def op4_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from dialectry.llm.permutation_index import nearest
+
+    rows = read_table(spark, sf_dir, "embeddings")
+    return nearest(rows, rows.where(F.col("vec_id") % 20 == 0), k=20)
+
+
+@query
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dialectry.llm.html_extraction import extract
+
+    return extract(read_table(spark, sf_dir, "pages"))
+
+
+ORACLE["op9_html_extraction"] = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1) AS body FROM pages
+), b AS (
+  SELECT page_id, url, list_filter(list_transform(regexp_split_to_array(regexp_replace(regexp_replace(body, '<br>', ' ', 'g'), '</?b>', '', 'g'), '</?(?:p|h1)>'),
+    lambda x: trim(regexp_replace(regexp_replace(regexp_replace(x, '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))), lambda x: x <> '') AS blocks FROM a
+)
+SELECT page_id, url, coalesce(array_to_string(blocks, chr(10) || chr(10)), '') AS text, length(coalesce(array_to_string(blocks, chr(10) || chr(10)), ''))::BIGINT AS n_chars FROM b
+"""
