@@ -134,3 +134,17 @@ WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article
 )
 SELECT page_id, url, coalesce(array_to_string(blocks, chr(10) || chr(10)), '') AS text, length(coalesce(array_to_string(blocks, chr(10) || chr(10)), ''))::BIGINT AS n_chars FROM b
 """
+
+
+@query
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dialectry.llm.license_scan import document_paths, scan
+
+    return scan(document_paths(read_table(spark, sf_dir, "documents")), threshold=0.6)
+
+
+@query
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dialectry.llm.secret_scan import findings
+
+    return findings(read_table(spark, sf_dir, "documents"), threshold=0.5)
