@@ -25,7 +25,7 @@ def articles(pages: DataFrame, until: str | None = None, keep_without_variety: b
     The rejections come before any revision is unfolded.
     """
     kept = pages.where("ns = 0").withColumn("revision", revisions_until(F.col("revision"), until)).where(F.size("revision") > 0)
-    first, last = F.element_at("revision", 1), F.element_at("revision", -1)
+    first, last = F.try_element_at("revision", F.lit(1)), F.try_element_at("revision", F.lit(-1))
     kept = kept.withColumn("text_xml", last["text"]["_VALUE"]).where(F.length(F.coalesce("text_xml", F.lit(""))) > 0)
     kept = kept.withColumn("dialect", X.variety_tag(F.col("text_xml")))
     if not keep_without_variety:
@@ -134,7 +134,7 @@ def users(pages: DataFrame, contribs: DataFrame) -> DataFrame:
 
     A user page joins by name; without such a contributor it belongs to its last editor if the names agree.
     """
-    own = pages.where("ns = 2").select(X.username_of(F.col("title")).alias("username"), F.element_at("revision", -1).alias("r")).where("username is not null")
+    own = pages.where("ns = 2").select(X.username_of(F.col("title")).alias("username"), F.try_element_at("revision", F.lit(-1)).alias("r")).where("username is not null")
     own = own.select("username", F.col("r.contributor.id").alias("last_id"), F.col("r.contributor.username").alias("last_name"), F.col("r.text._VALUE").alias("page"))
     own = own.groupBy("username").agg(F.max_by(F.struct("last_id", "last_name", "page"), F.coalesce("page", F.lit(""))).alias("u")).select("username", "u.*")
     met = contribs.where("user_id is not null and username is not null").groupBy("user_id").agg(F.min_by("username", F.struct("page_id", "pos_revision")).alias("username"))

@@ -582,12 +582,20 @@ def metric_matrix(spark, d):
 # -- models ----------------------------------------------------------------------------------------
 
 
+_MODELS: dict = {}
+
+
 def _trained(spark, d):
+    """The classifier of a folder, trained once a session."""
     from dialectry.operators import models
 
+    key = (spark.sparkContext.applicationId, d)
+    if key in _MODELS:
+        return _MODELS[key]
     rows = P.train_dev_test(samples(spark, d).select("row_id", "text", "dialect"), most=200)
-    clf = models.train(rows.where("split = 'train'"), words=True, chars=False, max_iter=20)
-    return clf, rows.where("split = 'test'")
+    clf = models.train(rows.where("split = 'train'"), words=True, chars=False, max_iter=10)
+    _MODELS[key] = clf, rows.where("split = 'test'")
+    return _MODELS[key]
 
 
 @query()
