@@ -115,12 +115,13 @@ class ByteCNN:
         g["e"][0] = 0
         return g
 
-    def fit(self, labels: np.ndarray, windows: np.ndarray, epochs: int = 8, batch: int = 64, rate: float = 4e-3, seed: int = 7) -> ByteCNN:
+    def fit(self, labels: np.ndarray, windows: np.ndarray, epochs: int = 8, steps: int = 400, batch: int = 64, rate: float = 4e-3, seed: int = 7) -> ByteCNN:
+        """At least ``epochs`` passes and ``steps`` steps."""
         r = np.random.default_rng(seed)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v = {k: np.zeros_like(w) for k, w in self.p.items()}
         t = 0
-        for _ in range(epochs):
+        for _ in range(max(epochs, -(-steps * batch // max(1, len(labels))))):
             order = r.permutation(len(labels))
             for lo in range(0, len(order), batch):
                 own = order[lo : lo + batch]
