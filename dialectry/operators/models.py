@@ -38,11 +38,15 @@ class NgramClassifier:
     terms: DataFrame
     size: int
     tokens: Callable = X.tokenize
+    list_col: str | None = None
+
+    def _tokens(self, text: str):
+        return F.col(self.list_col) if self.list_col else self.tokens(F.lower(text))
 
     def features(self, df: DataFrame, text: str = "text", doc: str = "row_id") -> DataFrame:
         blocks = {}
         if self.words is not None:
-            blocks["w"] = feat.tf_idf(df, self.tokens(F.lower(text)), doc, fitted=self.words)
+            blocks["w"] = feat.tf_idf(df, self._tokens(text), doc, fitted=self.words)
         if self.chars is not None:
             blocks["c"] = feat.tf_idf(df, feat.char_wb_ngrams(F.col(text)), doc, fitted=self.chars)
         return feat.vectors(feat.union_features(blocks, doc), self.terms, self.size, doc)
@@ -57,6 +61,23 @@ class NgramClassifier:
         rows = spark.createDataFrame(list(enumerate(texts)), "row_id long, text string")
         return [r["label_pred"] for r in self.predict(rows).orderBy("row_id").collect()]
 
+    def save(self, path: str) -> None:
+        """Model, vocabularies and labels as a folder that any executor can read."""
+        spark = self.terms.sparkSession
+        self.model.write().overwrite().save(f"{path}/model")
+        for name, df in (("words", self.words), ("chars", self.chars), ("terms", self.terms)):
+            if df is not None:
+                df.write.mode("overwrite").parquet(f"{path}/{name}")
+        meta = [(k, x, self.size, self.words is not None, self.chars is not None, self.list_col) for k, x in enumerate(self.labels)]
+        spark.createDataFrame(meta, "k int, label string, size int, words boolean, chars boolean, list_col string").coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
+
+    @staticmethod
+    def load(spark, path: str, tokens: Callable = X.tokenize) -> NgramClassifier:
+        meta = spark.read.parquet(f"{path}/meta").orderBy("k").collect()
+        part = lambda name: spark.read.parquet(f"{path}/{name}")
+        m = meta[0]
+        return NgramClassifier(OneVsRestModel.load(f"{path}/model"), [r["label"] for r in meta], part("words") if m["words"] else None, part("chars") if m["chars"] else None, part("terms"), m["size"], tokens, m["list_col"])
+
     def weights(self) -> DataFrame:
         """(term, label, weight) of every feature."""
         spark = self.terms.sparkSession
@@ -66,14 +87,18 @@ class NgramClassifier:
         return self.terms.join(rows, "idx").select("term", F.explode(pairs).alias("p")).select("term", "p.label", "p.weight")
 
 
-def train(df: DataFrame, text: str = "text", label: str = "dialect", doc: str = "row_id", words: bool = True, chars: bool = True, max_iter: int = 50, reg: float = 1e-4, min_df: int = 2, max_df: float = 0.9, tokens: Callable = X.tokenize) -> NgramClassifier:
-    """Fit word and character features and a balanced one-against-rest linear model."""
+def train(df: DataFrame, text: str = "text", label: str = "dialect", doc: str = "row_id", words: bool = True, chars: bool = True, max_iter: int = 50, reg: float = 1e-4, min_df: int = 2, max_df: float = 0.9, tokens: Callable = X.tokenize, list_col: str | None = None) -> NgramClassifier:
+    """Fit word and character features and a balanced one-against-rest linear model.
+
+    With ``list_col`` the word features come from that column of token lists.
+    """
     n = df.count()
+    own = F.col(list_col) if list_col else tokens(F.lower(text))
     blocks, w_terms, c_terms = {}, None, None
     if words:
-        tf = feat.term_frequencies(df, tokens(F.lower(text)), doc)
+        tf = feat.term_frequencies(df, own, doc)
         w_terms = feat.vocabulary(tf, n, min_df, max_df).persist()
-        blocks["w"] = feat.tf_idf(df, tokens(F.lower(text)), doc, fitted=w_terms)
+        blocks["w"] = feat.tf_idf(df, own, doc, fitted=w_terms)
     if chars:
         tf = feat.term_frequencies(df, feat.char_wb_ngrams(F.col(text)), doc)
         c_terms = feat.vocabulary(tf, n, min_df, max_df).persist()
@@ -88,7 +113,7 @@ def train(df: DataFrame, text: str = "text", label: str = "dialect", doc: str =
     svm = LinearSVC(maxIter=max_iter, regParam=reg, standardization=False)
     model = OneVsRest(classifier=svm, weightCol="weight").fit(ready)
     ready.unpersist()
-    return NgramClassifier(model, index.labels, w_terms, c_terms, terms, size, tokens)
+    return NgramClassifier(model, index.labels, w_terms, c_terms, terms, size, tokens, list_col)
 
 
 def top_features(clf: NgramClassifier, n: int = 20) -> DataFrame:

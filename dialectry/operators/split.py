@@ -37,10 +37,9 @@ def class_caps(df: DataFrame, label: str = "dialect", units: str | None = None,
 
 
 def class_weights(df: DataFrame, label: str = "dialect") -> DataFrame:
-    """Each row with its class's share of all rows; one small aggregate joined back, no global window."""
-    per = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    total = per.agg(F.sum("_n").alias("_t"))
-    shares = per.crossJoin(total).select(F.col(label).alias("_l"), (F.col("_n") / F.col("_t")).alias("weight"))
+    """Each row with its class's share of all rows; one row per class is summed and joined back."""
+    per = df.groupBy(F.col(label).alias("_l")).agg(F.count(F.lit(1)).alias("_n"))
+    shares = per.select("_l", (F.col("_n") / F.sum("_n").over(Window.partitionBy())).alias("weight"))
     return df.join(shares, F.col(label).eqNullSafe(F.col("_l")), "left").drop("_l")
 
 

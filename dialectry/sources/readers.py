@@ -35,9 +35,13 @@ def json_lines(spark: SparkSession, path: str, schema: str, dates: tuple[str, ..
 
 
 def csv_verbatim(spark: SparkSession, path: str, schema: str = S.LABELLED, columns: list[str] | None = None) -> DataFrame:
-    """A CSV with header in which nothing is missing: an empty field is the empty string, ``NA`` is text."""
-    df = spark.read.csv(path, schema=schema, header=True, multiLine=True, quote='"', escape='"', nullValue=NO_NULL, emptyValue="", enforceSchema=False)
-    df = df.select(*(columns or df.columns))
+    """The named columns of a CSV with header, in which nothing is missing: an empty field is the empty string, ``NA`` is text.
+
+    Columns are found by name; a file may have more of them. Nothing is inferred: all fields are read as text.
+    """
+    raw = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', nullValue=NO_NULL, emptyValue="", inferSchema=False)
+    wanted = [f for f in S.schema(schema).fields if columns is None or f.name in columns]
+    df = raw.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in wanted])
     return df.select(*[F.coalesce(c, F.lit("")).alias(c) if t == "string" else F.col(c) for c, t in df.dtypes])
 
 

@@ -79,7 +79,7 @@ def test_labels(spark):
     assert sorted(map(tuple, L.label_index(df, "l", ["z", "gascon"]).collect())) == [("gascon", 0), ("x", 2), ("z", 1)]
 
 
-def test_models(spark):
+def test_models(spark, tmp_path):
     from dialectry.operators import models
 
     rows = [(i, ("lo gat e la taula " if i % 2 else "the cat and a table ") + "xyz"[i % 3], "oc" if i % 2 else "en") for i in range(40)]
@@ -89,5 +89,10 @@ def test_models(spark):
     assert clf.predict_list(spark, ["the table", ""]) == ["en", "en"]
     assert {x.term for x in models.top_features(clf, 3).where("label = 'oc'").collect()} <= {"w_lo", "w_gat", "w_e", "w_la", "w_taula"}
     assert models.feature_table(clf, 4).count() == 4
+    clf.save(str(tmp_path / "m"))
+    again = models.NgramClassifier.load(spark, str(tmp_path / "m"))
+    assert again.labels == ["en", "oc"] and again.predict(df).where("dialect <> label_pred").count() == 0
+    tagged = df.withColumn("pos", F.split("text", " "))
+    assert models.train(tagged, chars=False, max_iter=3, list_col="pos").predict(tagged).where("dialect <> label_pred").count() == 0
     got = models.predict_in_batches(df, lambda: lambda texts: [("en", 1.0)] * len(texts))
     assert got.count() == 40 and M.runtime_summary(got).first().score_mean == 1.0
