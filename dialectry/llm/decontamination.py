@@ -94,28 +94,36 @@ class ItemIndex:
         return found
 
 
-def contained_items(docs: DataFrame, items: DataFrame, k: int = 5, threshold: float = 0.8, hashes: int = 40, items_at_once: int = 50_000, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """One row per document and item of which the document contains at least ``threshold``."""
-    spark = docs.sparkSession
+def _indexes(docs: DataFrame, items: DataFrame, k: int, hashes: int, items_at_once: int):
+    """Broadcast indexes of all items, at most ``items_at_once`` each or about so."""
     listed = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     blocks = max(1, -(-listed.count() // items_at_once))
-    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    out = None
     for number in range(blocks):
         part = listed.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == number).collect()
-        index = spark.sparkContext.broadcast(ItemIndex([r[0] for r in part], [r[1] for r in part], k, hashes))
+        yield docs.sparkSession.sparkContext.broadcast(ItemIndex([r[0] for r in part], [r[1] for r in part], k, hashes))
 
-        def run(batches, index=index):
-            known, s = index.value, Shingler(k, alnum_words())
+
+def _verified(index: ItemIndex, s: Shingler, texts: pa.Array, threshold: float):
+    """(row, item, shared) of every item that a text of this batch contains."""
+    own, at = s.shingles(*text_buffer(pc.utf8_lower(texts)))
+    for row, i in sorted(index.candidates(own, at)):
+        shared = int(np.isin(index.sets[i], own[at[row] : at[row + 1]]).sum())
+        if shared >= threshold * len(index.sets[i]):
+            yield row, i, shared
+
+
+def contained_items(docs: DataFrame, items: DataFrame, k: int = 5, threshold: float = 0.8, hashes: int = 40, items_at_once: int = 50_000, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """One row per document and item of which the document contains at least ``threshold``."""
+    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    out = None
+    for sent in _indexes(docs, items, k, hashes, items_at_once):
+
+        def run(batches, sent=sent):
+            index, s = sent.value, Shingler(k, alnum_words())
             for batch in batches:
                 for lo in range(0, batch.num_rows, ROWS):
                     few = batch.slice(lo, ROWS)
-                    own, at = s.shingles(*text_buffer(pc.utf8_lower(few.column(1))))
-                    rows = []
-                    for row, i in sorted(known.candidates(own, at)):
-                        shared = int(np.isin(known.sets[i], own[at[row] : at[row + 1]]).sum())
-                        if shared >= threshold * len(known.sets[i]):
-                            rows.append((few.column(0)[row].as_py(), known.ids[i], shared, len(known.sets[i]), shared / len(known.sets[i])))
+                    rows = [(few.column(0)[row].as_py(), index.ids[i], n, len(index.sets[i]), n / len(index.sets[i])) for row, i, n in _verified(index, s, few.column(1), threshold)]
                     kinds = [pa.int64()] * 4 + [pa.float64()]
                     yield pa.record_batch([pa.array([r[j] for r in rows], t) for j, t in enumerate(kinds)], ["doc_id", "item_id", "shared", "item_shingles", "containment"])
 
@@ -124,7 +132,19 @@ def contained_items(docs: DataFrame, items: DataFrame, k: int = 5, threshold: fl
     return out
 
 
-def without_items(docs: DataFrame, items: DataFrame, k: int = 5, threshold: float = 0.8, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """The documents that contain no item; rows without an id are judged like all others."""
-    hit = contained_items(docs, items, k, threshold, text_col=text_col, id_col=id_col).select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_hit")).distinct()
-    return docs.join(hit, F.coalesce(F.col(id_col), F.lit(-(1 << 63))) == F.col("_hit"), "left_anti")
+def without_items(docs: DataFrame, items: DataFrame, k: int = 5, threshold: float = 0.8, hashes: int = 40, items_at_once: int = 50_000, text_col: str = "text") -> DataFrame:
+    """The documents that contain no item. Each row is judged by itself, so nothing is joined or shuffled."""
+    for sent in _indexes(docs, items, k, hashes, items_at_once):
+
+        @F.pandas_udf("boolean")
+        def leaks(texts, sent=sent):
+            import pandas as pd
+
+            s, out = Shingler(k, alnum_words()), np.zeros(len(texts), dtype=bool)
+            for lo in range(0, len(texts), ROWS):
+                for row, _, _ in _verified(sent.value, s, pa.array(texts.iloc[lo : lo + ROWS], pa.string()), threshold):
+                    out[lo + row] = True
+            return pd.Series(out)
+
+        docs = docs.where(~leaks(F.col(text_col)))
+    return docs

@@ -128,4 +128,6 @@ def test_decontamination_against_brute_force(spark):
     assert {(x.doc_id, x.item_id) for x in contained_items(df, bench, items_at_once=7).collect()} == set(want)
     leaky = {d for d, _ in want}
     assert {x.doc_id for x in without_items(df, bench).collect()} == {d for d, _ in docs} - leaky
+    nameless = spark.createDataFrame([(None, items[5][1] + " more"), (None, "clean words only here")], "doc_id long, text string")
+    assert [x.text for x in without_items(nameless, bench).collect()] == ["clean words only here"]
     assert contained_items(df, bench.where("item_id < 0")).count() == 0
