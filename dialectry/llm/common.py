@@ -92,8 +92,8 @@ def alnum_words() -> np.ndarray:
     return t
 
 
-POWER_BITS = 12
-SEGMENT = 1 << 18
+SEGMENT = 1 << 17
+ODD = 0x9E3779B97F4A7C15
 
 
 class Shingler:
@@ -109,16 +109,22 @@ class Shingler:
         value = random64(257, 0xA5A5)
         value[0] = 0
         self.value = value[classes]
-        self.power = np.multiply.accumulate(np.full(1 << POWER_BITS, np.uint64(0x9E3779B97F4A7C15 | 1)))
+        self.inside = classes > 0
+        self._powers(2 * SEGMENT)
         self.step = random64(k, 0x5EED)
         self.short = random64(k + 1, 0xBEEF)
 
+    def _powers(self, n: int) -> None:
+        """Powers of an odd number and of its inverse modulo 2^64."""
+        self.power = np.multiply.accumulate(np.full(n, ODD, dtype=np.uint64))
+        self.inverse = np.multiply.accumulate(np.full(n, pow(ODD, -1, 1 << 64), dtype=np.uint64))
+
     def words(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Hash, start and end of each word, and the n + 1 offsets of the rows' words."""
         if not len(raw):
             none = np.zeros(0, dtype=np.int64)
             return none.astype(np.uint64), none, none, np.zeros(len(at), dtype=np.int64)
-        inside = (self.classes > 0)[raw]
+        inside = self.inside[raw]
         cuts = at[(at > 0) & (at < len(raw))]
         edge = np.empty_like(inside)
         edge[0] = False
@@ -137,11 +143,12 @@ class Shingler:
             base = starts[i]
             own = (starts[i:j] - base).astype(np.int64)
             part = raw[base : ends[j - 1]]
-            lengths = np.diff(own, append=len(part))
-            pos = np.arange(len(part), dtype=np.int64) - np.repeat(own, lengths)
+            if len(part) > len(self.power):
+                self._powers(len(part))
             got = self.value[part]
-            got *= self.power[pos & ((1 << POWER_BITS) - 1)]
-            hashes[i:j] = np.add.reduceat(got, own)
+            got *= self.power[: len(part)]
+            # a word's sum starts at its place in the segment; the inverse power moves it to 0
+            hashes[i:j] = np.add.reduceat(got, own) * self.inverse[own]
             i = j
         return mix64(hashes), starts, ends, np.searchsorted(starts, at)
 
@@ -174,6 +181,17 @@ class Shingler:
         return out, out_at
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values."""
+    x = np.sort(x)
+    if len(x) > 1:
+        keep = np.empty(len(x), dtype=bool)
+        keep[0] = True
+        np.not_equal(x[1:], x[:-1], out=keep[1:])
+        x = x[keep]
+    return x
+
+
 BLOCK = 1 << 16
 
 

@@ -4,16 +4,23 @@
    then the hash, is a total order of shingles with the rare first; any total order gives the same
    result, a good one gives fewer candidates.
 2. A second pass writes each text's set size, a digest of the set, its prefix (the rarest
-   n - ceil(t n) + 1 shingles) and a histogram of the set over 256 fixed hash ranges. Equal sets form
-   a class; only the class with its smallest doc_id goes on.
+   n - ceil(t n) + 1 shingles). Equal sets form a class; only the class with its smallest doc_id goes
+   on.
 3. Prefix postings meet by shingle. In each posting list every member is paired with the list's
    leader, the member for which the shingle stands earliest in its prefix (the least edited copy
-   where there are many); the pairs are verified on the full sets and joined to components.
+   where there are many); pairs that pass the filters are verified on the full sets and joined to
+   components.
 4. Only lists that still hold several components go on. Their members meet in blocks of bounded
-   size; pairs of different components pass the length, positional and suffix filters (the suffix
-   filter bounds the Hamming distance from below by the histograms) and are taken at their first
-   common prefix shingle only, so each is verified once. Pairs inside one component need no check:
-   they can't change the components.
+   size, and pairs of different components that pass the filters are verified, each once. Pairs
+   inside one component need no check: they can't change the components.
+
+Filters: the length filter compares set sizes. The positional filter takes a shared shingle for the
+first one of a pair: all before it is unshared and must fit into the Hamming distance that a link
+allows, and what follows must fill the least overlap. A linked pair passes at its first shared
+shingle, where it is either tested with the list's leader or met in step 4. The suffix filter
+compares the rest of the prefixes: below the smaller of the two last prefix shingles both sets are
+known, so their difference there is a lower bound of the Hamming distance. Prefixes are sent with
+32 bits a shingle; a chance match can only let a pair through.
 
 The result is exact for 64-bit shingle hashes: no cap on candidates, lists or partners.
 
@@ -31,12 +38,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dialectry.llm.common import BLOCK, Shingler, add_packed, mix64, pack_counts, stored, summed_blocks, text_buffer, white_words
+from dialectry.llm.common import BLOCK, Shingler, distinct, mix64, pack_counts, stored, summed_blocks, text_buffer, white_words
 from dialectry.llm.components import components
 
 ORDER_BUCKETS = 1 << 22  #: buckets of the shingle order: one byte each is broadcast, whatever the input
 ID_BUCKETS = 1 << 22  #: bits of the filter on ids before sets are read again: a fixed broadcast too
-RANGES = 256  #: hash ranges of the suffix filter
 LIST_BLOCK = 1024  #: members of one list that meet in one block
 
 
@@ -70,7 +76,7 @@ def shingle_order(named: DataFrame, k: int, buckets: int) -> np.ndarray:
 
 
 def text_sets(named: DataFrame, order, k: int, percent: int) -> DataFrame:
-    """doc_id, set size n, digest, rarest-first prefix and range histogram of every text."""
+    """doc_id, set size n, digest, rarest-first prefix and the high 32 bits of each of its places, of every text."""
 
     def run(batches):
         s, rank = Shingler(k, white_words()), order.value
@@ -78,25 +84,26 @@ def text_sets(named: DataFrame, order, k: int, percent: int) -> DataFrame:
         for batch in batches:
             for few in _chunks(batch):
                 hashes, at = s.shingles(*text_buffer(few.column(1)))
-                size, digest, prefix, ranges = [], [], [], []
+                size, digest, prefix, short = [], [], [], []
                 for a, b in zip(at[:-1], at[1:]):
-                    own = np.unique(hashes[a:b])
+                    own = distinct(hashes[a:b])
                     n = len(own)
                     size.append(n)
                     digest.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest() if n else None)
                     if n:
                         key = (rank[(own & mask).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (own >> np.uint64(8))
                         p = n - (percent * n + 99) // 100 + 1
-                        prefix.append(np.sort(np.partition(key, p - 1)[:p] if p < n else key).view(np.int64))
-                        ranges.append(np.minimum(np.bincount((own >> np.uint64(56)).astype(np.int64), minlength=RANGES), 255).astype(np.uint8).tobytes())
+                        first = np.sort(np.partition(key, p - 1)[:p] if p < n else key)
+                        prefix.append(first.view(np.int64))
+                        short.append((first >> np.uint64(32)).astype("<u4").tobytes())
                     else:
                         prefix.append(np.zeros(0, dtype=np.int64))
-                        ranges.append(b"")
+                        short.append(b"")
                 flat = np.concatenate(prefix) if prefix else np.zeros(0, dtype=np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, prefix)]), pa.int32()), pa.array(flat))
-                yield pa.record_batch([few.column(0), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), lists, pa.array(ranges, pa.binary())], ["doc_id", "n", "digest", "prefix", "ranges"])
+                yield pa.record_batch([few.column(0), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), lists, pa.array(short, pa.binary())], ["doc_id", "n", "digest", "prefix", "short"])
 
-    return named.mapInArrow(run, "doc_id long, n long, digest binary, prefix array<long>, ranges binary")
+    return named.mapInArrow(run, "doc_id long, n long, digest binary, prefix array<long>, short binary")
 
 
 def _id_hash(ids: np.ndarray) -> np.ndarray:
@@ -129,14 +136,59 @@ def sets_of(named: DataFrame, ids: DataFrame, k: int) -> DataFrame:
             batch = batch.filter(pa.array(bits[_id_hash(doc)]))
             for few in _chunks(batch):
                 hashes, at = s.shingles(*text_buffer(few.column(1)))
-                yield pa.record_batch([few.column(0), pa.array([np.unique(hashes[a:b]).tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())], ["doc_id", "own"])
+                yield pa.record_batch([few.column(0), pa.array([distinct(hashes[a:b]).tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())], ["doc_id", "own"])
 
     return named.where("doc_id is not null").mapInArrow(run, "doc_id long, own binary")
 
 
-def verified(named: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+class PairFilter:
+    """Length and suffix filter of one set against many, on short prefixes."""
+
+    def __init__(self, percent: int):
+        self.percent, self.here = percent, np.zeros(1 << 16, dtype=bool)
+
+    def need(self, n: int, others: np.ndarray) -> np.ndarray:
+        """Least overlap of linked sets of these sizes."""
+        return -((-self.percent * (others + n)) // (100 + self.percent))
+
+    def passing(self, n: int, mine: np.ndarray, others: np.ndarray, theirs: list[np.ndarray], before: int = 0, theirs_before: np.ndarray | int = 0) -> np.ndarray:
+        """Which of the other sets may link; ``before`` counts unshared places before the given parts of the prefixes."""
+        need = self.need(n, others)
+        ok = 100 * np.minimum(n, others) >= self.percent * np.maximum(n, others)
+        sizes = np.array([len(x) for x in theirs])
+        every = np.concatenate(theirs)
+        at = np.cumsum(sizes) - sizes
+        last = np.minimum(every[at + sizes - 1], mine[-1])
+        known = every < np.repeat(last, sizes)
+        self.here[mine & np.uint32(0xFFFF)] = True
+        both = np.add.reduceat(known & self.here[every & np.uint32(0xFFFF)], at, dtype=np.int64)
+        self.here[mine & np.uint32(0xFFFF)] = False
+        b = np.add.reduceat(known, at, dtype=np.int64)
+        a = np.searchsorted(mine, last, "left")
+        both = np.minimum(both, np.minimum(a, b))
+        a, b = a + before, b + theirs_before
+        ok &= a + b - 2 * both <= n + others - 2 * need
+        return ok & (both + np.minimum(n - a, others - b) >= need)
+
+
+def filtered(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs that the length and suffix filters let through; ``sets`` has doc_id, n and short."""
+
+    def run(batches):
+        f = PairFilter(percent)
+        for batch in batches:
+            keep = [
+                bool(f.passing(nx, np.frombuffer(x.as_buffer(), dtype="<u4"), np.array([ny]), [np.frombuffer(y.as_buffer(), dtype="<u4")])[0])
+                for nx, ny, x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4), batch.column(5))
+            ]
+            yield pa.record_batch([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    met = pairs.join(sets.toDF("a", "nx", "x"), "a").join(sets.toDF("b", "ny", "y"), "b").select("a", "b", "nx", "ny", "x", "y")
+    return met.mapInArrow(run, "a long, b long").distinct()
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets meet the threshold."""
-    sets = sets_of(named, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), k)
 
     def run(batches):
         for batch in batches:
@@ -153,7 +205,6 @@ def verified(named: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFr
                 keep.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
             yield pa.record_batch([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    sets = stored(sets, "sets")
     met = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
     return met.mapInArrow(run, "a long, b long")
 
@@ -164,29 +215,20 @@ def _block_pairs(percent: int):
     def block(rows: list[pa.RecordBatch]):
         t = pa.Table.from_batches(rows)
         rep, n, pos, comp, side = (t.column(c).to_numpy() for c in ("rep", "n", "pos", "comp", "side"))
-        leader, token = t.column("leader").to_numpy(), t.column("token")[0].as_py()
         cross = t.column("c1")[0].as_py() != t.column("c2")[0].as_py()
-        ranges = np.frombuffer(b"".join(t.column("ranges").to_pylist()), dtype=np.uint8).reshape(len(rep), RANGES).astype(np.int16)
-        prefix = t.column("prefix")
-        free = leader != rep
-        for i in np.flatnonzero(free & (side == 1) if cross else free):
-            ok = free & (comp != comp[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
+        short = [np.frombuffer(x.as_buffer(), dtype="<u4") for x in t.column("short")]
+        f = PairFilter(percent)
+        for i in np.flatnonzero(side == 1) if cross else range(len(rep)):
+            need = f.need(n[i], n)
+            ok = (comp != comp[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
+            ok &= (np.minimum(n - pos, n[i] - pos[i]) >= need) & (pos + pos[i] <= n + n[i] - 2 * need)
             if cross:
                 ok &= side == 2
             else:
                 ok[: i + 1] = False
-            need = -((-percent * (n + n[i])) // (100 + percent))
-            ok &= 1 + np.minimum(n - pos, n[i] - pos[i]) - 1 >= need
             js = np.flatnonzero(ok)
-            if not len(js):
-                continue
-            js = js[np.abs(ranges[js] - ranges[i]).sum(axis=1) <= n[js] + n[i] - 2 * need[js]]
-            if not len(js):
-                continue
-            mine = prefix[int(i)].values.to_numpy(zero_copy_only=False).view(np.uint64)
-            for j in js:
-                both = np.intersect1d(mine, prefix[int(j)].values.to_numpy(zero_copy_only=False).view(np.uint64), assume_unique=True)
-                if both[0].astype(np.int64) == token:
+            if len(js):
+                for j in js[f.passing(n[i], short[i], n[js], [short[j] for j in js], pos[i], pos[js])]:
                     yield min(rep[i], rep[j]), max(rep[i], rep[j])
 
     def run(batches):
@@ -217,10 +259,6 @@ def _block_pairs(percent: int):
     return run
 
 
-def _first(df: DataFrame, keys: list[str]) -> DataFrame:
-    return df.dropDuplicates(keys)
-
-
 def linked_components(docs: DataFrame, k: int = 5, percent: int = 80, text_col: str = "text", id_col: str = "doc_id", order_buckets: int = ORDER_BUCKETS) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs`` (see the module's text).
 
@@ -235,30 +273,36 @@ def linked_components(docs: DataFrame, k: int = 5, percent: int = 80, text_col:
     reps = real.join(classes, "digest").where("doc_id = rep")
     postings = reps.select("rep", "n", F.posexplode("prefix").alias("pos", "token"))
     lists = postings.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("pos", "rep", "n")).alias("lead")).where("m > 1")
-    shared = stored(postings.join(lists, "token").select("token", "rep", "n", "pos", F.col("lead.rep").alias("leader"), F.col("lead.n").alias("leader_n")), "postings", "zstd")
+    shared = stored(postings.join(lists, "token").select("token", "rep", "n", "pos", F.col("lead.rep").alias("leader"), F.col("lead.n").alias("leader_n"), F.col("lead.pos").alias("leader_pos")), "postings", "zstd")
 
-    near = f"100 * least(n, leader_n) >= {percent} * greatest(n, leader_n)"
+    near = f"100 * least(n, leader_n) >= {percent} * greatest(n, leader_n) and pos + leader_pos <= n + leader_n - 2 * ceil({percent} * (n + leader_n) / {100 + percent})"
     star = shared.where("rep <> leader").where(near).select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
-    links = stored(verified(named, stored(star, "pairs"), k, percent), "links")
+    shorts = real.select("doc_id", "n", "short")
+    star = stored(filtered(stored(star, "pairs"), shorts, percent), "pairs")
+    met = stored(sets_of(named, star.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), k), "sets")
+    links = stored(verified(star, met, percent), "links")
     names = real.groupBy("doc_id").agg(F.min("digest").alias("d1"), F.max("digest").alias("d2")).where("d1 <> d2").select("doc_id")
     same = real.join(names, "doc_id").join(classes, "digest").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     links = stored(links.unionByName(same).distinct(), "links")
     label = components(links)
 
-    tagged = shared.join(label.toDF("rep", "label"), "rep", "left").withColumn("comp", F.coalesce("label", "rep")).drop("label", "leader_n")
-    open_ = tagged.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("c_min"), F.max("comp").alias("c_max")).where("m > 2 and c_min <> c_max").select("token", "m")
-    rest = stored(tagged.join(open_, "token"), "open")
+    tagged = shared.join(label.toDF("rep", "label"), "rep", "left").withColumn("comp", F.coalesce("label", "rep")).drop("label", "leader_n", "leader_pos")
+    untested = F.when(F.col("rep") != F.col("leader"), F.col("comp"))
+    open_ = tagged.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min(untested).alias("c_min"), F.max(untested).alias("c_max")).where("c_min <> c_max").select("token", "m")
+    rest = stored(tagged.join(open_, "token").where("rep <> leader").drop("leader"), "open")
     if not rest.isEmpty():
-        rest_ids = rest.select("rep").distinct()
-        own = _first(reps.select("rep", "prefix", "ranges", "digest"), ["rep", "digest"]).drop("digest").join(rest_ids, "rep")
+        own = shorts.select(F.col("doc_id").alias("rep"), "short").join(rest.select("rep").distinct(), "rep")
         parts = F.ceil(F.col("m") / F.lit(LIST_BLOCK)).cast("int")
         mine = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
         blocks = rest.withColumn("parts", parts).withColumn("c", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        blocks = blocks.select("token", F.least("c", "other").cast("int").alias("c1"), F.greatest("c", "other").cast("int").alias("c2"), F.when(F.col("c") <= F.col("other"), 1).otherwise(2).alias("side"), "rep", "n", "pos", "comp", "leader")
-        blocks = blocks.join(own, "rep").select("token", "c1", "c2", "side", "rep", "n", "pos", "comp", "leader", "ranges", "prefix")
+        blocks = blocks.select("token", F.least("c", "other").cast("int").alias("c1"), F.greatest("c", "other").cast("int").alias("c2"), F.when(F.col("c") <= F.col("other"), 1).otherwise(2).alias("side"), "rep", "n", "pos", "comp")
+        # what stands before the shared shingle is unshared by assumption: its number is enough
+        tail = F.substring("short", 4 * F.col("pos") + 1, F.length("short")).alias("short")
+        blocks = blocks.join(own, "rep").select("token", "c1", "c2", "side", "rep", "n", "pos", "comp", tail)
         dealt = blocks.repartition("token", "c1", "c2").sortWithinPartitions("token", "c1", "c2", "rep")
         more = stored(dealt.mapInArrow(_block_pairs(percent), "a long, b long").distinct(), "pairs")
-        links = links.unionByName(verified(named, more, k, percent))
+        met = stored(sets_of(named, more.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), k), "sets")
+        links = stored(links.unionByName(verified(more, met, percent)), "links")
         label = components(links)
     of_class = classes.join(label.toDF("rep", "label"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("label"))
     out = sets.select("doc_id", "n", "digest").join(of_class, "digest", "left")
