@@ -81,6 +81,17 @@ SELECT doc_id, unit, start, "end", words, kept_doc_id, kept_unit, kept_start, ke
 """
 
 
+@query
+def op3_repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All repeated lines, the short ones too, which op3_substring_dedup and its SQL leave out."""
+    from dialectry.llm.substring_dedup import numbered, removed_units
+
+    return removed_units(numbered(read_table(spark, sf_dir, "documents")), unit="line", min_words=1).drop("_row")
+
+
+ORACLE["op3_repeated_lines"] = ORACLE["op3_substring_dedup"].replace("len(ws) >= 8", "len(ws) >= 1")
+
+
 @query
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from dialectry.llm.decontamination import contained_items
