@@ -89,6 +89,14 @@ def op3_repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removed_units(numbered(read_table(spark, sf_dir, "documents")), unit="line", min_words=1).drop("_row")
 
 
+@query
+def op3_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated passages of 50 words or more wherever they stand, inside longer lines or over several."""
+    from dialectry.llm.substring_dedup import repeated_passages
+
+    return repeated_passages(read_table(spark, sf_dir, "documents")).drop("_row")
+
+
 ORACLE["op3_repeated_lines"] = ORACLE["op3_substring_dedup"].replace("len(ws) >= 8", "len(ws) >= 1")
 
 

@@ -8,6 +8,14 @@ that ranks first stays, every other one is removed and reported with its offsets
 Rank: documents by doc_id (null last), then rows of one doc_id by their place in the input, then the
 unit's place. Null and empty texts have no units. The counting is pre-aggregated, and the join back
 has one keeper per digest, so a line that a third of all rows share is only ever a skewed join side.
+
+:func:`repeated_passages` finds what lines can't: runs of ``PASSAGE`` words or more that stand anywhere,
+inside longer lines or over several. A window is ``PASSAGE`` words; its mark is the smallest hash of
+the ``GRAM``-word runs in it, so equal windows have equal marks. Marks are few, about one for 18
+words, and are counted first; only windows whose mark occurs twice are hashed and grouped. Of equal
+windows the first in rank stays, with all its words; the words of the others go, unless they also
+belong to a window that stays. Words are runs without ASCII white space, lower-cased; the result is
+exact for 64-bit window hashes.
 """
 
 from __future__ import annotations
@@ -15,11 +23,17 @@ from __future__ import annotations
 import hashlib
 import re
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dialectry.llm.common import stored
+from dialectry.llm.common import Shingler, mix64, random64, stored, text_buffer, white_words
+
+PASSAGE, GRAM = 50, 16
+#: Texts hashed at once.
+FEW = 400
 
 CUTS = {"line": re.compile(r"\n"), "paragraph": re.compile(r"\n[^\S\n]*\n\s*")}
 
@@ -88,3 +102,160 @@ def deduplicated(docs: DataFrame, unit: str = "line", min_words: int = 8, text_c
         return pd.Series(out, dtype=object)
 
     return joined.withColumn(text_col, cut(F.col(text_col), "removed_spans")).drop("_row")
+
+
+class Windows:
+    """The windows of ``PASSAGE`` words of some texts: row, first word, mark and, if asked for, hash."""
+
+    def __init__(self, shingler: Shingler, texts: pa.Array):
+        self.raw, self.at = text_buffer(pc.utf8_lower(texts))
+        self.words, self.starts, self.ends, self.rows = shingler.words(self.raw, self.at)
+        counts = np.diff(self.rows)
+        self.row_of_word = np.repeat(np.arange(len(counts)), counts)
+        n = max(len(self.words) - PASSAGE + 1, 0)
+        self.first = np.flatnonzero(self.row_of_word[:n] == self.row_of_word[PASSAGE - 1 :][:n])
+        self.row = self.row_of_word[self.first]
+        self.step = random64(PASSAGE, 0xFA55)
+        self.grams = self._hashes(GRAM)
+        # the smallest of PASSAGE - GRAM + 1 grams from two overlapping spans of 32
+        low = self.grams
+        for k in (1, 2, 4, 8, 16):
+            low = np.minimum(low[:-k], low[k:]) if len(low) > k else low[:0]
+        rest = PASSAGE - GRAM + 1 - 32
+        self.mark = np.minimum(low[self.first], low[self.first + rest])
+
+    def _hashes(self, k: int) -> np.ndarray:
+        out = np.zeros(max(len(self.words) - k + 1, 0), dtype=np.uint64)
+        for j in range(k):
+            out += self.words[j : j + len(out)] * self.step[j]
+        return mix64(out)
+
+    @staticmethod
+    def keyed(row: np.ndarray, mark: np.ndarray) -> np.ndarray:
+        return mix64(mark + row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+    def marks(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct marks of each row with the number of places where its grams have them."""
+        new = np.ones(len(self.mark), dtype=bool)
+        new[1:] = (self.mark[1:] != self.mark[:-1]) | (self.row[1:] != self.row[:-1])
+        row, mark = self.row[new], self.mark[new]
+        keys, at = np.unique(self.keyed(row, mark), return_index=True)
+        if not len(keys):
+            return row, mark, np.zeros(0, dtype=np.int64)
+        whole = self.row_of_word[: len(self.grams)] == self.row_of_word[GRAM - 1 :]
+        own = self.keyed(self.row_of_word[: len(self.grams)][whole], self.grams[whole])
+        place = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+        times = np.bincount(place[keys[place] == own], minlength=len(keys))
+        return row[at], mark[at], times
+
+    def met(self, marks: pa.ListArray) -> np.ndarray:
+        """Numbers of the windows whose mark is in the list of their row."""
+        sizes = pc.list_value_length(marks).fill_null(0).to_numpy(zero_copy_only=False)
+        given = marks.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+        keys = np.sort(self.keyed(np.repeat(np.arange(len(sizes)), sizes), given))
+        own = self.keyed(self.row, self.mark)
+        return np.flatnonzero(keys[np.minimum(np.searchsorted(keys, own), len(keys) - 1)] == own) if len(keys) else np.zeros(0, dtype=np.int64)
+
+    def points(self) -> tuple[np.ndarray, np.ndarray]:
+        """Start and end of each word in code points of its text."""
+        lead = np.concatenate([[0], np.cumsum((self.raw & 0xC0) != 0x80)])
+        base = lead[self.at[:-1]][self.row_of_word]
+        return lead[self.starts] - base, lead[self.ends] - base
+
+
+def _marks(batches):
+    shingler = Shingler(1, white_words())
+    for batch in batches:
+        for lo in range(0, batch.num_rows, FEW):
+            few = batch.slice(lo, FEW)
+            row, mark, times = Windows(shingler, few.column(1)).marks()
+            yield pa.record_batch([few.column(0).take(pa.array(row)), pa.array(mark.view(np.int64)), pa.array(np.minimum(times, 2).astype(np.int32))], ["_row", "mark", "times"])
+
+
+def _windows(batches):
+    shingler = Shingler(1, white_words())
+    for batch in batches:
+        for lo in range(0, batch.num_rows, FEW):
+            few = batch.slice(lo, FEW)
+            w = Windows(shingler, few.column(2))
+            met = w.met(few.column(3))
+            row, first = w.row[met], w.first[met]
+            start, end = w.points()
+            last, own = first + PASSAGE - 1, pa.array(row)
+            columns = [first - w.rows[row], start[first], end[last], end[np.maximum(first - 1, 0)], start[np.minimum(last + 1, len(start) - 1)]] if len(met) else [np.zeros(0)] * 5
+            hashes = w._hashes(PASSAGE)[first].view(np.int64)
+            yield pa.record_batch([few.column(0).take(own), few.column(1).take(own), pa.array(hashes), *(pa.array(c.astype(np.int32)) for c in columns)], ["_row", "doc_id", "hash", "word", "start", "end", "before", "after"])
+
+
+def _islands(t: dict[str, np.ndarray]) -> list[tuple]:
+    """Runs of overlapping or adjoining windows of sorted rows: row, first word, word behind, start, end, before, after, number of the first window."""
+    if not len(t["_row"]):
+        return []
+    new = np.ones(len(t["_row"]), dtype=bool)
+    new[1:] = (t["_row"][1:] != t["_row"][:-1]) | (t["word"][1:] > t["word"][:-1] + PASSAGE)
+    a = np.flatnonzero(new)
+    b = np.append(a[1:], len(new)) - 1
+    return list(zip(*(x.tolist() for x in (t["_row"][a], t["word"][a], t["word"][b] + PASSAGE, t["start"][a], t["end"][b], t["before"][a], t["after"][b], t["number"][a]))))
+
+
+def _spans(batches):
+    """Spans to remove from windows sorted by row and word; a row's windows may span batches."""
+
+    def run(t: pa.Table):
+        columns = {c: t.column(c).to_numpy() for c in ("_row", "word", "start", "end", "before", "after")} | {"number": np.arange(t.num_rows)}
+        stays = t.column("stays").to_numpy()
+        part = lambda m: {c: v[m] for c, v in columns.items()}
+        kept: dict[int, list] = {}
+        for x in _islands(part(stays)):
+            kept.setdefault(x[0], []).append(x)
+        out = []
+        for row, a, b, start, end, _, _, number in _islands(part(~stays)):
+            for _, ka, kb, _, _, before, after, _ in kept.get(row, ()):
+                if kb <= a or ka >= b:
+                    continue
+                if ka > a:
+                    out.append((number, start, before, ka - a))
+                a, start = kb, after
+                if a >= b:
+                    break
+            if a < b:
+                out.append((number, start, end, b - a))
+        at = pa.array([x[0] for x in out], pa.int64())
+        own = t.select(["_row", "doc_id", "kept_doc_id", "kept_start"]).take(at).combine_chunks()
+        return pa.record_batch([own.column(0).combine_chunks(), own.column(1).combine_chunks(), *(pa.array([x[k] for x in out], pa.int32()) for k in (1, 2, 3)), own.column(2).combine_chunks(), own.column(3).combine_chunks()], ["_row", "doc_id", "start", "end", "words", "kept_doc_id", "kept_start"])
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = batch.column(0).to_numpy()
+        cut = int(np.searchsorted(rows, rows[-1]))
+        if cut or held and held[-1].column(0)[-1].as_py() != rows[0]:
+            if cut:
+                held.append(batch.slice(0, cut))
+            yield run(pa.Table.from_batches(held))
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        yield run(pa.Table.from_batches(held))
+
+
+def repeated_passages(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """The spans to remove of passages of ``PASSAGE`` words or more that occur before, wherever they stand.
+
+    Offsets are code points; ``words`` is a span's number of words, ``kept_doc_id`` and ``kept_start``
+    tell where its first window stays.
+    """
+    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = stored(numbered(named).select("_row", "doc_id", "text"), "rows", "zstd")
+    marks = stored(rows.select("_row", "text").mapInArrow(_marks, "_row long, mark long, times int"), "marks", "zstd")
+    often = marks.groupBy("mark").agg(F.sum("times").alias("n")).where("n > 1").select("mark")
+    lists = marks.join(often, "mark").groupBy("_row").agg(F.collect_list("mark").alias("marks"))
+    met = rows.join(lists, "_row").select("_row", "doc_id", "text", "marks")
+    windows = stored(met.mapInArrow(_windows, "_row long, doc_id long, hash long, word int, start int, end int, before int, after int"), "windows", "zstd")
+    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row", "word", "start")
+    first = windows.groupBy("hash").agg(F.count(F.lit(1)).alias("copies"), F.min(rank).alias("keep")).where("copies > 1").select("hash", "keep")
+    stays = (F.col("_row") == F.col("keep._row")) & (F.col("word") == F.col("keep.word"))
+    judged = windows.join(first, "hash").select("_row", "doc_id", "word", "start", "end", "before", "after", stays.alias("stays"), F.col("keep.doc_id").alias("kept_doc_id"), F.col("keep.start").alias("kept_start"))
+    dealt = judged.repartition("_row").sortWithinPartitions("_row", "word")
+    return dealt.mapInArrow(_spans, "_row long, doc_id long, start int, end int, words int, kept_doc_id long, kept_start int")

@@ -1,11 +1,14 @@
 """Repeats that the lines of eight words or more do not show."""
 
 import os
+import random
+import re
 
 import duckdb
 import pytest
 
 from dialectry.llm.queries import ORACLE, QUERIES
+from dialectry.llm.substring_dedup import PASSAGE, repeated_passages
 
 SF = "/root/testdata/sf0.001"
 
@@ -26,3 +29,51 @@ def test_all_lines_against_duckdb(spark):
     got = sorted((tuple(r[c] for c in cols) for r in df.collect()), key=repr)
     assert got == sorted((tuple(r[i] for i in at) for r in rel.fetchall()), key=repr)
     assert any(r[cols.index("words")] < 8 for r in got)
+
+
+def brute_passages(rows):
+    """Words that go, as (doc_id, start, end) of each word; rows in rank order."""
+    seen, stay, go, places = {}, set(), set(), {}
+    for d, t in rows:
+        found = [(m[0].lower(), m.span()) for m in re.finditer(r"[^\x20\x09-\x0D]+", t or "")]
+        for i in range(len(found) - PASSAGE + 1):
+            key = tuple(w for w, _ in found[i : i + PASSAGE])
+            own = {(d, *p) for _, p in found[i : i + PASSAGE]}
+            if key in seen:
+                go |= own
+                stay |= places[seen[key]]
+            else:
+                seen[key], places[d, i] = (d, i), own
+    return go - stay
+
+
+def test_passages_against_brute_force(spark):
+    r = random.Random(4)
+    words = lambda n: [r.choice(["é", "Ünder", "a", "bc"]) + str(r.randrange(900)) for _ in range(n)]
+    pool = [words(n) for n in (49, 50, 51, 61, 120, 300)]
+    texts = ["w " * 180, "x y " * 90, None, "", " ".join(pool[4]), " ".join(pool[4])]
+    for _ in range(120):
+        w = words(r.choice([0, 5, 30, 200]))
+        for _ in range(r.choice([0, 1, 1, 2, 3])):
+            p = r.choice(pool)
+            a = r.choice([0, 0, 0, r.randrange(len(p))])
+            at = r.randrange(len(w) + 1)
+            w[at:at] = [x.upper() if r.random() < 0.1 else x for x in p[a:]]
+        texts.append("".join(x + r.choice([" ", " ", "  ", "\n"]) for x in w))
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = set()
+    for s in repeated_passages(docs).collect():
+        part = texts[s.doc_id][s.start : s.end]
+        assert part == part.strip() and len(part.split()) == s.words and s.kept_doc_id <= s.doc_id
+        got |= {(s.doc_id, s.start + m.start(), s.start + m.end()) for m in re.finditer(r"[^\x20\x09-\x0D]+", part)}
+    want = brute_passages(rows)
+    assert len(want) > 2000 and got == want
+    assert repeated_passages(docs.where("doc_id < 0")).count() == 0
+
+
+def test_passage_inside_a_longer_line(spark):
+    passage = " ".join(f"p{i}" for i in range(61))
+    rows = [(i, f"{' '.join(f'{c}{k}' for k in range(90))} {passage} {c}") for i, c in enumerate("ab")]
+    got = repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [(g.doc_id, rows[1][1][g.start : g.end], g.words, g.kept_doc_id, g.kept_start) for g in got] == [(1, passage, 61, 0, rows[0][1].index(passage))]
