@@ -1,12 +1,12 @@
 """Approximate nearest neighbours by a permutation index.
 
-Pivots are a bounded sample of the vectors. Every vector is represented by the order of its nearest
+Pivots are a bounded sample of the distinct vectors. Every vector is represented by the order of its nearest
 pivots, cut after ``prefix`` places. The rows are dealt to shards of about ``shard_rows`` by a hash of
 their id, and each shard holds pivot inverted files: for each pivot the rows that rank it, with the
 rank. A query visits the files of its own pivots, which yields the Spearman footrule distance of all
 rows that share one (an absent pivot counts as rank ``prefix``). The ``share`` of a shard with the
-smallest distance, ``least`` rows at least, is reranked by the exact inner product in double
-precision. Queries meet the shards in blocks; a task keeps the best found so far for each of its
+smallest distance, ``least`` rows at least and all rows tied with the last of them, is reranked by
+the exact inner product in double precision. Queries meet the shards in blocks; a task keeps the best found so far for each of its
 queries, so it emits k rows a query whatever the number of its shards.
 
 To rank by inner product when norms differ, vectors get one more component for the pivot order only,
@@ -94,9 +94,10 @@ class Shard:
             shared[self.row[a:b]] += np.minimum(self.weight[a:b], self.pivots.prefix - r)
         shared[self.ids == query_id] = -1
         n = min(len(shared), max(least, int(np.ceil(share * len(shared)))))
-        close = np.argpartition(-shared, n - 1)[:n] if n < len(shared) else np.arange(len(shared))
-        close = close[shared[close] >= 0]
-        return self.ids[close], self.vectors[close] @ query
+        # rows tied at the cut all stay: equal vectors have one distance, and which of them count is up to their ids
+        close = np.flatnonzero(shared >= max(0, np.partition(shared, len(shared) - n)[len(shared) - n]))
+        # not a matrix product, which may round equal rows differently
+        return self.ids[close], np.einsum("ij,j->i", self.vectors[close], query)
 
 
 def best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -118,7 +119,7 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 20, pivots: int = 256, p
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if not d or dq != d:
         return empty
-    sample = rows.select("v", F.xxhash64(F.lit(5), "vec_id").alias("h"), "vec_id").orderBy("h", "vec_id").limit(pivots).collect()
+    sample = rows.groupBy("v").agg(F.min(F.struct(F.xxhash64(F.lit(5), "vec_id").alias("h"), "vec_id")).alias("by")).orderBy("by").limit(pivots).collect()
     sent = spark.sparkContext.broadcast(Pivots(np.array([r["v"] for r in sample]), largest2, prefix))
     shards, blocks = max(1, -(-rows.count() // shard_rows)), max(1, -(-asked.count() // query_rows))
     of = lambda n, seed: F.pmod(F.xxhash64(F.lit(seed), "vec_id"), F.lit(n)).cast("int")
