@@ -4,7 +4,8 @@ A stage is a function of (spark, docs, sf_dir). All but the last return the colu
 
 1. language_id drops texts whose language the network can't tell (null, without letters, or below
    its least certainty).
-2. ngram_join keeps one document, the one with the smallest id, of each group of near duplicates:
+2. ngram_join keeps one row, the one with the smallest id, of each group of near duplicates, whatever
+   ids repeat or are missing:
    five-word shingles, Jaccard similarity 0.8 or more, joined by links.
 3. decontamination drops documents that contain 0.8 or more of a benchmark item's five-word shingles.
 4. secret_scan masks every secret in the text and sets n_chars to the new length; all rows stay.
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from dialectry.llm.common import read_table, stored
 from dialectry.llm.decontamination import without_items
 from dialectry.llm.language_id import with_language
-from dialectry.llm.ngram_join import one_per_group
+from dialectry.llm.ngram_join import one_per_component
 from dialectry.llm.packing import pack, with_digest
 from dialectry.llm.secret_scan import redacted
 
@@ -29,7 +30,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return one_per_group(docs, k=5, percent=80)
+    return one_per_component(docs, k=5, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

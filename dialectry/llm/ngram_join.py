@@ -318,3 +318,16 @@ def one_per_group(docs: DataFrame, k: int = 5, percent: int = 80, text_col: str
     kept = linked_components(docs, k, percent, text_col, id_col).where("component_id is null or doc_id = component_id").select(F.col("doc_id").alias("_kept")).where("_kept is not null").distinct()
     stay = docs.join(kept, F.col(id_col) == F.col("_kept"), "left_semi").dropDuplicates([id_col])
     return stay.unionByName(docs.where(F.col(id_col).isNull()))
+
+
+def one_per_component(docs: DataFrame, k: int = 5, percent: int = 80, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """Keep of each component the row with the smallest id, null last, then the smallest row number.
+
+    Rows are told apart by a stored number of their own: rows with one id and different texts are
+    different documents, and rows without an id are compared as all others.
+    """
+    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "rows", "zstd")
+    groups = linked_components(rows, k, percent, text_col, "_row").select(F.col("doc_id").alias("_row"), "component_id")
+    rank = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), "_row")
+    kept = groups.join(rows.select(id_col, "_row"), "_row").groupBy("component_id").agg(F.min(rank).alias("by")).select(F.col("by._row").alias("_row"))
+    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
