@@ -240,3 +240,34 @@ def summed_blocks(packed: DataFrame, finish) -> list[tuple[int, bytes]]:
         yield pa.record_batch([pa.array(keys, pa.int32()), pa.array([finish(total[k]) for k in keys], pa.binary())], ["block", "data"])
 
     return [(r[0], bytes(r[1])) for r in packed.repartition("block").mapInArrow(add, "block int, data binary").collect()]
+
+
+ID_BUCKETS = 1 << 22  #: bits of a filter on row numbers: a fixed broadcast, whatever the input
+
+
+def id_hash(ids: np.ndarray) -> np.ndarray:
+    return (mix64(ids.astype(np.uint64)) & np.uint64(ID_BUCKETS - 1)).astype(np.int64)
+
+
+def id_filter(ids: DataFrame) -> np.ndarray:
+    """Packed bits of the numbers in the only column of ``ids``: a filter of fixed size that lets all of them through, and a few more."""
+
+    def mark(batches):
+        bits = np.zeros(ID_BUCKETS, dtype=np.int64)
+        for batch in batches:
+            bits[id_hash(batch.column(0).to_numpy(zero_copy_only=False))] = 1
+        for block, data in pack_counts(bits):
+            yield pa.record_batch([pa.array([block], pa.int32()), pa.array([data], pa.binary())], ["block", "data"])
+
+    bits = np.zeros(ID_BUCKETS, dtype=bool)
+    for block, data in summed_blocks(ids.mapInArrow(mark, "block int, data binary"), lambda c: np.packbits(c > 0).tobytes()):
+        bits[block * BLOCK : (block + 1) * BLOCK] = np.unpackbits(np.frombuffer(data, dtype=np.uint8)).astype(bool)
+    return np.packbits(bits)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many ``_`` behind it as it takes to differ from all columns."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -38,11 +38,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dialectry.llm.common import BLOCK, Shingler, distinct, mix64, pack_counts, stored, summed_blocks, text_buffer, white_words
+from dialectry.llm.common import BLOCK, Shingler, distinct, id_filter, id_hash, pack_counts, stored, summed_blocks, text_buffer, white_words
 from dialectry.llm.components import components
 
 ORDER_BUCKETS = 1 << 22  #: buckets of the shingle order: one byte each is broadcast, whatever the input
-ID_BUCKETS = 1 << 22  #: bits of the filter on ids before sets are read again: a fixed broadcast too
 LIST_BLOCK = 1024  #: members of one list that meet in one block
 
 
@@ -106,10 +105,6 @@ def text_sets(named: DataFrame, order, k: int, percent: int) -> DataFrame:
     return named.mapInArrow(run, "doc_id long, n long, digest binary, prefix array<long>, short binary")
 
 
-def _id_hash(ids: np.ndarray) -> np.ndarray:
-    return (mix64(ids.astype(np.uint64)) & np.uint64(ID_BUCKETS - 1)).astype(np.int64)
-
-
 def sets_of(named: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     """(doc_id, set) of the documents whose ids occur in ``ids``, and a few more.
 
@@ -117,23 +112,13 @@ def sets_of(named: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     shuffled.
     """
 
-    def mark(batches):
-        bits = np.zeros(ID_BUCKETS, dtype=np.int64)
-        for batch in batches:
-            bits[_id_hash(batch.column(0).to_numpy(zero_copy_only=False))] = 1
-        for block, data in pack_counts(bits):
-            yield pa.record_batch([pa.array([block], pa.int32()), pa.array([data], pa.binary())], ["block", "data"])
-
-    bits = np.zeros(ID_BUCKETS, dtype=bool)
-    for block, data in summed_blocks(ids.mapInArrow(mark, "block int, data binary"), lambda c: np.packbits(c > 0).tobytes()):
-        bits[block * BLOCK : (block + 1) * BLOCK] = np.unpackbits(np.frombuffer(data, dtype=np.uint8)).astype(bool)
-    wanted = named.sparkSession.sparkContext.broadcast(np.packbits(bits))
+    wanted = named.sparkSession.sparkContext.broadcast(id_filter(ids))
 
     def run(batches):
         s, bits = Shingler(k, white_words()), np.unpackbits(wanted.value).astype(bool)
         for batch in batches:
             doc = batch.column(0).to_numpy(zero_copy_only=False)
-            batch = batch.filter(pa.array(bits[_id_hash(doc)]))
+            batch = batch.filter(pa.array(bits[id_hash(doc)]))
             for few in _chunks(batch):
                 hashes, at = s.shingles(*text_buffer(few.column(1)))
                 yield pa.record_batch([few.column(0), pa.array([distinct(hashes[a:b]).tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())], ["doc_id", "own"])

@@ -59,47 +59,42 @@ FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS
 
 @query
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from dialectry.llm.substring_dedup import numbered, removed_units
+    """One row per document that loses a repeated passage: what is left of its text, and what went."""
+    from pyspark.sql import functions as F
+
+    from dialectry.llm.substring_dedup import deduplicated
 
-    return removed_units(numbered(read_table(spark, sf_dir, "documents")), unit="line", min_words=8).drop("_row")
+    out = deduplicated(read_table(spark, sf_dir, "documents").select("doc_id", "text"), unit="clause", least=40, changed_only=True)
+    spans = F.array_join(F.transform("removed_spans", lambda s: F.concat_ws("-", s["start"], s["end"])), " ")
+    removed = F.aggregate("removed_spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return out.select("doc_id", "text", spans.alias("removed_spans"), removed.alias("removed_chars"), F.element_at("kept_ids", 1).alias("kept_doc_id"))
 
 
 ORACLE["op3_substring_dedup"] = r"""
-WITH l AS (
-  SELECT doc_id, (i - 1)::INTEGER AS unit, ls[i] AS line,
-    (coalesce(list_sum(list_transform(ls[1:i - 1], lambda x: length(x) + 1)), 0))::INTEGER AS start
-  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents), unnest(range(1, len(ls) + 1)) AS t(i)
+WITH t AS (SELECT doc_id, text, length(regexp_extract(text, '^[^A-Za-z0-9\x{80}-\x{10FFFF}]*'))::INTEGER AS lead FROM documents WHERE text IS NOT NULL
+), p AS (SELECT doc_id, lead, regexp_extract_all(substring(text, lead + 1), '[^\n.,;:!?]*[\n.,;:!?][^A-Za-z0-9\x{80}-\x{10FFFF}]*|[^\n.,;:!?]+$') AS us FROM t
+), q AS (SELECT doc_id, lead, i, us[i] AS unit, regexp_extract_all(lower(us[i]), '[a-z0-9\x{80}-\x{10FFFF}]+') AS ws FROM p, unnest(range(1, len(us) + 1)) AS x(i)
 ), u AS (
-  SELECT doc_id, unit, start, (start + length(line))::INTEGER AS "end", len(ws)::INTEGER AS words, lower(array_to_string(ws, ' ')) AS body
-  FROM (SELECT *, regexp_extract_all(line, '[^\s]+') AS ws FROM l) WHERE len(ws) >= 8
-), k AS (
-  SELECT *, count(*) OVER (PARTITION BY body) AS copies, row_number() OVER w AS r, first_value(doc_id) OVER w AS kept_doc_id,
-    first_value(unit) OVER w AS kept_unit, first_value(start) OVER w AS kept_start, first_value("end") OVER w AS kept_end
-  FROM u WINDOW w AS (PARTITION BY body ORDER BY doc_id, unit)
+  SELECT doc_id, i, ws, lead + sum(length(unit)) OVER w - length(unit) AS a, lead + sum(length(unit)) OVER w AS b, sum(len(ws)) OVER w - len(ws) AS w0, sum(len(ws)) OVER w AS w1
+  FROM q WINDOW w AS (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING)
+), d AS (SELECT doc_id, flatten(list(ws ORDER BY i)) AS every FROM u GROUP BY 1
+), r AS (
+  SELECT x.doc_id, x.i AS i, y.i AS j, x.a, md5(array_to_string(d.every[x.w0 + 1:y.w1], ' ')) AS body
+  FROM u x ASOF JOIN u y ON x.doc_id = y.doc_id AND x.w0 + 40 <= y.w1 JOIN d ON d.doc_id = x.doc_id
+), k AS (SELECT *, row_number() OVER w AS n, count(*) OVER (PARTITION BY body) AS copies, first_value(doc_id) OVER w AS kept FROM r WINDOW w AS (PARTITION BY body ORDER BY doc_id, a)
+), m AS (SELECT doc_id, unnest(range(i, j + 1)) AS i, n > 1 AS gone FROM k WHERE copies > 1
+), g AS (SELECT doc_id, i FROM m GROUP BY 1, 2 HAVING bool_and(gone)
+), s AS (
+  SELECT doc_id, min(a) AS a, max(b) AS b FROM (SELECT u.doc_id, u.a, u.b, u.i - row_number() OVER (PARTITION BY u.doc_id ORDER BY u.i) AS island FROM u JOIN g USING (doc_id, i)) GROUP BY doc_id, island
+), e AS (
+  SELECT doc_id, string_agg(a || '-' || b, ' ' ORDER BY a) AS removed_spans, sum(b - a)::BIGINT AS removed_chars, list(a ORDER BY a) AS starts, list(b ORDER BY a) AS ends FROM s GROUP BY 1
 )
-SELECT doc_id, unit, start, "end", words, kept_doc_id, kept_unit, kept_start, kept_end, copies FROM k WHERE r > 1
+SELECT e.doc_id, e.removed_spans, e.removed_chars, (SELECT min(kept) FROM k WHERE k.doc_id = e.doc_id AND k.copies > 1 AND k.n > 1) AS kept_doc_id,
+  array_to_string(list_transform(range(1, len(starts) + 2), lambda x: substring(t.text, (CASE WHEN x = 1 THEN 0 ELSE ends[x - 1] END + 1)::BIGINT, (CASE WHEN x > len(starts) THEN length(t.text) ELSE starts[x] END - CASE WHEN x = 1 THEN 0 ELSE ends[x - 1] END)::BIGINT)), '') AS text
+FROM e JOIN t USING (doc_id)
 """
 
 
-@query
-def op3_repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All repeated lines, the short ones too, which op3_substring_dedup and its SQL leave out."""
-    from dialectry.llm.substring_dedup import numbered, removed_units
-
-    return removed_units(numbered(read_table(spark, sf_dir, "documents")), unit="line", min_words=1).drop("_row")
-
-
-@query
-def op3_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Repeated passages of 50 words or more wherever they stand, inside longer lines or over several."""
-    from dialectry.llm.substring_dedup import repeated_passages
-
-    return repeated_passages(read_table(spark, sf_dir, "documents")).drop("_row")
-
-
-ORACLE["op3_repeated_lines"] = ORACLE["op3_substring_dedup"].replace("len(ws) >= 8", "len(ws) >= 1")
-
-
 @query
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from dialectry.llm.decontamination import contained_items

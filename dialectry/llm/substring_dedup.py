@@ -1,261 +1,199 @@
-"""Substring deduplication by hashing lines or paragraphs.
-
-Every text is cut into units (lines, or paragraphs between blank lines). A unit's text is lower-cased
-and its white space collapsed; units of fewer than ``min_words`` words are never touched, since short
-lines recur in unrelated texts. Digests of the rest are grouped over the whole corpus: the occurrence
-that ranks first stays, every other one is removed and reported with its offsets in the original text.
-
-Rank: documents by doc_id (null last), then rows of one doc_id by their place in the input, then the
-unit's place. Null and empty texts have no units. The counting is pre-aggregated, and the join back
-has one keeper per digest, so a line that a third of all rows share is only ever a skewed join side.
-
-:func:`repeated_passages` finds what lines can't: runs of ``PASSAGE`` words or more that stand anywhere,
-inside longer lines or over several. A window is ``PASSAGE`` words; its mark is the smallest hash of
-the ``GRAM``-word runs in it, so equal windows have equal marks. Marks are few, about one for 18
-words, and are counted first; only windows whose mark occurs twice are hashed and grouped. Of equal
-windows the first in rank stays, with all its words; the words of the others go, unless they also
-belong to a window that stays. Words are runs without ASCII white space, lower-cased; the result is
-exact for 64-bit window hashes.
+"""Substring deduplication by hashing lines, paragraphs or clauses, and runs of them.
+
+1. Every text is cut into units: paragraphs (between blank lines), lines, or clauses (lines cut
+   further behind ``. , ; : ! ?``). A unit reaches from its first word to the first word of the next
+   one, so units tile the text; what stands before the first word belongs to none. A unit's words are
+   lower-cased runs of ASCII letters and digits and of non-ASCII characters: case, marks and white
+   space don't count.
+2. From each unit on, the shortest run of adjacent units that reaches ``least`` words is hashed to 128
+   bits. With ``least=1`` each unit stands for itself. A single stock line is shorter than a run and
+   is left alone; a passage that is spread over lines, or stands inside longer ones, holds whole runs.
+3. Half of the digest is counted over all texts first (partial counts, then one shuffle of longs).
+   Only runs whose half repeats go on; of equal runs the first in rank stays, the others are removed.
+4. A document loses the units of its removed runs, but for those that also belong to a run that
+   stays. Spans are offsets in code points of the original text.
+
+Rank: documents by id (null last), then rows of one id by their place in the input, then the place in
+the text. The keeper's row is joined back to its copies, so a run that a third of all rows share is
+only ever the skewed side of a join, which adaptive execution splits.
+
+Defined results: null and empty texts have no unit and stay as they are; so do texts of fewer than
+``least`` words; repeated rows are copies of the first of them; repetitions inside one text count as
+any other. Input columns of any name are kept; a new column whose name is taken gets ``_`` appended.
 """
 
 from __future__ import annotations
 
-import hashlib
-import re
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from dialectry.llm.common import Shingler, mix64, random64, stored, text_buffer, white_words
+from dialectry.llm.common import Shingler, alnum_words, free_name, id_filter, id_hash, mix64, stored, text_buffer
 
-PASSAGE, GRAM = 50, 16
 #: Texts hashed at once.
 FEW = 400
+#: Characters that end a unit, and how many of them must stand between two words.
+CUTS = {"paragraph": ("\n", 2), "line": ("\n", 1), "clause": ("\n.,;:!?", 1)}
+
+
+class Runs:
+    """The runs of some texts: row, place of the first unit, offsets of start and end, and both hashes."""
+
+    def __init__(self, shingler: Shingler, texts: pa.Array, unit: str, least: int):
+        raw, at = text_buffer(pc.utf8_lower(texts))
+        words, starts, ends, rows = shingler.words(raw, at)
+        n, counts = len(words), np.diff(rows)
+        marks, times = CUTS[unit]
+        is_mark = np.zeros(256, dtype=bool)
+        is_mark[[ord(c) for c in marks]] = True
+        seen = np.zeros(len(raw) + 1, dtype=np.int32)
+        np.cumsum(is_mark[raw], out=seen[1:])
+        new = np.ones(n, dtype=bool)
+        new[1:] = seen[starts[1:]] - seen[ends[:-1]] >= times
+        new[rows[:-1][counts > 0]] = True
+        first = np.flatnonzero(new)
+        behind = np.append(first[1:], n) if n else first
+        row = np.repeat(np.arange(len(counts)), counts)[first]
+        last = np.searchsorted(behind, first + least)
+        whole = np.flatnonzero(row[np.minimum(last, len(row) - 1)] == row) if n else first
+        whole = whole[last[whole] < len(first)]
+        last = last[whole]
+        self.row = row[whole]
+        lead = np.zeros(len(raw) + 1, dtype=np.int64)
+        np.cumsum((raw & 0xC0) != 0x80, out=lead[1:])
+        base, size = lead[at[:-1]], lead[at[1:]]
+        self.start = lead[starts[first[whole]]] - base[self.row]
+        ends_row = (last + 1 == len(first)) | (row[np.minimum(last + 1, max(len(row) - 1, 0))] != self.row)
+        next_start = lead[starts[first[np.minimum(last + 1, max(len(first) - 1, 0))]]]
+        self.end = np.where(ends_row, size[self.row], next_start) - base[self.row]
+        if n > len(shingler.power):
+            shingler._powers(n)
+        a, b = first[whole], behind[last]
+        self.hashes = []
+        for seed in (0x51, 0xB7):
+            total = np.zeros(n + 1, dtype=np.uint64)
+            np.cumsum(mix64(words + np.uint64(seed)) * shingler.power[:n], out=total[1:])
+            self.hashes.append(mix64((total[b] - total[a]) * shingler.inverse[a] + (b - a).astype(np.uint64)).view(np.int64))
+
+
+def _halves(unit: str, least: int):
+    def run(batches):
+        shingler = Shingler(1, alnum_words())
+        for batch in batches:
+            for lo in range(0, batch.num_rows, FEW):
+                yield pa.record_batch([pa.array(Runs(shingler, batch.column(0).slice(lo, FEW), unit, least).hashes[0])], ["half"])
 
-CUTS = {"line": re.compile(r"\n"), "paragraph": re.compile(r"\n[^\S\n]*\n\s*")}
+    return run
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """Add ``_row``, a number for each input row that orders rows by their place."""
-    return docs.withColumn("_row", F.monotonically_increasing_id())
+def _runs(unit: str, least: int):
+    def run(batches):
+        shingler = Shingler(1, alnum_words())
+        for batch in batches:
+            for lo in range(0, batch.num_rows, FEW):
+                few = batch.slice(lo, FEW)
+                r = Runs(shingler, few.column(2), unit, least)
+                own = pa.array(r.row)
+                yield pa.record_batch(
+                    [*(pa.array(h) for h in r.hashes), few.column(0).take(own), few.column(1).take(own), pa.array(r.start.astype(np.int32)), pa.array(r.end.astype(np.int32))],
+                    ["half", "rest", "row", "id", "start", "end"],
+                )
 
+    return run
 
-def units(rows: DataFrame, unit: str = "line", min_words: int = 8, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """Row number, doc_id, unit number, start and end in code points, words and digest of every unit."""
-    pattern = CUTS[unit]
 
-    def run(batches):
-        for batch in batches:
-            out: list[list] = [[] for _ in range(7)]
-            for row, doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                text, start, k = text.as_py() or "", 0, 0
-                cuts = [m.span() for m in pattern.finditer(text)] + [(len(text), len(text))]
-                for a, b in cuts:
-                    words = text[start:a].split()
-                    if len(words) >= min_words:
-                        digest = hashlib.blake2b(" ".join(words).lower().encode("utf-8", "surrogatepass"), digest_size=16).digest()
-                        for column, value in zip(out, (row, doc, k, start, a, len(words), digest)):
-                            column.append(value)
-                    start, k = b, k + 1
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
-            yield pa.record_batch([pa.array(v, t) for v, t in zip(out, kinds)], ["_row", "doc_id", "unit", "start", "end", "words", "digest"])
-
-    named = rows.select("_row", F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return named.mapInArrow(run, "_row long, doc_id long, unit int, start int, end int, words int, digest binary")
-
-
-def removed_units(rows: DataFrame, unit: str = "line", min_words: int = 8, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """The occurrences to remove, each with the occurrence that stays.
-
-    ``rows`` carries ``_row`` from :func:`numbered`, read from a stable source.
+def repeated_runs(rows: DataFrame, unit: str = "clause", least: int = 40) -> DataFrame:
+    """Every run that occurs more than once: row, id, start, end, whether it stays, and where the first one stands.
+
+    ``rows`` are stored rows (row, id, text).
     """
-    found = stored(units(rows, unit, min_words, text_col, id_col), "units", "zstd")
-    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row", "unit", "start", "end")
-    first = found.groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), F.min(rank).alias("keep")).where("copies > 1")
-    met = found.join(first, "digest").where("not (_row = keep._row and unit = keep.unit)")
-    return met.select("_row", "doc_id", "unit", "start", "end", "words", F.col("keep.doc_id").alias("kept_doc_id"), F.col("keep.unit").alias("kept_unit"), F.col("keep.start").alias("kept_start"), F.col("keep.end").alias("kept_end"), "copies")
-
-
-def deduplicated(docs: DataFrame, unit: str = "line", min_words: int = 8, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """``docs`` with the repeated units cut out of the text, and ``removed_spans`` of the original text."""
-    rows = stored(numbered(docs), "rows")
-    spans = removed_units(rows, unit, min_words, text_col, id_col).groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("removed_spans"))
-    joined = rows.join(spans, "_row", "left")
-
-    @F.pandas_udf("string")
-    def cut(text, spans):
-        import pandas as pd
-
-        out = []
-        for t, s in zip(text, spans):
-            if t is None or s is None:
-                out.append(t)
-                continue
-            at, parts = 0, []
-            for span in s:
-                parts.append(t[at : span["start"]])
-                at = span["end"] + (1 if t[span["end"] : span["end"] + 1] == "\n" else 0)
-            out.append("".join([*parts, t[at:]]))
-        return pd.Series(out, dtype=object)
-
-    return joined.withColumn(text_col, cut(F.col(text_col), "removed_spans")).drop("_row")
-
-
-class Windows:
-    """The windows of ``PASSAGE`` words of some texts: row, first word, mark and, if asked for, hash."""
-
-    def __init__(self, shingler: Shingler, texts: pa.Array):
-        self.raw, self.at = text_buffer(pc.utf8_lower(texts))
-        self.words, self.starts, self.ends, self.rows = shingler.words(self.raw, self.at)
-        counts = np.diff(self.rows)
-        self.row_of_word = np.repeat(np.arange(len(counts)), counts)
-        n = max(len(self.words) - PASSAGE + 1, 0)
-        self.first = np.flatnonzero(self.row_of_word[:n] == self.row_of_word[PASSAGE - 1 :][:n])
-        self.row = self.row_of_word[self.first]
-        self.step = random64(PASSAGE, 0xFA55)
-        self.grams = self._hashes(GRAM)
-        # the smallest of PASSAGE - GRAM + 1 grams from two overlapping spans of 32
-        low = self.grams
-        for k in (1, 2, 4, 8, 16):
-            low = np.minimum(low[:-k], low[k:]) if len(low) > k else low[:0]
-        rest = PASSAGE - GRAM + 1 - 32
-        self.mark = np.minimum(low[self.first], low[self.first + rest])
-
-    def _hashes(self, k: int) -> np.ndarray:
-        out = np.zeros(max(len(self.words) - k + 1, 0), dtype=np.uint64)
-        for j in range(k):
-            out += self.words[j : j + len(out)] * self.step[j]
-        return mix64(out)
-
-    @staticmethod
-    def keyed(row: np.ndarray, mark: np.ndarray) -> np.ndarray:
-        return mix64(mark + row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-
-    def marks(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The distinct marks of each row with the number of places where its grams have them."""
-        new = np.ones(len(self.mark), dtype=bool)
-        new[1:] = (self.mark[1:] != self.mark[:-1]) | (self.row[1:] != self.row[:-1])
-        row, mark = self.row[new], self.mark[new]
-        keys, at = np.unique(self.keyed(row, mark), return_index=True)
-        if not len(keys):
-            return row, mark, np.zeros(0, dtype=np.int64)
-        whole = self.row_of_word[: len(self.grams)] == self.row_of_word[GRAM - 1 :]
-        own = self.keyed(self.row_of_word[: len(self.grams)][whole], self.grams[whole])
-        place = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
-        times = np.bincount(place[keys[place] == own], minlength=len(keys))
-        return row[at], mark[at], times
-
-    def met(self, marks: pa.ListArray) -> np.ndarray:
-        """Numbers of the windows whose mark is in the list of their row."""
-        sizes = pc.list_value_length(marks).fill_null(0).to_numpy(zero_copy_only=False)
-        given = marks.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-        keys = np.sort(self.keyed(np.repeat(np.arange(len(sizes)), sizes), given))
-        own = self.keyed(self.row, self.mark)
-        return np.flatnonzero(keys[np.minimum(np.searchsorted(keys, own), len(keys) - 1)] == own) if len(keys) else np.zeros(0, dtype=np.int64)
-
-    def points(self) -> tuple[np.ndarray, np.ndarray]:
-        """Start and end of each word in code points of its text."""
-        lead = np.concatenate([[0], np.cumsum((self.raw & 0xC0) != 0x80)])
-        base = lead[self.at[:-1]][self.row_of_word]
-        return lead[self.starts] - base, lead[self.ends] - base
-
-
-def _marks(batches):
-    shingler = Shingler(1, white_words())
-    for batch in batches:
-        for lo in range(0, batch.num_rows, FEW):
-            few = batch.slice(lo, FEW)
-            row, mark, times = Windows(shingler, few.column(1)).marks()
-            yield pa.record_batch([few.column(0).take(pa.array(row)), pa.array(mark.view(np.int64)), pa.array(np.minimum(times, 2).astype(np.int32))], ["_row", "mark", "times"])
-
-
-def _windows(batches):
-    shingler = Shingler(1, white_words())
-    for batch in batches:
-        for lo in range(0, batch.num_rows, FEW):
-            few = batch.slice(lo, FEW)
-            w = Windows(shingler, few.column(2))
-            met = w.met(few.column(3))
-            row, first = w.row[met], w.first[met]
-            start, end = w.points()
-            last, own = first + PASSAGE - 1, pa.array(row)
-            columns = [first - w.rows[row], start[first], end[last], end[np.maximum(first - 1, 0)], start[np.minimum(last + 1, len(start) - 1)]] if len(met) else [np.zeros(0)] * 5
-            hashes = w._hashes(PASSAGE)[first].view(np.int64)
-            yield pa.record_batch([few.column(0).take(own), few.column(1).take(own), pa.array(hashes), *(pa.array(c.astype(np.int32)) for c in columns)], ["_row", "doc_id", "hash", "word", "start", "end", "before", "after"])
-
-
-def _islands(t: dict[str, np.ndarray]) -> list[tuple]:
-    """Runs of overlapping or adjoining windows of sorted rows: row, first word, word behind, start, end, before, after, number of the first window."""
-    if not len(t["_row"]):
-        return []
-    new = np.ones(len(t["_row"]), dtype=bool)
-    new[1:] = (t["_row"][1:] != t["_row"][:-1]) | (t["word"][1:] > t["word"][:-1] + PASSAGE)
-    a = np.flatnonzero(new)
-    b = np.append(a[1:], len(new)) - 1
-    return list(zip(*(x.tolist() for x in (t["_row"][a], t["word"][a], t["word"][b] + PASSAGE, t["start"][a], t["end"][b], t["before"][a], t["after"][b], t["number"][a]))))
-
-
-def _spans(batches):
-    """Spans to remove from windows sorted by row and word; a row's windows may span batches."""
-
-    def run(t: pa.Table):
-        columns = {c: t.column(c).to_numpy() for c in ("_row", "word", "start", "end", "before", "after")} | {"number": np.arange(t.num_rows)}
-        stays = t.column("stays").to_numpy()
-        part = lambda m: {c: v[m] for c, v in columns.items()}
-        kept: dict[int, list] = {}
-        for x in _islands(part(stays)):
-            kept.setdefault(x[0], []).append(x)
-        out = []
-        for row, a, b, start, end, _, _, number in _islands(part(~stays)):
-            for _, ka, kb, _, _, before, after, _ in kept.get(row, ()):
-                if kb <= a or ka >= b:
-                    continue
-                if ka > a:
-                    out.append((number, start, before, ka - a))
-                a, start = kb, after
-                if a >= b:
-                    break
-            if a < b:
-                out.append((number, start, end, b - a))
-        at = pa.array([x[0] for x in out], pa.int64())
-        own = t.select(["_row", "doc_id", "kept_doc_id", "kept_start"]).take(at).combine_chunks()
-        return pa.record_batch([own.column(0).combine_chunks(), own.column(1).combine_chunks(), *(pa.array([x[k] for x in out], pa.int32()) for k in (1, 2, 3)), own.column(2).combine_chunks(), own.column(3).combine_chunks()], ["_row", "doc_id", "start", "end", "words", "kept_doc_id", "kept_start"])
-
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        rows = batch.column(0).to_numpy()
-        cut = int(np.searchsorted(rows, rows[-1]))
-        if cut or held and held[-1].column(0)[-1].as_py() != rows[0]:
-            if cut:
-                held.append(batch.slice(0, cut))
-            yield run(pa.Table.from_batches(held))
-            held = []
-        held.append(batch.slice(cut))
-    if held:
-        yield run(pa.Table.from_batches(held))
-
-
-def repeated_passages(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """The spans to remove of passages of ``PASSAGE`` words or more that occur before, wherever they stand.
-
-    Offsets are code points; ``words`` is a span's number of words, ``kept_doc_id`` and ``kept_start``
-    tell where its first window stays.
+    halves = rows.select("text").mapInArrow(_halves(unit, least), "half long")
+    often = halves.groupBy("half").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("half")
+    every = rows.select("row", "id", "text").mapInArrow(_runs(unit, least), "half long, rest long, row long, id long, start int, end int")
+    met = stored(every.join(often, "half", "left_semi"), "runs", "zstd")
+    rank = F.struct(F.col("id").isNull().alias("no_id"), "id", "row", "start")
+    first = met.groupBy("half", "rest").agg(F.count(F.lit(1)).alias("copies"), F.min(rank).alias("keep")).where("copies > 1")
+    stays = (F.col("row") == F.col("keep.row")) & (F.col("start") == F.col("keep.start"))
+    return met.join(first, ["half", "rest"]).select("row", "id", "start", "end", stays.alias("stays"), F.col("keep.id").alias("kept_id"), F.col("keep.start").alias("kept_start"), "copies")
+
+
+def _union(spans: list[dict]) -> list[tuple[int, int]]:
+    out: list[list[int]] = []
+    for a, b in sorted((s["start"], s["end"]) for s in spans):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return [(a, b) for a, b in out]
+
+
+def _without(gone: list[tuple[int, int]], stay: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What is left of the sorted spans ``gone`` outside the sorted spans ``stay``."""
+    out, k = [], 0
+    for a, b in gone:
+        while k < len(stay) and stay[k][1] <= a:
+            k += 1
+        j = k
+        while j < len(stay) and stay[j][0] < b:
+            if stay[j][0] > a:
+                out.append((a, stay[j][0]))
+            a = max(a, stay[j][1])
+            j += 1
+        if a < b:
+            out.append((a, b))
+    return out
+
+
+SPANS = "array<struct<start: int, end: int>>"
+
+
+def _cut(text: str, spans: list[tuple[int, int]]) -> str:
+    at, parts = 0, []
+    for a, b in spans:
+        parts.append(text[at:a])
+        at = b
+    return "".join([*parts, text[at:]])
+
+
+def deduplicated(docs: DataFrame, unit: str = "clause", least: int = 40, changed_only: bool = False, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """``docs`` with the repeated runs cut out of the text, ``removed_spans`` of the original text and the sorted ``kept_ids`` of what was kept instead.
+
+    ``changed_only`` returns only the rows that lose something. Untouched rows have empty lists.
     """
-    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = stored(numbered(named).select("_row", "doc_id", "text"), "rows", "zstd")
-    marks = stored(rows.select("_row", "text").mapInArrow(_marks, "_row long, mark long, times int"), "marks", "zstd")
-    often = marks.groupBy("mark").agg(F.sum("times").alias("n")).where("n > 1").select("mark")
-    lists = marks.join(often, "mark").groupBy("_row").agg(F.collect_list("mark").alias("marks"))
-    met = rows.join(lists, "_row").select("_row", "doc_id", "text", "marks")
-    windows = stored(met.mapInArrow(_windows, "_row long, doc_id long, hash long, word int, start int, end int, before int, after int"), "windows", "zstd")
-    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row", "word", "start")
-    first = windows.groupBy("hash").agg(F.count(F.lit(1)).alias("copies"), F.min(rank).alias("keep")).where("copies > 1").select("hash", "keep")
-    stays = (F.col("_row") == F.col("keep._row")) & (F.col("word") == F.col("keep.word"))
-    judged = windows.join(first, "hash").select("_row", "doc_id", "word", "start", "end", "before", "after", stays.alias("stays"), F.col("keep.doc_id").alias("kept_doc_id"), F.col("keep.start").alias("kept_start"))
-    dealt = judged.repartition("_row").sortWithinPartitions("_row", "word")
-    return dealt.mapInArrow(_spans, "_row long, doc_id long, start int, end int, words int, kept_doc_id long, kept_start int")
+    rows = stored(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("doc")), "rows", "zstd")
+    span = F.struct("start", "end")
+    found = repeated_runs(rows, unit, least).groupBy("row").agg(
+        F.collect_list(F.when(~F.col("stays"), span)).alias("gone"), F.collect_list(F.when(F.col("stays"), span)).alias("stay"), F.array_sort(F.collect_set(F.when(~F.col("stays"), F.col("kept_id")))).alias("kept")
+    )
+    found = stored(found.where("size(gone) > 0"), "found", "zstd")
+    wanted = docs.sparkSession.sparkContext.broadcast(id_filter(found.select("row"))) if changed_only else None
+
+    def near(batches):
+        # a fixed-size filter, so that only texts that may lose something are shuffled
+        bits = np.unpackbits(wanted.value).astype(bool)
+        for batch in batches:
+            yield batch.filter(pa.array(bits[id_hash(batch.column("row").to_numpy(zero_copy_only=False))]))
+
+    named = rows.select("row", "text", "doc")
+    if changed_only:
+        named = named.mapInArrow(near, named.schema)
+    joined = named.join(found, "row", "inner" if changed_only else "left").select("doc", "text", "gone", "stay", "kept")
+
+    def cut(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, FEW):
+                few = batch.slice(lo, FEW)
+                spans = [_without(_union(g), _union(s)) if g else [] for g, s in zip(few.column(2).to_pylist(), few.column(3).to_pylist())]
+                texts = [_cut(t.as_py(), x) if x else t.as_py() for t, x in zip(few.column(1), spans)]
+                listed = pa.array([[{"start": a, "end": b} for a, b in x] for x in spans], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
+                out = pa.record_batch([few.column(0), pa.array(texts, pa.string()), listed, few.column(4)], ["doc", "text", "spans", "kept"])
+                yield out.filter(pa.array([bool(x) for x in spans])) if changed_only else out
+
+    judged = joined.mapInArrow(cut, T.StructType([*joined.select("doc", "text").schema.fields, T.StructField("spans", T._parse_datatype_string(SPANS)), joined.schema["kept"]]))
+    own = [F.col("text") if c == text_col else F.col(f"doc.`{c}`") for c in docs.columns]
+    own = [c.alias(name) for c, name in zip(own, docs.columns)]
+    kept = F.coalesce("kept", F.array().cast("array<long>"))
+    return judged.select(*own, F.col("spans").alias(free_name(docs, "removed_spans")), kept.alias(free_name(docs, "kept_ids")))

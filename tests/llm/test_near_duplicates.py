@@ -7,7 +7,6 @@ import pytest
 from dialectry.llm import ngram_join as J
 from dialectry.llm.components import components
 from dialectry.llm.decontamination import contained_items, without_items
-from dialectry.llm.substring_dedup import deduplicated, numbered, removed_units
 
 VOCABULARY = [f"w{i}" for i in range(2000)]
 
@@ -80,20 +79,6 @@ def test_components_of_a_path(spark):
     assert {r.node: r.label for r in components(edges).collect()} == dict.fromkeys(range(60), 0) | {100: 100, 101: 100}
 
 
-def test_substring_dedup(spark):
-    long = "this line has more than eight words in it"
-    rows = [(2, f"short\n{long}\nend"), (1, f"{long.upper()}\n{long}  \nshort"), (5, None), (5, ""), (None, long), (3, f"é  {long}"), (3, f"é  {long}")]
-    docs = spark.createDataFrame([(d, t, "c") for d, t in rows], "doc_id long, text string, digest string")
-    got = sorted(((r.doc_id, r.unit, r.start, r.end, r.kept_doc_id, r.kept_unit, r.copies) for r in removed_units(numbered(docs.coalesce(1))).collect()), key=str)
-    n = len(long)
-    assert got == sorted([(1, 1, n + 1, 2 * n + 3, 1, 0, 4), (2, 1, 6, 6 + n, 1, 0, 4), (None, 0, 0, n, 1, 0, 4), (3, 0, 0, n + 3, 3, 0, 2)], key=str)
-    clean = deduplicated(docs.coalesce(1)).collect()
-    assert sorted((r.text for r in clean if r.doc_id in (1, 2)), key=str) == [f"{long.upper()}\nshort", "short\nend"]
-    assert sorted(r.text for r in clean if r.doc_id == 3) == ["", f"é  {long}"] and {r.digest for r in clean} == {"c"}
-    two = docs.where("doc_id = 2")
-    assert removed_units(numbered(two), unit="paragraph").count() == 0 and removed_units(numbered(docs.where("doc_id > 90"))).count() == 0
-
-
 def test_decontamination_against_brute_force(spark):
     r = random.Random(8)
     words = lambda n: [r.choice(VOCABULARY) for _ in range(n)]

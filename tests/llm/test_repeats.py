@@ -1,4 +1,4 @@
-"""Repeats that the lines of eight words or more do not show."""
+"""Repeated passages against brute force, whatever lines and marks they are spread over."""
 
 import os
 import random
@@ -8,72 +8,113 @@ import duckdb
 import pytest
 
 from dialectry.llm.queries import ORACLE, QUERIES
-from dialectry.llm.substring_dedup import PASSAGE, repeated_passages
+from dialectry.llm.substring_dedup import deduplicated
 
 SF = "/root/testdata/sf0.001"
+CUT = {"paragraph": lambda gap: gap.count("\n") > 1, "line": lambda gap: "\n" in gap, "clause": lambda gap: any(c in gap for c in "\n.,;:!?")}
 
 
-def test_short_lines_of_a_copy_go(spark, tmp_path):
-    text = "one two\n\nthree\nfour five six"
-    spark.createDataFrame([(2, text), (1, text), (3, "ONE  two\nother")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = sorted((r.doc_id, r.start, r.end, r.kept_doc_id, r.copies) for r in QUERIES["op3_repeated_lines"](spark, str(tmp_path)).collect())
-    assert got == [(2, 0, 7, 1, 3), (2, 9, 14, 1, 2), (2, 15, 28, 1, 2), (3, 0, 8, 1, 3)]
+def brute_units(text, unit):
+    """(start, end, words) of each unit; words are lower-cased."""
+    found = [(m[0].lower(), *m.span()) for m in re.finditer(r"[A-Za-z0-9\x80-\U0010ffff]+", text or "")]
+    out = []
+    for k, (w, a, _) in enumerate(found):
+        if k == 0 or CUT[unit](text[found[k - 1][2] : a]):
+            out.append([a, None, []])
+        out[-1][2].append(w)
+    for x, y in zip(out, out[1:] + [[len(text or "")]]):
+        x[1] = y[0]
+    return out
 
 
-@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
-def test_all_lines_against_duckdb(spark):
-    df = QUERIES["op3_repeated_lines"](spark, SF)
-    cols = sorted(df.columns)
-    rel = duckdb.sql(ORACLE["op3_repeated_lines"].replace("FROM documents", f"FROM '{SF}/documents.parquet'"))
-    at = [rel.columns.index(c) for c in cols]
-    got = sorted((tuple(r[c] for c in cols) for r in df.collect()), key=repr)
-    assert got == sorted((tuple(r[i] for i in at) for r in rel.fetchall()), key=repr)
-    assert any(r[cols.index("words")] < 8 for r in got)
-
-
-def brute_passages(rows):
-    """Words that go, as (doc_id, start, end) of each word; rows in rank order."""
-    seen, stay, go, places = {}, set(), set(), {}
-    for d, t in rows:
-        found = [(m[0].lower(), m.span()) for m in re.finditer(r"[^\x20\x09-\x0D]+", t or "")]
-        for i in range(len(found) - PASSAGE + 1):
-            key = tuple(w for w, _ in found[i : i + PASSAGE])
-            own = {(d, *p) for _, p in found[i : i + PASSAGE]}
-            if key in seen:
-                go |= own
-                stay |= places[seen[key]]
+def brute(rows, unit, least):
+    """(text, spans, kept ids) of each row; rows are (id, text) in input order."""
+    seen, gone, stay, kept, units = {}, {}, {}, {}, [brute_units(t, unit) for _, t in rows]
+    order = sorted(range(len(rows)), key=lambda r: (rows[r][0] is None, rows[r][0] or 0, r))
+    for r in order:
+        for i in range(len(units[r])):
+            j, words = i, list(units[r][i][2])
+            while len(words) < least and j + 1 < len(units[r]):
+                j += 1
+                words += units[r][j][2]
+            if len(words) < least:
+                break
+            if tuple(words) in seen:
+                first, at = seen[tuple(words)]
+                gone.setdefault(r, set()).update(range(i, j + 1))
+                stay.setdefault(first, set()).update(at)
+                if rows[first][0] is not None:
+                    kept.setdefault(r, set()).add(rows[first][0])
+            else:
+                seen[tuple(words)] = r, range(i, j + 1)
+    out = []
+    for r, (_, t) in enumerate(rows):
+        spans = []
+        for k in sorted(gone.get(r, set()) - stay.get(r, set())):
+            a, b, _ = units[r][k]
+            if spans and spans[-1][1] == a:
+                spans[-1] = (spans[-1][0], b)
             else:
-                seen[key], places[d, i] = (d, i), own
-    return go - stay
+                spans.append((a, b))
+        clean = t if t is None else "".join(c for i, c in enumerate(t) if not any(a <= i < b for a, b in spans))
+        out.append((clean, spans, sorted(kept.get(r, ()))))
+    return out
 
 
-def test_passages_against_brute_force(spark):
-    r = random.Random(4)
-    words = lambda n: [r.choice(["é", "Ünder", "a", "bc"]) + str(r.randrange(900)) for _ in range(n)]
-    pool = [words(n) for n in (49, 50, 51, 61, 120, 300)]
-    texts = ["w " * 180, "x y " * 90, None, "", " ".join(pool[4]), " ".join(pool[4])]
-    for _ in range(120):
-        w = words(r.choice([0, 5, 30, 200]))
+def texts(r):
+    words = lambda n: [r.choice(["é", "Ünder", "a", "bc", "zz"]) + str(r.randrange(300)) for _ in range(n)]
+    pool = [words(n) for n in (9, 12, 14, 25, 60)]
+    out = ["w " * 60, "x. y. " * 30, None, "", " .,\n", "one", " ".join(pool[4]), " ".join(pool[4]).upper(), "a,b\n" * 40]
+    for _ in range(90):
+        w = words(r.choice([0, 3, 20, 60]))
         for _ in range(r.choice([0, 1, 1, 2, 3])):
             p = r.choice(pool)
-            a = r.choice([0, 0, 0, r.randrange(len(p))])
             at = r.randrange(len(w) + 1)
-            w[at:at] = [x.upper() if r.random() < 0.1 else x for x in p[a:]]
-        texts.append("".join(x + r.choice([" ", " ", "  ", "\n"]) for x in w))
-    rows = list(enumerate(texts))
-    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = set()
-    for s in repeated_passages(docs).collect():
-        part = texts[s.doc_id][s.start : s.end]
-        assert part == part.strip() and len(part.split()) == s.words and s.kept_doc_id <= s.doc_id
-        got |= {(s.doc_id, s.start + m.start(), s.start + m.end()) for m in re.finditer(r"[^\x20\x09-\x0D]+", part)}
-    want = brute_passages(rows)
-    assert len(want) > 2000 and got == want
-    assert repeated_passages(docs.where("doc_id < 0")).count() == 0
-
-
-def test_passage_inside_a_longer_line(spark):
-    passage = " ".join(f"p{i}" for i in range(61))
-    rows = [(i, f"{' '.join(f'{c}{k}' for k in range(90))} {passage} {c}") for i, c in enumerate("ab")]
-    got = repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert [(g.doc_id, rows[1][1][g.start : g.end], g.words, g.kept_doc_id, g.kept_start) for g in got] == [(1, passage, 61, 0, rows[0][1].index(passage))]
+            w[at:at] = [x.upper() if r.random() < 0.1 else x for x in p[r.choice([0, 0, r.randrange(len(p))]) :]]
+        out.append("".join(x + r.choice([" ", " ", "  ", "\n", ", ", ". ", "\n\n", " - "]) for x in w))
+    return out
+
+
+@pytest.mark.parametrize(("unit", "least"), [("clause", 12), ("line", 1), ("paragraph", 10)])
+def test_against_brute_force(spark, unit, least):
+    r = random.Random(least)
+    rows = [(r.choice([None, *range(40)]), t) for t in texts(r)]
+    docs = spark.createDataFrame([(d, t, "c") for d, t in rows], "doc_id long, text string, removed_spans string").coalesce(1)
+    got = deduplicated(docs, unit, least)
+    assert got.columns == ["doc_id", "text", "removed_spans", "removed_spans_", "kept_ids"]
+    have = sorted(((x.doc_id, x.text, [tuple(s) for s in x["removed_spans_"]], x.kept_ids) for x in got.collect()), key=repr)
+    want = [(d, *w) for (d, _), w in zip(rows, brute(rows, unit, least))]
+    assert sum(bool(w[2]) for w in want) > (5 if unit == "paragraph" else 20)
+    assert have == sorted(want, key=repr)
+    few = sorted(((x.doc_id, x.text) for x in deduplicated(docs, unit, least, changed_only=True).collect()), key=repr)
+    assert few == sorted([w[:2] for w in want if w[2]], key=repr)
+
+
+def test_passage_inside_longer_lines_and_over_lines(spark):
+    passage = " ".join(f"p{i}" + ("," if i % 9 == 8 else "") for i in range(54))
+    alone = ["stock line, often seen", passage]
+    rows = [(i, f"{' '.join(f'{c}{k}' for k in range(9))}, {passage} stock line, often seen") for i, c in enumerate("ab")]
+    rows += [(7, passage.replace(" ", "\n")), (8, "\n".join([*alone, "end"])), (9, "stock line, often seen")]
+    got = {r.doc_id: r for r in deduplicated(spark.createDataFrame(rows, "doc_id long, text string"), changed_only=True).collect()}
+    assert sorted(got) == [1, 7, 8] and all(g.kept_ids == [0] for g in got.values())
+    assert got[1].text == "b0 b1 b2 b3 b4 b5 b6 b7 b8, stock line, often seen"
+    assert got[7].text == "" and got[8].text == "stock line, often seen\nend"
+
+
+def test_long_text_and_empty_table(spark):
+    long = " ".join(f"w{i % 5000}{'.' if i % 11 == 0 else ''}" for i in range(60_000))
+    docs = spark.createDataFrame([(1, long), (2, "before. " + long)], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in deduplicated(docs).collect()}
+    # the period of 55,000 words repeats inside the first text too
+    assert len(got[1]) < len(long) and got[2].startswith("before. ") and len(got[2]) < 200
+    assert deduplicated(docs.where("doc_id < 0")).count() == 0
+    assert deduplicated(docs.where("doc_id < 0"), changed_only=True).count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
+def test_query_against_brute_force(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()]
+    want = {d: (t, " ".join(f"{a}-{b}" for a, b in s), k[0]) for (d, _), (t, s, k) in zip(rows, brute(rows, "clause", 40)) if s}
+    assert {r.doc_id: (r.text, r.removed_spans, r.kept_doc_id) for r in QUERIES["op3_substring_dedup"](spark, SF).collect()} == want
+    rel = duckdb.sql(ORACLE["op3_substring_dedup"].replace("FROM documents", f"FROM '{SF}/documents.parquet'"))
+    assert len(rel.fetchall()) == len(want)
