@@ -295,24 +295,27 @@ def linked_components(docs: DataFrame, k: int = 5, percent: int = 80, text_col:
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
-def one_per_group(docs: DataFrame, k: int = 5, percent: int = 80, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """Keep of each component the document with the smallest id, with all its columns.
-
-    Of repeated rows of that id one stays. Rows without an id take no part and stay.
-    """
-    kept = linked_components(docs, k, percent, text_col, id_col).where("component_id is null or doc_id = component_id").select(F.col("doc_id").alias("_kept")).where("_kept is not null").distinct()
-    stay = docs.join(kept, F.col(id_col) == F.col("_kept"), "left_semi").dropDuplicates([id_col])
-    return stay.unionByName(docs.where(F.col(id_col).isNull()))
-
-
 def one_per_component(docs: DataFrame, k: int = 5, percent: int = 80, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """Keep of each component the row with the smallest id, null last, then the smallest row number.
+    """Keep of each component the row with the smallest id, null last, then the smallest row number; all columns stay.
 
     Rows are told apart by a stored number of their own: rows with one id and different texts are
-    different documents, and rows without an id are compared as all others.
+    different documents, and rows without an id are compared as all others. Rows without words stay.
+    Rows that a fixed-size filter of the dropped numbers does not hold pass without a shuffle.
     """
-    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "rows", "zstd")
-    groups = linked_components(rows, k, percent, text_col, "_row").select(F.col("doc_id").alias("_row"), "component_id")
-    rank = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), "_row")
-    kept = groups.join(rows.select(id_col, "_row"), "_row").groupBy("component_id").agg(F.min(rank).alias("by")).select(F.col("by._row").alias("_row"))
-    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
+    rows = stored(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.struct(*others).alias("doc")), "rows", "zstd")
+    groups = stored(linked_components(rows.select("row", "text"), k, percent, "text", "row").select(F.col("doc_id").alias("row"), "component_id"), "groups")
+    several = groups.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("component_id")
+    members = stored(groups.join(several, "component_id").join(rows.select("row", "id"), "row"), "members")
+    best = members.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("by"))
+    dropped = stored(members.join(best, "component_id").where("row <> by.row").select("row"), "dropped")
+    sent = docs.sparkSession.sparkContext.broadcast(id_filter(dropped))
+
+    @F.pandas_udf("boolean")
+    def maybe(row):
+        bits = np.unpackbits(sent.value).astype(bool)
+        return type(row)(bits[id_hash(row.to_numpy())])
+
+    own = [(F.col("text") if c == text_col else F.col(f"doc.`{c}`")).alias(c) for c in docs.columns]
+    checked = rows.where(maybe("row")).join(dropped, "row", "left_anti")
+    return rows.where(~maybe("row")).select(*own).unionByName(checked.select(*own))
