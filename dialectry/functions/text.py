@@ -34,6 +34,10 @@ LINE_BREAK = rf"(?>\r\n|[{TERMINATORS}])"
 PARAGRAPH_BREAK = rf"(?U){LINE_BREAK}(?:[^\S{TERMINATORS}]*{LINE_BREAK})+"
 
 
+#: Regex flags: classes know all letters, or ASCII only, which is faster and equal on ASCII texts.
+UNICODE, ASCII = "(?U)", ""
+
+
 def java_replacement(s: str) -> str:
     return s.replace("\\", "\\\\").replace("$", "\\$")
 
@@ -45,15 +49,16 @@ def _masked(mode: str, for_remove: str) -> str:
 
 
 def mask_urls(c: Column, mode: str = "remove") -> Column:
-    return F.regexp_replace(c, F.lit(URL), F.lit(_masked(mode, "")))
+    found = F.contains(c, F.lit("://")) | F.contains(c, F.lit("www."))
+    return F.when(found, F.regexp_replace(c, F.lit(URL), F.lit(_masked(mode, "")))).otherwise(c)
 
 
 def mask_emails(c: Column, mode: str = "remove") -> Column:
-    return F.regexp_replace(c, F.lit(EMAIL), F.lit(_masked(mode, "")))
+    return F.when(F.contains(c, F.lit("@")), F.regexp_replace(c, F.lit(EMAIL), F.lit(_masked(mode, "")))).otherwise(c)
 
 
-def mask_numbers(c: Column, mode: str = "remove") -> Column:
-    return F.regexp_replace(c, F.lit(r"(?U)\d+"), F.lit(_masked(mode, " ")))
+def mask_numbers(c: Column, mode: str = "remove", flags: str = UNICODE) -> Column:
+    return F.regexp_replace(c, F.lit(rf"{flags}\d+"), F.lit(_masked(mode, " ")))
 
 
 @lru_cache(maxsize=2)
@@ -88,9 +93,12 @@ def strip_accents(c: Column, mode: str = "ascii", exact: bool = False) -> Column
         return _exact_accents(mode)(c)
     source, target, several = _accent_tables(mode == "ascii")
     out = F.translate(c, source, target)
+    spelled = out
     for a, b in several:
-        out = F.replace(out, F.lit(a), F.lit(b))
-    return F.regexp_replace(out, r"[^\x00-\x7F]" if mode == "ascii" else r"\p{M}", "")
+        spelled = F.replace(spelled, F.lit(a), F.lit(b))
+    # few texts hold a character that decomposes to several
+    out = F.when(out.rlike("[" + "".join(a for a, _ in several) + "]"), spelled).otherwise(out)
+    return F.regexp_replace(out, r"[^\x00-\x7F]+" if mode == "ascii" else r"\p{M}+", "")
 
 
 def _exact_accents(mode: str) -> Callable[[Column], Column]:
@@ -104,26 +112,26 @@ def _exact_accents(mode: str) -> Callable[[Column], Column]:
     return strip
 
 
-def collapse_repeats(c: Column) -> Column:
+def collapse_repeats(c: Column, flags: str = UNICODE) -> Column:
     """Three or more of one word character become one."""
-    return F.regexp_replace(c, F.lit(r"(?U)(\w)\1{2,}"), F.lit("$1"))
+    return F.regexp_replace(c, F.lit(rf"{flags}(\w)\1{{2,}}"), F.lit("$1"))
 
 
-def remove_punctuation(c: Column, mode: bool | str = True) -> Column:
+def remove_punctuation(c: Column, mode: bool | str = True, flags: str = UNICODE) -> Column:
     """True: each non-word character and underscore becomes a space; ``punct``: ASCII punctuation only; ``keep_apos``: that without the apostrophe."""
     if mode is True:
-        return F.regexp_replace(c, F.lit(r"(?U)\W|_"), F.lit(" "))
+        return F.regexp_replace(c, F.lit(rf"{flags}[\W_]"), F.lit(" "))
     symbols = {"punct": string.punctuation, "keep_apos": string.punctuation.replace("'", "")}[mode]
     return F.translate(c, symbols, " " * len(symbols))
 
 
-def remove_stop_stems(c: Column, stems: str | list[str] = "default") -> Column:
+def remove_stop_stems(c: Column, stems: str | list[str] = "default", flags: str = "(?iuU)") -> Column:
     """Words that begin with a stem become a space, whatever their case."""
     if stems == "default":
         stems = DEFAULT_STOP_STEMS
     if not isinstance(stems, list):
         raise TypeError("stems is 'default' or a list")
-    return F.regexp_replace(c, F.lit(r"(?iuU)\b(?:" + "|".join(r"\Q" + s + r"\E" for s in sorted(stems, key=len, reverse=True)) + r")\w*"), F.lit(" "))
+    return F.regexp_replace(c, F.lit(flags + r"\b(?:" + "|".join(r"\Q" + s + r"\E" for s in sorted(stems, key=len, reverse=True)) + r")\w*"), F.lit(" "))
 
 
 def preprocess(
@@ -145,15 +153,17 @@ def preprocess(
         c = mask_emails(c, emails)
     if accents:
         c = strip_accents(c, accents, exact_accents)
+    # the ASCII form leaves no other letter for the later steps
+    flags = ASCII if accents == "ascii" else UNICODE
     if repeats:
-        c = collapse_repeats(c)
+        c = collapse_repeats(c, flags)
     if punctuation:
-        c = remove_punctuation(c, punctuation)
+        c = remove_punctuation(c, punctuation, flags)
     if numbers is not None:
-        c = mask_numbers(c, numbers)
+        c = mask_numbers(c, numbers, flags)
     if lowercase:
         c = F.lower(c)
-    return remove_stop_stems(c, stems) if stems else c
+    return remove_stop_stems(c, stems, "(?i)" if accents == "ascii" else "(?iuU)") if stems else c
 
 
 def preprocess_tokens(tokens: Column, lowercase: bool = False, accents: str | None = None) -> Column:
@@ -167,7 +177,7 @@ def tokenize(c: Column) -> Column:
 
 
 def has_letters(c: Column, required: int = 2) -> Column:
-    return F.regexp_count(c, F.lit(r"\p{L}")) >= required
+    return c.rlike(r"(?s)\p{L}" + r".*?\p{L}" * (required - 1))
 
 
 def token_count(c: Column) -> Column:
@@ -178,9 +188,9 @@ def token_count(c: Column) -> Column:
 
 
 def _tidy(c: Column) -> Column:
-    """Strip, then every run of white space but line feeds becomes one space."""
+    """Strip, then every run of white space but line feeds becomes one space; text that is tidy already is only looked at."""
     stripped = F.regexp_replace(c, F.lit(r"(?U)^\s+|\s+$"), F.lit(""))
-    return F.regexp_replace(stripped, F.lit(r"(?U)[^\S\n]+"), F.lit(" "))
+    return F.when(c.rlike(r"(?U)^\s|\s$|[^\S\n ]|  "), F.regexp_replace(stripped, F.lit(r"(?U)[^\S\n]+"), F.lit(" "))).otherwise(c)
 
 
 def paragraphs(c: Column) -> Column:

@@ -67,7 +67,11 @@ def level_gain(articles: DataFrame) -> DataFrame:
 
 
 def sample_at(df: DataFrame, position: int, label: str = "dialect", order: str = "row_id") -> DataFrame:
-    """The row at a position of each label, the last one if there are fewer."""
-    w = Window.partitionBy(label)
-    k = F.row_number().over(w.orderBy(order)) - 1
-    return df.withColumn("_k", k).withColumn("_n", F.count(F.lit(1)).over(w)).where(F.col("_k") == F.least(F.lit(position), F.col("_n") - 1)).drop("_k", "_n")
+    """The row at a position of each label, the last one if there are fewer.
+
+    Ranks beyond the position are cut before the shuffle; the rest of the row is joined back by order.
+    """
+    slim = df.select(F.col(label).alias("_l"), F.col(order).alias("_o"))
+    first = slim.withColumn("_k", F.row_number().over(Window.partitionBy("_l").orderBy("_o"))).where(F.col("_k") <= position + 1)
+    taken = first.groupBy("_l").agg(F.max_by("_o", "_k").alias("_o"))
+    return df.join(taken.select("_o"), F.col(order) == F.col("_o"), "left_semi")

@@ -1,6 +1,8 @@
 """Deduplication and balanced or weighted splitting of labelled texts.
 
-Every order-dependent operator takes an explicit order column.
+Every order-dependent operator takes an explicit order column, which must tell rows apart. Texts are
+compared by 128-bit digests: only digests, labels and orders are shuffled, and what is to be left out
+is joined back by order, so neither long texts nor a very frequent one meet in a task.
 """
 
 from __future__ import annotations
@@ -9,20 +11,39 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from dialectry.sources.scratch import stored
+
+
+def digest(keys: list[str]) -> Column:
+    """Two independent 64-bit hashes of some columns; nulls are equal to each other only."""
+    parts = [x for k in keys for x in (F.col(k).isNull(), F.col(k))]
+    return F.struct(F.xxhash64(*parts).alias("a"), F.xxhash64(F.lit(0x5EED), *parts).alias("b"))
+
+
+def _without(df: DataFrame, losers: DataFrame, order: str) -> DataFrame:
+    """``df`` without the orders in ``losers``."""
+    return df.join(losers.select(F.col("_o").alias("_gone")), F.col(order) == F.col("_gone"), "left_anti")
+
 
 def keep_first(df: DataFrame, keys: list[str], order: str = "row_id") -> DataFrame:
     """The first row of each key in the given order; null keys are equal."""
-    return df.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).where("_k = 1").drop("_k")
+    slim = df.select(digest(keys).alias("_d"), F.col(order).alias("_o"))
+    first = slim.groupBy("_d").agg(F.min("_o").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    return _without(df, slim.join(first, "_d").where("_o > _first"), order)
 
 
-def keep_unrepeated(df: DataFrame, keys: list[str]) -> DataFrame:
+def keep_unrepeated(df: DataFrame, keys: list[str], order: str = "row_id") -> DataFrame:
     """Only rows whose key occurs once."""
-    return df.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys))).where("_n = 1").drop("_n")
+    slim = df.select(digest(keys).alias("_d"), F.col(order).alias("_o"))
+    return _without(df, slim.join(slim.groupBy("_d").count().where("count > 1"), "_d"), order)
 
 
 def deduplicate(df: DataFrame, text: str = "text", label: str = "dialect", order: str = "row_id") -> DataFrame:
     """First of each (text, label), then no text that has several labels."""
-    return keep_unrepeated(keep_first(df, [text, label], order), [text])
+    slim = df.select(digest([text]).alias("_d"), digest([label]).alias("_l"), F.col(order).alias("_o"))
+    pairs = slim.groupBy("_d", "_l").agg(F.min("_o").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    texts = pairs.groupBy("_d").agg(F.min("_first").alias("_first"), F.sum("_n").alias("_n"), F.count(F.lit(1)).alias("_labels")).where("_n > 1")
+    return _without(df, slim.join(texts, "_d").where("_labels > 1 or _o > _first"), order)
 
 
 def cap(count: Column, ratio: float = 0.5, threshold: int = 10, most: int | None = 500) -> Column:
@@ -48,7 +69,8 @@ def select_balanced(df: DataFrame, n: int | None = None, label: str = "dialect",
 
     Within a class, in row order over rows with units, a row is a candidate while the units before it
     are below the cap. Candidates are taken by (round, class) while the units before them are below n.
-    Only candidates, whose number the caps bound, meet in the final running sum.
+    Only orders, labels and units are sorted, and only candidates, whose number the caps bound, meet in
+    the final running sum.
     """
     caps = class_caps(df, label, units, **(limits or {}))
     total = caps.agg(F.coalesce(F.sum("cap"), F.lit(0))).first()[0]
@@ -56,13 +78,33 @@ def select_balanced(df: DataFrame, n: int | None = None, label: str = "dialect",
     if total < n:
         raise ValueError(f"{n} samples are asked for, the caps allow {total}")
     u = F.col(units).cast("long") if units else F.lit(1).cast("long")
-    rows = df.where(F.col(label).isNotNull()).withColumn("_u", u).where("_u > 0")
-    own = Window.partitionBy(label).orderBy(order)
-    rows = rows.withColumn("_r", F.row_number().over(own)).withColumn("_b", F.sum("_u").over(own.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_u"))
-    candidates = rows.join(caps.select(label, "cap"), label).where("_b < cap")
-    every = Window.orderBy("_r", label).rowsBetween(Window.unboundedPreceding, 0)
-    taken = candidates.withColumn("_g", F.sum("_u").over(every) - F.col("_u")).where(F.col("_g") < n)
-    return taken.select(*df.columns)
+    slim = df.where(F.col(label).isNotNull()).select(F.col(label).alias("_l"), F.col(order).alias("_o"), u.alias("_u")).where("_u > 0")
+    most = (limits or {}).get("most", 500)
+    if most:
+        # units are at least 1, so no later row of a class can be a candidate: a rank limit, applied before the shuffle
+        own = Window.partitionBy("_l").orderBy("_o")
+        slim = slim.withColumn("_r", F.row_number().over(own)).where(F.col("_r") <= max(most, (limits or {}).get("threshold", 10)))
+        slim = slim.withColumn("_b", F.sum("_u").over(own.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_u"))
+    else:
+        slim = running(slim)
+    candidates = slim.join(caps.select(F.col(label).alias("_l"), "cap"), "_l").where("_b < cap")
+    every = Window.orderBy("_r", "_l").rowsBetween(Window.unboundedPreceding, 0)
+    taken = candidates.withColumn("_g", F.sum("_u").over(every) - F.col("_u")).where(F.col("_g") < n).select("_o")
+    return df.join(taken, F.col(order) == F.col("_o"), "left_semi")
+
+
+def running(slim: DataFrame) -> DataFrame:
+    """Rank ``_r`` and the units before a row ``_b`` in each class of (_l, _o, _u), without a class in one task.
+
+    Rows are sorted over range partitions and stored; the partitions' totals are summed to bases.
+    """
+    placed = stored(slim.repartitionByRange("_l", "_o").withColumn("_p", F.spark_partition_id()), "running")
+    totals = placed.groupBy("_l", "_p").agg(F.count(F.lit(1)).alias("_n"), F.sum("_u").alias("_s"))
+    before = Window.partitionBy("_l").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    bases = totals.select("_l", "_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_rows"), F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_units"))
+    own = Window.partitionBy("_l", "_p").orderBy("_o")
+    within = placed.withColumn("_k", F.row_number().over(own)).withColumn("_w", F.sum("_u").over(own.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_u"))
+    return within.join(bases, ["_l", "_p"]).select("_l", "_o", "_u", (F.col("_rows") + F.col("_k")).alias("_r"), (F.col("_units") + F.col("_w")).alias("_b"))
 
 
 def select_weighted(df: DataFrame, n: int, label: str = "dialect", order: str = "row_id", seed: int = 1) -> DataFrame:
@@ -110,8 +152,9 @@ def train_dev_test(
     return out
 
 
-def expand_units(df: DataFrame, unit: Column, text: str = "text") -> DataFrame:
-    """One row per unit (paragraph or segment), in order, with white space collapsed; rows without units vanish."""
+def expand_units(df: DataFrame, unit: Column, text: str = "text", collapse: bool = True) -> DataFrame:
+    """One row per unit (paragraph or segment), in order, with white space collapsed unless told otherwise; rows without units vanish."""
     from dialectry.functions.text import normalise_spaces
 
-    return df.select(*[c for c in df.columns if c != text], F.posexplode(unit).alias("unit_pos", "_t")).withColumn(text, normalise_spaces(F.col("_t"))).drop("_t")
+    out = df.select(*[c for c in df.columns if c != text], F.posexplode(unit).alias("unit_pos", "_t"))
+    return out.withColumn(text, normalise_spaces(F.col("_t")) if collapse else F.col("_t")).drop("_t")

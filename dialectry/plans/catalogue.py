@@ -6,8 +6,6 @@ their nations play users. Each query reads whole tables.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -20,27 +18,8 @@ from dialectry.operators import enrich as E
 from dialectry.operators import features as V
 from dialectry.operators import metrics as M
 from dialectry.operators import split as P
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def keep(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return keep
-
-
-def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
-
-
-def documents(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents")
+from dialectry.plans import histories, roundtrips  # noqa: F401
+from dialectry.plans.registry import ORACLE, QUERIES, documents, query, table
 
 
 def samples(spark: SparkSession, d: str) -> DataFrame:
@@ -48,9 +27,9 @@ def samples(spark: SparkSession, d: str) -> DataFrame:
 
 
 def contributions(spark: SparkSession, d: str) -> DataFrame:
-    """Events as contributions to 100 pages; a user number divisible by 7 plays an address."""
+    """Events as contributions, a hundred to a page; a user number divisible by 7 plays an address."""
     e = table(spark, d, "events").select(
-        (F.col("event_id") % 100).alias("page_id"), F.when(F.col("user_id") % 7 != 0, F.col("user_id")).alias("user_id"), F.col("user_id").cast("string").alias("contributor_id"), "ts", "event_id", F.floor("value").cast("long").alias("len_bytes")
+        F.floor(F.col("event_id") / 100).alias("page_id"), F.when(F.col("user_id") % 7 != 0, F.col("user_id")).alias("user_id"), F.col("user_id").cast("string").alias("contributor_id"), "ts", "event_id", F.floor("value").cast("long").alias("len_bytes")
     )
     pos = F.row_number().over(Window.partitionBy("page_id").orderBy("ts", "event_id")) - 1
     return C.with_diff(e.withColumn("pos_revision", pos))
@@ -75,8 +54,8 @@ def predictions(spark: SparkSession, d: str) -> DataFrame:
 
 CONTRIB = """c AS (
   SELECT *, len_bytes - lag(len_bytes, 1, 0) OVER (PARTITION BY page_id ORDER BY pos_revision) AS diff_bytes FROM (
-    SELECT event_id % 100 AS page_id, CASE WHEN user_id % 7 <> 0 THEN user_id END AS user_id, user_id::VARCHAR AS contributor_id, ts, event_id, floor(value)::BIGINT AS len_bytes,
-      (row_number() OVER (PARTITION BY event_id % 100 ORDER BY ts, event_id) - 1)::INTEGER AS pos_revision FROM events)
+    SELECT event_id // 100 AS page_id, CASE WHEN user_id % 7 <> 0 THEN user_id END AS user_id, user_id::VARCHAR AS contributor_id, ts, event_id, floor(value)::BIGINT AS len_bytes,
+      (row_number() OVER (PARTITION BY event_id // 100 ORDER BY ts, event_id) - 1)::INTEGER AS pos_revision FROM events)
 )"""
 USERS = """u AS (
   SELECT c_custkey AS id, lower(n_name) AS dialect, (c_acctbal < 0)::INTEGER AS is_bot,
@@ -173,7 +152,11 @@ text_query(lambda c: X.remove_punctuation(c, "punct"), r"regexp_replace(text, '[
 text_query(lambda c: X.remove_punctuation(c, "keep_apos"), r"regexp_replace(text, '[!-&(-/:-@\[-`{-~]', ' ', 'g')", "remove_punct_keep_apos")
 text_query(X.mask_numbers, r"regexp_replace(text, '\d+', ' ', 'g')", "mask_numbers")
 text_query(F.lower, "lower(text)", "lower_text")
-text_query(lambda c: X.remove_stop_stems(c, ["the", "que"]), stems_sql("text", "the|que"), "stopword_prefix")
+text_query(
+    lambda c: X.remove_stop_stems(F.replace(F.replace(F.replace(c, F.lit("th"), F.lit("Occitan")), F.lit("que"), F.lit("lenga")), F.lit("ch"), F.lit("niçois"))),
+    stems_sql("replace(replace(replace(text, 'th', 'Occitan'), 'que', 'lenga'), 'ch', 'niçois')", "|".join(sorted(X.DEFAULT_STOP_STEMS, key=len, reverse=True))),
+    "stopword_prefix",
+)
 text_query(
     lambda c: X.preprocess(c, lowercase=True, accents="ascii", punctuation=True, repeats=True, urls="remove", emails="remove", numbers="remove", stems=["the", "que"]),
     stems_sql("lower(regexp_replace(regexp_replace(" + repeats_sql(accents_sql(f"regexp_replace(text, '{EMAIL_SQL}', '', 'g')")) + r", '[^\p{L}\p{N}\p{M}]', ' ', 'g'), '\d+', ' ', 'g'))", "the|que"),
@@ -181,20 +164,14 @@ text_query(
 )
 text_query(X.normalise_spaces, r"regexp_replace(text, '\s+', ' ', 'g')", "whitespace_normalise")
 text_query(lambda c: L.fasttext_line(F.col("lang"), X.normalise_spaces(c)), r"'__label__' || lang || ' ' || regexp_replace(text, '\s+', ' ', 'g')", "fasttext_lines")
-text_query(lambda c: L.strip_prefix(F.concat(F.lit("__label__"), F.col("lang"))), "lang", "strip_label_prefix")
-text_query(lambda c: F.array_join(X.paragraphs(c), "¶"), r"regexp_replace(trim(text), '[ \t]+', ' ', 'g')", "paragraph_split")
+BLANK_LINES = "replace(text, chr(10), chr(10) || ' ' || chr(10))"
+text_query(lambda c: F.array_join(X.paragraphs(F.replace(c, F.lit("\n"), F.lit("\n \n"))), "¶"), f"array_to_string({histories.PARAGRAPHS.format(BLANK_LINES)}, '¶')", "paragraph_split")
 text_query(X.has_letters, r"len(regexp_extract_all(text, '\p{L}')) >= 2", "has_letters")
-text_query(X.slug, r"trim(regexp_replace(lower(" + accents_sql("replace(replace(text, '''', '-'), '’', '-')") + r"), '[^a-z0-9]+', '-', 'g'), '-')", "title_slug")
+text_query(X.slug, r"trim(regexp_replace(lower(" + accents_sql("replace(replace(text, '''', '-'), '’', '-')") + r"), '[^a-z0-9]+', '-', 'g'), '-')", "slug")
 text_query(lambda c: F.array_join(X.preprocess_tokens(F.split(c, " "), True, "ascii"), "|"), "replace(lower(" + accents_sql("text") + "), ' ', '|')", "preprocess_tokens")
 text_query(X.visible_chars, "replace(text, ' ', '∅')", "visible_chars")
 
 
-@query("SELECT conv_id, turn, regexp_replace(trim(text), '[ \\t]+', ' ', 'g') AS paragraph, 0 AS unit_pos FROM conversations WHERE len(regexp_extract_all(text, '\\p{L}')) >= 2")
-def paragraph_explode(spark, d):
-    c = table(spark, d, "conversations")
-    return c.select("conv_id", "turn", F.posexplode(X.paragraphs(F.col("text"))).alias("unit_pos", "paragraph"))
-
-
 @query()
 def segment_split(spark, d):
     return documents(spark, d).select("doc_id", F.posexplode(X.segments(F.col("text"))).alias("pos", "segment"))
@@ -205,15 +182,17 @@ def word_tokens(spark, d):
     return documents(spark, d).select("doc_id", F.size(X.tokenize(F.col("text"))).alias("n_tokens"))
 
 
-@query(r"""SELECT page_id, nullif(lower(regexp_extract(html, '<html lang="(\w+)"', 1)), '') AS tag FROM pages""")
-def tag_extract(spark, d):
-    return table(spark, d, "pages").select("page_id", F.nullif(F.lower(F.regexp_extract("html", r'<html lang="(\w+)"', 1)), F.lit("")).alias("tag"))
+VARIETY = "CASE doc_id % 6 WHEN 0 THEN 'Gascon' WHEN 1 THEN 'VivaroAlpenc' WHEN 2 THEN 'LENGADOCIAN' WHEN 3 THEN 'provençau' END"
 
 
-@query(r"""SELECT page_id, tag FROM (SELECT page_id, nullif(lower(regexp_extract(html, '<html lang="(\w+)"', 1)), '') AS tag FROM pages) WHERE tag IS NOT NULL AND tag NOT IN ('en', 'de')""")
-def tag_filter(spark, d):
-    tags = tag_extract(spark, d)
-    return tags.where(F.col("tag").isNotNull() & ~F.col("tag").isin("en", "de"))
+@query(f"SELECT doc_id, replace(lower({VARIETY}), 'vivaroalpenc', 'vivaroaupenc') AS tag FROM documents")
+def tag_extract(spark, d):
+    """The first tag of a page, somewhere in its text; a wrong template and a missing one give none."""
+    k = F.col("doc_id") % 6
+    name = F.when(k == 0, "Gascon").when(k == 1, "VivaroAlpenc").when(k == 2, "LENGADOCIAN").when(k == 3, "provençau")
+    tagged = F.concat(F.col("text"), F.lit(" {{Dialècte "), name, F.lit("}}\n{{Dialècte lemosin}} "), F.col("text"))
+    page = F.coalesce(tagged, F.when(k == 4, F.concat(F.lit("{{dialècte gascon}} "), F.col("text"))), F.col("text"))
+    return documents(spark, d).select("doc_id", X.variety_tag(page).alias("tag"))
 
 
 @query("SELECT c_custkey, (instr(lower(c_name), 'bot') > 0 OR c_custkey % 10 = 3)::INTEGER AS bot FROM customer")
@@ -222,13 +201,22 @@ def bot_detect(spark, d):
     return table(spark, d, "customer").select("c_custkey", X.is_bot(F.col("c_name"), page).cast("int").alias("bot"))
 
 
-@query("SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN '3' WHEN 1 THEN 'N' WHEN 2 THEN '1' WHEN 3 THEN 'N' WHEN 4 THEN 'M' END AS level, CASE WHEN c_custkey % 6 = 4 THEN 'lengadocian' END AS variety FROM customer")
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 6 IN (0, 1) THEN (c_custkey % 5)::VARCHAR WHEN c_custkey % 6 = 2 THEN 'N' WHEN c_custkey % 6 = 3 THEN (c_custkey % 4)::VARCHAR WHEN c_custkey % 6 = 4 THEN 'M' END AS level,
+  CASE WHEN c_custkey % 6 = 4 THEN lower(c_mktsegment) END AS variety FROM customer""")
 def user_page_templates(spark, d):
-    k = F.col("c_custkey") % 6
+    """Templates with the customer's own values between lines of other text."""
+    key, text = F.col("c_custkey"), lambda c: c.cast("string")
+    k = key % 6
     page = (
-        F.when(k == 0, "{{Babel|fr|oc-3|en-2}}").when(k == 1, "x {{Boita d'utilizaire|fr-2|oc}}").when(k == 2, "{{Utilizaire oc-1}}").when(k == 3, "{{user oc}}").when(k == 4, "{{Boita Babel|oc-M|Wikipedian lengadocian| es-3}}").otherwise("no template")
+        F.when(k == 0, F.concat(F.lit("{{Babel|fr|OC-"), text(key % 5), F.lit("|en-2}}")))
+        .when(k == 1, F.concat(F.lit("{{#Babel: es-1|oc-"), text(key % 5), F.lit("\n|de-3}}")))
+        .when(k == 2, F.concat(F.lit("{{Boita d'utilizaire|"), F.lower("c_mktsegment"), F.lit("|oc}}")))
+        .when(k == 3, F.concat(F.lit("{{Utilizaire oc-"), text(key % 4), F.lit("}}")))
+        .when(k == 4, F.concat(F.lit("{{Boita Babel|oc-M|Wikipedian "), F.lower("c_mktsegment"), F.lit("| es-3}}")))
+        .otherwise(F.concat(F.lit("{{Utilizaire es-"), text(key % 4), F.lit("}}")))
     )
-    return table(spark, d, "customer").select("c_custkey", X.declared_level(page).alias("level"), X.declared_variety(page).alias("variety"))
+    whole = F.concat(F.lower("c_name"), F.lit("\n"), page, F.lit("\n"), F.lower("c_name"))
+    return table(spark, d, "customer").select("c_custkey", X.declared_level(whole).alias("level"), X.declared_variety(whole).alias("variety"))
 
 
 @query("SELECT o_orderkey, split_part(strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S'), 'T', 1) AS day FROM orders")
@@ -325,15 +313,6 @@ def stratified_sample(spark, d):
     return P.select_weighted(samples(spark, d), 100).select("row_id", "dialect")
 
 
-@query("SELECT * FROM (SELECT 0 AS source_ord, doc_id AS row_id, text, lang AS dialect FROM documents UNION ALL SELECT 1, item_id, text, 'bench' FROM benchmark UNION ALL SELECT 2, conv_id * 1000 + turn, text, role FROM conversations) QUALIFY row_number() OVER (PARTITION BY text, dialect ORDER BY source_ord, row_id) = 1")
-def concat_sources(spark, d):
-    a = documents(spark, d).select(F.lit(0).alias("source_ord"), F.col("doc_id").alias("row_id"), "text", F.col("lang").alias("dialect"))
-    b = table(spark, d, "benchmark").select(F.lit(1).alias("source_ord"), F.col("item_id").alias("row_id"), "text", F.lit("bench").alias("dialect"))
-    c = table(spark, d, "conversations").select(F.lit(2).alias("source_ord"), (F.col("conv_id") * 1000 + F.col("turn")).alias("row_id"), "text", F.col("role").alias("dialect"))
-    every = a.unionByName(b).unionByName(c).withColumn("_o", F.struct("source_ord", "row_id"))
-    return P.keep_first(every, ["text", "dialect"], "_o").drop("_o")
-
-
 # -- contributions ---------------------------------------------------------------------------------
 
 
@@ -369,11 +348,6 @@ def oc_level_oldest_first(spark, d):
     return C.level_first_max(edited(spark, d), order="asc").drop("bot_first_author")
 
 
-@query(f"WITH {JOINED} SELECT page_id, coalesce(max(is_bot) FILTER (WHERE pos_revision = 0), 0)::INTEGER AS bot_created FROM j GROUP BY 1")
-def bot_created(spark, d):
-    return edited(spark, d).groupBy("page_id").agg(F.coalesce(F.max(F.when(F.col("pos_revision") == 0, F.col("is_bot"))), F.lit(0)).cast("int").alias("bot_created"))
-
-
 @query(f"WITH {JOINED} SELECT page_id, count(*) FILTER (WHERE is_bot = 1) AS bot_nb_revisions FROM j GROUP BY 1")
 def bot_nb_revisions(spark, d):
     return C.bot_revisions(edited(spark, d))
@@ -421,16 +395,6 @@ def level_filter(spark, d):
     return C.keep_levels(oc_level_first_max(spark, d), ["NULL", "N"])
 
 
-@query("""WITH p AS (SELECT event_id % 100 AS page_id, ts, event_id, floor(value)::BIGINT AS len FROM events WHERE strftime(ts, '%Y-%m-%d') <= (SELECT strftime(max(ts) - INTERVAL 1 DAY, '%Y-%m-%d') FROM events))
-SELECT page_id, count(*) AS nb_revisions, arg_min(len, (ts, event_id)) AS len_bytes_creation, arg_max(len, (ts, event_id)) AS len_bytes_latest, arg_max(event_id, (ts, event_id)) AS latest_revision_id FROM p GROUP BY 1""")
-def latest_revision_cutoff(spark, d):
-    e = table(spark, d, "events").select((F.col("event_id") % 100).alias("page_id"), "ts", "event_id", F.floor("value").cast("long").alias("len"))
-    until = e.agg(F.date_format(F.max("ts") - F.expr("INTERVAL 1 DAY"), "yyyy-MM-dd").alias("until"))
-    pages = e.crossJoin(F.broadcast(until)).where(F.date_format("ts", "yyyy-MM-dd") <= F.col("until")).groupBy("page_id")
-    order = F.struct("ts", "event_id")
-    return pages.agg(F.count(F.lit(1)).alias("nb_revisions"), F.min_by("len", order).alias("len_bytes_creation"), F.max_by("len", order).alias("len_bytes_latest"), F.max_by("event_id", order).alias("latest_revision_id"))
-
-
 # -- analytics -------------------------------------------------------------------------------------
 
 
@@ -473,11 +437,6 @@ def level_diff_median(spark, d):
     return A.level_gain(C.level_first_max(edited(spark, d)))
 
 
-@query("SELECT doc_id, lang, quality, toxic FROM documents LEFT JOIN labels USING (doc_id)")
-def enrich_left_join(spark, d):
-    return documents(spark, d).select("doc_id", "lang").join(table(spark, d, "labels"), "doc_id", "left")
-
-
 @query("SELECT count(*) FILTER (WHERE o_custkey % 3 = 0) AS matches, count(*) FILTER (WHERE o_custkey % 3 = 0 AND o_orderkey % 5 = 0) AS date_mismatches FROM orders")
 def timestamp_audit(spark, d):
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("date_latest"), "o_custkey")
@@ -485,17 +444,6 @@ def timestamp_audit(spark, d):
     return E.date_audit(E.with_clean_text(o, E.clean_texts(clean)))
 
 
-@query("SELECT event_id, event_type FROM events WHERE value >= 0.8")
-def lid_threshold(spark, d):
-    return table(spark, d, "events").where("value >= 0.8").select("event_id", "event_type")
-
-
-@query("SELECT o_orderkey FROM orders ANTI JOIN (SELECT o_orderkey FROM orders WHERE o_orderkey % 4 = 0) USING (o_orderkey)")
-def skip_existing(spark, d):
-    o = table(spark, d, "orders").select("o_orderkey")
-    return o.join(o.where("o_orderkey % 4 = 0"), "o_orderkey", "left_anti")
-
-
 # -- features --------------------------------------------------------------------------------------
 
 TFIDF = """f AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL

@@ -52,10 +52,25 @@ def csv_with_missing(spark: SparkSession, path: str, schema: str = S.LABELLED, c
 
 
 def section_csv(spark: SparkSession, folder: str) -> DataFrame:
-    """Files ``oc-*.csv`` without header and quotes, fields parted by a section sign; text and label, ordered by file name and place."""
+    """Files ``oc-*.csv`` without header and quotes, fields parted by a section sign: text, label, file, and ``row_id``.
+
+    ``row_id`` (file, block, number) sorts by file name and by place in the file, however Spark deals out files and blocks.
+    """
     df = spark.read.text(f"{folder.rstrip('/')}/oc-*.csv")
-    parts = F.split("value", "§")
-    return df.select(parts[0].alias("text"), F.try_element_at(parts, F.lit(2)).alias("dialect"), F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("row_id"))
+    parts, file = F.split("value", "§"), F.col("_metadata.file_path")
+    row = F.struct(file.alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"))
+    return df.select(parts[0].alias("text"), F.try_element_at(parts, F.lit(2)).alias("dialect"), file.alias("file"), row.alias("row_id"))
+
+
+def merged_sections(spark: SparkSession, folders: list[str], left_out: tuple[str, ...] = ("cisaup",)) -> DataFrame:
+    """The files of several folders, in order: labels without their spelling, the first of equal rows, then without some varieties."""
+    from dialectry.operators.split import keep_first
+
+    out = None
+    for k, folder in enumerate(folders):
+        rows = section_csv(spark, folder).withColumn("dialect", L.spelling_free_label(F.col("dialect"))).withColumn("row_id", F.struct(F.lit(k).alias("folder"), "row_id"))
+        out = rows if out is None else out.unionByName(rows)
+    return keep_first(out, ["text", "dialect"]).where(~F.col("dialect").isin(*left_out))
 
 
 def conllu(spark: SparkSession, path: str) -> DataFrame:
@@ -74,6 +89,29 @@ def fasttext_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).where(line.rlike(pattern)).select(F.regexp_extract(line, pattern, 1).alias("label"), F.regexp_extract(line, pattern, 2).alias("text"))
 
 
+def texts_by_variety(spark: SparkSession, path: str) -> DataFrame:
+    """Files ``variety/article.txt``: variety, article and text, without the line feed that ends a file."""
+    df = spark.read.text(f"{path.rstrip('/')}/*/*.txt", wholetext=True)
+    parts = F.split("_metadata.file_path", "/")
+    return df.select(F.element_at(parts, -2).alias("variety"), F.regexp_replace(F.element_at(parts, -1), r"\.txt$", "").alias("article"), F.regexp_replace("value", r"\n\z", "").alias("text"))
+
+
+def vectors_text(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of a word-vector text: number (0 for the head, then in word order) and value."""
+    head = spark.read.text(f"{path}/0-head").select(F.lit(0).alias("line"), "value")
+    words = spark.read.text(f"{path}/1-words")
+    from pyspark.sql.window import Window
+
+    return head.unionByName(words.select(F.row_number().over(Window.orderBy(F.substring_index("value", " ", 1))).alias("line"), "value"))
+
+
+def scores_json(spark: SparkSession, path: str) -> DataFrame:
+    """(testset, model, metric, value) of nested scores in one JSON file."""
+    nested = "map<string, map<string, map<string, double>>>"
+    df = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", nested)).alias("testset", "m"))
+    return df.select("testset", F.explode("m").alias("model", "s")).select("testset", "model", F.explode("s").alias("metric", "value"))
+
+
 def snapshot(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
     """A local Parquet snapshot of a published dataset."""
     df = spark.read.parquet(path)

@@ -27,7 +27,19 @@ def test_section_csv(spark, tmp_path):
     put(tmp_path / "oc-b.csv", 'x "q§oc-gascon-grclass§z\n')
     put(tmp_path / "oc-a.csv", "y§oc-lemosin-grclass\n")
     put(tmp_path / "other.csv", "n§n\n")
-    got = R.section_csv(spark, str(tmp_path)).orderBy("file", "row_id").select("text", L.spelling_free_label(F.col("dialect"))).collect()
+    put(tmp_path / "oc-c.csv", "".join(f"long line number {i}§oc-gascon-grmistr\n" for i in range(4000)) + "y§OC-lemosin-grmistr\nz§oc-cisaup-grclass\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
+    try:
+        every = R.section_csv(spark, str(tmp_path))
+        assert every.rdd.getNumPartitions() > 3
+        rows = every.orderBy("row_id").collect()
+        assert [r.text for r in rows] == ["y", 'x "q', *(f"long line number {i}" for i in range(4000)), "y", "z"]
+        merged = R.merged_sections(spark, [str(tmp_path), str(tmp_path)]).orderBy("row_id").collect()
+        assert [r.text for r in merged] == [r.text for r in rows[:-2]] and {r.dialect for r in merged} == {"lemosin", "gascon"}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    os.remove(tmp_path / "oc-c.csv")
+    got = R.section_csv(spark, str(tmp_path)).orderBy("row_id").select("text", L.spelling_free_label(F.col("dialect"))).collect()
     assert [tuple(r) for r in got] == [("y", "lemosin"), ('x "q', "gascon")]
 
 
@@ -62,9 +74,12 @@ def test_store_operations(spark):
 def test_writers(spark, tmp_path):
     df = spark.createDataFrame([(1, "a  b\nc", "gascon", "train"), (2, 'q"r', "lemosin", "dev"), (3, "", "gascon", "train")], "id long, text string, dialect string, split string")
     K.csv_splits(df, str(tmp_path / "csv"))
-    assert sorted(os.listdir(tmp_path / "csv"))[-3:] == ["split=dev", "split=full", "split=train"]
-    back = R.csv_verbatim(spark, str(tmp_path / "csv/split=full"), "id long, text string, dialect string")
-    assert sorted(r.text for r in back.collect()) == ["", "a  b\nc", 'q"r']
+    assert sorted(x for x in os.listdir(tmp_path / "csv") if x[0] != ".") == ["dev.csv", "full.csv", "train.csv"]
+    K.csv_splits(df, str(tmp_path / "single"), single=True)
+    for base in ("csv", "single"):
+        back = R.csv_verbatim(spark, str(tmp_path / base / "full.csv"), "id long, text string, dialect string")
+        assert sorted(r.text for r in back.collect()) == ["", "a  b\nc", 'q"r']
+    assert (tmp_path / "single/dev.csv").read_text().startswith("id,text,dialect\n2,")
     K.fasttext_lines(df.where("id = 2"), str(tmp_path / "ft"), L.SCHEMES["wiki"])
     assert spark.read.text(str(tmp_path / "ft")).first()[0] == '__label__lim q"r'
     K.one_line_texts(df.where("id = 1"), str(tmp_path / "one"))
@@ -73,7 +88,10 @@ def test_writers(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "j")).first()[0] == '{"a":1,"b":null}'
     arts = spark.createDataFrame([(1, "Text", "Niçard", "x-1"), (2, None, "gascon", "y-2")], "id long, text_finewiki string, dialect string, title_slugify string")
     K.texts_by_variety(arts, str(tmp_path / "txt"))
-    assert os.path.isdir(tmp_path / "txt/variety=nicard/article=x-1") and not os.path.exists(tmp_path / "txt/variety=gascon")
+    assert (tmp_path / "txt/nicard/x-1.txt").read_text() == "Text\n" and sorted(x for x in os.listdir(tmp_path / "txt") if x[0] != ".") == ["nicard"]
+    assert [tuple(r) for r in R.texts_by_variety(spark, str(tmp_path / "txt")).collect()] == [("nicard", "x-1", "Text")]
+    with pytest.raises(Exception, match="empty article: 3"):
+        K.texts_by_variety(spark.createDataFrame([(3, " ", "gascon", "z-3")], arts.schema), str(tmp_path / "blank"))
     K.scores_json(spark.createDataFrame([("t", "m", "f1", 0.5)], "testset string, model string, metric string, value double"), str(tmp_path / "s.json"))
     assert json.loads((tmp_path / "s.json").read_text()) == {"t": {"m": {"f1": 0.5}}}
 
