@@ -1,15 +1,15 @@
-"""Shared helpers: scratch tables in the shared checkpoint folder and vectorised shingle hashing."""
+"""Shared helpers: scratch tables (from the sources) and vectorised shingle hashing."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from dialectry.sources.scratch import discard, stored  # noqa: F401
+
 WHITE = np.zeros(256, dtype=bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -18,30 +18,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by the session; a local one is set only where none is (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        given = spark.sparkContext.getCheckpointDir()
-        if not given:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="scratch-"))
-            given = spark.sparkContext.getCheckpointDir()
-        found = given
-    return found.rstrip("/")
-
-
-def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back.
-
-    Cuts the lineage: later stages depend only on files that every executor sees, so a lost
-    executor costs its running tasks and nothing before them.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column as one array, and the n + 1 offsets of its rows (null: empty)."""
     if isinstance(column, pa.ChunkedArray):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dialectry.llm.common import stored
+from dialectry.llm.common import discard, stored
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -25,13 +25,17 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             up = parent.select(F.col("node").alias("p"), F.col("p").alias("pp"))
             parent = parent.join(up, "p", "left").select("node", F.coalesce("pp", "p").alias("p"))
         parent = stored(parent, "parents")
+        held = None
         if label is None:
             label = parent.withColumnRenamed("p", "label")
         else:
+            held = label
             label = label.join(parent.withColumnRenamed("node", "label"), "label", "left").select("node", F.coalesce("p", "label").alias("label"))
         pa_, pb = parent.toDF("a", "pa"), parent.toDF("b", "pb")
-        left = stored(left.join(pa_, "a").join(pb, "b").where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "edges")
+        smaller = stored(left.join(pa_, "a").join(pb, "b").where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "edges")
         label = stored(label, "labels")
+        discard(left, parent, *([held] if held is not None else []))
+        left = smaller
     if label is None:
         return left.select(F.col("a").alias("node"), F.col("b").alias("label"))
     return label

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dialectry.llm.common import BLOCK, Shingler, distinct, id_filter, id_hash, pack_counts, stored, summed_blocks, text_buffer, white_words
+from dialectry.llm.common import BLOCK, Shingler, discard, distinct, id_filter, id_hash, pack_counts, stored, summed_blocks, text_buffer, white_words
 from dialectry.llm.components import components
 
 ORDER_BUCKETS = 1 << 22  #: buckets of the shingle order: one byte each is broadcast, whatever the input
@@ -257,15 +257,19 @@ def linked_components(docs: DataFrame, k: int = 5, percent: int = 80, text_col:
     classes = stored(real.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
     reps = real.join(classes, "digest").where("doc_id = rep")
     postings = reps.select("rep", "n", F.posexplode("prefix").alias("pos", "token"))
-    lists = postings.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("pos", "rep", "n")).alias("lead")).where("m > 1")
+    # stored, so that the join meets two plain exchanges, of which adaptive execution can split the skewed one
+    lists = stored(postings.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("pos", "rep", "n")).alias("lead")).where("m > 1").drop("m"), "lists", "zstd")
     shared = stored(postings.join(lists, "token").select("token", "rep", "n", "pos", F.col("lead.rep").alias("leader"), F.col("lead.n").alias("leader_n"), F.col("lead.pos").alias("leader_pos")), "postings", "zstd")
+    discard(lists)
 
     near = f"100 * least(n, leader_n) >= {percent} * greatest(n, leader_n) and pos + leader_pos <= n + leader_n - 2 * ceil({percent} * (n + leader_n) / {100 + percent})"
     star = shared.where("rep <> leader").where(near).select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
     shorts = real.select("doc_id", "n", "short")
-    star = stored(filtered(stored(star, "pairs"), shorts, percent), "pairs")
+    met_once = stored(star, "pairs")
+    star = stored(filtered(met_once, shorts, percent), "pairs")
     met = stored(sets_of(named, star.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), k), "sets")
     links = stored(verified(star, met, percent), "links")
+    discard(met_once, star, met)
     names = real.groupBy("doc_id").agg(F.min("digest").alias("d1"), F.max("digest").alias("d2")).where("d1 <> d2").select("doc_id")
     same = real.join(names, "doc_id").join(classes, "digest").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     links = stored(links.unionByName(same).distinct(), "links")
@@ -275,6 +279,7 @@ def linked_components(docs: DataFrame, k: int = 5, percent: int = 80, text_col:
     untested = F.when(F.col("rep") != F.col("leader"), F.col("comp"))
     open_ = tagged.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min(untested).alias("c_min"), F.max(untested).alias("c_max")).where("c_min <> c_max").select("token", "m")
     rest = stored(tagged.join(open_, "token").where("rep <> leader").drop("leader"), "open")
+    discard(shared)
     if not rest.isEmpty():
         own = shorts.select(F.col("doc_id").alias("rep"), "short").join(rest.select("rep").distinct(), "rep")
         parts = F.ceil(F.col("m") / F.lit(LIST_BLOCK)).cast("int")
@@ -288,6 +293,7 @@ def linked_components(docs: DataFrame, k: int = 5, percent: int = 80, text_col:
         more = stored(dealt.mapInArrow(_block_pairs(percent), "a long, b long").distinct(), "pairs")
         met = stored(sets_of(named, more.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), k), "sets")
         links = stored(links.unionByName(verified(more, met, percent)), "links")
+        discard(more, met)
         label = components(links)
     of_class = classes.join(label.toDF("rep", "label"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("label"))
     out = sets.select("doc_id", "n", "digest").join(of_class, "digest", "left")

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dialectry.llm.common import Shingler, alnum_words, free_name, id_filter, id_hash, mix64, stored, text_buffer
+from dialectry.llm.common import Shingler, alnum_words, discard, free_name, id_filter, id_hash, mix64, stored, text_buffer
 
 #: Texts hashed at once.
 FEW = 400
@@ -105,19 +105,23 @@ def _runs(unit: str, least: int):
     return run
 
 
-def repeated_runs(rows: DataFrame, unit: str = "clause", least: int = 40) -> DataFrame:
-    """Every run that occurs more than once: row, id, start, end, whether it stays, and where the first one stands.
+def repeated_runs(rows: DataFrame, unit: str = "clause", least: int = 40) -> tuple[DataFrame, list[DataFrame]]:
+    """Every run that occurs more than once: row, id, start, end, whether it stays, and where the first one stands;
+    and the stored tables behind this.
 
     ``rows`` are stored rows (row, id, text).
     """
     halves = rows.select("text").mapInArrow(_halves(unit, least), "half long")
-    often = halves.groupBy("half").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("half")
+    # stored, so that the join meets two plain exchanges, of which adaptive execution can split the skewed one
+    often = stored(halves.groupBy("half").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("half"), "halves", "zstd")
     every = rows.select("row", "id", "text").mapInArrow(_runs(unit, least), "half long, rest long, row long, id long, start int, end int")
     met = stored(every.join(often, "half", "left_semi"), "runs", "zstd")
+    discard(often)
     rank = F.struct(F.col("id").isNull().alias("no_id"), "id", "row", "start")
-    first = met.groupBy("half", "rest").agg(F.count(F.lit(1)).alias("copies"), F.min(rank).alias("keep")).where("copies > 1")
+    first = stored(met.groupBy("half", "rest").agg(F.count(F.lit(1)).alias("copies"), F.min(rank).alias("keep")).where("copies > 1"), "keepers", "zstd")
     stays = (F.col("row") == F.col("keep.row")) & (F.col("start") == F.col("keep.start"))
-    return met.join(first, ["half", "rest"]).select("row", "id", "start", "end", stays.alias("stays"), F.col("keep.id").alias("kept_id"), F.col("keep.start").alias("kept_start"), "copies")
+    judged = met.join(first, ["half", "rest"]).select("row", "id", "start", "end", stays.alias("stays"), F.col("keep.id").alias("kept_id"), F.col("keep.start").alias("kept_start"), "copies")
+    return judged, [met, first]
 
 
 def _union(spans: list[dict]) -> list[tuple[int, int]]:
@@ -165,10 +169,12 @@ def deduplicated(docs: DataFrame, unit: str = "clause", least: int = 40, changed
     """
     rows = stored(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("doc")), "rows", "zstd")
     span = F.struct("start", "end")
-    found = repeated_runs(rows, unit, least).groupBy("row").agg(
+    runs, behind = repeated_runs(rows, unit, least)
+    found = runs.groupBy("row").agg(
         F.collect_list(F.when(~F.col("stays"), span)).alias("gone"), F.collect_list(F.when(F.col("stays"), span)).alias("stay"), F.array_sort(F.collect_set(F.when(~F.col("stays"), F.col("kept_id")))).alias("kept")
     )
     found = stored(found.where("size(gone) > 0"), "found", "zstd")
+    discard(*behind)
     wanted = docs.sparkSession.sparkContext.broadcast(id_filter(found.select("row"))) if changed_only else None
 
     def near(batches):
