@@ -110,10 +110,24 @@ def numbered_terms(features: DataFrame) -> DataFrame:
     return terms.withColumn("k", k).join(base, "g").select("term", (F.col("base") + F.col("k") - 1).cast("int").alias("idx"))
 
 
+def sparse_rows(features: DataFrame, terms: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """(doc, indices, values), indices ascending."""
+    cells = features.join(terms, "term").groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("idx", "weight"))).alias("cells"))
+    return cells.select(doc, F.transform("cells", lambda c: c["idx"]).alias("indices"), F.transform("cells", lambda c: c["weight"]).alias("values"))
+
+
 def vectors(features: DataFrame, terms: DataFrame, size: int, doc: str = "doc_id") -> DataFrame:
-    """(doc, features) as sparse vectors."""
-    from pyspark.ml.linalg import SparseVector, VectorUDT
+    """(doc, features) as sparse vectors, made from whole Arrow columns."""
+    import pyarrow as pa
+    from pyspark.ml.linalg import VectorUDT
+    from pyspark.sql.types import StructField, StructType
 
-    to_vector = F.udf(lambda cells: SparseVector(size, [c["idx"] for c in cells], [c["weight"] for c in cells]), VectorUDT())
-    cells = features.join(terms, "term").groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("idx", "weight"))).alias("cells"))
-    return cells.select(doc, to_vector("cells").alias("features"))
+    rows = sparse_rows(features, terms, doc)
+
+    def run(batches):
+        for batch in batches:
+            n = batch.num_rows
+            parts = [pa.array([0] * n, pa.int8()), pa.array([size] * n, pa.int32()), batch.column(1), batch.column(2)]
+            yield pa.record_batch([batch.column(0), pa.StructArray.from_arrays(parts, ["type", "size", "indices", "values"])], [doc, "features"])
+
+    return rows.mapInArrow(run, StructType([rows.schema[doc], StructField("features", VectorUDT())]))

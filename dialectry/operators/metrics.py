@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -67,6 +69,23 @@ def scores_long(df: DataFrame, testset: str, model: str, ref: str = "ref", pred:
     return whole.unionByName(per).select(F.lit(testset).alias("testset"), F.lit(model).alias("model"), "metric", "value")
 
 
+def evaluate_all(models: dict[str, Callable[[DataFrame], DataFrame]], testsets: dict[str, DataFrame], label: str = "dialect", pred: str = "label_pred", baseline: str | None = "baseline_random") -> DataFrame:
+    """(testset, model, metric, value) of every model on every test set, the random baseline's macro scores among them.
+
+    A model is a function that adds its predictions to a test set.
+    """
+    out = None
+    for name, rows in testsets.items():
+        parts = [scores_long(f(rows), name, model, label, pred) for model, f in models.items()]
+        if baseline:
+            macro = random_baseline_macro(rows, label)
+            each = F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in macro.columns)))
+            parts.append(macro.select(each.alias("m")).select(F.lit(name).alias("testset"), F.lit(baseline).alias("model"), "m.metric", "m.value"))
+        for p in parts:
+            out = p if out is None else out.unionByName(p)
+    return out
+
+
 def random_baseline(df: DataFrame, label: str = "dialect") -> DataFrame:
     """Expected scores of a uniform random prediction, per label."""
     per = df.where(F.col(label).isNotNull()).groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n"))

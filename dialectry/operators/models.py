@@ -1,23 +1,29 @@
 """Linear classifiers over n-gram features, their selection and inspection, and hooks for other models.
 
-The linear model has hinge loss and is trained one against the rest. It keeps the contract of the
-squared-hinge classifier it stands for (labels, shapes, class balance); its scores differ, as its loss does.
+The linear model has squared hinge loss and is trained one against the rest (:mod:`linear`).
 """
 
 from __future__ import annotations
 
+import itertools
+import json
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest, OneVsRestModel
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StringIndexer, Word2Vec
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from dialectry.functions import text as X
 from dialectry.operators import features as feat
+from dialectry.operators import linear
+from dialectry.operators import metrics as M
+from dialectry.sources.scratch import discard, stored
 
 
 def balanced_weights(df: DataFrame, label: str = "dialect") -> DataFrame:
@@ -29,91 +35,97 @@ def balanced_weights(df: DataFrame, label: str = "dialect") -> DataFrame:
 
 @dataclass
 class NgramClassifier:
-    """A fitted feature space and its linear model."""
+    """A fitted feature space and its linear model: weights by feature and label, the bias in the last row."""
 
-    model: OneVsRestModel
+    weights_: np.ndarray
     labels: list[str]
-    words: DataFrame
-    chars: DataFrame
+    words: DataFrame | None
+    chars: DataFrame | None
     terms: DataFrame
-    size: int
     tokens: Callable = X.tokenize
     list_col: str | None = None
 
-    def _tokens(self, text: str):
-        return F.col(self.list_col) if self.list_col else self.tokens(F.lower(text))
-
     def features(self, df: DataFrame, text: str = "text", doc: str = "row_id") -> DataFrame:
+        """(doc, indices, values) of texts in the fitted space."""
         blocks = {}
         if self.words is not None:
-            blocks["w"] = feat.tf_idf(df, self._tokens(text), doc, fitted=self.words)
+            blocks["w"] = feat.tf_idf(df, F.col(self.list_col) if self.list_col else self.tokens(F.lower(text)), doc, fitted=self.words)
         if self.chars is not None:
             blocks["c"] = feat.tf_idf(df, feat.char_wb_ngrams(F.col(text)), doc, fitted=self.chars)
-        return feat.vectors(feat.union_features(blocks, doc), self.terms, self.size, doc)
+        return feat.sparse_rows(feat.union_features(blocks, doc), self.terms, doc)
 
     def predict(self, df: DataFrame, text: str = "text", doc: str = "row_id") -> DataFrame:
-        """``df`` with ``label_pred``; texts without a known feature get the first label."""
+        """``df`` with ``label_pred``; a text without a known feature gets the label of the largest bias."""
         names = F.array(*map(F.lit, self.labels))
-        got = self.model.transform(self.features(df, text, doc)).select(doc, F.element_at(names, F.col("prediction").cast("int") + 1).alias("label_pred"))
-        return df.join(got, doc, "left").withColumn("label_pred", F.coalesce("label_pred", F.lit(self.labels[0])))
+        kind = df.schema[doc].dataType.simpleString()
+        got = linear.predict(self.features(df, text, doc), self.weights_, doc, kind)
+        default = int(self.weights_[-1].argmax())
+        return df.join(got, doc, "left").withColumn("label_pred", F.element_at(names, F.coalesce("best", F.lit(default)) + 1)).drop("best")
 
     def predict_list(self, spark, texts: list[str]) -> list[str]:
         rows = spark.createDataFrame(list(enumerate(texts)), "row_id long, text string")
         return [r["label_pred"] for r in self.predict(rows).orderBy("row_id").collect()]
 
+    def _numbers(self, spark: SparkSession) -> DataFrame:
+        columns = {"idx": pa.array(np.arange(len(self.weights_), dtype=np.int32))} | {f"w{k}": pa.array(self.weights_[:, k]) for k in range(len(self.labels))}
+        return spark.createDataFrame(pa.table(columns))
+
     def save(self, path: str) -> None:
-        """Model, vocabularies and labels as a folder that any executor can read."""
+        """Weights, vocabularies and labels as a folder that any executor can read."""
         spark = self.terms.sparkSession
-        self.model.write().overwrite().save(f"{path}/model")
-        for name, df in (("words", self.words), ("chars", self.chars), ("terms", self.terms)):
+        for name, df in (("words", self.words), ("chars", self.chars), ("terms", self.terms), ("weights", self._numbers(spark))):
             if df is not None:
                 df.write.mode("overwrite").parquet(f"{path}/{name}")
-        meta = [(k, x, self.size, self.words is not None, self.chars is not None, self.list_col) for k, x in enumerate(self.labels)]
-        spark.createDataFrame(meta, "k int, label string, size int, words boolean, chars boolean, list_col string").coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
+        meta = [(k, x, self.words is not None, self.chars is not None, self.list_col) for k, x in enumerate(self.labels)]
+        spark.createDataFrame(meta, "k int, label string, words boolean, chars boolean, list_col string").coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
 
     @staticmethod
     def load(spark, path: str, tokens: Callable = X.tokenize) -> NgramClassifier:
         meta = spark.read.parquet(f"{path}/meta").orderBy("k").collect()
         part = lambda name: spark.read.parquet(f"{path}/{name}")
+        numbers = part("weights").orderBy("idx").toArrow()
+        w = np.stack([numbers.column(f"w{k}").to_numpy() for k in range(len(meta))], axis=1)
         m = meta[0]
-        return NgramClassifier(OneVsRestModel.load(f"{path}/model"), [r["label"] for r in meta], part("words") if m["words"] else None, part("chars") if m["chars"] else None, part("terms"), m["size"], tokens, m["list_col"])
+        return NgramClassifier(w, [r["label"] for r in meta], part("words") if m["words"] else None, part("chars") if m["chars"] else None, part("terms"), tokens, m["list_col"])
 
     def weights(self) -> DataFrame:
         """(term, label, weight) of every feature."""
-        spark = self.terms.sparkSession
-        coefficients = [m.coefficients.toArray() for m in self.model.models]
-        rows = spark.createDataFrame([(i, *map(float, w)) for i, w in enumerate(zip(*coefficients))], "idx int, " + ", ".join(f"w{k} double" for k in range(len(self.labels))))
         pairs = F.array(*(F.struct(F.lit(x).alias("label"), F.col(f"w{k}").alias("weight")) for k, x in enumerate(self.labels)))
-        return self.terms.join(rows, "idx").select("term", F.explode(pairs).alias("p")).select("term", "p.label", "p.weight")
+        return self.terms.join(self._numbers(self.terms.sparkSession), "idx").select("term", F.explode(pairs).alias("p")).select("term", "p.label", "p.weight")
 
 
-def train(df: DataFrame, text: str = "text", label: str = "dialect", doc: str = "row_id", words: bool = True, chars: bool = True, max_iter: int = 50, reg: float = 1e-4, min_df: int = 2, max_df: float = 0.9, tokens: Callable = X.tokenize, list_col: str | None = None) -> NgramClassifier:
+def prepare(df: DataFrame, text: str = "text", label: str = "dialect", doc: str = "row_id", words: bool = True, chars: bool = True, min_df: int = 2, max_df: float = 0.9, tokens: Callable = X.tokenize, list_col: str | None = None):
+    """The fitted feature space (words, chars, terms), the labelled sparse rows, the label names and their counts; all tables are stored."""
+    df = df.where(F.col(label).isNotNull())
+    n = df.count()
+    own = F.col(list_col) if list_col else tokens(F.lower(text))
+    blocks, fitted = {}, {}
+    for kind, use, grams in (("w", words, own), ("c", chars, feat.char_wb_ngrams(F.col(text)))):
+        fitted[kind] = None
+        if use:
+            fitted[kind] = stored(feat.vocabulary(feat.term_frequencies(df, grams, doc), n, min_df, max_df), f"vocabulary-{kind}")
+            blocks[kind] = feat.tf_idf(df, grams, doc, fitted=fitted[kind])
+    cells = stored(feat.union_features(blocks, doc), "cells", "zstd")
+    terms = stored(feat.numbered_terms(cells), "terms")
+    counts = {r[0]: r[1] for r in df.groupBy(label).count().collect()}
+    names = sorted(counts)
+    number = F.array_position(F.array(*map(F.lit, names)), F.col(label)) - 1
+    rows = df.select(doc, number.cast("int").alias("label")).join(feat.sparse_rows(cells, terms, doc), doc, "left")
+    empty = lambda c, t: F.coalesce(c, F.array().cast(f"array<{t}>")).alias(c)
+    ready = stored(rows.select("label", empty("indices", "int"), empty("values", "double")), "rows", "zstd")
+    discard(cells)
+    return (fitted["w"], fitted["c"], terms), ready, names, [counts[x] for x in names]
+
+
+def train(df: DataFrame, text: str = "text", label: str = "dialect", doc: str = "row_id", words: bool = True, chars: bool = True, max_iter: int = 2000, c: float = 1.0, min_df: int = 2, max_df: float = 0.9, tokens: Callable = X.tokenize, list_col: str | None = None, balanced: bool = True) -> NgramClassifier:
     """Fit word and character features and a balanced one-against-rest linear model.
 
     With ``list_col`` the word features come from that column of token lists.
     """
-    n = df.count()
-    own = F.col(list_col) if list_col else tokens(F.lower(text))
-    blocks, w_terms, c_terms = {}, None, None
-    if words:
-        tf = feat.term_frequencies(df, own, doc)
-        w_terms = feat.vocabulary(tf, n, min_df, max_df).persist()
-        blocks["w"] = feat.tf_idf(df, own, doc, fitted=w_terms)
-    if chars:
-        tf = feat.term_frequencies(df, feat.char_wb_ngrams(F.col(text)), doc)
-        c_terms = feat.vocabulary(tf, n, min_df, max_df).persist()
-        blocks["c"] = feat.tf_idf(df, feat.char_wb_ngrams(F.col(text)), doc, fitted=c_terms)
-    cells = feat.union_features(blocks, doc)
-    terms = feat.numbered_terms(cells).persist()
-    size = terms.count()
-    vectors = feat.vectors(cells, terms, size, doc)
-    labelled = balanced_weights(df.select(doc, F.col(label).alias("dialect")).where("dialect is not null")).join(vectors, doc)
-    index = StringIndexer(inputCol="dialect", outputCol="label", stringOrderType="alphabetAsc").fit(labelled)
-    ready = index.transform(labelled).select("label", "features", "weight").persist()
-    svm = LinearSVC(maxIter=max_iter, regParam=reg, standardization=False)
-    model = OneVsRest(classifier=svm, weightCol="weight").fit(ready)
-    ready.unpersist()
-    return NgramClassifier(model, index.labels, w_terms, c_terms, terms, size, tokens, list_col)
+    (w_terms, c_terms, terms), rows, names, counts = prepare(df, text, label, doc, words, chars, min_df, max_df, tokens, list_col)
+    w = linear.fit(rows, terms.count(), counts, c, balanced, max_iter)
+    discard(rows)
+    return NgramClassifier(w, names, w_terms, c_terms, terms, tokens, list_col)
 
 
 def top_features(clf: NgramClassifier, n: int = 20) -> DataFrame:
@@ -129,30 +141,42 @@ def feature_table(clf: NgramClassifier, n: int) -> DataFrame:
     return wide.withColumn("weight_total_absolute", total).orderBy(F.desc("weight_total_absolute"), "term").limit(n)
 
 
-def train_runs(df: DataFrame, evaluate: Callable[[NgramClassifier], dict[str, float]], seeds: list[int], best_on: str = "recall_macro", **options) -> tuple[NgramClassifier, dict[str, float], int]:
-    """Train once per seed on reshuffled rows; the best model, the mean scores and the best seed."""
+def train_runs(df: DataFrame, evaluate: Callable[[NgramClassifier], dict[str, float]], seeds: list[int], best_on: str = "recall_macro", share: float = 0.9, doc: str = "row_id", **options) -> tuple[NgramClassifier, dict[str, float], int]:
+    """Train once per seed; the best model, the mean scores and the best seed.
+
+    The solver is deterministic, so a seed draws the run's own ``share`` of the rows by a hash.
+    """
     runs = []
     for seed in seeds:
-        clf = train(df.orderBy(F.xxhash64(F.lit(seed), "row_id")), **options)
+        drawn = F.pmod(F.xxhash64(F.lit(seed), doc), F.lit(1 << 20)) < int(share * (1 << 20))
+        clf = train(df.where(drawn), doc=doc, **options)
         runs.append((seed, clf, evaluate(clf)))
     seed, clf, _ = max(runs, key=lambda r: r[2][best_on])
     names = runs[0][2].keys()
     return clf, {k: sum(r[2][k] for r in runs) / len(runs) for k in names}, seed
 
 
-def grid_search(vectors: DataFrame, grid: dict[str, list], folds: int = 5, parallelism: int = 4):
-    """Cross-validated choice of the linear model's parameters by macro-averaged F1, without a refit on all data."""
-    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+def grid_search(df: DataFrame, grid: dict[str, list], folds: int = 5, label: str = "dialect", doc: str = "row_id", **options) -> tuple[dict, DataFrame]:
+    """The parameters with the best mean macro F1 over stratified folds, and (params, fold, f1_macro) of all; nothing is refitted.
 
-    svm = LinearSVC(standardization=False)
-    builder = ParamGridBuilder()
-    for name, values in grid.items():
-        builder = builder.addGrid(svm.getParam(name), values)
-    # the estimator's metric averages the labels' F1 with equal weight once rows carry balanced weights
-    metric = MulticlassClassificationEvaluator(metricName="f1", weightCol="weight")
-    cv = CrossValidator(estimator=OneVsRest(classifier=svm), estimatorParamMaps=builder.build(), evaluator=metric, numFolds=folds, parallelism=parallelism, foldCol="")
-    return cv.fit(vectors)
+    Parameters of the solver (``c``, ``balanced``, ``max_iter``) share the features of a fold.
+    """
+    place = F.row_number().over(Window.partitionBy(label).orderBy(F.xxhash64(doc), doc))
+    fold = df.select(doc, label).where(F.col(label).isNotNull()).withColumn("_fold", (place - 1) % folds).select(F.col(doc).alias("_doc"), "_fold")
+    rows = stored(df.join(fold, F.col(doc) == F.col("_doc")).drop("_doc"), "folds")
+    combos = [dict(zip(grid, values)) for values in itertools.product(*grid.values())]
+    spark, got = df.sparkSession, []
+    for k in range(folds):
+        space, ready, names, counts = prepare(rows.where(F.col("_fold") != k), label=label, doc=doc, **options)
+        held, size = rows.where(F.col("_fold") == k), space[2].count()
+        for p in combos:
+            clf = NgramClassifier(linear.fit(ready, size, counts, **p), names, *space, **{x: options[x] for x in ("tokens", "list_col") if x in options})
+            f1 = M.scores(clf.predict(held, doc=doc), label, "label_pred").first()["f1_macro"]
+            got.append((json.dumps(p, sort_keys=True), k, float(f1)))
+        discard(ready)
+    table = spark.createDataFrame(got, "params string, fold int, f1_macro double")
+    mean = {p: sum(f for q, _, f in got if q == p) for p, _, _ in got}
+    return json.loads(max(mean, key=mean.get)), table
 
 
 def word_vectors(df: DataFrame, tokens: str = "tokens", dim: int = 300, epochs: int = 5, min_count: int = 5, rate: float = 0.05):

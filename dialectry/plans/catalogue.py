@@ -530,31 +530,19 @@ def metric_matrix(spark, d):
 # -- models ----------------------------------------------------------------------------------------
 
 
-_MODELS: dict = {}
-
-
-def _trained(spark, d):
-    """The classifier of a folder, trained once a session."""
-    from dialectry.operators import models
-
-    key = (spark.sparkContext.applicationId, d)
-    if key in _MODELS:
-        return _MODELS[key]
-    rows = P.train_dev_test(samples(spark, d).select("row_id", "text", "dialect"), most=200)
-    clf = models.train(rows.where("split = 'train'"), words=True, chars=False, max_iter=10)
-    _MODELS[key] = clf, rows.where("split = 'test'")
-    return _MODELS[key]
-
-
 @query()
 def svm_predict(spark, d):
-    clf, test = _trained(spark, d)
-    return clf.predict(test).select("row_id", "dialect", "label_pred")
+    """Trained on the split's training rows, with words and characters; every document gets a prediction."""
+    from dialectry.operators import models
+
+    rows = samples(spark, d).select("row_id", "text", "dialect")
+    clf = models.train(P.train_dev_test(rows).where("split = 'train'"))
+    return clf.predict(rows).select("row_id", "dialect", "label_pred")
 
 
 @query()
 def top_features(spark, d):
     from dialectry.operators import models
 
-    clf, _ = _trained(spark, d)
-    return models.top_features(clf, 20)
+    rows = samples(spark, d).select("row_id", "text", "dialect")
+    return models.top_features(models.train(P.train_dev_test(rows).where("split = 'train'")), 20)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from dialectry import schema as S
 from dialectry.functions import labels as L
@@ -98,10 +99,8 @@ def texts_by_variety(spark: SparkSession, path: str) -> DataFrame:
 
 def vectors_text(spark: SparkSession, path: str) -> DataFrame:
     """Lines of a word-vector text: number (0 for the head, then in word order) and value."""
-    head = spark.read.text(f"{path}/0-head").select(F.lit(0).alias("line"), "value")
-    words = spark.read.text(f"{path}/1-words")
-    from pyspark.sql.window import Window
-
+    head = spark.read.text(f"{path}/0-head.txt").select(F.lit(0).alias("line"), "value")
+    words = spark.read.text(f"{path}/part-*")
     return head.unionByName(words.select(F.row_number().over(Window.orderBy(F.substring_index("value", " ", 1))).alias("line"), "value"))
 
 
@@ -150,8 +149,6 @@ def not_yet_written(df: DataFrame, done: DataFrame, key: str = "id") -> DataFram
 
 def first_by_keys(df: DataFrame, keys: list[str], order: Column) -> DataFrame:
     """Insert-or-ignore: for each key in turn only its first row stays."""
-    from pyspark.sql.window import Window
-
     for key in keys:
         df = df.withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy(order))).where("_k = 1").drop("_k")
     return df

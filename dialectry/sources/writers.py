@@ -116,15 +116,14 @@ def word_vectors(model, path: str, spark) -> None:
 
 
 def vectors_text(vectors: DataFrame, path: str) -> None:
-    """(word, vector) as text: a first part with the number of words and dimensions, then a line for each word in word order.
+    """(word, vector) as text: a first file with the number of words and dimensions, then a line for each word in word order.
 
     The parts are written in parallel; their names sort in the order of the lines.
     """
-    spark = vectors.sparkSession
     n, d = vectors.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("vector")), F.lit(0))).first()
-    spark.createDataFrame([(f"{n} {d}",)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/0-head")
     value = F.concat_ws(" ", F.col("word"), F.array_join(F.transform("vector", lambda x: x.cast("double").cast("string")), " "))
-    vectors.orderBy("word").select(value.alias("value")).write.mode("overwrite").text(f"{path}/1-words")
+    vectors.orderBy("word").select(value.alias("value")).write.mode("overwrite").text(path)
+    one_file(vectors.sparkSession.createDataFrame([(f"{n} {d}",)], "value string"), f"{path}/0-head.txt")
 
 
 def scores_json(long: DataFrame, path: str) -> None:

@@ -1,7 +1,8 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from dialectry.operators import features as V
+from dialectry.operators import linear
 from dialectry.operators import metrics as M
 from dialectry.operators import models
 from dialectry.sources import writers as K
@@ -19,13 +20,41 @@ def test_runs_are_averaged(rows):
     assert mean == pytest.approx({"recall_macro": 0.7, "accuracy": 0.3}) and seed == 4 and clf.labels == ["en", "oc"]
 
 
+def test_runs_differ(rows):
+    clf, _, _ = models.train_runs(rows, lambda c: {"recall_macro": 0.0}, [1], chars=False, share=0.5)
+    other, _, _ = models.train_runs(rows, lambda c: {"recall_macro": 0.0}, [2], chars=False, share=0.5)
+    assert clf.weights_.shape != other.weights_.shape or not np.allclose(clf.weights_, other.weights_)
+
+
 def test_grid_search(rows):
-    cells = V.tf_idf(rows, F.split("text", " "), "row_id")
-    terms = V.numbered_terms(cells)
-    vectors = V.vectors(cells, terms, terms.count(), "row_id")
-    ready = models.balanced_weights(rows).join(vectors, "row_id").select("features", "weight", (F.col("dialect") == "oc").cast("double").alias("label"))
-    got = models.grid_search(ready, {"maxIter": [1, 3]}, folds=2, parallelism=2)
-    assert len(got.avgMetrics) == 2 and max(got.avgMetrics) > 0.9
+    best, table = models.grid_search(rows, {"max_iter": [0, 50]}, folds=3, chars=False)
+    got = {(r.params, r.fold): r.f1_macro for r in table.collect()}
+    assert len(got) == 6 and best == {"max_iter": 50} and all((f == 1.0) == ("50" in p) for (p, _), f in got.items())
+
+
+def test_squared_hinge_against_the_whole_problem(spark):
+    r = np.random.default_rng(3)
+    x, y = r.normal(size=(60, 5)) * (r.random((60, 5)) < 0.6), r.integers(0, 3, 60)
+    data = [(n, int(k), [int(i) for i in np.flatnonzero(v)], [float(f) for f in v[v != 0]]) for n, (k, v) in enumerate(zip(y, x))]
+    rows = spark.createDataFrame(data, "row_id long, label int, indices array<int>, values array<double>").repartition(3)
+    counts = np.bincount(y, minlength=3).tolist()
+    w = linear.fit(rows, 5, counts, c=0.7, tol=1e-6)
+    ones = np.concatenate([x, np.ones((60, 1))], axis=1)
+    for k in range(3):
+        sign = np.where(y == k, 1.0, -1.0)
+        weight = 0.7 * np.where(y == k, 60 / (3 * counts[k]), 1.0)
+        gap = np.maximum(0, 1 - sign * (ones @ w[:, k]))
+        # the objective is strictly convex: its only minimum has no gradient
+        assert np.abs(w[:, k] - 2 * ones.T @ (weight * sign * gap)).max() < 1e-3
+    got = {i: b for i, b in linear.predict(rows, w, "row_id", "long").collect()}
+    want = {q.row_id: int((np.bincount(q.indices, q["values"], minlength=5) @ w[:5] + w[5]).argmax()) for q in rows.collect()}
+    assert got == want
+
+
+def test_evaluate_all(rows):
+    models_ = {"same": lambda d: d.withColumn("label_pred", F.col("dialect")), "one": lambda d: d.withColumn("label_pred", F.lit("oc"))}
+    got = {(r.testset, r.model, r.metric): r.value for r in M.evaluate_all(models_, {"a": rows, "b": rows.where("row_id < 10")}).collect()}
+    assert got["a", "same", "f1_macro"] == 1.0 and got["b", "one", "accuracy"] == 0.5 and got["a", "baseline_random", "accuracy"] == 0.5 and got["a", "one", "recall_oc"] == 1.0
 
 
 def test_word_vectors(spark, rows, tmp_path):
