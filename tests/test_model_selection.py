@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from dialectry.operators import linear
 from dialectry.operators import metrics as M
 from dialectry.operators import models
+from dialectry.sources import readers as R
 from dialectry.sources import writers as K
 
 
@@ -63,6 +64,7 @@ def test_word_vectors(spark, rows, tmp_path):
     clf, labels = models.mean_vector_classifier(toks, vec, epochs=20)
     assert labels == ["en", "oc"] and clf.numClasses == 2
     K.word_vectors(vec, str(tmp_path / "v"), spark)
-    lines = [r[0] for r in spark.read.text(str(tmp_path / "v")).collect()]
+    assert (tmp_path / "v/0-head.txt").is_file()
+    lines = [r.value for r in R.vectors_text(spark, str(tmp_path / "v")).orderBy("line").collect()]
     assert lines[0] == f"{len(lines) - 1} 4" and all(len(x.split(" ")) == 5 for x in lines[1:])
     assert M.runtime_summary(models.predict_in_batches(rows, lambda: lambda t: [("en", 0.5)] * len(t))).first().score_std == 0
