@@ -1,24 +1,33 @@
 """Main text of HTML pages by the maximum-scoring subsequence of their tokens.
 
 A page is a sequence of words and tags. A token's kind is a word's context (plain, in a link, in an
-element known or named as boilerplate) or a tag's name; each kind has a weight, the log ratio of its
+element that is or may be boilerplate) or a tag's name; each kind has a weight, the log ratio of its
 frequency inside and outside the marked content of labelled pages. Word weights may have any sign,
 tag weights are negative. One linear scan finds the contiguous region with the largest sum; if it
 lies within one article or main element, the region takes in the rest of that element. The text
 blocks of the region outside boilerplate elements are the page's main text.
 
-The labelled pages are written out below: small pages with the content between two marks.
+Boilerplate is what an element's name, role or a word of its class or id says of menus, headers,
+footers, sidebars, notices, adverts, forms and reader comments; headers and footers inside an article
+belong to it. Names that only often stand for boilerplate (``SOFT``: related, share, tags, ...) lower
+the weight of their words, so the scan may leave them out at either end, but nothing inside the region
+is dropped for them.
+
+The tables have no labelled pages: ``labelled_pages`` makes ``PAGES`` of them by rule, with the content
+between two marks, in layouts with and without article elements.
 
 Text: character references are decoded, white space inside a block becomes one space, blocks are
 trimmed and joined by two newlines. Defined results: a null or empty page, or one without a
-positive region, has an empty text; unclosed comments, scripts and elements run to the end of the
-page; repeated rows give repeated results. Only the named columns are read.
+positive region, has an empty text; of several articles the best region's one counts; unclosed
+comments, scripts and elements run to the end of the page; repeated rows give repeated results. Only
+the named columns are read. Time is linear in tokens, whatever is left open or closed twice.
 """
 
 from __future__ import annotations
 
 import html as entities
 import math
+import random
 import re
 from collections import Counter
 from functools import lru_cache
@@ -29,7 +38,7 @@ from pyspark.sql import functions as F
 
 TOKEN = re.compile(
     r"<!--(?:.*?-->|.*\Z)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|select|iframe|object|svg|canvas|math|title)\b[^>]*(?:/>|>(?:.*?</(?P=raw)\s*>|.*\Z))"
+    r"|<(?P<raw>script|style|noscript|template|textarea|select|iframe|title)\b[^>]*(?:/>|>(?:.*?</(?P=raw)\s*>|.*\Z))"
     r"""|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^<>"']|"[^"]*"|'[^']*')*)>"""
     r"|<[/!?a-zA-Z][^>]*(?:>|\Z)",
     re.S | re.I,
@@ -42,24 +51,34 @@ BLOCK = frozenset("address article aside blockquote body caption center dd detai
 CONTAINER = frozenset("article aside blockquote body details dialog div dl fieldset figure footer form head header html main menu nav ol section table ul button a".split())
 BOILERPLATE = frozenset("nav footer aside form head menu dialog button fieldset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-#: Words of class and id attributes that name boilerplate.
+#: Words of class and id attributes that name boilerplate, and those that do so outside an article only.
 HINTS = frozenset(
-    "ad ads adbox adslot advert advertisement advertising adsense alert banner breadcrumb breadcrumbs byline comment comments commentlist consent cookie cookies disqus disclaimer footer footnav gdpr header hidden login masthead menu modal nav navbar navigation newsletter notice notices notification overlay paywall "
-    "pager pagination popup promo promoted promotion recommended related reply replies respond search share sharing sidebar sidenav signup skip social sponsor sponsored subscribe subscription tags teaser toolbar topbar widget widgets".split()
+    "ad ads adslot advert adverts advertisement advertising adsense sponsored breadcrumb breadcrumbs menu nav navbar navigation sidebar sidenav comment comments commentlist disqus replies respond "
+    "cookie cookies consent gdpr notice notices notification newsletter signup login subscribe search hidden".split()
 )
+EDGES = frozenset("header masthead banner topbar footer footnav toolbar".split())
+#: Words that often, but not always, stand for boilerplate.
+SOFT = frozenset("byline disclaimer modal overlay pager pagination paywall popup promo promoted promotion recommended related reply share sharing skip social sponsor subscription tags teaser widget widgets".split())
 HINT_CUT = re.compile(r"[^a-z]+")
+DROPPED, MAYBE = 2, 1
 
 
-def _named_boilerplate(attrs: str) -> bool:
+def _named_boilerplate(attrs: str, inside: bool) -> int:
+    """What attributes say: ``DROPPED``, ``MAYBE`` or 0."""
+    found = 0
     for m in ATTR.finditer(attrs):
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if key in ("class", "id") and not HINTS.isdisjoint(HINT_CUT.split(value)):
-            return True
+        if key in ("class", "id"):
+            words = HINT_CUT.split(value)
+            if not HINTS.isdisjoint(words) or not inside and not EDGES.isdisjoint(words):
+                return DROPPED
+            if not SOFT.isdisjoint(words) or not EDGES.isdisjoint(words):
+                found = MAYBE
         if key == "role" and value in ROLES:
-            return True
+            return DROPPED
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
-            return True
-    return False
+            return DROPPED
+    return found
 
 
 class Page:
@@ -67,11 +86,11 @@ class Page:
 
     def __init__(self, source: str):
         self.kinds: list[tuple[str, int]] = []
-        self.runs: list[tuple[int, str, int, bool]] = []  # token, text, block, boilerplate
+        self.runs: list[tuple[int, str, int, bool]] = []  # token, text, block, dropped
         self.mains: list[list[int]] = []  # first and last token of article and main elements
         self.block = 0
-        self._open: list[tuple[str, bool, int]] = []
-        self._off = self._links = 0
+        self._open: list[tuple[str, int, int]] = []  # name, what it says, number of the main element or -1
+        self._count: Counter = Counter()  # open elements by name, by what they say, and "main"
         at = 0
         for m in TOKEN.finditer(source):
             if m.start() > at:
@@ -81,67 +100,129 @@ class Page:
                 self._tag(m["name"].lower(), bool(m["end"]), m["attrs"])
         if at < len(source):
             self._text(source[at:])
-        for name, _, k in self._open:
-            if k >= 0:
-                self.mains[k][1] = len(self.kinds)
+        while self._open:
+            self._close()
 
     def _text(self, text: str) -> None:
         words = len(text.split())
+        if not text:
+            return
+        off = self._count[DROPPED] > 0
+        self.runs.append((len(self.kinds), text, self.block, off))
         if words:
-            self.runs.append((len(self.kinds), text, self.block, self._off > 0))
-            self.kinds.append(("word:off" if self._off else "word:link" if self._links else "word", words))
-        elif text:
-            self.runs.append((len(self.kinds), text, self.block, self._off > 0))
+            self.kinds.append(("word:off" if off else "word:link" if self._count["a"] else "word:maybe" if self._count[MAYBE] else "word", words))
+
+    def _push(self, name: str, says: int, main: int) -> None:
+        self._open.append((name, says, main))
+        self._count.update((name, says) if main < 0 else (name, says, "main"))
+
+    def _close(self) -> str:
+        name, says, main = self._open.pop()
+        self._count.subtract((name, says) if main < 0 else (name, says, "main"))
+        if main >= 0:
+            self.mains[main][1] = len(self.kinds)
+        return name
 
     def _tag(self, name: str, end: bool, attrs: str) -> None:
         if name in BLOCK:
             self.block += 1
+        inside = self._count["main"] > 0
         if name in CONTAINER:
             if not end:
                 main = -1
-                if name in ("article", "main") and not self._off and not any(k >= 0 for _, _, k in self._open):
+                if name in ("article", "main") and not self._count[DROPPED] and not inside:
                     main = len(self.mains)
                     self.mains.append([len(self.kinds), len(self.kinds)])
-                inside = any(k >= 0 for _, _, k in self._open)
-                off = name in BOILERPLATE or name == "header" and not inside or name not in ("html", "body", "article", "main") and bool(attrs) and _named_boilerplate(attrs)
-                self._open.append((name, off, main))
-                self._off += off
-                self._links += name == "a"
-            elif any(x[0] == name for x in self._open):
-                while True:
-                    top, off, main = self._open.pop()
-                    self._off -= off
-                    self._links -= top == "a"
-                    if main >= 0:
-                        self.mains[main][1] = len(self.kinds)
-                    if top == name:
-                        break
-        elif not end and name not in VOID and name not in ("p", "span", "b", "i", "em", "strong") and attrs and _named_boilerplate(attrs):
+                says = _named_boilerplate(attrs, inside) if attrs and name not in ("html", "body", "article", "main") else 0
+                if name in BOILERPLATE and not (inside and name == "footer") or name == "header" and not inside:
+                    says = DROPPED
+                self._push(name, says, main)
+            elif self._count[name]:
+                while self._close() != name:
+                    pass
+        elif not end and name not in VOID and name not in ("p", "span", "b", "i", "em", "strong") and attrs and _named_boilerplate(attrs, inside) == DROPPED:
             # other named elements hold no containers of their own that matter: followed until they close
-            self._open.append((name, True, -1))
-            self._off += 1
+            self._push(name, DROPPED, -1)
         elif end and self._open and self._open[-1][0] == name:
-            self._off -= self._open.pop()[1]
+            self._close()
         elif name == "br":
-            self.runs.append((len(self.kinds), " ", self.block, self._off > 0))
+            self.runs.append((len(self.kinds), " ", self.block, self._count[DROPPED] > 0))
         self.kinds.append((("/" if end else "") + name, 1))
 
 
 MARK = "<!--|-->"
-#: Labelled pages: the content lies between the two marks.
-LABELLED = (
-    '<html><head><title>t</title></head><body><nav><ul><li><a href="/">home</a></li><li><a href="/b">news list</a></li></ul></nav><article><!--|--><h1>A short title</h1><p>The first paragraph has a good number of plain words in it, as texts do.</p><p>So has the <b>second</b> one<br>with a break.</p><!--|--></article><footer>all rights held by the owner</footer></body></html>',
-    '<html><body><header><div class="logo">The site</div><form><input><button>go</button></form></header><div class="ad">buy this now and save a lot</div><main><!--|--><h1>One</h1><p>Words go on and on in this text until it is over.</p><h2>Two</h2><p>Another part with more words than links.</p><ul><li>a point to make</li><li>a second point</li></ul><!--|--></main><aside><h3>See also</h3><ul><li><a href="x">other story</a></li><li><a href="y">third story</a></li></ul></aside></body></html>',
-    '<body><div id="menu"><a href="1">one</a><a href="2">two</a><a href="3">three</a></div><div><!--|--><p>A page without any semantic element, yet its paragraphs are long and hold most of the words of the page.</p><p>They carry <a href="q">a link</a> at times, <i>which</i> does not matter.</p><!--|--></div><div class="comments"><p>first!</p><p>a reader says that this is fine and goes on about it for a while</p></div><div class="footer"><a href="i">imprint</a> <a href="p">privacy</a></div></body>',
-    '<html><body><div class="cookie-notice">we use cookies to make this site work, do you agree</div><nav><a href="1">a</a><a href="2">b</a></nav><section><!--|--><h2>Report</h2><blockquote>Quoted words are words of the text as well.</blockquote><p>The rest of it follows here in some detail and without haste.</p><table><tr><td>cell</td><td>other cell</td></tr></table><!--|--></section><section id="related"><ul><li><a href="1">more of this</a></li></ul></section><footer><ul><li><a href="t">terms</a></li></ul></footer></body></html>',
-)
+PAGES, SEED = 400, 11
+_SYLLABLES = "ba co di fe gu la me ni po ra se ti vo ze".split()
+
+
+class PageMaker:
+    """Pages by rule: an article between ``MARK``s, and what surrounds articles."""
+
+    def __init__(self, seed: int):
+        self.r = random.Random(seed)
+
+    def words(self, low: int, high: int) -> str:
+        return " ".join("".join(self.r.choice(_SYLLABLES) for _ in range(self.r.randint(1, 4))) for _ in range(self.r.randint(low, high)))
+
+    def link(self, low: int = 1, high: int = 3) -> str:
+        return f'<a href="/{self.r.randrange(999)}">{self.words(low, high)}</a>'
+
+    def links(self, low: int, high: int) -> str:
+        items = [self.link() for _ in range(self.r.randint(low, high))]
+        return self.r.choice(["<ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul>", " | ".join(items), "".join(f"<div>{x}</div>" for x in items), "<p>" + " ".join(items) + "</p>"])
+
+    def named(self, *names: str) -> str:
+        """The start of a div that says what it is, or does not."""
+        return f'<div class="{self.r.choice(names)}">' if self.r.random() < 0.5 else f'<div class="c{self.r.randrange(99)}">'
+
+    def content(self) -> str:
+        r, parts = self.r, [f"<h1>{self.words(1, 8)}</h1>"]
+        for _ in range(r.randint(2, 14)):
+            kind = r.random()
+            text = self.words(4, 60)
+            if kind < 0.12:
+                parts.append(r.choice([f"<div>{text}</div>", f"<section><h2>{self.words(1, 5)}</h2><p>{text}</p></section>", f"<figure><img src='x'><figcaption>{self.words(3, 12)}</figcaption></figure>", f"<div><div><p>{text}</p></div></div>"]))
+            elif kind < 0.6:
+                if r.random() < 0.4:
+                    cut = len(text) // 2
+                    text = text[:cut] + " " + r.choice([self.link(), f"<b>{self.words(1, 3)}</b>", f"<i>{self.words(1, 3)}</i>", "<br>"]) + " " + text[cut:]
+                parts.append(f"<p>{text}</p>")
+            elif kind < 0.7:
+                parts.append(f"<h2>{self.words(1, 6)}</h2><p>{text}</p>")
+            elif kind < 0.8:
+                parts.append("<ul>" + "".join(f"<li>{self.words(2, 14)}</li>" for _ in range(r.randint(2, 6))) + "</ul>")
+            elif kind < 0.87:
+                parts.append(f"<blockquote>{text}</blockquote>")
+            elif kind < 0.94:
+                parts.append("<table>" + "".join(f"<tr><td>{self.words(1, 5)}</td><td>{self.words(1, 5)}</td></tr>" for _ in range(r.randint(1, 5))) + "</table>")
+            else:
+                parts.append(f"<pre>{text}</pre>")
+        return "".join(parts)
+
+    def before(self) -> list[str]:
+        parts = [f"<header><div>{self.words(1, 4)}</div><nav>{self.links(2, 9)}</nav></header>", self.named("top header", "masthead") + self.link() + self.links(3, 8) + "</div>", self.named("cookie-notice", "consent") + f"<p>{self.words(6, 20)}</p>{self.link()}</div>", f"<nav>{self.links(2, 12)}</nav>", self.named("breadcrumbs") + self.links(2, 4) + "</div>", self.named("ad", "advert") + self.words(3, 12) + "</div>", f"<form>{self.words(1, 3)}<button>{self.words(1, 1)}</button></form>"]
+        return self.r.sample(parts, self.r.randint(1, 4))
+
+    def after(self) -> list[str]:
+        comments = "".join(f"<div><span>{self.words(1, 2)}</span><p>{self.words(3, 30)}</p>{self.link(1, 1)}</div>" for _ in range(self.r.randint(1, 6)))
+        parts = [self.named("related", "recommended") + f"<h3>{self.words(1, 3)}</h3>{self.links(3, 8)}</div>", f'<section id="comments">{comments}</section>', f"<aside><h3>{self.words(1, 2)}</h3>{self.links(2, 8)}</aside>", self.named("share", "social") + self.links(2, 5) + "</div>", self.named("footer") + f"<p>{self.words(2, 8)}</p>{self.links(2, 8)}</div>", f"<footer>{self.words(2, 10)} {self.links(2, 6)}</footer>", self.named("newsletter") + self.words(4, 12) + "</div>"]
+        return self.r.sample(parts, self.r.randint(1, 5))
+
+    def page(self) -> str:
+        start, stop = self.r.choice([("<article>", "</article>"), ("<main>", "</main>"), ("<div>", "</div>"), ('<div id="content"><div>', "</div></div>"), ("", "")])
+        return f"<html><head><title>{self.words(1, 4)}</title></head><body>{''.join(self.before())}{start}{MARK}{self.content()}{MARK}{stop}{''.join(self.after())}</body></html>"
+
+
+def labelled_pages(n: int = PAGES, seed: int = SEED) -> list[str]:
+    maker = PageMaker(seed)
+    return [maker.page() for _ in range(n)]
 
 
 @lru_cache(maxsize=1)
 def learned_weights() -> dict[str, float]:
     """Weight by kind from the labelled pages, add-one smoothed; tags are held below zero."""
     inside, outside = Counter(), Counter()
-    for page in LABELLED:
+    for page in labelled_pages():
         before, content, after = page.split(MARK)
         head, middle, whole = (Page(x) for x in (before, before + content, before + content + after))
         a, b = len(head.kinds), len(middle.kinds)
@@ -165,17 +246,15 @@ def best_region(kinds: list[tuple[str, int]], weights: dict[str, float]) -> tupl
     return found
 
 
-def main_text(source: str | None) -> str:
+def main_text(source: str | None, weights: dict[str, float] | None = None, whole_element: bool = True) -> str:
     if not source:
         return ""
     page = Page(source)
-    first, last = best_region(page.kinds, learned_weights())
+    first, last = best_region(page.kinds, weights or learned_weights())
     if first == last:
         return ""
-    for a, b in page.mains:
-        if a <= first and last <= b:
-            first, last = a, b
-            break
+    if whole_element:
+        first, last = next(((a, b) for a, b in page.mains if a <= first and last <= b), (first, last))
     blocks: list[str] = []
     number, parts = None, []
     for token, text, block, off in page.runs:

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from dialectry.llm import license_scan as S
 from dialectry.llm import secret_scan as X
-from dialectry.llm.html_extraction import LABELLED, MARK, extract, main_text
 from dialectry.llm.language_id import identify, with_language
 from dialectry.llm.permutation_index import nearest
 
@@ -72,21 +71,6 @@ def test_anchor_terms_lose_nothing():
                     assert re.search(space.pattern, line, re.I)
 
 
-def test_html_extraction(spark):
-    for page in LABELLED:
-        before, content, after = page.split(MARK)
-        whole = main_text(before + content + after)
-        assert whole and whole == main_text("<main>" + content + "</main>")
-    rows = [
-        (1, "<article><h1>Hi</h1><div class='share'>tweet it</div><p>x &amp; y&nbsp;z<br>q &lt;b&gt;</p><form>sign up</form><p>end.</p><section id=comments><p>long comment here and on</p></section></article>"),
-        (2, None), (3, ""), (4, "plain words only"), (5, "<p>open <b>never closed"), (6, "<!-- a <p>x</p>"), (7, "<script>var a = '<p>words</p>'"), (8, "<p>" + "w " * 50_000 + "</p>"), (1, "<p>again</p>"),
-    ]
-    got = [(r.page_id, r.text, r.n_chars) for r in extract(spark.createDataFrame([(i, "u", h, "c") for i, h in rows], "page_id long, url string, html string, text string")).collect()]
-    text = [t for _, t, _ in got]
-    assert text[:7] == ["Hi\n\nx & y z q <b>\n\nend.", "", "", "plain words only", "open never closed", "", ""]
-    assert text[7] == " ".join(["w"] * 50_000) and text[8] == "again" and all(n == len(t) for _, t, n in got)
-
-
 def test_permutation_index(spark):
     r = np.random.default_rng(1)
     x = r.normal(size=(700, 16)) * r.uniform(0.5, 2, (700, 1))
