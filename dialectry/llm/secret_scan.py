@@ -1,13 +1,16 @@
 """Secret scan: candidates by patterns, false positives removed by a random forest.
 
-Candidates are values assigned to a name, and free-standing strings, of at least eight characters
-that hold a digit or are assigned to a secret-like name. The forest sees a candidate's length, its
-character classes and transitions, how much of it dictionary words cover, the path of the file and
-the words before it. It is trained in numpy on labelled findings, which are made by rule from the
-lists below, so that every process gets the same forest.
-
-Defined results: a null or empty text has no finding; a null path says nothing; repeated rows give
-repeated findings; other columns are not read.
+Candidates are passwords inside URLs, and values of eight characters or more, however long, that are
+assigned to a name or stand free, if they have a secret-like name or a secret-like word shortly before
+them, or else hold a digit (and are 16 characters long and more than a number where they have no name).
+The forest sees a candidate's length, its character classes and transitions, how much of it dictionary
+words cover, the path of the file and the words before it. It is trained in numpy on labelled findings,
+which are made by the rules of ``labelled_findings`` from lists of their own, as the tables have none;
+every process gets the same forest.
+
+Defined results: a null or empty text has no finding; a null path says nothing; a score equal to the
+threshold counts as a secret; candidates don't overlap; repeated rows give repeated findings; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed word lists.
-SECRET_NAMES = ("token", "secret", "password", "passwd", "pwd", "apikey", "api_key", "api-key", "access_key", "auth", "credential", "private_key", "client_secret", "bearer")
+SECRET_NAMES = ("token", "secret", "password", "passwd", "pwd", "apikey", "api_key", "api-key", "access_key", "auth", "credential", "private_key", "client_secret", "bearer", "passphrase")
 PLAIN_NAMES = ("sha", "sha1", "sha256", "md5", "checksum", "digest", "commit", "revision", "rev", "hash", "etag", "id", "uuid", "guid", "version", "build", "isbn", "doi", "phone", "date", "order", "serial", "color", "integrity")
 DUMMY = ("example", "sample", "dummy", "placeholder", "changeme", "your", "xxxx", "test", "fake", "todo", "insert", "here", "1234", "abcd")
 PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "glpat-", "sk-", "sk_live_", "xoxb-", "xoxp-", "AIza", "eyJ", "SG.")
@@ -32,10 +35,13 @@ COMMON = (
     "array object class function method return config option default server client host port request response error message login admin public local global service manager handler factory builder update delete create insert select query result session cookie token secret password"
 ).split()
 
-NAME = r"[A-Za-z_][A-Za-z0-9_.-]{0,40}"
-CANDIDATE = re.compile(rf"(?:(?P<name>{NAME})[\"']?[ \t]*(?:=>|:=|[:=])[ \t]*)?(?P<quote>[\"'`]?)(?P<value>[A-Za-z0-9+/_=.~$!%^*-]{{8,512}})")
+NAME = r"[A-Za-z_][A-Za-z0-9_.-]*"
+CANDIDATE = re.compile(rf"(?:(?P<name>{NAME})[\"']?[ \t]*(?:=>|:=|[:=])[ \t]*)?(?P<quote>[\"'`]?)(?P<value>[A-Za-z0-9+/_=.~$!%^*-]{{8,}})")
+IN_URL = re.compile(r"[a-zA-Z]://[^\s:/@\"'<>]*:(?P<value>[^\s:/@\"'<>]{4,})@")
+HINT = re.compile(r"(?i)token|secret|passw(?:or)?d|passphrase|pwd|(?:api|access|private).?key|credential|bearer")
 #: Texts that this doesn't match hold no candidate.
-MAYBE = r"[0-9]|(?i:token|secret|passw|pwd|api.?key|auth|credential|private.?key|bearer)"
+MAYBE = r"[0-9]|://|(?i:token|secret|passw|passphrase|pwd|(?:api|access|private).?key|auth|credential|bearer)"
+NEAR = 24  #: a secret-like word counts for a value that begins at most so many characters behind it
 
 
 def _secret_name(name: str) -> bool:
@@ -43,16 +49,27 @@ def _secret_name(name: str) -> bool:
 
 
 def candidates(text: str):
-    """(start, end, value, name, quoted, words before) of every candidate."""
+    """(start, end, value, name, quoted, words before, in a URL) of every candidate, in order."""
+    urls = [m.span("value") for m in IN_URL.finditer(text)] if "://" in text else []
+    hints, at, k = [m.end() for m in HINT.finditer(text)], 0, 0
+    before = lambda i: text[max(0, i - 60) : i].lower()
     for m in CANDIDATE.finditer(text):
+        start = m.start("value")
+        while k < len(urls) and urls[k][1] <= start:
+            yield *urls[k], text[slice(*urls[k])], "", False, before(urls[k][0]), True
+            k += 1
         value, name = m["value"], (m["name"] or "").lower()
         stripped = value.rstrip(".,!*%$")
-        if len(stripped) < 8 or not (any(c.isdigit() for c in stripped) or name and _secret_name(name) and not stripped.isalpha()):
+        if len(stripped) < 8 or k < len(urls) and urls[k][0] < start + len(stripped):
             continue
-        if not name and (len(stripped) < 16 or stripped.isdigit()):
+        while at < len(hints) and hints[at] <= m.start():
+            at += 1
+        told = bool(name) and _secret_name(name) or at > 0 and hints[at - 1] >= m.start() - NEAR
+        if not told and (not any(c.isdigit() for c in stripped) or not name and (len(stripped) < 16 or stripped.isdigit())):
             continue
-        start = m.start("value")
-        yield start, start + len(stripped), stripped, name, bool(m["quote"]), text[max(0, m.start() - 60) : m.start()].lower()
+        yield start, start + len(stripped), stripped, name, bool(m["quote"]), before(m.start()), False
+    for span in urls[k:]:
+        yield *span, text[slice(*span)], "", False, before(span[0]), True
 
 
 def _classes(value: str) -> np.ndarray:
@@ -71,12 +88,17 @@ def _cover(value: str) -> float:
     return float(covered.mean())
 
 
-def features(value: str, name: str, quoted: bool, before: str, path: str) -> list[float]:
+#: Pairs of adjacent letters of the dictionary words.
+PAIRS = frozenset(w[i : i + 2] for w in COMMON for i in range(len(w) - 1))
+
+
+def features(value: str, name: str, quoted: bool, before: str, path: str, in_url: bool = False) -> list[float]:
     kinds, n = _classes(value), len(value)
     share = np.bincount(kinds, minlength=4) / n
     counts = np.unique(list(value), return_counts=True)[1] / n
     low, path = value.lower(), (path or "").lower()
     near = re.findall(r"[a-z0-9_]+", before)[-4:]
+    letters = [low[i : i + 2] for i in range(n - 1) if low[i : i + 2].isalpha()]
     return [
         math.log(n), *share, float((kinds[1:] != kinds[:-1]).mean()) if n > 1 else 0.0, float(-(counts * np.log2(counts)).sum()),
         float(all(c in "0123456789abcdef-" for c in low)), float(value.count("-") == 4 and n == 36), float(counts.max()), _cover(value),
@@ -84,53 +106,94 @@ def features(value: str, name: str, quoted: bool, before: str, path: str) -> lis
         float(any(name == p or name.endswith(("_" + p, "-" + p, "." + p)) for p in PLAIN_NAMES)), float(any(d in low for d in DUMMY)),
         float(any(_secret_name(w) for w in near)), float(any(w in PLAIN_NAMES for w in near)), float(any(w in DUMMY for w in near)),
         float(any(p in path for p in ("test", "example", "sample", "fixture", "doc"))), float(any(p in path for p in (".lock", "sum", "package", "vendor"))), float(any(p in path for p in (".env", "config", "settings", "credential", "secret"))),
-        float(sum(a in "aeiou" for a in low) / n),
+        float(sum(a in "aeiou" for a in low) / n), float(in_url), float(value.isalpha()), sum(p in PAIRS for p in letters) / max(1, len(letters)), float(value.islower()),
     ]
 
 
-def labelled_findings(n: int = 3000, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """Findings made by rule, half of them secrets."""
-    r = np.random.default_rng(seed)
-    digits, hexa = "0123456789", "0123456789abcdef"
-    alnum = digits + "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    draw = lambda letters, k: "".join(letters[i] for i in r.integers(0, len(letters), k))
-    pick = lambda of: of[int(r.integers(0, len(of)))]
-    prose = ["", "set", "use", "in the", "and then", "value of", "was", "le la", "der die", "see", "with"]
-    x, y = [], []
-    for i in range(n):
-        secret = i % 2 == 0
-        path = pick(["", "src0/0/0/1.txt", "src3/2/7/90.txt", "app/main.py", "notes.md"])
-        name, quoted, before = "", bool(r.integers(0, 2)), pick(prose)
-        if secret:
-            body = pick([draw(hexa, pick([32, 40, 64])), draw(alnum, int(r.integers(16, 48))), draw(alnum + "+/", 40), draw(alnum + "!$%^*-_", int(r.integers(10, 24)))])
-            if r.random() < 0.25:
-                body = pick(PREFIXES) + body[:36]
-            elif r.random() < 0.85:
-                name = pick(["", "my_", "aws_", "db_", "app."]) + pick(SECRET_NAMES)
-                if r.random() < 0.2:
-                    path = pick([".env", "config/prod.yml", "settings.py"])
-            else:
-                before = pick(SECRET_NAMES) + " is"
+class FindingMaker:
+    """Labelled findings by rule. Its words, names and paths are its own, not those that the features look for."""
+
+    OBJECTS = "stripe mail deploy billing github storage search graph push redis cluster tenant partner webhook session ledger".split()
+    WORDS = "amber basil cedar dune ember fjord grove harbor island jasper kettle lagoon meadow nectar orchard pepper quartz ribbon saddle timber umber valley willow yarrow zephyr".split()
+    PARTS = "enable required undefined default optional disabled unknown empty value field string header column handler provider session manager".split()
+
+    def __init__(self, seed: int):
+        self.r = np.random.default_rng(seed)
+
+    def pick(self, of):
+        return of[int(self.r.integers(0, len(of)))]
+
+    def draw(self, letters: str, k: int) -> str:
+        return "".join(letters[i] for i in self.r.integers(0, len(letters), k))
+
+    def name(self, last: str) -> str:
+        return self.pick([last, f"{self.pick(self.OBJECTS)}_{last}", f"{self.pick(self.OBJECTS)}-{last}", f"{self.pick(self.OBJECTS)}.{last}", f"{last}_{self.pick(self.OBJECTS)}", f"{self.pick(self.OBJECTS)}{last}"])
+
+    def prose(self) -> str:
+        return " ".join(self.pick(["we", "use", "in", "la", "der", "le", "y", "then", "it", "of", "mit", *self.WORDS]) for _ in range(int(self.r.integers(0, 5)))) + self.pick(["", " "])
+
+    SECRETS = ("hex", "letters", "base64", "password", "passphrase", "prefix", "url", "told")
+    PLAIN = ("digest", "uuid", "placeholder", "identifier", "number", "path", "commit", "fixture", "word", "code", "plain url")
+
+    def make(self, kind: str) -> tuple[str, str, bool, str, str, bool]:
+        """(value, name, quoted, words before, path, in a URL) of one finding."""
+        r, digits, low = self.r, "0123456789", "abcdefghijklmnopqrstuvwxyz"
+        hexa, every = digits + "abcdef", digits + low + low.upper()
+        secret = lambda: self.name(self.pick(["token", "secret", "password", "passwd", "pwd", "apikey", "api_key", "auth", "credential", "private_key", "client_secret", "passphrase"]))
+        plain = lambda: self.name(self.pick(["id", "sha", "checksum", "version", "hash", "ref", "total", "title", "kind", "path", "width"]))
+        path = self.pick(["", "", "", "src12", f"{self.pick(self.WORDS)}/main.go", f"{self.pick(self.WORDS)}.md", "prod.env", "settings.ini"])
+        password = lambda: self.pick([self.pick(self.WORDS) + self.draw(digits, int(r.integers(1, 4))) + self.pick(["", "x", "!"]), self.draw(every + "!$%^*-_", int(r.integers(8, 20))), self.pick(self.WORDS).title() + self.pick("!$%^*") + self.draw(digits, 2), self.draw(low + digits, 10)]).ljust(8, "7")
+        quoted, before, url = bool(r.integers(0, 2)), self.prose(), False
+        if kind == "hex":
+            value, name = self.draw(hexa, self.pick([24, 32, 40, 48, 64])), secret()
+        elif kind == "letters":
+            value, name = self.draw(every, int(r.integers(16, 60))), secret()
+        elif kind == "base64":
+            value, name = self.draw(every + "+/", int(r.integers(20, 90))) + self.pick(["", "=", "=="]), secret()
+        elif kind == "password":
+            value, name = password(), secret()
+        elif kind == "passphrase":
+            value, name = self.pick(["", "-", "."]).join(self.pick(self.WORDS) for _ in range(int(r.integers(2, 5)))), secret()
+            value = value if r.random() < 0.6 else self.draw(low + low.upper(), int(r.integers(10, 28)))
+        elif kind == "prefix":
+            value, name = self.pick(PREFIXES) + self.draw(every, int(r.integers(16, 40))), self.pick(["", secret(), "key"])
+        elif kind == "url":
+            value, name, quoted, url, before = password(), "", False, True, before + self.pick(["postgres", "https", "amqp", "redis"]) + "://" + self.pick(self.OBJECTS) + ":"
+        elif kind == "told":
+            value, name, before = self.pick([self.draw(every, int(r.integers(12, 40))), self.draw(hexa, 40), password()]), "", before + " " + self.pick(["the password is ", "token ", "bearer ", "my secret: ", "passphrase was ", "api key "])
+        elif kind == "digest":
+            value, name = self.draw(hexa, self.pick([8, 12, 32, 40, 64])) + self.pick(digits), self.name(self.pick(["sha", "sha256", "md5", "checksum", "digest", "etag", "hash", "integrity", "revision"]))
+        elif kind == "uuid":
+            value, name = "-".join(self.draw(hexa, k) for k in (8, 4, 4, 4, 12)), self.pick(["", plain(), "request_id", secret() if r.random() < 0.1 else "id"])
+        elif kind == "placeholder":
+            value, name = self.pick(["your-key-here-", "xxxxxxxx", "example-value-", "change-this-now", "changeme", "dummy_value_", "placeholder", "test-password-", "insert-token-here-", "fake_key_"]) + self.pick(["", self.draw(digits, 2)]), secret()
+        elif kind == "identifier":
+            value, name = "".join(self.pick(self.PARTS + self.WORDS).title() for _ in range(3)) + self.draw(digits, 1), self.pick(["", plain(), "class"])
+        elif kind == "number":
+            value, name = self.draw(digits, int(r.integers(8, 22))), self.pick(["", plain(), "phone", "order", "date", "isbn", "serial"])
+        elif kind == "path":
+            value, name = "/".join(self.pick(self.WORDS + self.PARTS) for _ in range(int(r.integers(2, 5)))) + self.draw(digits, 1) + self.pick([".txt", ".py", ""]), self.pick(["", plain(), "file"])
+        elif kind == "commit":
+            value, name, before = self.draw(hexa, self.pick([32, 40])), "", before + " " + self.pick(["commit ", "merge commit ", "blob hash ", "sha1 ", "commit token ", "revision of the token "])
+        elif kind == "fixture":
+            value, name, path = self.draw(every, 32), self.pick([secret(), plain(), "integrity"]), self.pick(["tests/fixture.json", "examples/sample.py", "package.lock", "vendor/go.sum", "docs/example.md"])
+        elif kind == "word":
+            value, name = self.pick([self.pick(self.PARTS), self.pick(self.PARTS) + "_" + self.pick(self.PARTS), self.pick(self.PARTS) + self.pick(self.PARTS).title()]).ljust(8, "s"), secret()
+            name, before = (name, before) if r.random() < 0.6 else ("", before + " " + self.pick(["the password ", "a token ", "secret "]))
+        elif kind == "code":
+            value, name = self.pick([f"os.environ.{self.pick(self.PARTS)}", f"config.get_{self.pick(self.PARTS)}", f"self.{self.pick(self.PARTS)}.{self.pick(self.PARTS)}", f"$var_{self.pick(self.PARTS)}", f"%{self.pick(self.PARTS)}-{self.pick(self.PARTS)}%"]), secret()
         else:
-            kind = int(r.integers(0, 8))
-            if kind == 0:
-                body, name = draw(hexa, pick([7, 32, 40, 64])) + "0", pick(PLAIN_NAMES)
-            elif kind == 1:
-                body, name = "-".join(draw(hexa, k) for k in (8, 4, 4, 4, 12)), pick(["", "id", "uuid", "request_id"])
-            elif kind == 2:
-                body, name = pick(["your_token_here_1", "xxxxxxxxxxxx1234", "example-password-1", "changeme12345678", "dummy_secret_0000", "<insert>-token-1"]), pick(SECRET_NAMES)
-            elif kind == 3:
-                body, name = "".join(pick(COMMON).title() for _ in range(3)) + draw(digits, 2), pick(["", "name", "class"])
-            elif kind == 4:
-                body, name = draw(digits, int(r.integers(8, 20))), pick(["", "phone", "order", "date", "isbn", "serial"])
-            elif kind == 5:
-                body, name = "/".join(pick(COMMON) for _ in range(4)) + draw(digits, 2) + ".txt", pick(["", "path", "file"])
-            elif kind == 6:
-                body, name, before = draw(hexa, 40), "", pick(["commit", "revision", "sha1", "merge commit", "blob hash"])
-            else:
-                body, path, name = draw(alnum, 32), pick(["tests/fixture.json", "examples/sample.py", "package.lock", "go.sum"]), pick(["", "integrity", "token"])
-        x.append(features(body, name, quoted, before, path))
-        y.append(secret)
+            value, name, quoted, url, before = self.pick(["port8080", "example", "your-password", "password", "changeme", "xxxxxxxx"]), "", False, True, before + "https://user:"
+        return value, name.lower(), quoted, before.lower(), path, url
+
+
+def labelled_findings(n: int = 4000, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """Findings made by rule, half of them secrets, all kinds in turn."""
+    maker, x, y = FindingMaker(seed), [], []
+    for i in range(n):
+        kinds = FindingMaker.SECRETS if i % 2 == 0 else FindingMaker.PLAIN
+        x.append(features(*maker.make(kinds[(i // 2) % len(kinds)])))
+        y.append(i % 2 == 0)
     return np.array(x, dtype=np.float64), np.array(y, dtype=np.int64)
 
 
@@ -200,9 +263,9 @@ def scan_batch(forest: Forest, texts: pa.Array, paths: list[str | None]) -> list
     maybe = pc.match_substring_regex(texts, MAYBE).fill_null(False).to_numpy(zero_copy_only=False)
     where, rows = [], []
     for i in np.flatnonzero(maybe):
-        for start, end, value, name, quoted, before in candidates(texts[int(i)].as_py()):
+        for start, end, value, name, quoted, before, url in candidates(texts[int(i)].as_py()):
             where.append((int(i), start, end, name))
-            rows.append(features(value, name, quoted, before, paths[int(i)] or ""))
+            rows.append(features(value, name, quoted, before, paths[int(i)] or "", url))
     if rows:
         for (i, start, end, name), score in zip(where, forest.predict(np.array(rows))):
             out[i].append((start, end, name, float(score)))
