@@ -1,17 +1,18 @@
 """Language identification by a byte convolutional network, trained and applied in numpy.
 
 Bytes are embedded, convolved with filters of several widths, max-pooled over a fixed-length window
-and classified by a softmax. The model is fitted on a bounded sample of labelled texts: at most
-``per_label`` texts a label, drawn evenly over all of them by a hash, two windows each. Every text
-is then read whole, in consecutive windows; its probabilities are the mean of its windows' log
-probabilities, weighted by their bytes.
+and classified by a softmax. The model is fitted on a bounded sample of labelled texts: about
+``per_label`` texts of every label, or ``sample_rows`` by the number of labels if that is less, drawn
+evenly over all of them by a hash of id and text, two windows each. (Only with more labels than ``sample_rows`` do some
+get no text, and are not learned.) Every text is then read whole, in consecutive windows; its
+probabilities are the mean of its windows' log probabilities, weighted by their bytes.
 
 For inference the embedding and the filters fold into one table per byte position, so a convolution
 is a sum of table rows.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; so is every text if
 no labelled text exists. A null doc_id is not held out and not learned from. Equal texts get equal
-results. Only the named columns are read.
+results; repeated rows count once in the sample. Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -36,18 +37,20 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 3 == 1, F.lit(False))
 
 
-def labelled_windows(docs: DataFrame, per_label: int, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id") -> list[tuple[str, str]]:
-    """At most about ``per_label`` texts a label, two windows each, as (label, window)."""
+def labelled_windows(docs: DataFrame, per_label: int, sample_rows: int = 100_000, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id") -> list[tuple[str, str]]:
+    """About ``per_label`` texts a label, ``sample_rows`` in all at most, two windows each, as (label, window)."""
     usable = docs.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull() & (F.crc32(F.col(id_col).cast("string")) % 3 != 1))
-    counts = {r[0]: r[1] for r in usable.groupBy(label_col).count().orderBy(F.desc("count"), label_col).limit(1000).collect()}
-    if not counts:
+    named = usable.select(F.col(label_col).cast("string").alias("label"), F.xxhash64(F.lit(11), id_col, text_col).alias("h"), F.col(text_col).cast("string").alias("text"))
+    counts = named.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    labels = counts.count()
+    if not labels:
         return []
-    u = F.pmod(F.xxhash64(F.lit(11), F.col(id_col)), F.lit(1 << 30)) / float(1 << 30)
-    share = F.coalesce(*[F.when(F.col(label_col) == k, F.lit(min(1.0, per_label / n))) for k, n in counts.items()], F.lit(0.0))
-    size = F.greatest(F.length(text_col) - SAMPLE_CHARS, F.lit(1))
-    pick = lambda seed: F.substring(F.col(text_col), (F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), size) + 1).cast("int"), F.lit(SAMPLE_CHARS))
-    drawn = usable.where(u < share).select(F.col(label_col).cast("string").alias("label"), F.xxhash64(id_col).alias("h"), F.explode(F.array(pick(1), pick(2))).alias("window"))
-    got = drawn.orderBy("h", "label", "window").limit(3 * per_label * len(counts)).collect()
+    size = F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(1))
+    pick = lambda seed: F.substring("text", (F.pmod(F.xxhash64(F.lit(seed), "h"), size) + 1).cast("int"), F.lit(SAMPLE_CHARS))
+    windows = named.select("label", "h", F.array(pick(1), pick(2)).alias("windows")).join(counts, "label")
+    share = F.lit(min(per_label, sample_rows / labels)) / F.col("n")
+    drawn = windows.where(F.pmod("h", F.lit(1 << 30)) / float(1 << 30) < share).dropDuplicates(["label", "h"])
+    got = drawn.select("label", "h", F.explode("windows").alias("window")).orderBy("h", "label", "window").collect()
     return [(r["label"], r["window"]) for r in got]
 
 
@@ -163,7 +166,7 @@ class ByteCNN:
 
 def train(docs: DataFrame, per_label: int = 500, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id") -> ByteCNN | None:
     """Fit on the bounded sample; None if no text is labelled."""
-    sample = labelled_windows(docs, per_label, text_col, label_col, id_col)
+    sample = labelled_windows(docs, per_label, text_col=text_col, label_col=label_col, id_col=id_col)
     if not sample:
         return None
     labels = sorted({k for k, _ in sample})
@@ -172,6 +175,27 @@ def train(docs: DataFrame, per_label: int = 500, text_col: str = "text", label_c
     return ByteCNN(labels).fit(known, windows)
 
 
+def scored(net: ByteCNN | None, tables: list[np.ndarray] | None, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Label and score of each text."""
+    letters = pc.match_substring_regex(text, r"\p{L}").fill_null(False).to_numpy(zero_copy_only=False)
+    name, score = np.full(len(text), "und", dtype=object), np.zeros(len(text))
+    if net is None or not letters.any():
+        return name, score
+    raw, at = text_buffer(text)
+    total = np.zeros((len(text), len(net.labels)))
+    # rows are taken by the megabyte they begin in
+    edges = [0, *(np.flatnonzero(np.diff(at >> 20)) + 1), len(text)]
+    for a, b in zip(edges[:-1], edges[1:]):
+        if a < b:
+            windows, row, length = _windows(raw, at[a : b + 1])
+            np.add.at(total, row + a, net.log_probabilities(windows, tables) * length[:, None])
+    mean = total / np.maximum(np.diff(at), 1)[:, None]
+    q = np.exp(mean - mean.max(axis=1, keepdims=True))
+    q /= q.sum(axis=1, keepdims=True)
+    best = q.argmax(axis=1)
+    return np.where(letters, np.array(net.labels, dtype=object)[best], "und"), np.where(letters, np.clip(q[np.arange(len(q)), best], 0, 1), 0.0)
+
+
 def predict(docs: DataFrame, model: ByteCNN | None, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """doc_id, lang_pred and score of every row."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -182,27 +206,8 @@ def predict(docs: DataFrame, model: ByteCNN | None, text_col: str = "text", id_c
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 few = batch.slice(lo, 500)
-                text = few.column(1)
-                letters = pc.match_substring_regex(text, r"\p{L}").fill_null(False).to_numpy(zero_copy_only=False)
-                name, score = np.full(few.num_rows, "und", dtype=object), np.zeros(few.num_rows)
-                if net and letters.any():
-                    raw, at = text_buffer(text)
-                    total = np.zeros((few.num_rows, len(net.labels)))
-                    # rows with more windows than fit are taken in slices of the windows
-                    step = 1 << 20
-                    edges = [0, *(np.flatnonzero(np.diff(at // step)) + 1), few.num_rows]
-                    for a, b in zip(edges[:-1], edges[1:]):
-                        if a == b:
-                            continue
-                        windows, row, length = _windows(raw, at[a : b + 1])
-                        np.add.at(total, row + a, net.log_probabilities(windows, tables) * length[:, None])
-                    mean = total / np.maximum(np.diff(at), 1)[:, None]
-                    q = np.exp(mean - mean.max(axis=1, keepdims=True))
-                    q /= q.sum(axis=1, keepdims=True)
-                    best = q.argmax(axis=1)
-                    name = np.where(letters, np.array(net.labels, dtype=object)[best], "und")
-                    score = np.where(letters, q[np.arange(len(q)), best], 0.0)
-                yield pa.record_batch([few.column(0), pa.array(name, pa.string()), pa.array(np.clip(score, 0, 1), pa.float64())], ["doc_id", "lang_pred", "score"])
+                name, score = scored(net, tables, few.column(1))
+                yield pa.record_batch([few.column(0), pa.array(name, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return named.mapInArrow(run, "doc_id long, lang_pred string, score double")
@@ -214,32 +219,22 @@ def identify(docs: DataFrame, per_label: int = 500, text_col: str = "text", labe
     return predict(docs, model, text_col, id_col).select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
-def with_language(docs: DataFrame, per_label: int = 500, min_score: float = 0.3) -> DataFrame:
+def with_language(docs: DataFrame, per_label: int = 500, min_score: float = 0.5, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id") -> DataFrame:
     """The documents whose language is told with at least ``min_score``, with their columns.
 
-    The same network is applied beside the rows themselves, so nothing is joined.
+    At 0.5 a language must be likelier than all others together, however many there are. The same
+    network is applied beside the rows themselves, so nothing is joined.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(train(docs, per_label))
+    sent = docs.sparkSession.sparkContext.broadcast(train(docs, per_label, text_col, label_col, id_col))
 
     @F.pandas_udf("double")
     def certainty(texts):
         import pandas as pd
 
         net = sent.value
-        if net is None:
-            return pd.Series(np.zeros(len(texts)))
-        tables, out = net.tables(), np.zeros(len(texts))
-        for lo in range(0, len(texts), 200):
-            column = pa.array(texts.iloc[lo : lo + 200], pa.string())
-            letters = pc.match_substring_regex(column, r"\p{L}").fill_null(False).to_numpy(zero_copy_only=False)
-            raw, at = text_buffer(column)
-            windows, row, length = _windows(raw, at)
-            total = np.zeros((len(column), len(net.labels)))
-            if len(row):
-                np.add.at(total, row, net.log_probabilities(windows, tables) * length[:, None])
-            mean = total / np.maximum(np.diff(at), 1)[:, None]
-            q = np.exp(mean - mean.max(axis=1, keepdims=True))
-            out[lo : lo + 200] = np.where(letters, (q / q.sum(axis=1, keepdims=True)).max(axis=1), 0.0)
+        tables, out = net.tables() if net else None, np.zeros(len(texts))
+        for lo in range(0, len(texts), 500):
+            out[lo : lo + 500] = scored(net, tables, pa.array(texts.iloc[lo : lo + 500], pa.string()))[1]
         return pd.Series(out)
 
-    return docs.withColumn("_certainty", certainty("text")).where(F.col("_certainty") >= min_score).drop("_certainty")
+    return docs.where(certainty(F.col(text_col)) >= min_score)

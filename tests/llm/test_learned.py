@@ -1,4 +1,5 @@
 import os
+import zlib
 
 import numpy as np
 import pytest
@@ -26,11 +27,23 @@ def test_language_id_on_held_out_texts(spark):
     assert [by[10**6 + k].lang_pred for k in range(4)] == ["und", "und", "und", "de"] and by[None].held_out is False
     kept = {r.doc_id for r in with_language(docs.unionByName(odd)).collect()}
     assert set(lang) <= kept and not {10**6, 10**6 + 1, 10**6 + 2} & kept
+    assert with_language(docs.withColumnRenamed("text", "_certainty"), text_col="_certainty").columns == ["doc_id", "_certainty", "lang"]
     none = identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()
     assert {(r.lang_pred, r.score) for r in none} == {("und", 0.0)}
     assert identify(docs.where("doc_id < 0")).count() == 0
 
 
+def test_every_label_is_learned_and_repeats_count_once(spark):
+    from dialectry.llm.language_id import labelled_windows
+
+    rows = [(i, f"text number {i} of label {i % 1300}", f"l{i % 1300}") for i in range(9100)] + [(3, "copies of a row", "l3")] * 500 + [(None, "no id", "l1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = labelled_windows(docs, per_label=50)
+    assert {k for k, _ in got} == {f"l{i % 1300}" for i in range(9100) if zlib.crc32(str(i).encode()) % 3 != 1} and sum(w == "copies of a row" for _, w in got) <= 2
+    few = labelled_windows(docs, per_label=50, sample_rows=1300)
+    assert 1300 < len(few) < 4000
+
+
 def test_forest_and_secrets(spark):
     x, y = X.labelled_findings(800, seed=77)
     assert ((X.trained().predict(x) >= 0.5) == y).mean() > 0.95
