@@ -114,3 +114,22 @@ def test_decontamination_against_brute_force(spark):
     nameless = spark.createDataFrame([(None, items[5][1] + " more"), (None, "clean words only here")], "doc_id long, text string")
     assert [x.text for x in without_items(nameless, bench).collect()] == ["clean words only here"]
     assert contained_items(df, bench.where("item_id < 0")).count() == 0
+
+
+def test_items_whose_parts_lie_far_apart(spark, monkeypatch):
+    from dialectry.llm import decontamination as D
+
+    monkeypatch.setattr(D, "BYTES", 2000)  # several blocks
+    r = random.Random(11)
+    items, docs = [], []
+    for i in range(60):
+        w = [f"q{i}x{k}" for k in range(r.choice([24, 40, 90]))]
+        items.append((i, " ".join(w)))
+        text = [r.choice(VOCABULARY) for _ in range(3000)]
+        # pieces that overlap by four words keep all shingles, cut apart by at least 200 words
+        for n, k in enumerate(range(0, len(w) - 4, 2)):
+            text.insert((n * 211) % len(text), " ".join(w[k : k + 6]))
+        docs.append((i, " ".join(text)))
+    items += [items[0]] * 3
+    got = contained_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(g.doc_id, g.item_id) for g in got} >= {(i, i) for i in range(60)} and sum(g.item_id == 0 for g in got) == 4
