@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from dialectry.llm.common import stored
+from dialectry.llm.common import free_name, stored
 
 #: Fixed value: the multiplier of the published generator.
 MULTIPLIER = 2862933555777941757
@@ -58,26 +58,26 @@ def jump_walk(key: Column, shards: int) -> Column:
 
 
 def assign(df: DataFrame, shards: int, key_col: str = "doc_id") -> DataFrame:
-    """Add ``shard`` (among ``shards``) and ``grown_shard`` (among one more); every column stays."""
-    walk = jump_walk(F.coalesce(F.col(key_col).cast("long"), F.lit(0).cast("long")), shards)
-    grown = F.when(F.col("_walk.j") == shards, F.lit(shards)).otherwise(F.col("_walk.b")).cast("int")
-    return df.withColumn("_walk", walk).withColumn("shard", F.col("_walk.b").cast("int")).withColumn("grown_shard", grown).drop("_walk")
+    """Add ``shard`` (among ``shards``) and ``grown_shard`` (among one more), in place of columns of these names; all others stay."""
+    walk, tmp = jump_walk(F.coalesce(F.col(key_col).cast("long"), F.lit(0).cast("long")), shards), free_name(df, "_walk")
+    grown = F.when(F.col(f"{tmp}.j") == shards, F.lit(shards)).otherwise(F.col(f"{tmp}.b")).cast("int")
+    return df.withColumn(tmp, walk).withColumn("shard", F.col(f"{tmp}.b").cast("int")).withColumn("grown_shard", grown).drop(tmp)
 
 
 def with_slots(df: DataFrame, name: str = "sharding") -> DataFrame:
-    """Add ``slot``: a gapless count from 0 within each shard.
+    """Add ``slot``, in place of a column of that name: a gapless count from 0 within each ``shard``.
 
     Rows are numbered within (shard, input partition) and shifted by the counts of the earlier
     partitions, so neither a shard nor a group of equal rows meets in one task. The places are
     written first; a lost executor can't change them.
     """
-    placed = stored(df.withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id()), name)
-    counts = placed.groupBy("shard", "_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("shard").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    base = counts.select("shard", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    within = F.row_number().over(Window.partitionBy("shard", "_part").orderBy("_row"))
-    numbered = placed.withColumn("_k", within)
-    return numbered.join(base, ["shard", "_part"]).withColumn("slot", (F.col("_base") + F.col("_k") - 1).cast("long")).drop("_part", "_row", "_k", "_base")
+    part, row, k, n, base = (free_name(df, x) for x in ("_part", "_row", "_k", "_n", "_base"))
+    placed = stored(df.withColumn(part, F.spark_partition_id()).withColumn(row, F.monotonically_increasing_id()), name)
+    counts = placed.groupBy("shard", part).agg(F.count(F.lit(1)).alias(n))
+    before = Window.partitionBy("shard").orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select("shard", part, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(base))
+    numbered = placed.withColumn(k, F.row_number().over(Window.partitionBy("shard", part).orderBy(row)))
+    return numbered.join(bases, ["shard", part]).withColumn("slot", (F.col(base) + F.col(k) - 1).cast("long")).drop(part, row, k, n, base)
 
 
 def shard_documents(docs: DataFrame, shards: int = 16, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:

@@ -69,6 +69,16 @@ def test_sharding(spark):
     assert shard_documents(docs.where("doc_id = 12345678"), 16).count() == 0
 
 
+def test_columns_with_clashing_names(spark):
+    from dialectry.llm.sharding import with_slots
+
+    df = spark.createDataFrame([(i, "w", "p", "r", 5) for i in range(50)], "doc_id long, _walk string, _part string, _row string, slot int")
+    got = with_slots(assign(df, 4)).collect()
+    assert all((r["_walk"], r["_part"], r["_row"], r.shard) == ("w", "p", "r", jump(r.doc_id, 4)) for r in got)
+    for shard in range(4):
+        assert sorted(r.slot for r in got if r.shard == shard) == list(range(sum(r.shard == shard for r in got)))
+
+
 @pytest.mark.parametrize("n", [1, 2, 1000])
 def test_shard_numbers(spark, n):
     got = assign(spark.range(0, 3000, 13).withColumnRenamed("id", "doc_id"), n).collect()
