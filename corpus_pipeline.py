@@ -1,15 +1,19 @@
 """The corpus pipeline: five stages over ``documents``, each on all that its predecessor kept.
 
-A stage is a function of (spark, docs, sf_dir). All but the last return the columns of documents:
+A stage is a function of (spark, docs, sf_dir). All but the last return the columns of their input,
+whatever further columns it has:
 
-1. language_id drops texts whose language the network can't tell (null, without letters, or below
-   its least certainty).
+1. language_id drops texts whose language the network can't tell: null, without letters, or where no
+   language is likelier than all others together.
 2. ngram_join keeps one row, the one with the smallest id, of each group of near duplicates, whatever
-   ids repeat or are missing:
-   five-word shingles, Jaccard similarity 0.8 or more, joined by links.
+   ids repeat or are missing: five-word shingles, Jaccard similarity 0.8 or more, joined by links.
 3. decontamination drops documents that contain 0.8 or more of a benchmark item's five-word shingles.
-4. secret_scan masks every secret in the text and sets n_chars to the new length; all rows stay.
+4. secret_scan masks every secret in the text and sets n_chars, where there is one, to the new length; all rows stay.
 5. packing returns the pieces of the packed sequences.
+
+Defined results: null texts go in stage 1 and pass all other stages (a null text packs as one end id);
+null ids are carried along; rows of one id are judged each by itself; equal rows are near duplicates
+of each other; empty tables give empty tables; columns of clashing names stay as they are.
 """
 
 from __future__ import annotations
@@ -38,7 +42,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return redacted(docs, threshold=0.5).withColumn("n_chars", F.length("text").cast("long"))
+    out = redacted(docs, threshold=0.5)
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
