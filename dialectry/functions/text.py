@@ -176,6 +176,11 @@ def tokenize(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(r"(?U)[\p{L}\p{M}]+['’]?|\p{N}+|[^\s\p{L}\p{M}\p{N}]"), 0)
 
 
+def long_enough(c: Column, more_than: int = 3) -> Column:
+    """Texts with more words and marks than that."""
+    return F.size(tokenize(c)) > more_than
+
+
 def has_letters(c: Column, required: int = 2) -> Column:
     return c.rlike(r"(?s)\p{L}" + r".*?\p{L}" * (required - 1))
 

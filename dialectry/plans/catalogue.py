@@ -146,6 +146,8 @@ EMAIL_SQL = rf"{W}[^\s]+@[^\s]+{W}"
 text_query(X.mask_urls, r"regexp_replace(url, '(([A-Za-z]{3,9}://|www\.)[A-Za-z0-9.-]+((?:/[-+~%/.\p{L}\p{N}\p{M}_]*)?\??(?:[-+=&;%@.\p{L}\p{N}\p{M}_]*)#?(?:[.!/\p{L}\p{N}\p{M}_]*))?)', '', 'g')", "mask_urls", "pages", "page_id", "url")
 text_query(X.mask_emails, f"regexp_replace(text, '{EMAIL_SQL}', '', 'g')", "mask_emails")
 text_query(X.strip_accents, accents_sql("text"), "strip_accents_ascii")
+text_query(lambda c: X.strip_accents(c, "unicode"), "strip_accents(text)", "strip_accents_unicode")
+text_query(lambda c: X.strip_accents(c, "ascii", exact=True), accents_sql("text"), "strip_accents_exact")
 text_query(X.collapse_repeats, repeats_sql("text"), "collapse_repeats")
 text_query(X.remove_punctuation, r"regexp_replace(text, '[^\p{L}\p{N}\p{M}]', ' ', 'g')", "remove_punct")
 text_query(lambda c: X.remove_punctuation(c, "punct"), r"regexp_replace(text, '[!-/:-@\[-`{-~]', ' ', 'g')", "remove_punct_ascii")
@@ -172,14 +174,28 @@ text_query(lambda c: F.array_join(X.preprocess_tokens(F.split(c, " "), True, "as
 text_query(X.visible_chars, "replace(text, ' ', '∅')", "visible_chars")
 
 
-@query()
+# initials keep their blank under another mark (twice, since two of them share one), then every other sentence end is cut
+INITIAL = r"regexp_replace({0}, '(^|[^\p{{L}}\p{{N}}\p{{M}}_])(\p{{Lu}}\.)\s+', '\1\2' || chr(2), 'g')"
+SENTENCES = r"string_split(regexp_replace({0}, '([.!?…])\s+([\p{{Lu}}\p{{N}}«“\"''(\[¿¡-])', '\1' || chr(1) || '\2', 'g'), chr(1))"
+SEGMENTS = "flatten(list_transform(string_split(text, chr(10)), lambda l: " + SENTENCES.format(INITIAL.format(INITIAL.format("l"))) + "))"
+
+
+@query(rf"SELECT doc_id, (i - 1)::INTEGER AS pos, {histories.TIDY.format("replace(s, chr(2), ' ')")} AS segment FROM (SELECT doc_id, list_filter({SEGMENTS}, lambda x: regexp_matches(x, '(?s)\p{{L}}.*\p{{L}}')) AS ss FROM documents), unnest(ss) WITH ORDINALITY AS t(s, i)")
 def segment_split(spark, d):
     return documents(spark, d).select("doc_id", F.posexplode(X.segments(F.col("text"))).alias("pos", "segment"))
 
 
-@query()
+WORDS = r"regexp_extract_all(text, '[\p{L}\p{M}]+[''’]?|\p{N}+|[^\s\p{L}\p{M}\p{N}]')"
+
+
+@query(f"SELECT doc_id, array_to_string({WORDS}, ' ') AS tokens FROM documents")
 def word_tokens(spark, d):
-    return documents(spark, d).select("doc_id", F.size(X.tokenize(F.col("text"))).alias("n_tokens"))
+    return documents(spark, d).select("doc_id", F.array_join(X.tokenize(F.col("text")), " ").alias("tokens"))
+
+
+@query(f"SELECT doc_id FROM documents WHERE len({WORDS}) > 3")
+def long_enough(spark, d):
+    return documents(spark, d).where(X.long_enough(F.col("text"))).select("doc_id")
 
 
 VARIETY = "CASE doc_id % 6 WHEN 0 THEN 'Gascon' WHEN 1 THEN 'VivaroAlpenc' WHEN 2 THEN 'LENGADOCIAN' WHEN 3 THEN 'provençau' END"
@@ -259,6 +275,17 @@ def label_index(spark, d):
     return L.label_index(documents(spark, d), "lang")
 
 
+@query("SELECT label, row_number() OVER (ORDER BY label NOT IN ('fr', 'zz'), label) - 1 AS label_id FROM (SELECT DISTINCT lang AS label FROM documents UNION SELECT 'zz' UNION SELECT 'fr')")
+def label_index_known(spark, d):
+    """Known labels keep the first numbers, one of them without a text."""
+    return L.label_index(documents(spark, d), "lang", ["zz", "fr"])
+
+
+@query("SELECT 'dim300_epoc20_loss-hs' AS name".replace("loss-hs", "losshs"))
+def config_name(spark, d):
+    return spark.range(1).select(F.lit(X.config_name({"loss": "hs", "epoch": 20, "dim": 300})).alias("name"))
+
+
 # -- splitting -------------------------------------------------------------------------------------
 
 SPLIT = """d AS (
@@ -267,10 +294,10 @@ SPLIT = """d AS (
 ), x AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY text) AS n FROM f) WHERE n = 1)"""
 
 
-def balanced_sql(name: str, rows: str, units: str) -> str:
+def balanced_sql(name: str, rows: str, units: str, n: str | None = None) -> str:
     return f"""{name}_cap AS (SELECT dialect, CASE WHEN n <= 10 THEN n ELSE least(round_even(n * 0.5, 0), 500) END AS cap FROM (SELECT dialect, sum({units}) AS n FROM {rows} GROUP BY 1)
 ), {name}_c AS (SELECT r.*, cap FROM (SELECT *, {units} AS un, row_number() OVER w AS r, sum({units}) OVER (w ROWS UNBOUNDED PRECEDING) - {units} AS b FROM {rows} WHERE {units} > 0 WINDOW w AS (PARTITION BY dialect ORDER BY row_id)) r JOIN {name}_cap USING (dialect) WHERE b < cap
-), {name} AS (SELECT * FROM (SELECT *, sum(un) OVER (ORDER BY r, dialect ROWS UNBOUNDED PRECEDING) - un AS g FROM {name}_c) WHERE g < (SELECT sum(cap) FROM {name}_cap))"""
+), {name} AS (SELECT * FROM (SELECT *, sum(un) OVER (ORDER BY r, dialect ROWS UNBOUNDED PRECEDING) - un AS g FROM {name}_c) WHERE g < {n or f"(SELECT sum(cap) FROM {name}_cap)"})"""
 
 
 @query(f"WITH {SPLIT} SELECT row_id, dialect FROM f")
@@ -308,6 +335,21 @@ def split_assign(spark, d):
     return P.train_dev_test(samples(spark, d)).select("row_id", "split")
 
 
+SIZED = f"WITH {SPLIT}, {balanced_sql('t', 'x', '1', '(SELECT round_even(count(*) * 0.1, 0) FROM x)')}, y AS (SELECT * FROM x ANTI JOIN t USING (row_id)), {balanced_sql('v', 'y', '1', '17')}"
+
+
+@query(f"{SIZED} SELECT row_id, CASE WHEN row_id IN (SELECT row_id FROM t) THEN 'test' WHEN row_id IN (SELECT row_id FROM v) THEN 'dev' ELSE 'train' END AS split FROM x")
+def split_sizes(spark, d):
+    """A tenth of the rows for the test, 17 rows for development."""
+    return P.train_dev_test(samples(spark, d), test_size=0.1, dev_size=17).select("row_id", "split")
+
+
+@query(f"WITH {SPLIT}, {balanced_sql('t', 'x', '1').replace(', 500)', ', 100000000)')} SELECT row_id, dialect FROM t")
+def balanced_uncapped(spark, d):
+    """Half of each class, whatever its size."""
+    return P.select_balanced(P.deduplicate(samples(spark, d)), limits={"most": None}).select("row_id", "dialect")
+
+
 @query()
 def stratified_sample(spark, d):
     return P.select_weighted(samples(spark, d), 100).select("row_id", "dialect")
@@ -527,6 +569,70 @@ def metric_matrix(spark, d):
     return M.metric_matrix(_scores(spark, d), "f1", ["src0", "src1"])
 
 
+SETS = f"""{PRED}, z AS (SELECT *, CASE WHEN doc_id % 3 = 0 THEN 'third' ELSE 'rest' END AS testset FROM p
+), g AS (SELECT testset, ref, CASE WHEN EXISTS (SELECT 1 FROM z y WHERE y.testset = z.testset AND y.ref = z.pred) THEN pred ELSE 'other' END AS pred FROM z
+), s AS (SELECT testset, label, sum(r) AS n_ref, sum(q) AS n_pred, sum(h) AS tp FROM (SELECT testset, ref AS label, 1 AS r, 0 AS q, (ref = pred)::INTEGER AS h FROM g UNION ALL SELECT testset, pred, 0, 1, 0 FROM g) GROUP BY 1, 2
+), k AS (SELECT testset, label, tp / nullif(n_pred, 0) AS precision, tp / nullif(n_ref, 0) AS recall, 2 * tp / nullif(n_ref + n_pred, 0) AS f1, n_ref, tp FROM s
+), m AS (SELECT testset, avg(f1) AS f1_macro, sum(tp) / sum(n_ref) AS accuracy, avg(precision) AS precision_macro, avg(recall) AS recall_macro FROM k GROUP BY 1
+), b AS (SELECT testset, ref, count(*) / sum(count(*)) OVER (PARTITION BY testset) AS precision, 1.0 / count(*) OVER (PARTITION BY testset) AS recall FROM z GROUP BY 1, 2
+), n AS (SELECT testset, avg(2 * precision * recall / (precision + recall)) AS f1_macro, any_value(recall) AS accuracy, avg(precision) AS precision_macro, any_value(recall) AS recall_macro FROM b GROUP BY 1
+), long AS (
+  SELECT testset, 'rule' AS model, 'f1_macro' AS metric, f1_macro AS value FROM m UNION ALL SELECT testset, 'rule', 'accuracy', accuracy FROM m UNION ALL SELECT testset, 'rule', 'precision_macro', precision_macro FROM m UNION ALL SELECT testset, 'rule', 'recall_macro', recall_macro FROM m
+  UNION ALL SELECT testset, 'rule', 'f1_' || label, f1 FROM k UNION ALL SELECT testset, 'rule', 'precision_' || label, precision FROM k UNION ALL SELECT testset, 'rule', 'recall_' || label, recall FROM k
+  UNION ALL SELECT testset, 'baseline_random', 'f1_macro', f1_macro FROM n UNION ALL SELECT testset, 'baseline_random', 'accuracy', accuracy FROM n UNION ALL SELECT testset, 'baseline_random', 'precision_macro', precision_macro FROM n UNION ALL SELECT testset, 'baseline_random', 'recall_macro', recall_macro FROM n
+)"""
+
+
+def _long(spark, d) -> DataFrame:
+    rows = predictions(spark, d)
+    third = F.col("doc_id") % 3 == 0
+    return M.evaluate_all({"rule": lambda t: t}, {"third": rows.where(third), "rest": rows.where(~third)}, "ref", "pred")
+
+
+@query(f"WITH {SETS} SELECT testset, model, metric, value::DOUBLE AS value FROM long")
+def evaluate_all(spark, d):
+    """One model on two test sets, with the random baseline."""
+    return _long(spark, d)
+
+
+@query(f"WITH {SETS} SELECT 'rest' AS testset, 'rule' AS model, max(CASE WHEN metric = 'f1_de' THEN value * 100 END)::DOUBLE AS f1_de, max(CASE WHEN metric = 'f1_fr' THEN value * 100 END)::DOUBLE AS f1_fr FROM long WHERE testset = 'rest' AND model = 'rule'")
+def report_row(spark, d):
+    return M.report_row(_long(spark, d), "rest", "rule", ["de", "fr"])
+
+
+@query(f"WITH {SETS} SELECT metric, avg(value)::DOUBLE AS mean, stddev_samp(value) AS std FROM (SELECT * FROM long WHERE metric = 'recall_macro' QUALIFY row_number() OVER (PARTITION BY testset ORDER BY value DESC, model) = 1) GROUP BY 1")
+def best_then_mean(spark, d):
+    """The best model of each test set, then the mean over test sets."""
+    return M.mean_std(M.best_per_testset(_long(spark, d), "recall_macro").withColumn("of", F.lit("best")), "of").drop("of")
+
+
+@query("SELECT avg(n_chars / 100.0)::DOUBLE AS score_mean, stddev_samp(n_chars / 100.0) AS score_std, avg(doc_id)::DOUBLE AS runtime_mean, stddev_samp(doc_id) AS runtime_std FROM documents")
+def runtime_summary(spark, d):
+    return M.runtime_summary(documents(spark, d).select((F.col("n_chars") / 100.0).cast("double").alias("score"), F.col("doc_id").cast("double").alias("runtime")))
+
+
+COUNTS = """f AS (SELECT doc_id, term, count(*)::DOUBLE AS weight FROM t GROUP BY ALL
+), v AS (SELECT term FROM f GROUP BY 1 HAVING count(*) >= 3 AND count(*) <= 0.5 * (SELECT count(*) FROM documents))"""
+SPLIT_WORDS = r"t AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}\p{M}]+'), lambda x: x <> '')) AS term FROM documents)"
+
+
+def _words():
+    return F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}\p{M}]+"), lambda w: w != "")
+
+
+@query(f"WITH {SPLIT_WORDS}, {COUNTS} SELECT doc_id, term, weight FROM f JOIN v USING (term)")
+def count_vectors(spark, d):
+    return V.vectorize("count", documents(spark, d), _words(), min_df=3, max_df=0.5)
+
+
+@query(f"WITH {SPLIT_WORDS}, {COUNTS} SELECT doc_id, 'w_' || term AS term, weight FROM f JOIN v USING (term) UNION ALL SELECT doc_id, 'c_' || replace(lang || ' ' || source, ' ', '∅'), 1.0 FROM documents")
+def feature_union(spark, d):
+    """Word counts beside one feature with a blank, under their names by kind."""
+    docs = documents(spark, d)
+    one = docs.select("doc_id", F.concat_ws(" ", "lang", "source").alias("term"), F.lit(1.0).alias("weight"))
+    return V.union_features({"w": V.vectorize("count", docs, _words(), min_df=3, max_df=0.5), "c": one})
+
+
 # -- models ----------------------------------------------------------------------------------------
 
 

@@ -21,14 +21,8 @@ REVISION = (
     "id long, timestamp string, contributor struct<_deleted: string, id: long, ip: string, username: string>, text struct<_VALUE: string, _bytes: long>"
 )
 PAGE_XML = f"title string, ns int, id long, revision array<struct<{REVISION.replace('id long', 'id: long', 1).replace('timestamp string', 'timestamp: string').replace('contributor struct', 'contributor: struct').replace('text struct', 'text: struct')}>>"
-USER = "id long, username string, oc_level string, dialect string, is_bot int"
-USER_PAGE = "page_id long, page_title string, user_id long"
-CONTRIBUTION = "page_id long, pos_revision int, user_id long, len_bytes long, diff_bytes long"
-CLEAN_TEXT = "id string, text string, date_modified string"
 LABELLED = "text string, dialect string"
 FORUM = "id string, text string, author_dialect string"
-PREDICTION = "label string, score double, runtime double"
-SCORES = "testset string, model string, metric string, value double"
 #: Columns of the exported article, in order.
 EXPORT_COLUMNS = [
     "id", "title", "dialect", "text_xml", "text_finewiki", "paragraphs", "segments", "len_bytes_creation", "len_bytes_latest", "date_creation", "date_latest_xml", "date_latest_finewiki",

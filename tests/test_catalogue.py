@@ -8,7 +8,6 @@ import pytest
 from dialectry.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"char_tf_idf"}  # covered by the term frequencies it is computed from and by the formula's own test
 
 
 @pytest.fixture(scope="module")
@@ -24,7 +23,7 @@ def norm(v):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
-@pytest.mark.parametrize("name", sorted(set(catalogue.ORACLE) - SLOW))
+@pytest.mark.parametrize("name", sorted(catalogue.ORACLE))
 def test_against_duckdb(spark, db, name):
     df = catalogue.QUERIES[name](spark, SF)
     cols = sorted(df.columns)

@@ -93,3 +93,18 @@ def test_small_functions(spark):
     assert run(spark, ["l'ostal, 12!"], X.tokenize) == [["l'", "ostal", ",", "12", "!"]]
     assert X.config_name({"ngrams": 2, "dim": "Big One"}) == "dimbig-one_ngra2"
     assert run(spark, ["a b"], lambda c: X.feature_name(c, "chars")) == ["c_a∅b"]
+
+
+def test_subwords_are_cut_and_padded(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from dialectry.functions.subwords import subword_ids
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["short", "long words " * 40, "", None]
+    got = {r.row_id: r for r in subword_ids(spark.createDataFrame(list(enumerate(texts)), "row_id long, text string"), path, max_length=16, pad_id=5).collect()}
+    own = Tokenizer.from_file(path)
+    for i, t in enumerate(texts):
+        want = own.encode(t or "").ids[:16] if t is not None else []
+        assert got[i].input_ids == want + [5] * (16 - len(want)) and got[i].attention_mask == [1] * len(want) + [0] * (16 - len(want))
