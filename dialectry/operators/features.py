@@ -55,30 +55,33 @@ def char_wb_ngrams(c: Column, low: int = 2, high: int = 5, lowercase: bool = Tru
 
 
 def term_frequencies(df: DataFrame, grams: Column, doc: str = "doc_id") -> DataFrame:
-    """(doc, term, tf); counted before the shuffle."""
-    return df.select(doc, F.explode(grams).alias("term")).groupBy(doc, "term").agg(F.count(F.lit(1)).alias("tf"))
+    """(doc, term, tf). Texts are dealt out by document before they are unfolded, so counting and all that follows by document stay in place."""
+    return df.repartition(F.col(doc)).select(doc, F.explode(grams).alias("term")).groupBy(doc, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def vocabulary(tf: DataFrame, n_docs: int, min_df: int = 2, max_df: float = 0.9) -> DataFrame:
-    """(term, df, idf) of terms in at least min_df texts and at most a share max_df of them; idf is smoothed, plus 1."""
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where((F.col("df") >= min_df) & (F.col("df") <= max_df * n_docs))
-    return df.withColumn("idf", F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + 1)
+def vocabulary(df: DataFrame, grams: Column, n_docs: int, min_df: int = 2, max_df: float = 0.9) -> DataFrame:
+    """(term, df, idf) of terms in at least min_df rows and at most a share max_df of them; idf is smoothed, plus 1.
+
+    Rows are documents: each counts its distinct terms, which are added up before the only shuffle.
+    """
+    terms = df.select(F.explode(F.array_distinct(grams)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    kept = terms.where((F.col("df") >= min_df) & (F.col("df") <= max_df * n_docs))
+    return kept.withColumn("idf", F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + 1)
 
 
 def tf_idf(df: DataFrame, grams: Column, doc: str = "doc_id", min_df: int = 2, max_df: float = 0.9, sublinear: bool = True, fitted: DataFrame | None = None) -> DataFrame:
     """(doc, term, weight) with rows of unit length. ``fitted`` is a vocabulary of other texts."""
-    tf = term_frequencies(df, grams, doc)
-    terms = vocabulary(tf, df.count(), min_df, max_df) if fitted is None else fitted
+    terms = vocabulary(df, grams, df.count(), min_df, max_df) if fitted is None else fitted
     w = (F.log(F.col("tf")) + 1 if sublinear else F.col("tf").cast("double")) * F.col("idf")
-    weighted = tf.join(terms, "term").select(doc, "term", w.alias("w"))
+    weighted = term_frequencies(df, grams, doc).join(terms, "term").select(doc, "term", w.alias("w"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(doc)))
     return weighted.select(doc, "term", (F.col("w") / norm).alias("weight"))
 
 
 def counts(df: DataFrame, grams: Column, doc: str = "doc_id", min_df: int = 1, max_df: float = 1.0) -> DataFrame:
     """(doc, term, weight) of plain counts."""
-    tf = term_frequencies(df, grams, doc)
-    return tf.join(vocabulary(tf, df.count(), min_df, max_df), "term").select(doc, "term", F.col("tf").cast("double").alias("weight"))
+    terms = vocabulary(df, grams, df.count(), min_df, max_df)
+    return term_frequencies(df, grams, doc).join(terms, "term").select(doc, "term", F.col("tf").cast("double").alias("weight"))
 
 
 VECTORIZERS: dict[str, Callable] = {"tfidf": tf_idf, "count": counts}

@@ -103,7 +103,7 @@ def prepare(df: DataFrame, text: str = "text", label: str = "dialect", doc: str
     for kind, use, grams in (("w", words, own), ("c", chars, feat.char_wb_ngrams(F.col(text)))):
         fitted[kind] = None
         if use:
-            fitted[kind] = stored(feat.vocabulary(feat.term_frequencies(df, grams, doc), n, min_df, max_df), f"vocabulary-{kind}")
+            fitted[kind] = stored(feat.vocabulary(df, grams, n, min_df, max_df), f"vocabulary-{kind}")
             blocks[kind] = feat.tf_idf(df, grams, doc, fitted=fitted[kind])
     cells = stored(feat.union_features(blocks, doc), "cells", "zstd")
     terms = stored(feat.numbered_terms(cells), "terms")
