@@ -34,6 +34,11 @@ def _each(places: Column, gram: Callable[[Column, int], Column], n: int) -> Colu
     return F.transform(places, lambda i: gram(i, n))
 
 
+def substring_of(c: Column, n: int) -> Callable[[Column], Column]:
+    """From a place to the n characters of ``c`` there."""
+    return lambda i: F.substring(c, i, F.lit(n))
+
+
 def char_wb_ngrams(c: Column, low: int = 2, high: int = 5, lowercase: bool = True) -> Column:
     """Character n-grams inside words padded by one space; a padded word no longer than n yields itself once and ends."""
     text = F.lower(c) if lowercase else c

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StringIndexer, Word2Vec
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -179,9 +179,37 @@ def grid_search(df: DataFrame, grid: dict[str, list], folds: int = 5, label: str
     return json.loads(max(mean, key=mean.get)), table
 
 
-def word_vectors(df: DataFrame, tokens: str = "tokens", dim: int = 300, epochs: int = 5, min_count: int = 5, rate: float = 0.05):
-    """Skip-gram word vectors; whole words only."""
-    return Word2Vec(inputCol=tokens, outputCol="mean_vector", vectorSize=dim, maxIter=epochs, minCount=min_count, stepSize=rate).fit(df)
+def subword_tokens(tokens: Column, low: int = 3, high: int = 6) -> Column:
+    """Each word followed by the character n-grams of the word between angle brackets."""
+
+    def of_word(w: Column) -> Column:
+        marked = F.concat(F.lit("<"), w, F.lit(">"))
+        grams = [F.when(F.length(marked) > n, F.transform(F.sequence(F.lit(1), F.length(marked) - n + 1), feat.substring_of(marked, n))).otherwise(F.array().cast("array<string>")) for n in range(low, high + 1)]
+        return F.concat(F.array(w), *grams)
+
+    return F.flatten(F.transform(tokens, of_word))
+
+
+def word_vectors(df: DataFrame, tokens: str = "tokens", dim: int = 300, epochs: int = 5, min_count: int = 5, rate: float = 0.05, subwords: tuple[int, int] | None = None, window: int = 5):
+    """Skip-gram word vectors.
+
+    With ``subwords`` (shortest and longest n-gram) words and their n-grams are trained side by side in one
+    window, wide enough to reach the words around; see :func:`vectors_of` for words that are unknown.
+    """
+    if subwords:
+        df, window = df.withColumn(tokens, subword_tokens(F.col(tokens), *subwords)), 4 * window
+    return Word2Vec(inputCol=tokens, outputCol="mean_vector", vectorSize=dim, maxIter=epochs, minCount=min_count, stepSize=rate, windowSize=window).fit(df)
+
+
+def vectors_of(model, words: DataFrame, subwords: tuple[int, int], word: str = "word") -> DataFrame:
+    """(word, vector): the mean vector of a word's known parts, itself among them; null if none is known."""
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    known = model.getVectors().select(F.col("word").alias("part"), "vector")
+    parts = words.select(word).distinct().select(word, F.explode(subword_tokens(F.array(word), *subwords)).alias("part"))
+    mean = parts.join(known, "part").groupBy(word).agg(vector_to_array(Summarizer.mean(F.col("vector"))).alias("vector"))
+    return words.select(word).distinct().join(mean, word, "left")
 
 
 def mean_vector_classifier(df: DataFrame, vectors, label: str = "dialect", epochs: int = 20) -> tuple[LogisticRegression, list[str]]:

@@ -35,20 +35,21 @@ def json_lines(spark: SparkSession, path: str, schema: str, dates: tuple[str, ..
     return df.withColumns({c: F.to_date(F.substring(c, 1, 10)) for c in dates}) if dates else df
 
 
-def csv_verbatim(spark: SparkSession, path: str, schema: str = S.LABELLED, columns: list[str] | None = None) -> DataFrame:
+def csv_verbatim(spark: SparkSession, path: str, schema: str = S.LABELLED, columns: list[str] | None = None, multi_line: bool = True) -> DataFrame:
     """The named columns of a CSV with header, in which nothing is missing: an empty field is the empty string, ``NA`` is text.
 
     Columns are found by name; a file may have more of them. Nothing is inferred: all fields are read as text.
+    With ``multi_line`` fields may hold line feeds, and each file is read by one task; without, large files are split.
     """
-    raw = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', nullValue=NO_NULL, emptyValue="", inferSchema=False)
+    raw = spark.read.csv(path, header=True, multiLine=multi_line, quote='"', escape='"', nullValue=NO_NULL, emptyValue="", inferSchema=False)
     wanted = [f for f in S.schema(schema).fields if columns is None or f.name in columns]
     df = raw.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in wanted])
     return df.select(*[F.coalesce(c, F.lit("")).alias(c) if t == "string" else F.col(c) for c, t in df.dtypes])
 
 
-def csv_with_missing(spark: SparkSession, path: str, schema: str = S.LABELLED, columns: list[str] | None = None) -> DataFrame:
+def csv_with_missing(spark: SparkSession, path: str, schema: str = S.LABELLED, columns: list[str] | None = None, multi_line: bool = True) -> DataFrame:
     """The same file, with empty fields and the usual markers as null."""
-    df = csv_verbatim(spark, path, schema, columns)
+    df = csv_verbatim(spark, path, schema, columns, multi_line)
     return df.select(*[F.when(~F.col(c).isin(*MISSING), F.col(c)).alias(c) if t == "string" else F.col(c) for c, t in df.dtypes])
 
 

@@ -68,3 +68,12 @@ def test_word_vectors(spark, rows, tmp_path):
     lines = [r.value for r in R.vectors_text(spark, str(tmp_path / "v")).orderBy("line").collect()]
     assert lines[0] == f"{len(lines) - 1} 4" and all(len(x.split(" ")) == 5 for x in lines[1:])
     assert M.runtime_summary(models.predict_in_batches(rows, lambda: lambda t: [("en", 0.5)] * len(t))).first().score_std == 0
+
+
+def test_subword_vectors(spark, rows):
+    tokens = [r[0] for r in spark.range(1).select(models.subword_tokens(F.array(F.lit("gat"), F.lit("e")), 3, 4)).collect()][0]
+    assert tokens == ["gat", "<ga", "gat", "at>", "<gat", "gat>", "e"]
+    model = models.word_vectors(rows.withColumn("tokens", F.split("text", " ")), dim=4, epochs=1, min_count=1, subwords=(3, 4))
+    got = {r.word: r.vector for r in models.vectors_of(model, spark.createDataFrame([("gat",), ("gats",), ("zzz",)], "word string"), (3, 4)).collect()}
+    known = {r.word: r.vector.toArray() for r in model.getVectors().collect()}
+    assert np.allclose(got["gats"], np.mean([known[p] for p in ("<ga", "gat", "<gat")], axis=0)) and got["zzz"] is None and len(got["gat"]) == 4
