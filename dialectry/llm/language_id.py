@@ -3,8 +3,8 @@
 Bytes are embedded, convolved with filters of several widths, max-pooled over a fixed-length window
 and classified by a softmax. The model is fitted on a bounded sample of labelled texts: about
 ``per_label`` texts of every label, or ``sample_rows`` by the number of labels if that is less, drawn
-evenly over all of them by a hash of id and text, two windows each. (Only with more labels than ``sample_rows`` do some
-get no text, and are not learned.) Every text is then read whole, in consecutive windows; its
+evenly over all of them by a hash of id and text, two windows each. (With more labels than
+``sample_rows`` rows are drawn whatever their label, so that some labels are not learned.) Every text is then read whole, in consecutive windows; its
 probabilities are the mean of its windows' log probabilities, weighted by their bytes.
 
 For inference the embedding and the filters fold into one table per byte position, so a convolution
@@ -47,9 +47,14 @@ def labelled_windows(docs: DataFrame, per_label: int, sample_rows: int = 100_000
         return []
     size = F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(1))
     pick = lambda seed: F.substring("text", (F.pmod(F.xxhash64(F.lit(seed), "h"), size) + 1).cast("int"), F.lit(SAMPLE_CHARS))
-    windows = named.select("label", "h", F.array(pick(1), pick(2)).alias("windows")).join(counts, "label")
-    share = F.lit(min(per_label, sample_rows / labels)) / F.col("n")
-    drawn = windows.where(F.pmod("h", F.lit(1 << 30)) / float(1 << 30) < share).dropDuplicates(["label", "h"])
+    chance = F.pmod("h", F.lit(1 << 30)) / float(1 << 30)
+    if labels <= sample_rows:
+        # at most sample_rows labels: a table of bounded size
+        shares = counts.select("label", (F.lit(min(per_label, sample_rows / labels)) / F.col("n")).alias("share"))
+        chosen = named.join(F.broadcast(shares), "label").where(chance < F.col("share"))
+    else:
+        chosen = named.where(chance < sample_rows / counts.agg(F.sum("n")).first()[0])
+    drawn = chosen.select("label", "h", F.array(pick(1), pick(2)).alias("windows")).dropDuplicates(["label", "h"])
     got = drawn.select("label", "h", F.explode("windows").alias("window")).orderBy("h", "label", "window").collect()
     return [(r["label"], r["window"]) for r in got]
 

@@ -42,6 +42,7 @@ def test_every_label_is_learned_and_repeats_count_once(spark):
     assert {k for k, _ in got} == {f"l{i % 1300}" for i in range(9100) if zlib.crc32(str(i).encode()) % 3 != 1} and sum(w == "copies of a row" for _, w in got) <= 2
     few = labelled_windows(docs, per_label=50, sample_rows=1300)
     assert 1300 < len(few) < 4000
+    assert 200 < len(labelled_windows(docs, per_label=50, sample_rows=300)) < 1000
 
 
 def test_forest_and_secrets(spark):
