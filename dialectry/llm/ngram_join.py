@@ -277,9 +277,9 @@ def linked_components(docs: DataFrame, k: int = 5, percent: int = 80, text_col:
 
     tagged = shared.join(label.toDF("rep", "label"), "rep", "left").withColumn("comp", F.coalesce("label", "rep")).drop("label", "leader_n", "leader_pos")
     untested = F.when(F.col("rep") != F.col("leader"), F.col("comp"))
-    open_ = tagged.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min(untested).alias("c_min"), F.max(untested).alias("c_max")).where("c_min <> c_max").select("token", "m")
+    open_ = stored(tagged.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min(untested).alias("c_min"), F.max(untested).alias("c_max")).where("c_min <> c_max").select("token", "m"), "open-lists")
     rest = stored(tagged.join(open_, "token").where("rep <> leader").drop("leader"), "open")
-    discard(shared)
+    discard(shared, open_)
     if not rest.isEmpty():
         own = shorts.select(F.col("doc_id").alias("rep"), "short").join(rest.select("rep").distinct(), "rep")
         parts = F.ceil(F.col("m") / F.lit(LIST_BLOCK)).cast("int")
