@@ -71,9 +71,11 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op3_substring_dedup"] = r"""
-WITH t AS (SELECT doc_id, text, length(regexp_extract(text, '^[^A-Za-z0-9\x{80}-\x{10FFFF}]*'))::INTEGER AS lead FROM documents WHERE text IS NOT NULL
-), p AS (SELECT doc_id, lead, regexp_extract_all(substring(text, lead + 1), '[^\n.,;:!?]*[\n.,;:!?][^A-Za-z0-9\x{80}-\x{10FFFF}]*|[^\n.,;:!?]+$') AS us FROM t
-), q AS (SELECT doc_id, lead, i, us[i] AS unit, regexp_extract_all(lower(us[i]), '[a-z0-9\x{80}-\x{10FFFF}]+') AS ws FROM p, unnest(range(1, len(us) + 1)) AS x(i)
+WITH t AS (
+  SELECT doc_id, text, length(regexp_extract(text, '^[^A-Za-z0-9\x{80}-\x{10FFFF}]*'))::INTEGER AS lead,
+    regexp_replace(text, '([A-Za-z0-9\x{80}-\x{10FFFF}]{10,})', '\1' || chr(1), 'g') AS cut FROM documents WHERE text IS NOT NULL
+), p AS (SELECT doc_id, lead, regexp_extract_all(substring(cut, lead + 1), '[^\n.,;:!?\x01]*[\n.,;:!?\x01][^A-Za-z0-9\x{80}-\x{10FFFF}]*|[^\n.,;:!?\x01]+$') AS us FROM t
+), q AS (SELECT doc_id, lead, i, replace(us[i], chr(1), '') AS unit, regexp_extract_all(lower(us[i]), '[a-z0-9\x{80}-\x{10FFFF}]+') AS ws FROM p, unnest(range(1, len(us) + 1)) AS x(i)
 ), u AS (
   SELECT doc_id, i, ws, lead + sum(length(unit)) OVER w - length(unit) AS a, lead + sum(length(unit)) OVER w AS b, sum(len(ws)) OVER w - len(ws) AS w0, sum(len(ws)) OVER w AS w1
   FROM q WINDOW w AS (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING)

@@ -1,7 +1,8 @@
 """Substring deduplication by hashing lines, paragraphs or clauses, and runs of them.
 
-1. Every text is cut into units: paragraphs (between blank lines), lines, or clauses (lines cut
-   further behind ``. , ; : ! ?``). A unit reaches from its first word to the first word of the next
+1. Every text is cut into units: paragraphs (between blank lines), lines, or clauses: lines cut
+   further behind ``. , ; : ! ?`` and behind words of ``LONG`` characters or more, so that passages without
+   marks hold whole units too, wherever their lines begin. A unit reaches from its first word to the first word of the next
    one, so units tile the text; what stands before the first word belongs to none. A unit's words are
    lower-cased runs of ASCII letters and digits and of non-ASCII characters: case, marks and white
    space don't count.
@@ -35,6 +36,8 @@ from dialectry.llm.common import Shingler, alnum_words, discard, free_name, id_f
 
 #: Texts hashed at once.
 FEW = 400
+#: Characters of a word that ends a clause.
+LONG = 10
 #: Characters that end a unit, and how many of them must stand between two words.
 CUTS = {"paragraph": ("\n", 2), "line": ("\n", 1), "clause": ("\n.,;:!?", 1)}
 
@@ -53,6 +56,10 @@ class Runs:
         np.cumsum(is_mark[raw], out=seen[1:])
         new = np.ones(n, dtype=bool)
         new[1:] = seen[starts[1:]] - seen[ends[:-1]] >= times
+        lead = np.zeros(len(raw) + 1, dtype=np.int64)
+        np.cumsum((raw & 0xC0) != 0x80, out=lead[1:])
+        if unit == "clause":
+            new[1:] |= (lead[ends] - lead[starts])[:-1] >= LONG
         new[rows[:-1][counts > 0]] = True
         first = np.flatnonzero(new)
         behind = np.append(first[1:], n) if n else first
@@ -62,8 +69,6 @@ class Runs:
         whole = whole[last[whole] < len(first)]
         last = last[whole]
         self.row = row[whole]
-        lead = np.zeros(len(raw) + 1, dtype=np.int64)
-        np.cumsum((raw & 0xC0) != 0x80, out=lead[1:])
         base, size = lead[at[:-1]], lead[at[1:]]
         self.start = lead[starts[first[whole]]] - base[self.row]
         ends_row = (last + 1 == len(first)) | (row[np.minimum(last + 1, max(len(row) - 1, 0))] != self.row)

@@ -19,7 +19,7 @@ def brute_units(text, unit):
     found = [(m[0].lower(), *m.span()) for m in re.finditer(r"[A-Za-z0-9\x80-\U0010ffff]+", text or "")]
     out = []
     for k, (w, a, _) in enumerate(found):
-        if k == 0 or CUT[unit](text[found[k - 1][2] : a]):
+        if k == 0 or CUT[unit](text[found[k - 1][2] : a]) or unit == "clause" and len(found[k - 1][0]) >= 10:
             out.append([a, None, []])
         out[-1][2].append(w)
     for x, y in zip(out, out[1:] + [[len(text or "")]]):
@@ -62,7 +62,7 @@ def brute(rows, unit, least):
 
 
 def texts(r):
-    words = lambda n: [r.choice(["é", "Ünder", "a", "bc", "zz"]) + str(r.randrange(300)) for _ in range(n)]
+    words = lambda n: [r.choice(["é", "Ünder", "a", "bc", "zz", "longerwörd"]) + str(r.randrange(300)) for _ in range(n)]
     pool = [words(n) for n in (9, 12, 14, 25, 60)]
     out = ["w " * 60, "x. y. " * 30, None, "", " .,\n", "one", " ".join(pool[4]), " ".join(pool[4]).upper(), "a,b\n" * 40]
     for _ in range(90):
