@@ -108,9 +108,10 @@ def running(slim: DataFrame) -> DataFrame:
 
 
 def select_weighted(df: DataFrame, n: int, label: str = "dialect", order: str = "row_id", seed: int = 1) -> DataFrame:
-    """A sample without replacement, rows weighted by their class's share (exponential keys from a hash)."""
+    """A sample without replacement, rows weighted by their class's share (exponential keys from a hash of seed and order)."""
     weighted = class_weights(df, label)
-    u = (F.pmod(F.xxhash64(F.lit(seed), order), F.lit((1 << 40) - 1)) + 1) / float(1 << 40)
+    drawn = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(order).cast("string"))), 1, 10), 16, 10).cast("long")
+    u = (drawn + 1) / float((1 << 40) + 1)
     return weighted.withColumn("_key", -F.log(u) / F.col("weight")).orderBy("_key", order).limit(n).select(*df.columns)
 
 

@@ -350,7 +350,8 @@ def balanced_uncapped(spark, d):
     return P.select_balanced(P.deduplicate(samples(spark, d)), limits={"most": None}).select("row_id", "dialect")
 
 
-@query()
+@query("""SELECT row_id, dialect FROM (SELECT doc_id AS row_id, lang AS dialect, count(*) OVER (PARTITION BY lang) / count(*) OVER () AS weight, (('0x' || substr(md5('1:' || doc_id), 1, 10))::BIGINT + 1) / 1099511627777.0::DOUBLE AS u FROM documents)
+ORDER BY -ln(u) / weight, row_id LIMIT 100""")
 def stratified_sample(spark, d):
     return P.select_weighted(samples(spark, d), 100).select("row_id", "dialect")
 
