@@ -64,7 +64,7 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from dialectry.llm.substring_dedup import deduplicated
 
-    out = deduplicated(read_table(spark, sf_dir, "documents").select("doc_id", "text"), unit="clause", least=40, changed_only=True)
+    out = deduplicated(read_table(spark, sf_dir, "documents").select("doc_id", "text"), unit="clause", least=32, changed_only=True)
     spans = F.array_join(F.transform("removed_spans", lambda s: F.concat_ws("-", s["start"], s["end"])), " ")
     removed = F.aggregate("removed_spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return out.select("doc_id", "text", spans.alias("removed_spans"), removed.alias("removed_chars"), F.element_at("kept_ids", 1).alias("kept_doc_id"))
@@ -82,7 +82,7 @@ WITH t AS (
 ), d AS (SELECT doc_id, flatten(list(ws ORDER BY i)) AS every FROM u GROUP BY 1
 ), r AS (
   SELECT x.doc_id, x.i AS i, y.i AS j, x.a, md5(array_to_string(d.every[x.w0 + 1:y.w1], ' ')) AS body
-  FROM u x ASOF JOIN u y ON x.doc_id = y.doc_id AND x.w0 + 40 <= y.w1 JOIN d ON d.doc_id = x.doc_id
+  FROM u x ASOF JOIN u y ON x.doc_id = y.doc_id AND x.w0 + 32 <= y.w1 JOIN d ON d.doc_id = x.doc_id
 ), k AS (SELECT *, row_number() OVER w AS n, count(*) OVER (PARTITION BY body) AS copies, first_value(doc_id) OVER w AS kept FROM r WINDOW w AS (PARTITION BY body ORDER BY doc_id, a)
 ), m AS (SELECT doc_id, unnest(range(i, j + 1)) AS i, n > 1 AS gone FROM k WHERE copies > 1
 ), g AS (SELECT doc_id, i FROM m GROUP BY 1, 2 HAVING bool_and(gone)

@@ -7,7 +7,8 @@
    lower-cased runs of ASCII letters and digits and of non-ASCII characters: case, marks and white
    space don't count.
 2. From each unit on, the shortest run of adjacent units that reaches ``least`` words is hashed to 128
-   bits. With ``least=1`` each unit stands for itself. A single stock line is shorter than a run and
+   bits. With ``least=1`` each unit stands for itself. The default of 32 finds passages of 50 words
+   inside other lines even where nine words at either end belong to a unit of the text around them. A single stock line is shorter than a run and
    is left alone; a passage that is spread over lines, or stands inside longer ones, holds whole runs.
 3. Half of the digest is counted over all texts first (partial counts, then one shuffle of longs).
    Only runs whose half repeats go on; of equal runs the first in rank stays, the others are removed.
@@ -110,7 +111,7 @@ def _runs(unit: str, least: int):
     return run
 
 
-def repeated_runs(rows: DataFrame, unit: str = "clause", least: int = 40) -> tuple[DataFrame, list[DataFrame]]:
+def repeated_runs(rows: DataFrame, unit: str = "clause", least: int = 32) -> tuple[DataFrame, list[DataFrame]]:
     """Every run that occurs more than once: row, id, start, end, whether it stays, and where the first one stands;
     and the stored tables behind this.
 
@@ -167,7 +168,7 @@ def _cut(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join([*parts, text[at:]])
 
 
-def deduplicated(docs: DataFrame, unit: str = "clause", least: int = 40, changed_only: bool = False, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def deduplicated(docs: DataFrame, unit: str = "clause", least: int = 32, changed_only: bool = False, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """``docs`` with the repeated runs cut out of the text, ``removed_spans`` of the original text and the sorted ``kept_ids`` of what was kept instead.
 
     ``changed_only`` returns only the rows that lose something. Untouched rows have empty lists.

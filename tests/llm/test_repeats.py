@@ -114,7 +114,7 @@ def test_long_text_and_empty_table(spark):
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
 def test_query_against_brute_force(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()]
-    want = {d: (t, " ".join(f"{a}-{b}" for a, b in s), k[0]) for (d, _), (t, s, k) in zip(rows, brute(rows, "clause", 40)) if s}
+    want = {d: (t, " ".join(f"{a}-{b}" for a, b in s), k[0]) for (d, _), (t, s, k) in zip(rows, brute(rows, "clause", 32)) if s}
     assert {r.doc_id: (r.text, r.removed_spans, r.kept_doc_id) for r in QUERIES["op3_substring_dedup"](spark, SF).collect()} == want
     rel = duckdb.sql(ORACLE["op3_substring_dedup"].replace("FROM documents", f"FROM '{SF}/documents.parquet'"))
     assert len(rel.fetchall()) == len(want)
