@@ -18,7 +18,7 @@ which brings all of them to the largest norm; the queries get 0 there.
 ``least`` is eight rows for each of the 20 wanted neighbours. It outweighs the share in shards of
 fewer than 1,067 rows, where 20 rows are a larger part of the table: of 500 rows 32 % are reranked,
 from 1,067 rows on 15 %. Recall at 20 with the defaults, measured on unstructured vectors of 64
-dimensions against brute force: 0.97 on 500, 0.92 on 2,000, 0.97 on 10,256 and 0.99 on 51,282.
+dimensions against brute force: 1.0 on 500, 0.97 on 2,000, 0.99 on 10,256 and 1.0 on 51,282.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no part, nor
 do those whose length differs from the most frequent one of ``df``, queries among them. Equal vectors
@@ -105,7 +105,7 @@ def best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
     return ids[:k], scores[:k]
 
 
-def nearest(df: DataFrame, queries: DataFrame, k: int = 20, pivots: int = 256, prefix: int = 64, share: float = 0.15, least: int = 160, shard_rows: int = 16384, query_rows: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest(df: DataFrame, queries: DataFrame, k: int = 20, pivots: int = 512, prefix: int = 96, share: float = 0.15, least: int = 160, shard_rows: int = 16384, query_rows: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id and score of the k nearest found for every row of ``queries``, a subset of ``df``'s rows."""
     spark = df.sparkSession
     every = usable(df, id_col, vector_col)
@@ -116,7 +116,10 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 20, pivots: int = 256, p
     d, n, top = stats[0]["d"], stats[0]["n"], float(stats[0]["m"])
     rows, asked = every.where(F.size("v") == d), usable(queries, id_col, vector_col).where(F.size("v") == d)
     norm2 = F.aggregate("v", F.lit(0.0), lambda s, x: s + (x / top) * (x / top))
-    sample = rows.groupBy("v").agg(F.min(F.struct(F.xxhash64(F.lit(5), "vec_id").alias("h"), "vec_id")).alias("by")).orderBy("by").limit(pivots).collect()
+    # the distinct vectors with the smallest hashes; only hashes are shuffled
+    h = F.xxhash64(F.lit(5), "v")
+    chosen = [r[0] for r in rows.select(h.alias("h")).distinct().orderBy("h").limit(pivots).collect()]
+    sample = rows.where(h.isin(chosen)).groupBy(h.alias("h")).agg(F.any_value("v").alias("v")).orderBy("h").collect()
     sent = spark.sparkContext.broadcast(Pivots(np.array([r["v"] for r in sample]), top, float(rows.agg(F.max(norm2)).first()[0]), prefix))
     shards = max(1, -(-n // shard_rows))
 
