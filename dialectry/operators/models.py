@@ -26,13 +26,6 @@ from dialectry.operators import metrics as M
 from dialectry.sources.scratch import discard, stored
 
 
-def balanced_weights(df: DataFrame, label: str = "dialect") -> DataFrame:
-    """Each row with n / (k n_c) as ``weight``."""
-    per = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    n, k = per.agg(F.sum("_n"), F.count(F.lit(1))).first()
-    return df.join(per.select(label, (F.lit(float(n)) / (F.lit(k) * F.col("_n"))).alias("weight")), label)
-
-
 @dataclass
 class NgramClassifier:
     """A fitted feature space and its linear model: weights by feature and label, the bias in the last row."""
