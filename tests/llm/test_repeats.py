@@ -101,6 +101,28 @@ def test_passage_inside_longer_lines_and_over_lines(spark):
     assert got[7].text == "" and got[8].text == "stock line, often seen\nend"
 
 
+def test_planted_passages_are_found_and_clean_documents_left_alone(spark):
+    r = random.Random(12)
+    vocabulary = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 12))) for _ in range(3000)]
+
+    def prose(n):
+        return " ".join(r.choice(vocabulary) + r.choice(["", "", "", "", "", "", ",", "."]) for _ in range(n))
+
+    stock = [prose(9) for _ in range(20)]
+    texts = ["\n".join(x for _ in range(6) for x in (prose(r.randint(5, 60)), r.choice(stock))) for _ in range(400)]
+    places = r.sample(range(400), 160)
+    later = set()
+    for k in range(0, 160, 2):
+        passage, pair = prose(r.randint(51, 75)), sorted(places[k : k + 2])
+        for i in pair:
+            words = texts[i].split(" ")
+            at = r.randrange(len(words))
+            texts[i] = " ".join([*words[:at], passage, *words[at:]])
+        later.add(pair[1])
+    got = {x.doc_id for x in deduplicated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), changed_only=True).collect()}
+    assert len(got & later) >= 0.95 * len(later) and not got - later
+
+
 def test_long_text_and_empty_table(spark):
     long = " ".join(f"w{i % 5000}{'.' if i % 11 == 0 else ''}" for i in range(60_000))
     docs = spark.createDataFrame([(1, long), (2, "before. " + long)], "doc_id long, text string")
