@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from dialectry.sources.scratch import discard, stored  # noqa: F401
 
@@ -241,6 +242,18 @@ def id_filter(ids: DataFrame) -> np.ndarray:
     return np.packbits(bits)
 
 
+def filter_udf(spark: SparkSession, bits: np.ndarray):
+    """A function of a number column: whether a packed filter, broadcast, holds the number. Only that column goes to Python."""
+    sent = spark.sparkContext.broadcast(bits)
+
+    @F.pandas_udf("boolean")
+    def held(numbers):
+        at = id_hash(numbers.to_numpy())
+        return type(numbers)((sent.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool))
+
+    return held
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, with as many ``_`` behind it as it takes to differ from all columns."""
     taken = {c.lower() for c in df.columns}

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dialectry.llm.common import BLOCK, Shingler, discard, distinct, id_filter, id_hash, pack_counts, stored, summed_blocks, text_buffer, white_words
+from dialectry.llm.common import BLOCK, Shingler, discard, distinct, filter_udf, id_filter, pack_counts, stored, summed_blocks, text_buffer, white_words
 from dialectry.llm.components import components
 
 ORDER_BUCKETS = 1 << 22  #: buckets of the shingle order: one byte each is broadcast, whatever the input
@@ -112,18 +112,16 @@ def sets_of(named: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     shuffled.
     """
 
-    wanted = named.sparkSession.sparkContext.broadcast(id_filter(ids))
+    wanted = filter_udf(named.sparkSession, id_filter(ids))
 
     def run(batches):
-        s, bits = Shingler(k, white_words()), np.unpackbits(wanted.value).astype(bool)
+        s = Shingler(k, white_words())
         for batch in batches:
-            doc = batch.column(0).to_numpy(zero_copy_only=False)
-            batch = batch.filter(pa.array(bits[id_hash(doc)]))
             for few in _chunks(batch):
                 hashes, at = s.shingles(*text_buffer(few.column(1)))
                 yield pa.record_batch([few.column(0), pa.array([distinct(hashes[a:b]).tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())], ["doc_id", "own"])
 
-    return named.where("doc_id is not null").mapInArrow(run, "doc_id long, own binary")
+    return named.where("doc_id is not null").where(wanted("doc_id")).mapInArrow(run, "doc_id long, own binary")
 
 
 class PairFilter:
@@ -315,13 +313,7 @@ def one_per_component(docs: DataFrame, k: int = 5, percent: int = 80, text_col:
     members = stored(groups.join(several, "component_id").join(rows.select("row", "id"), "row"), "members")
     best = members.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("by"))
     dropped = stored(members.join(best, "component_id").where("row <> by.row").select("row"), "dropped")
-    sent = docs.sparkSession.sparkContext.broadcast(id_filter(dropped))
-
-    @F.pandas_udf("boolean")
-    def maybe(row):
-        bits = np.unpackbits(sent.value).astype(bool)
-        return type(row)(bits[id_hash(row.to_numpy())])
-
+    maybe = filter_udf(docs.sparkSession, id_filter(dropped))
     own = [(F.col("text") if c == text_col else F.col(f"doc.`{c}`")).alias(c) for c in docs.columns]
     checked = rows.where(maybe("row")).join(dropped, "row", "left_anti")
     return rows.where(~maybe("row")).select(*own).unionByName(checked.select(*own))

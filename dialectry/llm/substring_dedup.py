@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dialectry.llm.common import Shingler, alnum_words, discard, free_name, id_filter, id_hash, mix64, stored, text_buffer
+from dialectry.llm.common import Shingler, alnum_words, discard, filter_udf, free_name, id_filter, mix64, stored, text_buffer
 
 #: Texts hashed at once.
 FEW = 400
@@ -181,17 +181,10 @@ def deduplicated(docs: DataFrame, unit: str = "clause", least: int = 32, changed
     )
     found = stored(found.where("size(gone) > 0"), "found", "zstd")
     discard(*behind)
-    wanted = docs.sparkSession.sparkContext.broadcast(id_filter(found.select("row"))) if changed_only else None
-
-    def near(batches):
-        # a fixed-size filter, so that only texts that may lose something are shuffled
-        bits = np.unpackbits(wanted.value).astype(bool)
-        for batch in batches:
-            yield batch.filter(pa.array(bits[id_hash(batch.column("row").to_numpy(zero_copy_only=False))]))
-
     named = rows.select("row", "text", "doc")
     if changed_only:
-        named = named.mapInArrow(near, named.schema)
+        # a fixed-size filter, so that only texts that may lose something are shuffled
+        named = named.where(filter_udf(docs.sparkSession, id_filter(found.select("row")))("row"))
     joined = named.join(found, "row", "inner" if changed_only else "left").select("doc", "text", "gone", "stay", "kept")
 
     def cut(batches):
