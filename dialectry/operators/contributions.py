@@ -57,6 +57,13 @@ def with_diff(df: DataFrame, page: str = "page_id", pos: str = "pos_revision") -
     return df.withColumn("diff_bytes", F.col("len_bytes") - before)
 
 
+def ordered(df: DataFrame, order: str = "desc", n: int | None = None, page: str = "page_id", pos: str = "pos_revision") -> DataFrame:
+    """Each page's contributions with their rank, newest first or (``asc``) oldest first, the first ``n`` of them if given."""
+    by = F.col(pos).desc() if order == "desc" else F.col(pos).asc()
+    out = df.withColumn("rank", F.row_number().over(Window.partitionBy(page).orderBy(by)))
+    return out if n is None else out.where(F.col("rank") <= n)
+
+
 def halved(diff: Column) -> Column:
     """Half of a removal, rounded to even, at least 1."""
     return F.greatest(F.lit(1), F.bround(F.abs(diff) / 2)).cast("long")

@@ -18,7 +18,7 @@ from dialectry.operators import enrich as E
 from dialectry.operators import features as V
 from dialectry.operators import metrics as M
 from dialectry.operators import split as P
-from dialectry.plans import histories, roundtrips  # noqa: F401
+from dialectry.plans import histories, learning, roundtrips  # noqa: F401
 from dialectry.plans.registry import ORACLE, QUERIES, documents, query, table
 
 
@@ -369,6 +369,11 @@ def weighted_contrib(spark, d):
     return contributions(spark, d).groupBy("page_id", "contributor_id").agg(F.sum(C.contribution_weight(F.col("diff_bytes"))).alias("size"), F.count(F.lit(1)).alias("n"))
 
 
+@query(f"WITH {CONTRIB} SELECT page_id, pos_revision, contributor_id, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos_revision DESC) AS rank FROM c) WHERE rank <= 3")
+def newest_contributions(spark, d):
+    return C.ordered(contributions(spark, d), n=3).select("page_id", "pos_revision", "contributor_id", "rank")
+
+
 @query(f"""WITH {CONTRIB}, g AS (SELECT page_id, contributor_id, count(*) AS n, sum(CASE WHEN diff_bytes > 0 THEN diff_bytes ELSE {HALF} END) AS s, min(pos_revision) AS f FROM c GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY n DESC, f) AS rn, row_number() OVER (PARTITION BY page_id ORDER BY s DESC, f) AS rs FROM g)
 SELECT page_id, max(contributor_id) FILTER (WHERE rn = 1) AS user_most_contrib_id, max(contributor_id) FILTER (WHERE rs = 1) AS user_biggest_contrib_id, count(*) AS nb_contributors, sum(n)::BIGINT AS nb_revisions FROM r GROUP BY 1""")

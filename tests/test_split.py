@@ -38,6 +38,22 @@ def test_balanced_against_loop(spark, seed):
         P.select_balanced(df, 10_000)
 
 
+def test_one_class_of_nine_tenths(spark):
+    r = random.Random(9)
+    rows = [(i, "a" if r.random() < 0.9 else r.choice("bc"), r.choice([0, 1, 3])) for i in range(2000)]
+    df = spark.createDataFrame(rows, "row_id long, dialect string, units long").repartition(6)
+    limits = {"ratio": 0.5, "threshold": 10, "most": 60}
+    caps = {x.dialect: x.cap for x in P.class_caps(df, units="units", **limits).collect()}
+    got = P.select_balanced(df, units="units", limits=limits)
+    assert sorted(x.row_id for x in got.collect()) == round_robin(rows, caps, sum(caps.values()))
+    plan = df.sparkSession._jvm.PythonSQLUtils.explainString(got._jdf.queryExecution(), "simple")
+    # the partial limit stands below the exchange
+    assert "WindowGroupLimit" in plan and "Exchange hashpartitioning" in plan[: plan.index("Partial")]
+    free = {**limits, "most": None}
+    every = {x.dialect: x.cap for x in P.class_caps(df, units="units", **free).collect()}
+    assert every["a"] > 60 and sorted(x.row_id for x in P.select_balanced(df, units="units", limits=free).collect()) == round_robin(rows, every, sum(every.values()))
+
+
 def test_caps(spark):
     rows = [(i, d) for d, n in (("a", 3), ("b", 10), ("c", 11), ("e", 13), ("f", 2000)) for i in range(n)]
     got = {x.dialect: x.cap for x in P.class_caps(spark.createDataFrame(rows, "row_id long, dialect string")).collect()}
