@@ -130,33 +130,41 @@ def repeated_runs(rows: DataFrame, unit: str = "clause", least: int = 32) -> tup
     return judged, [met, first]
 
 
-def _union(spans: list[dict]) -> list[tuple[int, int]]:
-    out: list[list[int]] = []
-    for a, b in sorted((s["start"], s["end"]) for s in spans):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
-
-
-def _without(gone: list[tuple[int, int]], stay: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """What is left of the sorted spans ``gone`` outside the sorted spans ``stay``."""
+def union(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spans that overlap or touch joined, in order."""
+    order = np.argsort(starts, kind="stable")
+    starts, ends = starts[order], np.maximum.accumulate(ends[order]) if len(ends) else ends
+    new = np.ones(len(starts), dtype=bool)
+    new[1:] = starts[1:] > ends[:-1]
+    first = np.flatnonzero(new)
+    return starts[first], ends[np.append(first[1:], len(starts)) - 1] if len(first) else ends
+
+
+def without(gone: tuple[np.ndarray, np.ndarray], stay: tuple[np.ndarray, np.ndarray]) -> list[tuple[int, int]]:
+    """What is left of the joined spans ``gone`` outside the joined spans ``stay``."""
     out, k = [], 0
-    for a, b in gone:
-        while k < len(stay) and stay[k][1] <= a:
+    kept = list(zip(stay[0].tolist(), stay[1].tolist()))
+    for a, b in zip(gone[0].tolist(), gone[1].tolist()):
+        while k < len(kept) and kept[k][1] <= a:
             k += 1
         j = k
-        while j < len(stay) and stay[j][0] < b:
-            if stay[j][0] > a:
-                out.append((a, stay[j][0]))
-            a = max(a, stay[j][1])
+        while j < len(kept) and kept[j][0] < b:
+            if kept[j][0] > a:
+                out.append((a, kept[j][0]))
+            a = max(a, kept[j][1])
             j += 1
         if a < b:
             out.append((a, b))
     return out
 
 
+def _lists(column: pa.ListArray) -> list[np.ndarray]:
+    """The rows of a list column of numbers as arrays; null is empty."""
+    at, sizes = column.offsets.to_numpy(), column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = column.values.to_numpy(zero_copy_only=False)
+    return [flat[a : a + n] for a, n in zip(at[:-1], sizes)]
+
+
 SPANS = "array<struct<start: int, end: int>>"
 
 
@@ -174,6 +182,7 @@ def deduplicated(docs: DataFrame, unit: str = "clause", least: int = 32, changed
     ``changed_only`` returns only the rows that lose something. Untouched rows have empty lists.
     """
     rows = stored(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("doc")), "rows", "zstd")
+    part = lambda spans, c: F.transform(spans, lambda s: s[c])
     span = F.struct("start", "end")
     runs, behind = repeated_runs(rows, unit, least)
     found = runs.groupBy("row").agg(
@@ -185,16 +194,17 @@ def deduplicated(docs: DataFrame, unit: str = "clause", least: int = 32, changed
     if changed_only:
         # a fixed-size filter, so that only texts that may lose something are shuffled
         named = named.where(filter_udf(docs.sparkSession, id_filter(found.select("row")))("row"))
-    joined = named.join(found, "row", "inner" if changed_only else "left").select("doc", "text", "gone", "stay", "kept")
+    joined = named.join(found, "row", "inner" if changed_only else "left")
+    joined = joined.select("doc", "text", *(part(spans, c).alias(f"{spans}_{c}") for spans in ("gone", "stay") for c in ("start", "end")), "kept")
 
     def cut(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, FEW):
                 few = batch.slice(lo, FEW)
-                spans = [_without(_union(g), _union(s)) if g else [] for g, s in zip(few.column(2).to_pylist(), few.column(3).to_pylist())]
+                spans = [without(union(a, b), union(c, d)) if len(a) else [] for a, b, c, d in zip(*(_lists(few.column(k)) for k in range(2, 6)))]
                 texts = [_cut(t.as_py(), x) if x else t.as_py() for t, x in zip(few.column(1), spans)]
                 listed = pa.array([[{"start": a, "end": b} for a, b in x] for x in spans], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
-                out = pa.record_batch([few.column(0), pa.array(texts, pa.string()), listed, few.column(4)], ["doc", "text", "spans", "kept"])
+                out = pa.record_batch([few.column(0), pa.array(texts, pa.string()), listed, few.column(6)], ["doc", "text", "spans", "kept"])
                 yield out.filter(pa.array([bool(x) for x in spans])) if changed_only else out
 
     judged = joined.mapInArrow(cut, T.StructType([*joined.select("doc", "text").schema.fields, T.StructField("spans", T._parse_datatype_string(SPANS)), joined.schema["kept"]]))
