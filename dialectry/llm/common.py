@@ -242,14 +242,19 @@ def id_filter(ids: DataFrame) -> np.ndarray:
     return np.packbits(bits)
 
 
+def holds(bits: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    """Which numbers a packed filter lets through."""
+    at = id_hash(numbers)
+    return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+
+
 def filter_udf(spark: SparkSession, bits: np.ndarray):
     """A function of a number column: whether a packed filter, broadcast, holds the number. Only that column goes to Python."""
     sent = spark.sparkContext.broadcast(bits)
 
     @F.pandas_udf("boolean")
     def held(numbers):
-        at = id_hash(numbers.to_numpy())
-        return type(numbers)((sent.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool))
+        return type(numbers)(holds(sent.value, numbers.to_numpy()))
 
     return held
 

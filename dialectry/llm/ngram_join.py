@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dialectry.llm.common import BLOCK, Shingler, discard, distinct, filter_udf, id_filter, pack_counts, stored, summed_blocks, text_buffer, white_words
+from dialectry.llm.common import BLOCK, Shingler, discard, distinct, filter_udf, holds, id_filter, pack_counts, stored, summed_blocks, text_buffer, white_words
 from dialectry.llm.components import components
 
 ORDER_BUCKETS = 1 << 22  #: buckets of the shingle order: one byte each is broadcast, whatever the input
@@ -112,16 +112,18 @@ def sets_of(named: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     shuffled.
     """
 
-    wanted = filter_udf(named.sparkSession, id_filter(ids))
+    wanted = named.sparkSession.sparkContext.broadcast(id_filter(ids))
 
     def run(batches):
+        # the filter is asked here and not before, which would take a second Python process a task
         s = Shingler(k, white_words())
         for batch in batches:
+            batch = batch.filter(pa.array(holds(wanted.value, batch.column(0).to_numpy(zero_copy_only=False))))
             for few in _chunks(batch):
                 hashes, at = s.shingles(*text_buffer(few.column(1)))
                 yield pa.record_batch([few.column(0), pa.array([distinct(hashes[a:b]).tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())], ["doc_id", "own"])
 
-    return named.where("doc_id is not null").where(wanted("doc_id")).mapInArrow(run, "doc_id long, own binary")
+    return named.where("doc_id is not null").mapInArrow(run, "doc_id long, own binary")
 
 
 class PairFilter:
