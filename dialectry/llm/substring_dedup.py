@@ -1,15 +1,16 @@
 """Substring deduplication by hashing lines, paragraphs or clauses, and runs of them.
 
 1. Every text is cut into units: paragraphs (between blank lines), lines, or clauses: lines cut
-   further behind ``. , ; : ! ?`` and behind words of ``LONG`` characters or more, so that passages without
-   marks hold whole units too, wherever their lines begin. A unit reaches from its first word to the first word of the next
-   one, so units tile the text; what stands before the first word belongs to none. A unit's words are
-   lower-cased runs of ASCII letters and digits and of non-ASCII characters: case, marks and white
-   space don't count.
+   further behind ``. , ; : ! ?`` and behind words of ``LONG`` characters or more, so that passages
+   without marks hold whole units too, wherever their lines begin. A unit reaches from its first word
+   to the first word of the next one, so units tile the text; what stands before the first word belongs
+   to none. A unit's words are lower-cased runs of ASCII letters and digits and of non-ASCII characters:
+   case, marks and white space don't count.
 2. From each unit on, the shortest run of adjacent units that reaches ``least`` words is hashed to 128
    bits. With ``least=1`` each unit stands for itself. The default of 32 finds passages of 50 words
-   inside other lines even where nine words at either end belong to a unit of the text around them. A single stock line is shorter than a run and
-   is left alone; a passage that is spread over lines, or stands inside longer ones, holds whole runs.
+   inside other lines even where nine words at either end belong to a unit of the text around them. A
+   single stock line is shorter than a run and is left alone; a passage that is spread over lines, or
+   stands inside longer ones, holds whole runs.
 3. Half of the digest is counted over all texts first (partial counts, then one shuffle of longs).
    Only runs whose half repeats go on; of equal runs the first in rank stays, the others are removed.
 4. A document loses the units of its removed runs, but for those that also belong to a run that
