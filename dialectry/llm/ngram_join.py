@@ -49,7 +49,7 @@ def _named(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
-def _chunks(batch, rows: int = 2000):
+def _chunks(batch, rows: int = 500):
     for lo in range(0, batch.num_rows, rows):
         yield batch.slice(lo, rows)
 
