@@ -1,8 +1,6 @@
 import random
 import time
 
-import numpy as np
-
 from dialectry.llm import html_extraction as H
 from dialectry.llm.html_extraction import MARK, extract, main_text
 
