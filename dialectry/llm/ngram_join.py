@@ -311,10 +311,12 @@ def one_per_component(docs: DataFrame, k: int = 5, percent: int = 80, text_col:
     others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
     rows = stored(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.struct(*others).alias("doc")), "rows", "zstd")
     groups = stored(linked_components(rows.select("row", "text"), k, percent, "text", "row").select(F.col("doc_id").alias("row"), "component_id"), "groups")
-    several = groups.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("component_id")
+    # stored, as the other small sides of joins by hot keys
+    several = stored(groups.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("component_id"), "several")
     members = stored(groups.join(several, "component_id").join(rows.select("row", "id"), "row"), "members")
-    best = members.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("by"))
+    best = stored(members.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("by")), "best")
     dropped = stored(members.join(best, "component_id").where("row <> by.row").select("row"), "dropped")
+    discard(several, members, best, groups)
     maybe = filter_udf(docs.sparkSession, id_filter(dropped))
     own = [(F.col("text") if c == text_col else F.col(f"doc.`{c}`")).alias(c) for c in docs.columns]
     checked = rows.where(maybe("row")).join(dropped, "row", "left_anti")
