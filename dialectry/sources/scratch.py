@@ -38,8 +38,13 @@ def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete stored tables that nothing reads any more: all that was made of them is stored itself."""
+    """Delete stored tables that nothing reads any more: all that was made of them is stored itself.
+
+    Shuffle files of finished jobs go when the driver collects its garbage, which may be long after; it is asked to.
+    """
     for t in tables:
         spark, path = t.sparkSession, t._scratch
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    if tables:
+        tables[0].sparkSession._jvm.System.gc()
