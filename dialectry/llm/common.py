@@ -30,6 +30,19 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
+SLICE = 1 << 22  #: bytes of text that a task works on at once, where no single row holds more
+
+
+def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows whose strings in ``column`` hold at most ``SLICE`` bytes together, or of one longer row."""
+    _, at = text_buffer(batch.column(column))
+    lo = 0
+    while lo < batch.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + SLICE, "right")) - 1)
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads every input bit over the 64 output bits."""
     x = x ^ (x >> np.uint64(30))

@@ -164,3 +164,65 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from dialectry.llm.secret_scan import findings
 
     return findings(read_table(spark, sf_dir, "documents"), threshold=0.5)
+
+
+@query
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dialectry.llm.spelling import spelling_variants
+
+    return spelling_variants(read_table(spark, sf_dir, "documents"), least=7, every=31, least_n=2, times=10)
+
+
+#: The CRC-32 of one byte: eight shifts.
+_CRC_BITS = "list_reduce(list_prepend({0}, range(8)), lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)"
+ORACLE["op11_spelling_variants"] = rf"""
+WITH RECURSIVE bytes AS (SELECT b::BIGINT AS b, {_CRC_BITS.format("b::BIGINT")} AS t FROM range(256) r(b)
+), tab AS (SELECT list(t ORDER BY b) AS ts FROM bytes
+), runs AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{{C0}}-\x{{FF}}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents
+), d AS (SELECT doc_id, run, count(*) AS k FROM runs WHERE length(run) >= 7 GROUP BY ALL
+), x AS (SELECT *, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS hx FROM d
+), h AS (
+  SELECT run, k, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(length(hx) // 2), lambda i: ('0x' || substr(hx, (2 * i + 1)::INTEGER, 2))::BIGINT)), lambda c, b: xor(c >> 8, ts[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM x, tab
+), n AS (
+  SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, (h % length(run))::BIGINT) || substr(run, (h % length(run) + 2)::BIGINT) ELSE run END AS word, sum(k)::BIGINT AS n FROM h GROUP BY 1
+), v AS (SELECT word, n FROM n WHERE length(word) >= 7 AND n >= 2
+), c AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS cut FROM (SELECT word, n, unnest(range(1, length(word) + 1))::BIGINT AS i FROM v)
+), p AS (
+  SELECT a.word AS word, b.word AS near, b.n AS near_n FROM c a JOIN c b ON a.cut = b.cut AND a.i = b.i AND a.word <> b.word
+  UNION SELECT c.word, v.word, v.n FROM c JOIN v ON v.word = c.cut UNION SELECT v.word, c.word, c.n FROM c JOIN v ON v.word = c.cut
+), g AS (SELECT word, count(*) AS n_near, first(near ORDER BY near_n DESC, near) AS best, max(near_n) AS best_n FROM p GROUP BY 1
+), f AS (SELECT v.word, v.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN best_n >= 10 * v.n THEN best END AS form, CASE WHEN best_n >= 10 * v.n THEN best_n END AS form_n FROM v LEFT JOIN g USING (word)
+), r AS (SELECT word, word AS root, 0 AS k FROM f UNION ALL SELECT r.word, f.form, k + 1 FROM r JOIN f ON f.word = r.root WHERE f.form IS NOT NULL
+)
+SELECT f.word, form, t.root, n, n_near, form_n FROM f JOIN (SELECT word, last(root ORDER BY k) AS root FROM r GROUP BY 1) t USING (word)
+"""
+
+
+@query
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dialectry.llm.fill_in_middle import fill_in_middle, with_digests
+
+    return with_digests(fill_in_middle(read_table(spark, sf_dir, "documents"), seed=1, moved_percent=90, spm_percent=20))
+
+
+ORACLE["op12_fill_in_middle"] = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, ''))::BIGINT AS n, sha256('1:' || doc_id) AS h FROM documents
+), g AS (SELECT *, ('0x' || substr(h, 1, 8))::BIGINT AS h1, ('0x' || substr(h, 9, 8))::BIGINT AS h2, ('0x' || substr(h, 17, 8))::BIGINT AS h3, ('0x' || substr(h, 25, 8))::BIGINT AS h4 FROM t
+), f AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+    CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM g
+), c AS (SELECT *, left(text, a) AS p, substr(text, a + 1, b - a) AS m, substr(text, b + 1) AS s FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256
+FROM c
+"""
+
+
+@query
+def op13_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from dialectry.llm.pieces import decoded, encoded, with_digests
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    return with_digests(decoded(encoded(read_table(spark, sf_dir, "documents"), path), path))
