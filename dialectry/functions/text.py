@@ -192,7 +192,7 @@ def token_count(c: Column) -> Column:
     return F.size(F.filter(tokens, lambda t: (t != "") & ~t.rlike(punct))).cast("long")
 
 
-def _tidy(c: Column) -> Column:
+def tidy(c: Column) -> Column:
     """Strip, then every run of white space but line feeds becomes one space; text that is tidy already is only looked at."""
     stripped = F.regexp_replace(c, F.lit(r"(?U)^\s+|\s+$"), F.lit(""))
     return F.when(c.rlike(r"(?U)^\s|\s$|[^\S\n ]|  "), F.regexp_replace(stripped, F.lit(r"(?U)[^\S\n]+"), F.lit(" "))).otherwise(c)
@@ -201,7 +201,7 @@ def _tidy(c: Column) -> Column:
 def paragraphs(c: Column) -> Column:
     """Texts between blank lines that hold two letters; null stays null, a blank text has none."""
     parts = F.split(c, PARAGRAPH_BREAK)
-    return F.transform(F.filter(parts, lambda p: has_letters(p)), _tidy)
+    return F.transform(F.filter(parts, lambda p: has_letters(p)), tidy)
 
 
 def segments(c: Column) -> Column:
@@ -209,7 +209,7 @@ def segments(c: Column) -> Column:
     lines = F.split(c, LINE_BREAK)
     cut = r"(?U)(?<=[.!?…])(?<!\b\p{Lu}\.)\s+(?=[\p{Lu}\p{N}«“\"'(\[¿¡-])"
     sentences = F.flatten(F.transform(lines, lambda x: F.split(x, cut)))
-    return F.transform(F.filter(sentences, lambda p: has_letters(p)), _tidy)
+    return F.transform(F.filter(sentences, lambda p: has_letters(p)), tidy)
 
 
 def normalise_spaces(c: Column) -> Column:

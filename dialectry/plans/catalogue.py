@@ -18,7 +18,7 @@ from dialectry.operators import enrich as E
 from dialectry.operators import features as V
 from dialectry.operators import metrics as M
 from dialectry.operators import split as P
-from dialectry.plans import histories, learning, roundtrips  # noqa: F401
+from dialectry.plans import boundaries, histories, learning, roundtrips  # noqa: F401
 from dialectry.plans.registry import ORACLE, QUERIES, documents, query, table
 
 
