@@ -167,23 +167,65 @@ def keep_levels(df: DataFrame, levels: list[str]) -> DataFrame:
     return df.where(~F.coalesce("oc_level_max", F.lit("NULL")).isin(*dropped)) if dropped else df
 
 
-def article_metadata(arts: DataFrame, contribs: DataFrame, people: DataFrame, order: str = "desc") -> DataFrame:
-    """The articles with all contributor metadata."""
-    c = with_users(contribs, people)
-    parts = [
-        top_contributors(contribs).drop("nb_revisions"),
-        level_first_max(c, order),
-        bot_revisions(c),
-        user_varieties(c),
-        ranking_json(ranking(c, "user_id", "freq"), "user_id", "user_rank_freq"),
-        ranking_json(ranking(c, "user_id", "size"), "user_id", "user_rank_size"),
-        ranking_json(ranking(c, "oc_level", "freq"), "oc_level", "oc_level_rank_freq"),
-        ranking_json(ranking(c, "oc_level", "size"), "oc_level", "oc_level_rank_size"),
-        contribs.groupBy("page_id").agg(F.min_by("contributor_id", "pos_revision").alias("user_creator_id"), F.max_by("contributor_id", "pos_revision").alias("user_latest_id")),
-    ]
+#: What is known of a contributor to a page; all of it can be kept up to date revision by revision.
+STATS = "n long, size long, rank_size long, first long, last long, first_filled long, last_filled long, first_big long, last_big long"
+
+
+def contributor_stats(contribs: DataFrame) -> DataFrame:
+    """One row per page and contributor: revisions, weights, and the places of the first and last revision, filled one and significant one.
+
+    All contributor metadata follows from these rows.
+    """
+    pos, diff = F.col("pos_revision").cast("long"), F.col("diff_bytes")
+    filled, big = F.when(F.col("len_bytes") >= NON_EMPTY_BYTES, pos), F.when(F.col("len_bytes") >= SIGNIFICANT_BYTES, pos)
+    return contribs.groupBy("page_id", "contributor_id", "user_id").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(contribution_weight(diff)).alias("size"), F.sum(rank_weight(diff)).alias("rank_size"), F.min(pos).alias("first"), F.max(pos).alias("last"),
+        F.min(filled).alias("first_filled"), F.max(filled).alias("last_filled"), F.min(big).alias("first_big"), F.max(big).alias("last_big"),
+    )
+
+
+def _rankings(c: DataFrame, key: str, name: str) -> DataFrame:
+    """Per page the rankings of a key by count and by size, as ordered JSON objects; ties as in :func:`ranking`."""
+    per = c.groupBy("page_id", key).agg(F.sum("n").alias("freq"), F.sum("rank_size").alias("size"), F.max("last").alias("last"))
+    named = F.concat(F.lit('"'), F.coalesce(F.col(key).cast("string"), F.lit("null")), F.lit('": '))
+
+    def of(value: str) -> Column:
+        item = F.struct((-F.col(value)).alias("v"), (-F.col("last")).alias("l"), F.concat(named, F.col(value).cast("string")).alias("t"))
+        return F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["t"]), ", "), F.lit("}"))
+
+    return per.groupBy("page_id").agg(of("freq").alias(f"{name}_freq"), of("size").alias(f"{name}_size"))
+
+
+def metadata_of(arts: DataFrame, stats: DataFrame, people: DataFrame, order: str = "desc") -> DataFrame:
+    """The articles with all contributor metadata, from the statistics of their contributors.
+
+    Statistics meet their users once and are dealt out by page once; everything per page is computed there.
+    """
+    c = with_users(stats, people).repartition(F.col("page_id"))
+    at, filled = ("last_big", "first_filled") if order == "desc" else ("first_big", "last_filled")
+    over = Window.partitionBy("page_id")
+    c = c.withColumn("_a", (F.max(at) if order == "desc" else F.min(at)).over(over))
+    here, on = F.col(at) == F.col("_a"), (F.col(filled) <= F.col("_a")) if order == "desc" else (F.col(filled) >= F.col("_a"))
+    varieties = F.array_sort(F.collect_set(F.nullif(F.col("dialect"), F.lit(""))))
+    pages = c.groupBy("page_id").agg(
+        F.max_by("contributor_id", F.struct("n", -F.col("first"))).alias("user_most_contrib_id"),
+        F.max_by("contributor_id", F.struct("size", -F.col("first"))).alias("user_biggest_contrib_id"),
+        F.count(F.lit(1)).alias("nb_contributors"),
+        F.max(F.when(here, F.col("oc_level"))).alias("oc_level_first"),
+        F.try_element_at(F.array(*map(F.lit, LEVELS)), F.max(F.when(on, X.level_rank(F.col("oc_level")))).cast("int")).alias("oc_level_max"),
+        F.coalesce(F.max(F.when(here, F.col("is_bot"))), F.lit(0)).cast("int").alias("bot_first_author"),
+        F.coalesce(F.sum(F.when(F.col("is_bot") == 1, F.col("n"))), F.lit(0)).alias("bot_nb_revisions"),
+        F.when(F.size(varieties) > 0, F.array_join(varieties, " ")).alias("user_dialects"),
+        F.min_by("contributor_id", "first").alias("user_creator_id"),
+        F.max_by("contributor_id", "last").alias("user_latest_id"),
+        F.coalesce(F.min_by(F.coalesce("is_bot", F.lit(0)), "first"), F.lit(0)).cast("int").alias("bot_created"),
+    )
     out = arts.drop("revision").withColumnRenamed("id", "page_id")
-    for p in parts:
+    for p in (pages, _rankings(c, "user_id", "user_rank"), _rankings(c, "oc_level", "oc_level_rank")):
         out = out.join(p, "page_id", "left")
-    creator = people.select(F.col("id").alias("_creator"), (F.col("is_bot") == 1).alias("_bot"))
-    out = out.join(creator, F.col("user_creator_id").try_cast("long") == F.col("_creator"), "left")
-    return out.withColumn("bot_created", F.coalesce("_bot", F.lit(False)).cast("int")).drop("_creator", "_bot").withColumnRenamed("page_id", "id")
+    return out.withColumn("bot_created", F.coalesce("bot_created", F.lit(0))).withColumnRenamed("page_id", "id")
+
+
+def article_metadata(arts: DataFrame, contribs: DataFrame, people: DataFrame, order: str = "desc") -> DataFrame:
+    """The articles with all contributor metadata, from their contributions."""
+    return metadata_of(arts, contributor_stats(contribs), people, order)
