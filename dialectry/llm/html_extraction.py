@@ -9,7 +9,10 @@ blocks of the region outside boilerplate elements are the page's main text.
 
 Boilerplate is what an element's name, role or a word of its class or id says of menus, headers,
 footers, sidebars, notices, adverts, forms and reader comments; headers and footers inside an article
-belong to it. Names that only often stand for boilerplate (``SOFT``: related, share, tags, ...) lower
+belong to it. Names mislead: an element is kept after all if it holds the page's largest main or article
+element (``Page.spared``), or if without it less than a tenth of the page's words outside links would be left; an
+element for reader comments only if nothing would be. A menu that is never closed ends at the next heading,
+paragraph, article or main element. Names that only often stand for boilerplate (``SOFT``: related, share, tags, ...) lower
 the weight of their words, so the scan may leave them out at either end, but nothing inside the region
 is dropped for them.
 
@@ -61,6 +64,11 @@ EDGES = frozenset("header masthead banner topbar footer footnav toolbar".split()
 SOFT = frozenset("byline disclaimer modal overlay pager pagination paywall popup promo promoted promotion recommended related reply share sharing skip social sponsor subscription tags teaser widget widgets".split())
 HINT_CUT = re.compile(r"[^a-z]+")
 DROPPED, MAYBE = 2, 1
+#: Words that name reader comments; the share of a page's words that must be left when elements are dropped, and the words when comments are.
+READERS = frozenset("comment comments commentlist disqus replies respond".split())
+LEFT, FEW = 0.1, 10
+#: Elements that a menu left open ends at.
+STARTS_CONTENT = frozenset("article main h1 h2 h3 h4 h5 h6 p".split())
 
 
 def _named_boilerplate(attrs: str, inside: bool) -> int:
@@ -86,69 +94,150 @@ class Page:
 
     def __init__(self, source: str):
         self.kinds: list[tuple[str, int]] = []
-        self.runs: list[tuple[int, str, int, bool]] = []  # token, text, block, dropped
-        self.mains: list[list[int]] = []  # first and last token of article and main elements
+        self.runs: list[tuple[int, str, int, int]] = []  # token, text, block, innermost dropped element or -1
+        self.mains: list[list[int]] = []  # first and last token of outermost article and main elements, the dropped element around, whether a main
         self.block = 0
+        self._within: list[int] = []  # of each token the innermost dropped element or -1
+        self._parent: list[int] = []  # of each dropped element the one around it or -1
+        self._readers: list[bool] = []  # whether it is for reader comments
+        self._words: list[int] = []  # its own words outside links
         self._open: list[tuple[str, int, int]] = []  # name, what it says, number of the main element or -1
+        self._drops: list[int] = []  # open dropped elements
         self._count: Counter = Counter()  # open elements by name, by what they say, and "main"
-        at = 0
-        for m in TOKEN.finditer(source):
+        tags = [(m, m["name"].lower() if m["name"] else "") for m in TOKEN.finditer(source)]
+        menus = Counter((name, bool(m["end"])) for m, name in tags if name in ("nav", "menu"))
+        self._loose = {name for name in ("nav", "menu") if menus[name, False] > menus[name, True]}
+        at = self._plain = 0
+        for m, name in tags:
             if m.start() > at:
                 self._text(source[at : m.start()])
             at = m.end()
-            if m["name"]:
-                self._tag(m["name"].lower(), bool(m["end"]), m["attrs"])
+            if name:
+                self._tag(name, bool(m["end"]), m["attrs"])
         if at < len(source):
             self._text(source[at:])
         while self._open:
             self._close()
+        self._settle()
 
     def _text(self, text: str) -> None:
         words = len(text.split())
         if not text:
             return
-        off = self._count[DROPPED] > 0
-        self.runs.append((len(self.kinds), text, self.block, off))
+        within = self._drops[-1] if self._drops else -1
+        self.runs.append((len(self.kinds), text, self.block, within))
         if words:
-            self.kinds.append(("word:off" if off else "word:link" if self._count["a"] else "word:maybe" if self._count[MAYBE] else "word", words))
-
-    def _push(self, name: str, says: int, main: int) -> None:
+            self._within.append(within)
+            self.kinds.append(("word:link" if self._count["a"] else "word:maybe" if self._count[MAYBE] else "word", words))
+            if not self._count["a"]:
+                if within < 0:
+                    self._plain += words
+                else:
+                    self._words[within] += words
+
+    def _push(self, name: str, says: int, main: int, attrs: str = "") -> None:
         self._open.append((name, says, main))
         self._count.update((name, says) if main < 0 else (name, says, "main"))
+        if says == DROPPED:
+            named = {w for m in ATTR.finditer(attrs or "") if m[1].lower() in ("class", "id") for w in HINT_CUT.split((m[2] or m[3] or m[4] or "").lower())}
+            self._parent.append(self._drops[-1] if self._drops else -1)
+            self._readers.append(not READERS.isdisjoint(named))
+            self._drops.append(len(self._words))
+            self._words.append(0)
 
     def _close(self) -> str:
         name, says, main = self._open.pop()
         self._count.subtract((name, says) if main < 0 else (name, says, "main"))
         if main >= 0:
             self.mains[main][1] = len(self.kinds)
+        if says == DROPPED:
+            self._drops.pop()
         return name
 
     def _tag(self, name: str, end: bool, attrs: str) -> None:
+        if name in STARTS_CONTENT and not end and self._loose:
+            for menu in self._loose:
+                while self._count[menu] > 0:
+                    self._close()
         if name in BLOCK:
             self.block += 1
         inside = self._count["main"] > 0
         if name in CONTAINER:
             if not end:
                 main = -1
-                if name in ("article", "main") and not self._count[DROPPED] and not inside:
+                if name in ("article", "main") and not inside:
                     main = len(self.mains)
-                    self.mains.append([len(self.kinds), len(self.kinds)])
+                    self.mains.append([len(self.kinds), len(self.kinds), self._drops[-1] if self._drops else -1, name == "main"])
                 says = _named_boilerplate(attrs, inside) if attrs and name not in ("html", "body", "article", "main") else 0
                 if name in BOILERPLATE and not (inside and name == "footer") or name == "header" and not inside:
                     says = DROPPED
-                self._push(name, says, main)
+                self._push(name, says, main, attrs)
             elif self._count[name]:
                 while self._close() != name:
                     pass
         elif not end and name not in VOID and name not in ("p", "span", "b", "i", "em", "strong") and attrs and _named_boilerplate(attrs, inside) == DROPPED:
             # other named elements hold no containers of their own that matter: followed until they close
-            self._push(name, DROPPED, -1)
+            self._push(name, DROPPED, -1, attrs)
         elif end and self._open and self._open[-1][0] == name:
             self._close()
         elif name == "br":
-            self.runs.append((len(self.kinds), " ", self.block, self._count[DROPPED] > 0))
+            self.runs.append((len(self.kinds), " ", self.block, self._drops[-1] if self._drops else -1))
+        self._within.append(-1)
         self.kinds.append((("/" if end else "") + name, 1))
 
+    def _settle(self) -> None:
+        """Decide what stays dropped, and name the words there ``word:off``."""
+        spared = self.spared()
+        off = []
+        for e, parent in enumerate(self._parent):  # parents come first
+            off.append(e not in spared or parent >= 0 and off[parent])
+        gone = [*off, False]  # the last entry is that of -1
+        self.runs = [(token, text, block, gone[e]) for token, text, block, e in self.runs]
+        self.kinds = [("word:off", n) if gone[e] else (kind, n) for (kind, n), e in zip(self.kinds, self._within)]
+        self.mains = [[a, b] for a, b, e, _ in self.mains if not gone[e]]
+
+    def spared(self) -> set[int]:
+        """The elements that are kept though their names say boilerplate."""
+        if not self._words:
+            return set()
+        total = list(self._words)
+        readers = list(self._readers)
+        for e in range(len(total) - 1, -1, -1):
+            if self._parent[e] >= 0:
+                total[self._parent[e]] += total[e]
+        for e, parent in enumerate(self._parent):
+            readers[e] |= parent >= 0 and readers[parent]
+        spared, kept = set(), self._plain
+        words, up = [0], 0
+        for kind, n in self.kinds:
+            words.append(words[-1] + (n if kind in ("word", "word:maybe") else 0))
+        # the largest main, else the largest article outside comments, else one in what is called comments
+        known = [(words[b] - words[a], e, is_main) for a, b, e, is_main in self.mains]
+        for chosen in ([x for x in known if x[2]], [x for x in known if x[1] < 0 or not readers[x[1]]], known if kept < FEW else []):
+            if chosen:
+                size, up, _ = max(chosen, key=lambda x: x[0])
+                if 2 * size >= size + kept:
+                    while up >= 0:
+                        spared.add(up)
+                        kept += self._words[up]
+                        up = self._parent[up]
+                break
+        whole = self._plain + sum(self._words)
+        below: dict[int, list[int]] = {}
+        for e, parent in enumerate(self._parent):
+            below.setdefault(parent, []).append(e)
+        outer = [e for at in (-1, *spared) for e in below.get(at, []) if e not in spared]
+        while outer and kept < LEFT * whole:
+            able = [e for e in outer if not readers[e] or kept < FEW]
+            e = max(able, key=lambda x: total[x], default=-1)
+            if e < 0 or 2 * total[e] < whole - kept:
+                break
+            spared.add(e)
+            kept += self._words[e]
+            outer.remove(e)
+            outer += below.get(e, [])
+        return spared
+
 
 MARK = "<!--|-->"
 PAGES, SEED = 400, 11
@@ -271,13 +360,14 @@ def main_text(source: str | None, weights: dict[str, float] | None = None, whole
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """page_id, url, text and n_chars of every page."""
+    """page_id, url, text and n_chars of every page. The weights are learned once, and sent along."""
+    weights = learned_weights()
 
     def run(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 few = batch.slice(lo, 500)
-                text = [main_text(x.as_py()) for x in few.column(2)]
+                text = [main_text(x.as_py(), weights) for x in few.column(2)]
                 yield pa.record_batch([few.column(0), few.column(1), pa.array(text, pa.string()), pa.array(list(map(len, text)), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     named = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))

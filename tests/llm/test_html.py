@@ -54,6 +54,36 @@ def test_nothing_else_is_dropped():
     assert main_text(loose) == f"{(text * 3).strip()}\n\n{text.strip()}"
 
 
+PARAGRAPHS = ["The first paragraph of the article tells what happened and goes on for a good while, " * 3, "The second one tells what people said about it, and why it matters to all of them, " * 3]
+ARTICLE = "<h1>What happened</h1>" + "".join(f"<p>{x}</p>" for x in PARAGRAPHS)
+WANTED = "\n\n".join(["What happened", *(x.strip() for x in PARAGRAPHS)])
+MENU = "<ul>" + "".join(f"<li><a href='/{i}'>item {i}</a></li>" for i in range(8)) + "</ul>"
+
+
+def page_of(start, end, article=ARTICLE):
+    return f"<html><head><title>t</title></head><body><header><nav>{MENU}</nav></header>{start}{article}{end}<footer><p>all rights reserved by us</p>{MENU}</footer></body></html>"
+
+
+def test_misleading_names_do_not_lose_the_article():
+    cases = ["<form id='f' action='/'>|</form>", "<form><div class='content'>|</div></form>", "<form><article>|</article></form>", "<div class='content-sidebar-wrap'><main>|</main></div>", "<div class='page no-sidebar'>|</div>", "<div class='layout has-menu'><article>|</article></div>", "<div role='dialog'><div class='has-ads'><main>|</main></div></div>", "<div hidden>|</div>", "<aside><article>|</article></aside>"]
+    for case in cases:
+        assert main_text(page_of(*case.split("|"))) == WANTED, case
+    for start in ("<nav>" + MENU, "<nav class='menu'><a>x</a> <a>y</a>"):
+        for inner in (ARTICLE, f"<article>{ARTICLE}</article>", f"<main>{ARTICLE}</main>"):
+            assert main_text(f"<body>{start}{inner}<footer><p>rights</p></footer></body>") == WANTED
+    for word in sorted(H.HINTS | H.EDGES):
+        for inner in (f"<article>{ARTICLE}</article>", f"<main>{ARTICLE}</main>", f"<div>{ARTICLE}</div>"):
+            assert main_text(page_of(f"<div class='page {word}-x'>", "</div>", inner)) == WANTED, word
+
+
+def test_what_names_say_holds_where_the_article_is_elsewhere():
+    long = "<p>" + "so many words that nobody asked for but that were written here " * 30 + "</p>"
+    for extra in (f"<div id='comments'>{long}</div>", f"<div class='comments'><article>{long}</article><article>{long}</article></div>", f"<footer>{long}</footer>" if len(long) < 900 else "", f"<aside><article><p>a teaser of a few words</p></article></aside>", "<form><label>name</label><p>write to us about this</p></form>"):
+        for inner in (f"<article>{ARTICLE}</article>", f"<div>{ARTICLE}</div>"):
+            assert main_text(page_of("", extra, inner)) == WANTED, extra
+    assert main_text(f"<body><div>{ARTICLE}</div><aside><p>{'more of this ' * 60}</p></aside></body>") == WANTED
+
+
 def test_open_and_unmatched_tags_take_linear_time():
     began = time.perf_counter()
     main_text("<div>" * 40_000 + "</section>" * 40_000 + "<p>x y z" * 20_000)
