@@ -277,6 +277,12 @@ def config_name(params: dict) -> str:
     return "_".join(parts)
 
 
+def config_name_of(params: Column) -> Column:
+    """:func:`config_name` of a map column; null values count as empty."""
+    value = lambda e: F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(e["value"], F.lit(""))), F.lit("[^a-z0-9]+"), F.lit("-")), F.lit("^-+|-+$"), F.lit(""))
+    return F.array_join(F.transform(F.array_sort(F.map_entries(params)), lambda e: F.concat(F.substring(e["key"], 1, 4), value(e))), "_")
+
+
 def date_part(c: Column) -> Column:
     """An ISO time cut at ``T``; null and empty stay."""
     return F.substring_index(c, "T", 1)

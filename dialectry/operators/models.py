@@ -23,6 +23,7 @@ from dialectry.functions import text as X
 from dialectry.operators import features as feat
 from dialectry.operators import linear
 from dialectry.operators import metrics as M
+from dialectry.operators import split as P
 from dialectry.sources.scratch import discard, stored
 
 
@@ -134,6 +135,11 @@ def feature_table(clf: NgramClassifier, n: int) -> DataFrame:
     return wide.withColumn("weight_total_absolute", total).orderBy(F.desc("weight_total_absolute"), "term").limit(n)
 
 
+def run_rows(df: DataFrame, seed: int, share: float = 0.9, doc: str = "row_id") -> DataFrame:
+    """The ``share`` of the rows that a run's seed draws, by a hash."""
+    return df.where(P.drawn(str(seed), F.col(doc)) < int(share * (1 << 40)))
+
+
 def train_runs(df: DataFrame, evaluate: Callable[[NgramClassifier], dict[str, float]], seeds: list[int], best_on: str = "recall_macro", share: float = 0.9, doc: str = "row_id", **options) -> tuple[NgramClassifier, dict[str, float], int]:
     """Train once per seed; the best model, the mean scores and the best seed.
 
@@ -141,8 +147,7 @@ def train_runs(df: DataFrame, evaluate: Callable[[NgramClassifier], dict[str, fl
     """
     runs = []
     for seed in seeds:
-        drawn = F.pmod(F.xxhash64(F.lit(seed), doc), F.lit(1 << 20)) < int(share * (1 << 20))
-        clf = train(df.where(drawn), doc=doc, **options)
+        clf = train(run_rows(df, seed, share, doc), doc=doc, **options)
         runs.append((seed, clf, evaluate(clf)))
     seed, clf, _ = max(runs, key=lambda r: r[2][best_on])
     names = runs[0][2].keys()
@@ -154,8 +159,7 @@ def grid_search(df: DataFrame, grid: dict[str, list], folds: int = 5, label: str
 
     Parameters of the solver (``c``, ``balanced``, ``max_iter``) share the features of a fold.
     """
-    place = F.row_number().over(Window.partitionBy(label).orderBy(F.xxhash64(doc), doc))
-    fold = df.select(doc, label).where(F.col(label).isNotNull()).withColumn("_fold", (place - 1) % folds).select(F.col(doc).alias("_doc"), "_fold")
+    fold = P.stratified_folds(df, folds, label, doc).select(F.col(doc).alias("_doc"), F.col("fold").alias("_fold"))
     rows = stored(df.join(fold, F.col(doc) == F.col("_doc")).drop("_doc"), "folds")
     combos = [dict(zip(grid, values)) for values in itertools.product(*grid.values())]
     spark, got = df.sparkSession, []

@@ -69,8 +69,8 @@ def select_balanced(df: DataFrame, n: int | None = None, label: str = "dialect",
 
     Within a class, in row order over rows with units, a row is a candidate while the units before it
     are below the cap. Candidates are taken by (round, class) while the units before them are below n.
-    Only orders, labels and units are sorted, and only candidates, whose number the caps bound, meet in
-    the final running sum.
+    Only orders, labels and units are sorted. Where the caps bound the candidates, these meet in the final
+    running sum; where they don't, no class and no sum is in one task.
     """
     caps = class_caps(df, label, units, **(limits or {}))
     total = caps.agg(F.coalesce(F.sum("cap"), F.lit(0))).first()[0]
@@ -88,8 +88,11 @@ def select_balanced(df: DataFrame, n: int | None = None, label: str = "dialect",
     else:
         slim = running(slim)
     candidates = slim.join(caps.select(F.col(label).alias("_l"), "cap"), "_l").where("_b < cap")
-    every = Window.orderBy("_r", "_l").rowsBetween(Window.unboundedPreceding, 0)
-    taken = candidates.withColumn("_g", F.sum("_u").over(every) - F.col("_u")).where(F.col("_g") < n).select("_o")
+    if most:
+        placed = candidates.withColumn("_g", F.sum("_u").over(Window.orderBy("_r", "_l").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_u"))
+    else:
+        placed = units_before(candidates.select("_r", "_l", "_o", "_u"), ["_r", "_l"], "_u", "_g")
+    taken = placed.where(F.col("_g") < n).select("_o")
     return df.join(taken, F.col(order) == F.col("_o"), "left_semi")
 
 
@@ -107,11 +110,36 @@ def running(slim: DataFrame) -> DataFrame:
     return within.join(bases, ["_l", "_p"]).select("_l", "_o", "_u", (F.col("_rows") + F.col("_k")).alias("_r"), (F.col("_units") + F.col("_w")).alias("_b"))
 
 
+def units_before(df: DataFrame, order: list[str], units: str, name: str) -> DataFrame:
+    """``df`` with the sum of ``units`` over all rows before a row in ``order``, which tells rows apart.
+
+    Rows are sorted over range partitions and stored; one total a partition goes to the driver and back.
+    """
+    placed = stored(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()), "placed")
+    bases, at = [], 0
+    for p, total in sorted(placed.groupBy("_p").agg(F.sum(units)).collect()):
+        bases.append((p, at))
+        at += total
+    own = Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    known = F.broadcast(df.sparkSession.createDataFrame(bases, "_p int, _base long"))
+    return placed.join(known, "_p").withColumn(name, F.col("_base") + F.sum(units).over(own) - F.col(units)).drop("_p", "_base")
+
+
+def drawn(seed: str, key: Column) -> Column:
+    """A whole number below 2^40 by a hash of seed and key, which SQL can repeat."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), key.cast("string"))), 1, 10), 16, 10).cast("long")
+
+
+def stratified_folds(df: DataFrame, folds: int, label: str = "dialect", order: str = "row_id", seed: str = "folds") -> DataFrame:
+    """(order, fold): the rows of each class dealt out in turn, in the order of a hash; rows without a label are in no fold."""
+    slim = df.where(F.col(label).isNotNull()).select(F.col(label).alias("_l"), F.struct(drawn(seed, F.col(order)).alias("h"), F.col(order).alias("o")).alias("_o"), F.lit(1).cast("long").alias("_u"))
+    return running(slim).select(F.col("_o.o").alias(order), ((F.col("_r") - 1) % folds).cast("int").alias("fold"))
+
+
 def select_weighted(df: DataFrame, n: int, label: str = "dialect", order: str = "row_id", seed: int = 1) -> DataFrame:
     """A sample without replacement, rows weighted by their class's share (exponential keys from a hash of seed and order)."""
     weighted = class_weights(df, label)
-    drawn = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(order).cast("string"))), 1, 10), 16, 10).cast("long")
-    u = (drawn + 1) / float((1 << 40) + 1)
+    u = (drawn(str(seed), F.col(order)) + 1) / float((1 << 40) + 1)
     return weighted.withColumn("_key", -F.log(u) / F.col("weight")).orderBy("_key", order).limit(n).select(*df.columns)
 
 

@@ -359,10 +359,10 @@ def text_blocks(df: DataFrame, grams: int, subwords: tuple[int, int] | None, buc
     return rows, stored(rows.select("block", F.explode("ids").alias("id")).distinct(), "needs")
 
 
-def train_classifier(df: DataFrame, tokens: str = "tokens", label: str = "label", dim: int = 300, n_epochs: int = 20, rate: float = 0.1, grams: int = 1, subwords: tuple[int, int] | None = None, buckets: int = 200_000, pretrained: SubwordVectors | None = None, block_tokens: int = 1 << 19, seed: int = 1) -> SubwordClassifier:
+def train_classifier(df: DataFrame, tokens: str = "tokens", label: str = "label", dim: int = 300, n_epochs: int = 20, rate: float = 0.1, grams: int = 1, subwords: tuple[int, int] | None = None, buckets: int = 200_000, pretrained: SubwordVectors | None = None, block_tokens: int = 1 << 19, seed: int = 1, passes: int = 1) -> SubwordClassifier:
     """A linear classifier on the mean of a text's vectors, with hierarchical softmax over the labels' Huffman tree.
 
-    ``pretrained`` vectors are where training begins. Rows without a label take no part; labels are counted in
+    ``pretrained`` vectors are where training begins; blocks go ``passes`` times over their rows in an epoch before vectors are averaged. Rows without a label take no part; labels are counted in
     the driver, whose memory they bound.
     """
     spark = df.sparkSession
@@ -385,12 +385,11 @@ def train_classifier(df: DataFrame, tokens: str = "tokens", label: str = "label"
         a, o = local_vectors(inputs, held, dim, set()).copy(), local_vectors(node_ids, held, dim, set(node_ids)).copy()
         texts = [np.array([place[i] for i in x], dtype=np.int64) for x in lists]
         used_in, used_out = np.zeros(len(inputs)), np.zeros(len(node_ids))
-        order = rng.permutation(len(texts))
-        for t, r in enumerate(order):
+        for t, r in enumerate(np.concatenate([rng.permutation(len(texts)) for _ in range(passes)])):
             ids = texts[r]
             if not len(ids) or not node_ids:
                 continue
-            lr = rate * (1 - (epoch + t / len(order)) / n_epochs)
+            lr = rate * (1 - (epoch + t / (passes * len(texts))) / n_epochs)
             path = paths[y[r]]
             h = a[ids].mean(axis=0)
             g = lr * (np.array(turns[y[r]], dtype=np.float32) - sigmoid(o[path] @ h))
