@@ -21,7 +21,7 @@ from pyspark.sql.window import Window
 
 from dialectry.functions import text as X
 from dialectry.operators import features as feat
-from dialectry.operators import linear
+from dialectry.operators import linear, linear_blocks
 from dialectry.operators import metrics as M
 from dialectry.operators import split as P
 from dialectry.sources.scratch import discard, stored
@@ -122,6 +122,35 @@ def train(df: DataFrame, text: str = "text", label: str = "dialect", doc: str =
     return NgramClassifier(w, names, w_terms, c_terms, terms, tokens, list_col)
 
 
+@dataclass
+class TableClassifier(NgramClassifier):
+    """A linear model whose weights are a table (idx, label number, weight), the bias at the number of features."""
+
+    table: DataFrame | None = None
+
+    def predict(self, df: DataFrame, text: str = "text", doc: str = "row_id") -> DataFrame:
+        names, size = F.array(*map(F.lit, self.labels)), self.terms.count()
+        got = linear_blocks.predict(self.features(df, text, doc), self.table, size, doc)
+        bias = {r["label"]: r["weight"] for r in self.table.where(F.col("idx") == size).collect()}
+        default = max(range(len(self.labels)), key=lambda k: (bias.get(k, 0.0), -k))
+        return df.join(got, doc, "left").withColumn("label_pred", F.element_at(names, F.coalesce("best", F.lit(default)) + 1)).drop("best")
+
+    def weights(self) -> DataFrame:
+        names = F.array(*map(F.lit, self.labels))
+        return self.terms.join(self.table.withColumnRenamed("label", "_k"), "idx").select("term", F.element_at(names, F.col("_k") + 1).alias("label"), "weight")
+
+    def save(self, path: str) -> None:
+        raise NotImplementedError("write the tables themselves")
+
+
+def train_in_blocks(df: DataFrame, text: str = "text", label: str = "dialect", doc: str = "row_id", words: bool = True, chars: bool = True, max_iter: int = 2000, c: float = 1.0, min_df: int = 2, max_df: float = 0.9, tokens: Callable = X.tokenize, list_col: str | None = None, balanced: bool = True) -> TableClassifier:
+    """:func:`train`, for vocabularies whose weights no single process should hold."""
+    (w_terms, c_terms, terms), rows, names, counts = prepare(df, text, label, doc, words, chars, min_df, max_df, tokens, list_col)
+    table = linear_blocks.fit(rows, terms.count(), counts, c, balanced, max_iter)
+    discard(rows)
+    return TableClassifier(np.zeros((0, len(names))), names, w_terms, c_terms, terms, tokens, list_col, table)
+
+
 def top_features(clf: NgramClassifier, n: int = 20) -> DataFrame:
     """The n features with the largest weight of each label, with their rank."""
     k = F.row_number().over(Window.partitionBy("label").orderBy(F.desc("weight"), "term"))

@@ -130,3 +130,16 @@ def subword_classifier(spark, d):
     f1 = 2 * F.count_if((F.col("ref") == F.col("label")) & (F.col("pred") == F.col("label"))) / (F.count_if(F.col("ref") == F.col("label")) + F.count_if(F.col("pred") == F.col("label")))
     each = got.select(F.explode(F.array_distinct(F.array("ref", "pred"))).alias("label"), "ref", "pred")
     return each.groupBy("label").agg(F.count_if(F.col("ref") == F.col("label")).alias("n"), (f1 > 0.9).alias("f1_above_90")).where("n > 0")
+
+
+@query("SELECT doc_id AS row_id, lang AS label_pred FROM documents")
+def linear_blocks_predict(spark, d):
+    """The linear model with weights as a table."""
+    rows = marked(spark, d)
+    return models.train_in_blocks(rows, chars=False, tokens=lambda c: F.split(c, " "), max_df=0.95).predict(rows).select("row_id", "label_pred")
+
+
+@query("SELECT lang AS label, 'w_mark' || lang AS term, 1 AS rank FROM documents GROUP BY lang")
+def linear_blocks_top_feature(spark, d):
+    rows = marked(spark, d)
+    return models.top_features(models.train_in_blocks(rows, chars=False, tokens=lambda c: F.split(c, " "), max_df=0.95), 1).select("label", "term", "rank")
