@@ -17,6 +17,7 @@ from dialectry.operators import contributions as C
 from dialectry.operators import enrich as E
 from dialectry.operators import features as V
 from dialectry.operators import metrics as M
+from dialectry.operators import quantiles as Q
 from dialectry.operators import split as P
 from dialectry.plans import boundaries, histories, learning, roundtrips  # noqa: F401
 from dialectry.plans.registry import ORACLE, QUERIES, documents, query, table
@@ -95,6 +96,12 @@ def year_span(spark, d):
     return A.describe(table(spark, d, "orders").select(F.year("o_orderdate").alias("y")), "y")
 
 
+@query(" UNION ALL ".join(f"SELECT lang, {p}::DOUBLE AS prob, quantile_cont(n_chars, {p})::DOUBLE AS quantile FROM documents GROUP BY lang" for p in (0.05, 0.25, 0.5, 0.75, 0.95)))
+def text_length_quantiles(spark, d):
+    """By histogram refinement."""
+    return Q.exact_quantiles(documents(spark, d), "n_chars", [0.05, 0.25, 0.5, 0.75, 0.95], by="lang")
+
+
 @query(f"WITH {USERS} SELECT oc_level, count(*) AS n FROM u GROUP BY 1")
 def value_counts_keep_null(spark, d):
     return A.value_counts(people(spark, d), "oc_level", keep_null=True)
