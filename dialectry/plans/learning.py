@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from dialectry.functions import text as X
 from dialectry.operators import metrics as M
-from dialectry.operators import models, subword
+from dialectry.operators import encoder, models, subword
 from dialectry.operators import split as P
 from dialectry.plans.registry import documents, query, table
 from dialectry.sources.scratch import scratch_path
@@ -143,3 +143,16 @@ def linear_blocks_predict(spark, d):
 def linear_blocks_top_feature(spark, d):
     rows = marked(spark, d)
     return models.top_features(models.train_in_blocks(rows, chars=False, tokens=lambda c: F.split(c, " "), max_df=0.95), 1).select("label", "term", "rank")
+
+
+@query("SELECT lang AS label, count(*) AS n, true AS accurate, true AS scored FROM documents WHERE doc_id % 3 = 1 AND lang IS NOT NULL GROUP BY 1")
+def encoder_held_out(spark, d):
+    """The fine-tuned encoder on whole texts held back: their number by label, whether its accuracy exceeds 0.85, and whether every text has a score and a time."""
+    rows = documents(spark, d).where("lang is not null").select(F.col("doc_id").alias("row_id"), F.col("lang").alias("label"), F.filter(F.split(F.lower("text"), r"\s+"), lambda t: t != "").alias("tokens"))
+    held = rows.where("row_id % 3 = 1")
+    clf, _ = encoder.fine_tune(rows.where("row_id % 3 = 0"), rows.where("row_id % 3 = 2"), scratch_path(spark, "encoder"), dim=16, hidden=8, n_epochs=3, rate=0.2, passes=6)
+    got = held.select("row_id", F.col("label").alias("ref")).join(clf.predict(held).select("row_id", F.col("label").alias("pred"), "score", "runtime"), "row_id")
+    ok = (F.col("score") > 0) & (F.col("score") <= 1) & (F.col("runtime") >= 0)
+    per = got.groupBy(F.col("ref").alias("label")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("ref") == F.col("pred")).alias("hit"), F.bool_and(ok).alias("scored"))
+    total = per.agg((F.sum("hit") / F.sum("n") > 0.85).alias("accurate"))
+    return per.join(F.broadcast(total)).select("label", "n", "accurate", "scored")
