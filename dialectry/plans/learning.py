@@ -154,5 +154,5 @@ def encoder_held_out(spark, d):
     got = held.select("row_id", F.col("label").alias("ref")).join(clf.predict(held).select("row_id", F.col("label").alias("pred"), "score", "runtime"), "row_id")
     ok = (F.col("score") > 0) & (F.col("score") <= 1) & (F.col("runtime") >= 0)
     per = got.groupBy(F.col("ref").alias("label")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("ref") == F.col("pred")).alias("hit"), F.bool_and(ok).alias("scored"))
-    total = per.agg((F.sum("hit") / F.sum("n") > 0.85).alias("accurate"))
-    return per.join(F.broadcast(total)).select("label", "n", "accurate", "scored")
+    hit, n = per.agg(F.sum("hit"), F.sum("n")).first()
+    return per.select("label", "n", F.lit(hit / n > 0.85).alias("accurate"), "scored")
