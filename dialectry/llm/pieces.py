@@ -30,8 +30,8 @@ from dialectry.llm.common import slices, text_buffer
 
 #: Fixed value: the marker that stands for a space.
 MARKER = "▁"
-#: Bytes of words that a table holds before it is begun anew.
-HELD = 1 << 25
+#: Bytes that a table holds before it is begun anew, and what a word takes besides its letters and ids.
+HELD, EACH = 1 << 26, 160
 
 
 @lru_cache(maxsize=2)
@@ -81,7 +81,7 @@ class ChunkTable:
         self.flat[self.used : self.used + total] = np.concatenate(ids)
         self.number.update(zip(words, range(lo, lo + n)))
         self.used += total
-        self.held += sum(map(len, words)) + 4 * total
+        self.held += sum(map(len, words)) + 4 * total + EACH * n
 
     def ids(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, and the n + 1 offsets of the texts."""
@@ -124,7 +124,7 @@ def marked_words(raw: np.ndarray, at: np.ndarray) -> tuple[pa.Array, np.ndarray]
     kept[long + 1] = kept[long + 2] = False
     begins[rows] = True
     starts = np.flatnonzero(begins)
-    place = np.concatenate([[0], np.cumsum(kept)])
+    place = np.concatenate([[0], np.cumsum(kept, dtype=np.int32)])
     offsets = place[np.append(starts, len(raw))]
     body = raw[kept]
     words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(body)])
