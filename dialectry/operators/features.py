@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
+from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
+from dialectry.operators.frequency import frequent_terms
+
+Wanted = Callable[[Column], Column]
+
 
 def word_ngrams(tokens: Column, low: int = 1, high: int = 1) -> Column:
     """All n-grams of low to high tokens, joined by spaces."""
@@ -59,34 +68,134 @@ def char_wb_ngrams(c: Column, low: int = 2, high: int = 5, lowercase: bool = Tru
     return F.flatten(F.transform(words, of_word))
 
 
-def term_frequencies(df: DataFrame, grams: Column, doc: str = "doc_id") -> DataFrame:
-    """(doc, term, tf). Texts are dealt out by document before they are unfolded, so counting and all that follows by document stay in place."""
-    return df.repartition(F.col(doc)).select(doc, F.explode(grams).alias("term")).groupBy(doc, "term").agg(F.count(F.lit(1)).alias("tf"))
+@dataclass(frozen=True)
+class CharGrams:
+    """Character n-grams inside words, as :func:`char_wb_ngrams` gives them, counted a document at a time in Arrow batches.
+
+    A document's words are counted first, and each distinct word is cut once; a null text has no words.
+    """
+
+    text: Column
+    low: int = 2
+    high: int = 5
+    lowercase: bool = True
+
+    def rows(self, df: DataFrame, *others: str) -> DataFrame:
+        """``others``, term and tf: a row for each distinct term of each row."""
+        low, high = self.low, self.high
+
+        def cut(batches):
+            for batch in batches:
+                for at, words in _slices(batch.column(batch.num_columns - 1)):
+                    terms, times, sizes = [], [], []
+                    for found in words:
+                        tf = _char_counts(found or (), low, high)
+                        terms += tf
+                        times += tf.values()
+                        sizes.append(len(tf))
+                    rows = pa.array(np.repeat(np.arange(at, at + len(sizes)), sizes))
+                    yield pa.record_batch([*(c.take(rows) for c in batch.columns[:-1]), pa.array(terms, pa.string()), pa.array(times, pa.int64())], [*others, "term", "tf"])
+
+        text = F.lower(self.text) if self.lowercase else self.text
+        schema = StructType([*(df.schema[c] for c in others), StructField("term", StringType()), StructField("tf", LongType())])
+        return df.select(*others, F.split(text, r"(?U)\s+").alias("_words")).mapInArrow(cut, schema)
+
+
+#: Words whose documents make one batch of terms, unless a single document has more.
+WORDS = 20_000
+
+
+def _slices(words: pa.ListArray):
+    """(first row, rows of words), of about ``WORDS`` words each."""
+    at, held, n = 0, [], 0
+    for row in words:
+        found = row.as_py()
+        held.append(found)
+        n += len(found or ())
+        if n >= WORDS:
+            yield at, held
+            at, held, n = at + len(held), [], 0
+    if held:
+        yield at, held
+
+
+def _char_counts(words, low: int, high: int) -> dict[str, int]:
+    tf: dict[str, int] = {}
+    for word, times in Counter(words).items():
+        if not word:
+            continue
+        padded = f" {word} "
+        size = len(padded)
+        if size <= low:
+            tf[padded] = tf.get(padded, 0) + times
+            continue
+        for n in range(low, min(high, size) + 1):
+            for i in range(size - n + 1):
+                gram = padded[i : i + n]
+                tf[gram] = tf.get(gram, 0) + times
+    return tf
 
 
-def vocabulary(df: DataFrame, grams: Column, n_docs: int, min_df: int = 2, max_df: float = 0.9) -> DataFrame:
+Grams = Column | CharGrams
+
+
+def term_rows(df: DataFrame, grams: Grams, *others: str, distinct: bool = False) -> DataFrame:
+    """``others``, term and tf, as rows that may repeat a term of a document; with ``distinct`` none does."""
+    if isinstance(grams, CharGrams):
+        return grams.rows(df, *others)
+    return df.select(*others, F.explode(F.array_distinct(grams) if distinct else grams).alias("term"), F.lit(1).cast("long").alias("tf"))
+
+
+def _wanted(df: DataFrame, grams: Grams, min_df: int, sketch_bits: int | None) -> Wanted | None:
+    return None if sketch_bits is None else frequent_terms(term_rows(df, grams, distinct=True), min_df, sketch_bits)
+
+
+def _only(rows: DataFrame, wanted: Wanted | None) -> DataFrame:
+    return rows if wanted is None else rows.where(wanted(F.col("term")))
+
+
+def term_frequencies(df: DataFrame, grams: Grams, doc: str = "doc_id", wanted: Wanted | None = None) -> DataFrame:
+    """(doc, term, tf), dealt out by document, so that counting and all that follows by document stay in place.
+
+    Arrays are unfolded behind the shuffle, as texts are smaller than their terms. Arrow batches come before it: Spark doesn't know
+    that they keep the documents where they are, and their terms are counted already and without those that aren't ``wanted``.
+    """
+    if isinstance(grams, CharGrams):
+        rows = _only(term_rows(df, grams, doc), wanted).repartition(F.col(doc))
+    else:
+        rows = _only(term_rows(df.repartition(F.col(doc)), grams, doc), wanted)
+    return rows.groupBy(doc, "term").agg(F.sum("tf").alias("tf"))
+
+
+def vocabulary(df: DataFrame, grams: Grams, n_docs: int, min_df: int = 2, max_df: float = 0.9, wanted: Wanted | None = None) -> DataFrame:
     """(term, df, idf) of terms in at least min_df rows and at most a share max_df of them; idf is smoothed, plus 1.
 
     Rows are documents: each counts its distinct terms, which are added up before the only shuffle.
     """
-    terms = df.select(F.explode(F.array_distinct(grams)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    terms = _only(term_rows(df, grams, distinct=True), wanted).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     kept = terms.where((F.col("df") >= min_df) & (F.col("df") <= max_df * n_docs))
     return kept.withColumn("idf", F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + 1)
 
 
-def tf_idf(df: DataFrame, grams: Column, doc: str = "doc_id", min_df: int = 2, max_df: float = 0.9, sublinear: bool = True, fitted: DataFrame | None = None) -> DataFrame:
-    """(doc, term, weight) with rows of unit length. ``fitted`` is a vocabulary of other texts."""
-    terms = vocabulary(df, grams, df.count(), min_df, max_df) if fitted is None else fitted
+def tf_idf(df: DataFrame, grams: Grams, doc: str = "doc_id", min_df: int = 2, max_df: float = 0.9, sublinear: bool = True, fitted: DataFrame | None = None, sketch_bits: int | None = None) -> DataFrame:
+    """(doc, term, weight) with rows of unit length. ``fitted`` is a vocabulary of other texts.
+
+    With ``sketch_bits`` a pass over the texts finds terms that can't reach ``min_df``, and these are dropped before anything is shuffled;
+    the result is the same. It pays where most distinct terms are rare.
+    """
+    wanted = _wanted(df, grams, min_df, sketch_bits) if fitted is None else None
+    terms = vocabulary(df, grams, df.count(), min_df, max_df, wanted) if fitted is None else fitted
     w = (F.log(F.col("tf")) + 1 if sublinear else F.col("tf").cast("double")) * F.col("idf")
-    weighted = term_frequencies(df, grams, doc).join(terms, "term").select(doc, "term", w.alias("w"))
+    weighted = term_frequencies(df, grams, doc, wanted).join(terms, "term").select(doc, "term", w.alias("w"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(doc)))
     return weighted.select(doc, "term", (F.col("w") / norm).alias("weight"))
 
 
-def counts(df: DataFrame, grams: Column, doc: str = "doc_id", min_df: int = 1, max_df: float = 1.0) -> DataFrame:
-    """(doc, term, weight) of plain counts."""
-    terms = vocabulary(df, grams, df.count(), min_df, max_df)
-    return term_frequencies(df, grams, doc).join(terms, "term").select(doc, "term", F.col("tf").cast("double").alias("weight"))
+def counts(df: DataFrame, grams: Grams, doc: str = "doc_id", min_df: int = 1, max_df: float = 1.0, sketch_bits: int | None = None) -> DataFrame:
+    """(doc, term, weight) of plain counts; ``sketch_bits`` as in :func:`tf_idf`."""
+    wanted = _wanted(df, grams, min_df, sketch_bits)
+    terms = vocabulary(df, grams, df.count(), min_df, max_df, wanted)
+    return term_frequencies(df, grams, doc, wanted).join(terms, "term").select(doc, "term", F.col("tf").cast("double").alias("weight"))
 
 
 VECTORIZERS: dict[str, Callable] = {"tfidf": tf_idf, "count": counts}
@@ -126,9 +235,7 @@ def sparse_rows(features: DataFrame, terms: DataFrame, doc: str = "doc_id") -> D
 
 def vectors(features: DataFrame, terms: DataFrame, size: int, doc: str = "doc_id") -> DataFrame:
     """(doc, features) as sparse vectors, made from whole Arrow columns."""
-    import pyarrow as pa
     from pyspark.ml.linalg import VectorUDT
-    from pyspark.sql.types import StructField, StructType
 
     rows = sparse_rows(features, terms, doc)
 

@@ -521,12 +521,12 @@ WB = r"""t AS (
 
 @query(f"WITH {WB} SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL")
 def char_wb_ngrams(spark, d):
-    return V.term_frequencies(documents(spark, d), V.char_wb_ngrams(F.col("text")))
+    return V.term_frequencies(documents(spark, d), V.CharGrams(F.col("text")))
 
 
 @query(f"WITH {WB}, {TFIDF}")
 def char_tf_idf(spark, d):
-    return V.tf_idf(documents(spark, d), V.char_wb_ngrams(F.col("text")))
+    return V.tf_idf(documents(spark, d), V.CharGrams(F.col("text")), sketch_bits=22)
 
 
 # -- metrics ---------------------------------------------------------------------------------------

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from dialectry.functions import labels as L
 from dialectry.operators import features as V
 from dialectry.operators import metrics as M
+from dialectry.operators.frequency import frequent_terms
 
 
 def char_wb(text):
@@ -96,3 +97,32 @@ def test_models(spark, tmp_path):
     assert models.train(tagged, chars=False, max_iter=3, list_col="pos").predict(tagged).where("dialect <> label_pred").count() == 0
     got = models.predict_in_batches(df, lambda: lambda texts: [("en", 1.0)] * len(texts))
     assert got.count() == 40 and M.runtime_summary(got).first().score_mean == 1.0
+
+
+def test_char_grams_in_arrow_equal_the_column(spark):
+    texts = ["Un gat e a", "", None, "x  y\nlonga", "ÉTÉ été " * 30, "x" * 3000, "  \t "]
+    df = spark.createDataFrame(list(enumerate(texts)) + [(0, "Un autre gat"), (None, "un")], "doc_id long, t string")
+    for low, high in ((2, 5), (1, 3), (4, 4)):
+        a = V.term_frequencies(df, V.CharGrams(F.col("t"), low, high))
+        b = V.term_frequencies(df, V.char_wb_ngrams(F.col("t"), low, high))
+        assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+    assert V.term_frequencies(df.where("false"), V.CharGrams(F.col("t"))).count() == 0
+
+
+def test_sketch_never_drops_a_frequent_term(spark):
+    r = random.Random(5)
+    docs = [(i, [f"t{int(r.paretovariate(0.6)) % 4000}" for _ in range(60)] + [f"own{i}-{k}" for k in range(20)]) for i in range(300)]
+    df = spark.createDataFrame(docs, "doc_id long, toks array<string>").repartition(5)
+    dfs = Counter(t for _, d in docs for t in set(d))
+    rows = V.term_rows(df, F.col("toks"), distinct=True)
+    for least in (2, 7, 200):
+        reaches = frequent_terms(rows, least, bits=16)
+        kept = {x.term for x in rows.where(reaches(F.col("term"))).distinct().collect()}
+        want = {t for t, n in dfs.items() if n >= least}
+        assert want <= kept and len(kept - want) < 0.05 * len(dfs)
+    plain, sketched = ({(x.doc_id, x.term): x.weight for x in V.tf_idf(df, F.col("toks"), sketch_bits=b).collect()} for b in (None, 16))
+    assert plain.keys() == sketched.keys() and all(math.isclose(plain[k], sketched[k]) for k in plain)
+    none = df.where("false")
+    assert V.tf_idf(none, F.col("toks"), sketch_bits=16).count() == 0
+    with pytest.raises(ValueError):
+        frequent_terms(rows, 2, bits=33)
