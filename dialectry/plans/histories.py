@@ -17,6 +17,7 @@ from dialectry.plans.registry import documents, query, table
 from dialectry.schema import EXPORT_COLUMNS
 from dialectry.sources import readers as R
 from dialectry.sources import writers as K
+from dialectry.sources.dumps import pages_split
 from dialectry.sources.scratch import scratch_path, stored
 from dialectry.streaming.metadata import current, keep_up
 
@@ -25,8 +26,8 @@ VARIETIES = ["Gascon", "LENGADOCIAN", "VivaroAlpenc", "provençau", "Lemosin"]
 USER_PAGES = ["{{Babel|fr|oc-3|en-2}} p", "x {{Boita d'utilizaire|fr-2|oc}} p", "{{Utilizaire oc-1}} p", "{{user oc}} p", "{{Boita Babel|oc-M|Wikipedian lengadocian| es-3}} p", "{{Babel|bòt}} p"]
 
 
-def dump(spark: SparkSession, d: str) -> DataFrame:
-    """The pages, through an XML dump in the scratch folder."""
+def dump_files(spark: SparkSession, d: str, compression: str = "none") -> str:
+    """An XML dump of the pages in the scratch folder."""
     page = F.floor(F.col("event_id") / 50)
     e = table(spark, d, "events").select(
         page.alias("page_id"), "event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"), F.when(page % 20 == 8, page % 150).otherwise(F.col("user_id")).alias("uid"), "event_type", F.floor("value").cast("long").alias("bytes")
@@ -47,8 +48,13 @@ def dump(spark: SparkSession, d: str) -> DataFrame:
     title = title.when(F.col("page_id") % 3 == 0, F.concat(F.lit("Òc e l'aiga "), F.col("page_id").cast("string"))).when(F.col("page_id") % 3 == 1, "«»").otherwise(F.concat(F.lit("Vila "), F.col("page_id").cast("string"), F.lit("!")))
     ns = F.when(k < 8, 0).when(k == 8, 2).otherwise(1)
     path = scratch_path(spark, "dump")
-    pages.select(title.alias("title"), ns.alias("ns"), F.col("page_id").alias("id"), "revision").write.format("xml").options(rowTag="page", rootTag="mediawiki", attributePrefix="_", valueTag="_VALUE").save(path)
-    return R.pages_xml(spark, path)
+    pages.select(title.alias("title"), ns.alias("ns"), F.col("page_id").alias("id"), "revision").write.format("xml").options(rowTag="page", rootTag="mediawiki", attributePrefix="_", valueTag="_VALUE", compression=compression).save(path)
+    return path
+
+
+def dump(spark: SparkSession, d: str) -> DataFrame:
+    """The pages, through an XML dump."""
+    return R.pages_xml(spark, dump_files(spark, d))
 
 
 def _name_sql(uid: str) -> str:
@@ -113,6 +119,15 @@ def xml_pages(spark, d):
     )
 
 
+@query(f"WITH {REVISIONS} SELECT page_id AS id, 2 AS ns, count(*) AS n, min(timestamp) AS oldest, sum(len_bytes)::BIGINT AS bytes, sum(length(body))::BIGINT AS chars, count(ip) AS n_ip FROM v WHERE page_id % 10 = 8 GROUP BY 1")
+def xml_pages_split(spark, d):
+    """User pages of a compressed dump whose files are split over tasks; the others are left out before they are parsed."""
+    pages = pages_split(spark, dump_files(spark, d, "bzip2"), namespaces=(2,))
+    return pages.select("id", "ns", F.explode("revision").alias("r")).groupBy("id", "ns").agg(
+        F.count(F.lit(1)).alias("n"), F.min("r.timestamp").alias("oldest"), F.sum("r.text._bytes").alias("bytes"), F.sum(F.length("r.text._VALUE")).alias("chars"), F.count("r.contributor.ip").alias("n_ip")
+    )
+
+
 @query("SELECT DISTINCT event_id // 50 AS id FROM events ORDER BY 1 LIMIT 7")
 def limited_pages(spark, d):
     return R.limited(dump(spark, d), 7).select("id")
