@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from dialectry.functions import labels as L
 from dialectry.functions import text as X
+from dialectry.sources.article_files import ArticleFiles
 
 
 def json_lines(df: DataFrame, path: str) -> None:
@@ -60,22 +61,12 @@ def csv_file(df: DataFrame, path: str, single: bool = False) -> None:
 def texts_by_variety(df: DataFrame, path: str, text: str = "text_finewiki", label: str = "dialect") -> None:
     """One file ``variety/title.txt`` per article; articles without a text are left out, a blank one fails the job.
 
-    The texts are written in parallel; the driver only renames, one file an article.
+    All files appear at once, by one rename of their folder, and a job that fails leaves what was there before.
     """
     blank = F.raise_error(F.concat(F.lit("empty article: "), F.col("id").cast("string"))).cast("string")
-    rows = df.where(F.col(text).isNotNull()).select(F.when(F.trim(text) != "", F.col(text)).otherwise(blank).alias("value"), X.slug(F.coalesce(label, F.lit("none"))).alias("variety"), F.col("title_slugify").alias("article"))
-    folder = f"{path}.parts"
-    rows.repartition("variety", "article").write.mode("overwrite").partitionBy("variety", "article").text(folder)
-    fs, make = _fs(df.sparkSession, path)
-    fs.delete(make(path), True)
-    files = fs.listFiles(make(folder), True)
-    while files.hasNext():
-        at = files.next().getPath()
-        if at.getName().startswith("part-"):
-            variety, article = at.getParent().getParent().getName().split("=", 1)[1], at.getParent().getName().split("=", 1)[1]
-            fs.mkdirs(make(f"{path}/{variety}"))
-            fs.rename(at, make(f"{path}/{variety}/{article}.txt"))
-    fs.delete(make(folder), True)
+    rows = df.where(F.col(text).isNotNull()).select(X.slug(F.coalesce(label, F.lit("none"))).alias("folder"), F.col("title_slugify").alias("file"), F.when(F.trim(text) != "", F.col(text)).otherwise(blank).alias("text"))
+    df.sparkSession.dataSource.register(ArticleFiles)
+    rows.repartition("folder", "file").sortWithinPartitions("folder", "file", "text").write.format("article_files").mode("overwrite").save(path)
 
 
 def csv_splits(df: DataFrame, path: str, split: str = "split", single: bool = False) -> None:
