@@ -12,6 +12,8 @@ from pyspark.sql.window import Window
 
 from dialectry.functions import labels as L
 from dialectry.functions import text as X
+from dialectry.functions.lexicon import Lexicon
+from dialectry.functions.lexicon import lexicon_tokens as lexicon_tokens_of
 from dialectry.operators import analytics as A
 from dialectry.operators import contributions as C
 from dialectry.operators import enrich as E
@@ -200,6 +202,20 @@ def word_tokens(spark, d):
     return documents(spark, d).select("doc_id", F.array_join(X.tokenize(F.col("text")), " ").alias("tokens"))
 
 
+BARE_WORDS = WORDS.replace("(text,", "(translate(text, '''’', '  '),")
+
+
+@query(f"""WITH w AS (SELECT doc_id, list_transform({BARE_WORDS}, lambda x: lower(x)) AS t FROM documents),
+n AS (SELECT doc_id, len(t) AS n_words, len(list_filter(range(1, len(t)), lambda i: (t[i] = 'of' AND t[i + 1] = 'the') OR (t[i] = 'de' AND t[i + 1] = 'la'))) AS n_units,
+  len(list_filter(range(1, len(t) - 1), lambda i: t[i] = 'of' AND t[i + 1] = 'the' AND t[i + 2] = 'and')) AS n_long FROM w)
+SELECT doc_id, n_words - n_units - n_long AS n_tokens, n_units, n_long FROM n WHERE n_words IS NOT NULL""")
+def lexicon_tokens(spark, d):
+    """Tokens of each document, and those that are units of two or three words; a unit that begins another gives way to it."""
+    tokens = lexicon_tokens_of(F.translate("text", "'’", "  "), Lexicon(("of the", "of the and", "de la")))
+    unit = lambda words: F.size(F.filter("t", lambda x: F.size(F.split(x, r"(?U)\s+")) >= words)).cast("long")
+    return documents(spark, d).select("doc_id", tokens.alias("t")).where("t IS NOT NULL").select("doc_id", F.size("t").cast("long").alias("n_tokens"), unit(2).alias("n_units"), unit(3).alias("n_long"))
+
+
 @query(f"SELECT doc_id FROM documents WHERE len({WORDS}) > 3")
 def long_enough(spark, d):
     return documents(spark, d).where(X.long_enough(F.col("text"))).select("doc_id")
