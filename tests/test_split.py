@@ -87,3 +87,12 @@ def test_units_are_expanded_within_the_split(spark):
     from dialectry.functions.text import paragraphs
 
     assert [(x.row_id, x.unit_pos, x.text) for x in P.expand_units(df, paragraphs(F.col("text"))).collect()] == [(1, 0, "ab"), (1, 1, "cd e")]
+
+
+def test_a_share_above_the_caps_takes_all_candidates(spark):
+    rows = [(i, f"t{i}", "ab"[i % 2]) for i in range(400)]
+    df = spark.createDataFrame(rows, "row_id long, text string, dialect string")
+    got = P.train_dev_test(df, test_size=0.5, dev_size=17, most=30).groupBy("split").count().collect()
+    assert dict(map(tuple, got)) == {"test": 60, "dev": 17, "train": 323}
+    with pytest.raises(ValueError):
+        P.train_dev_test(df, test_size=200, most=30)
