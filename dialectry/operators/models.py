@@ -49,11 +49,11 @@ class NgramClassifier:
         return feat.sparse_rows(feat.union_features(blocks, doc), self.terms, doc)
 
     def predict(self, df: DataFrame, text: str = "text", doc: str = "row_id") -> DataFrame:
-        """``df`` with ``label_pred``; a text without a known feature gets the label of the largest bias."""
+        """``df`` with ``label_pred``; a text without a known feature gets the label of the largest bias, to nine digits, the first of equal ones."""
         names = F.array(*map(F.lit, self.labels))
         kind = df.schema[doc].dataType.simpleString()
         got = linear.predict(self.features(df, text, doc), self.weights_, doc, kind)
-        default = int(self.weights_[-1].argmax())
+        default = int(self.weights_[-1].round(9).argmax())
         return df.join(got, doc, "left").withColumn("label_pred", F.element_at(names, F.coalesce("best", F.lit(default)) + 1)).drop("best")
 
     def predict_list(self, spark, texts: list[str]) -> list[str]:
@@ -132,7 +132,7 @@ class TableClassifier(NgramClassifier):
         names, size = F.array(*map(F.lit, self.labels)), self.terms.count()
         got = linear_blocks.predict(self.features(df, text, doc), self.table, size, doc)
         bias = {r["label"]: r["weight"] for r in self.table.where(F.col("idx") == size).collect()}
-        default = max(range(len(self.labels)), key=lambda k: (bias.get(k, 0.0), -k))
+        default = max(range(len(self.labels)), key=lambda k: (round(bias.get(k, 0.0), 9), -k))
         return df.join(got, doc, "left").withColumn("label_pred", F.element_at(names, F.coalesce("best", F.lit(default)) + 1)).drop("best")
 
     def weights(self) -> DataFrame:

@@ -126,3 +126,37 @@ def test_sketch_never_drops_a_frequent_term(spark):
     assert V.tf_idf(none, F.col("toks"), sketch_bits=16).count() == 0
     with pytest.raises(ValueError):
         frequent_terms(rows, 2, bits=33)
+
+
+def _exchanges(df):
+    plan = df.sparkSession._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    return [x for x in plan.split("\n\n") if ") Exchange" in x]
+
+
+def test_terms_of_documents_are_never_shuffled(spark, monkeypatch):
+    """Only texts, and the distinct terms of slices, go through exchanges; blocks and slices of any size give the same."""
+    r = random.Random(7)
+    docs = [(i % 60, " ".join(r.choice("lo gat taula gatòta és été xyzxyz".split()) for _ in range(r.randint(0, 40)))) for i in range(64)] + [(None, "lo gat"), (None, "gat"), (99, None)]
+    df = spark.createDataFrame(docs, "doc_id long, t string").repartition(3)
+    grams = V.CharGrams(F.col("t"))
+    words = lambda: sorted((x.doc_id or -1, x.term, round(x.weight, 9)) for x in V.tf_idf(df, grams).collect())
+    own: dict = {}
+    for k, t in docs:
+        own.setdefault(k, Counter()).update(char_wb(t or ""))
+    n, dfs = len(docs), Counter(t for _, d in docs for t in set(char_wb(d or "")))
+    want = []
+    for k, tf in own.items():
+        w = {t: (1 + math.log(c)) * (math.log((1 + n) / (1 + dfs[t])) + 1) for t, c in tf.items() if 2 <= dfs[t] <= 0.9 * n}
+        norm = math.sqrt(sum(x * x for x in w.values()))
+        want += [(k if k else -1, t, round(x / norm, 9)) for t, x in w.items()]
+    first = words()
+    assert first == sorted(want)
+    tf = {(x.doc_id, x.term): x.tf for x in V.term_frequencies(df, grams).collect()}
+    assert tf == {(k, t): c for k, cells in own.items() for t, c in cells.items()}
+    assert not any("tf" in x or "doc_id" in x and "term" in x and "_words" not in x for x in _exchanges(V.tf_idf(df, grams)))
+    unique = df.where("doc_id > 10 and doc_id < 50")
+    assert not _exchanges(V.term_frequencies(unique, grams))[1:]
+    for name, k in (("WORDS", 5), ("ROWS", 3), ("SLICE", 20), ("GATHERED", 2)):
+        monkeypatch.setattr(V, name, k)
+    terms = {x.term: x.df for x in V.vocabulary(df, grams, n, 1, 1.0).collect()}
+    assert words() == first and terms == dfs
