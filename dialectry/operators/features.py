@@ -267,6 +267,7 @@ class Slices:
     """Documents dealt out by a hash of their id to slices of bounded size, which look up their distinct terms, not those of each document.
 
     A slice's terms are shuffled to the table and what is found back to the slice; its texts are shuffled twice, terms of documents never.
+    ``grams`` names its columns.
     """
 
     df: DataFrame
@@ -274,10 +275,10 @@ class Slices:
     doc: str = "doc_id"
 
     def __post_init__(self) -> None:
-        words, self.span = _words(self.grams)
-        self.rows, size = self.df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size(words).cast("long")), F.lit(0))).first()
+        self.words, self.span = _words(self.grams)
+        self.rows, size = self.df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size(self.words).cast("long")), F.lit(0))).first()
         self.n = max(self.df.sparkSession.sparkContext.defaultParallelism, -(-size // SLICE))
-        self.texts = self.df.select(F.pmod(F.xxhash64(self.doc), F.lit(self.n)).cast("int").alias("_slice"), F.col(self.doc), words.alias("_words"))
+        self.dealt = self.df.withColumn("_slice", F.pmod(F.xxhash64(self.doc), F.lit(self.n)).cast("int"))
 
     def terms(self) -> DataFrame:
         """(_slice, term, n): the distinct terms of each slice, and in how many of its rows they are."""
@@ -296,7 +297,8 @@ class Slices:
                 for b in t.to_batches(ROWS):
                     yield pa.record_batch([pa.array(np.full(b.num_rows, k, np.int32)), *b.columns], ["_slice", "term", "n"])
 
-        return self.texts.select("_slice", "_words").repartitionById(self.n, F.col("_slice")).mapInArrow(run, "_slice int, term string, n long").where("term is not null")
+        # texts are cut to words behind the shuffle: they are smaller than their words
+        return self.dealt.repartitionById(self.n, F.col("_slice")).select("_slice", self.words.alias("_words")).mapInArrow(run, "_slice int, term string, n long").where("term is not null")
 
     def apply(self, found: DataFrame, use: Callable, schema: StructType) -> DataFrame:
         """Rows that ``use`` makes of blocks of documents.
@@ -304,16 +306,17 @@ class Slices:
         ``found`` is (_slice, term, value, idx). ``use`` gets the documents' ids, the cells' document, term, tf, value and idx, and the terms, and yields
         batches; cells without a value are left out. Rows of a repeated id are one document.
         """
-        span, none = self.span, lambda c, t: F.lit(None).cast(t).alias(c)
-        texts = self.texts.select("_slice", none("term", "string"), none("value", "double"), none("idx", "int"), F.col(self.doc), F.coalesce("_words", F.array().cast("array<string>")).alias("_words"))
-        own = found.select("_slice", "term", "value", "idx", none(self.doc, self.df.schema[self.doc].dataType), none("_words", "array<string>"))
+        span = self.span
+        own = found.select("_slice", F.col("term").alias("_term"), F.col("value").alias("_value"), F.col("idx").alias("_idx"))
+        both = own.unionByName(self.dealt, allowMissingColumns=True).repartitionById(self.n, F.col("_slice"))
+        rows = both.select("_term", "_value", "_idx", self.doc, F.coalesce(self.words, F.array().cast("array<string>")).alias("_words"))
 
         def run(batches):
             parts = [[], []]
             for batch in batches:
-                is_text = batch.column(5).is_valid()
+                is_text = batch.column(0).is_null()
                 for k, mask in enumerate((pc.invert(is_text), is_text)):
-                    part = batch.filter(mask).select([[1, 2, 3], [4, 5]][k])
+                    part = batch.filter(mask).select([[0, 1, 2], [3, 4]][k])
                     if part.num_rows:
                         parts[k].append(part)
             if not all(parts):
@@ -332,7 +335,7 @@ class Slices:
                 place = place[known]
                 yield from use(docs.dictionary, d[known], t[known], tf[known], value[place], idx[place], terms)
 
-        return own.unionByName(texts).repartitionById(self.n, F.col("_slice")).mapInArrow(run, schema)
+        return rows.mapInArrow(run, schema)
 
     def weighted(self, found: DataFrame, weigh: Callable) -> DataFrame:
         """(doc, term, weight) with the weights that ``weigh`` makes of the cells' document, tf and value."""
