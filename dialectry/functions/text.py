@@ -85,7 +85,7 @@ def strip_accents(c: Column, mode: str = "ascii", exact: bool = False) -> Column
     """``ascii``: compatibility decomposition, then only ASCII stays; ``unicode``: decomposition without combining marks.
 
     The default form translates in the JVM and covers Latin letters and marks, general punctuation and Latin ligatures;
-    ``exact`` runs the full decomposition in Arrow batches.
+    ``exact`` runs the full decomposition in Python, in batches of a hundred rows.
     """
     if mode not in ("ascii", "unicode"):
         raise ValueError(f"unknown accent mode: {mode}")
@@ -102,12 +102,13 @@ def strip_accents(c: Column, mode: str = "ascii", exact: bool = False) -> Column
 
 
 def _exact_accents(mode: str) -> Callable[[Column], Column]:
-    @F.pandas_udf("string")
-    def strip(s):
-        normal = s.str.normalize("NFKD")
-        if mode == "ascii":
-            return normal.str.encode("ascii", "ignore").str.decode("ascii")
-        return normal.map(lambda t: t if t is None else "".join(x for x in t if not unicodedata.combining(x)))
+    # a hundred rows at a time: an Arrow batch holds ten thousand, however long their texts are
+    @F.udf("string", useArrow=False)
+    def strip(t):
+        if t is None or t.isascii():
+            return t
+        normal = unicodedata.normalize("NFKD", t)
+        return normal.encode("ascii", "ignore").decode("ascii") if mode == "ascii" else "".join(x for x in normal if not unicodedata.combining(x))
 
     return strip
 

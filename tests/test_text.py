@@ -108,3 +108,12 @@ def test_subwords_are_cut_and_padded(spark):
     for i, t in enumerate(texts):
         want = own.encode(t or "").ids[:16] if t is not None else []
         assert got[i].input_ids == want + [5] * (16 - len(want)) and got[i].attention_mask == [1] * len(want) + [0] * (16 - len(want))
+
+
+def test_exact_accents_hold_few_rows_at_once(spark):
+    """Not in Arrow batches, which are bounded in rows and not in bytes."""
+    df = spark.createDataFrame([(1, "Òc, ½ ﬁ ệ 가"), (2, None), (3, "plain")], "k long, t string")
+    for mode, want in (("ascii", "Oc, 12 fi e "), ("unicode", "Oc, 1⁄2 fi e " + unicodedata.normalize("NFKD", "가"))):
+        out = df.select("k", X.strip_accents(F.col("t"), mode, exact=True).alias("t"))
+        assert "BatchEvalPython" in spark._jvm.PythonSQLUtils.explainString(out._jdf.queryExecution(), "simple")
+        assert [r.t for r in out.orderBy("k").collect()] == [want, None, "plain"]
