@@ -41,12 +41,8 @@ class NgramClassifier:
 
     def features(self, df: DataFrame, text: str = "text", doc: str = "row_id") -> DataFrame:
         """(doc, indices, values) of texts in the fitted space."""
-        blocks = {}
-        if self.words is not None:
-            blocks["w"] = feat.tf_idf(df, F.col(self.list_col) if self.list_col else self.tokens(F.lower(text)), doc, fitted=self.words)
-        if self.chars is not None:
-            blocks["c"] = feat.tf_idf(df, feat.char_wb_ngrams(F.col(text)), doc, fitted=self.chars)
-        return feat.sparse_rows(feat.union_features(blocks, doc), self.terms, doc)
+        own = F.col(self.list_col) if self.list_col else self.tokens(F.lower(text))
+        return _indexed(df, {"w": (self.words, own), "c": (self.chars, feat.CharGrams(F.col(text)))}, self.terms, doc)
 
     def predict(self, df: DataFrame, text: str = "text", doc: str = "row_id") -> DataFrame:
         """``df`` with ``label_pred``; a text without a known feature gets the label of the largest bias, to nine digits, the first of equal ones."""
@@ -88,26 +84,37 @@ class NgramClassifier:
         return self.terms.join(self._numbers(self.terms.sparkSession), "idx").select("term", F.explode(pairs).alias("p")).select("term", "p.label", "p.weight")
 
 
+def _indexed(df: DataFrame, blocks: dict, terms: DataFrame, doc: str) -> DataFrame:
+    """(doc, indices, values) of the blocks side by side; a block has its kind, fitted vocabulary (or none) and n-grams."""
+    parts = []
+    for kind, (fitted, grams) in blocks.items():
+        if fitted is not None:
+            numbered = fitted.withColumn("_name", X.feature_name(F.col("term"), kind)).join(terms.withColumnRenamed("term", "_name"), "_name")
+            parts.append(feat.indexed_tf_idf(df, grams, numbered.select("term", "idf", "idx"), doc))
+    if len(parts) < 2:
+        return parts[0]
+    return parts[0].unionByName(parts[1]).groupBy(doc).agg(F.flatten(F.collect_list("indices")).alias("indices"), F.flatten(F.collect_list("values")).alias("values"))
+
+
 def prepare(df: DataFrame, text: str = "text", label: str = "dialect", doc: str = "row_id", words: bool = True, chars: bool = True, min_df: int = 2, max_df: float = 0.9, tokens: Callable = X.tokenize, list_col: str | None = None):
-    """The fitted feature space (words, chars, terms), the labelled sparse rows, the label names and their counts; all tables are stored."""
-    df = df.where(F.col(label).isNotNull())
+    """The fitted feature space (words, chars, terms), the labelled sparse rows, the label names and their counts; all tables are stored.
+
+    The texts are stored too, as they are read several times.
+    """
+    df = stored(df.where(F.col(label).isNotNull()), "texts")
     n = df.count()
     own = F.col(list_col) if list_col else tokens(F.lower(text))
-    blocks, fitted = {}, {}
-    for kind, use, grams in (("w", words, own), ("c", chars, feat.char_wb_ngrams(F.col(text)))):
-        fitted[kind] = None
-        if use:
-            fitted[kind] = stored(feat.vocabulary(df, grams, n, min_df, max_df), f"vocabulary-{kind}")
-            blocks[kind] = feat.tf_idf(df, grams, doc, fitted=fitted[kind])
-    cells = stored(feat.union_features(blocks, doc), "cells", "zstd")
-    terms = stored(feat.numbered_terms(cells), "terms")
+    grams = {"w": own if words else None, "c": feat.CharGrams(F.col(text)) if chars else None}
+    fitted = {kind: None if g is None else stored(feat.vocabulary(df, g, n, min_df, max_df), f"vocabulary-{kind}") for kind, g in grams.items()}
+    terms = stored(feat.numbered_terms(feat.union_features({k: v.withColumns({doc: F.lit(0), "weight": F.lit(0.0)}) for k, v in fitted.items() if v is not None}, doc)), "terms")
     counts = {r[0]: r[1] for r in df.groupBy(label).count().collect()}
     names = sorted(counts)
     number = F.array_position(F.array(*map(F.lit, names)), F.col(label)) - 1
-    rows = df.select(doc, number.cast("int").alias("label")).join(feat.sparse_rows(cells, terms, doc), doc, "left")
+    cells = _indexed(df, {k: (fitted[k], g) for k, g in grams.items()}, terms, doc)
+    rows = df.select(doc, number.cast("int").alias("label")).join(cells, doc, "left")
     empty = lambda c, t: F.coalesce(c, F.array().cast(f"array<{t}>")).alias(c)
     ready = stored(rows.select("label", empty("indices", "int"), empty("values", "double")), "rows", "zstd")
-    discard(cells)
+    discard(df)
     return (fitted["w"], fitted["c"], terms), ready, names, [counts[x] for x in names]
 
 

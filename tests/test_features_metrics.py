@@ -160,3 +160,20 @@ def test_terms_of_documents_are_never_shuffled(spark, monkeypatch):
         monkeypatch.setattr(V, name, k)
     terms = {x.term: x.df for x in V.vocabulary(df, grams, n, 1, 1.0).collect()}
     assert words() == first and terms == dfs
+
+
+def test_sparse_rows_without_rows_of_cells(spark):
+    """Words and characters side by side, as the union of their cells gives them, while no cell is a row of its own."""
+    from dialectry.operators import models
+
+    rows = [(i, ("lo gat e la taula " if i % 2 else "the cat and a table ") + "xyz"[i % 3], "oc" if i % 2 else "en") for i in range(30)] + [(30, None, "en")]
+    df = spark.createDataFrame(rows, "row_id long, text string, dialect string")
+    (words, chars, terms), ready, names, counts = models.prepare(df)
+    assert names == ["en", "oc"] and counts == [16, 15] and ready.count() == 31
+    clf = models.NgramClassifier(None, names, words, chars, terms)
+    got = clf.features(df)
+    blocks = {"w": V.tf_idf(df, clf.tokens(F.lower("text")), "row_id", fitted=words), "c": V.tf_idf(df, V.char_wb_ngrams(F.col("text")), "row_id", fitted=chars)}
+    want = V.sparse_rows(V.union_features(blocks, "row_id"), terms, "row_id")
+    cells = lambda t: {x.row_id: sorted((i, round(v, 9)) for i, v in zip(x.indices, x["values"], strict=True)) for x in t.collect()}
+    assert cells(got) == cells(want)
+    assert not any("weight#" in x for x in _exchanges(got))
