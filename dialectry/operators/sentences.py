@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from dialectry.functions.text import LINE_BREAK, has_letters, tidy
+from dialectry.functions.text import LINE_BREAK, TERMINATORS, has_letters, tidy
 from dialectry.sources.scratch import stored
 
 #: Fixed values of the published method: least scores, and the share of periods that an abbreviation has.
@@ -78,12 +78,18 @@ def tokens(docs: DataFrame, text: str = "text") -> DataFrame:
     return pairs.select("p.token", marked.alias("prev"), F.col("p.prev").isNull().alias("first")).groupBy("token", "prev", "first").agg(F.count(F.lit(1)).alias("n"))
 
 
+def token_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(token, n): the tokens alone, where nothing asks for what stands before them."""
+    split = docs.select(F.explode(F.split(text, rf"(?U)[\s{TERMINATORS}]+")).alias("token")).where("token <> ''")
+    return split.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+
+
 def _n_if(condition: Column) -> Column:
     return F.coalesce(F.sum(F.when(condition, F.col("n")).otherwise(F.lit(0))), F.lit(0))
 
 
 def type_counts(words: DataFrame) -> DataFrame:
-    """(type, n_period, n_plain): occurrences with a final period and without; ``words`` are those of :func:`tokens`."""
+    """(type, n_period, n_plain): occurrences with a final period and without; ``words`` are those of :func:`tokens` or :func:`token_counts`."""
     each = words.groupBy("token").agg(F.sum("n").alias("n")).select(core(F.col("token")).alias("c"), "n")
     rows = each.select(word_type(F.col("c")).alias("type"), has_period(F.col("c")).alias("p"), "n").where("type <> ''")
     return rows.groupBy("type").agg(_n_if(F.col("p")).alias("n_period"), _n_if(~F.col("p")).alias("n_plain"))
@@ -96,7 +102,7 @@ def binomial(k: Column, n: Column, p: Column) -> Column:
 
 
 def abbreviations(counts: DataFrame) -> DataFrame:
-    """(type, score) of the types taken for abbreviations; ``counts`` are those of :func:`type_counts`."""
+    """(type, score) of the types taken for abbreviations; ``counts`` are those of :func:`type_counts`, which are read twice and should be stored."""
     total, periods = counts.agg(F.sum(F.col("n_period") + F.col("n_plain")), F.sum("n_period")).first()
     if not total or not periods or periods == total:
         return counts.select("type", F.lit(0.0).alias("score")).where(F.lit(False))

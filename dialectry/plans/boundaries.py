@@ -104,7 +104,8 @@ def sentence_types(spark, d):
 
 @query(f"WITH {SHORT} SELECT type, round(score, 6) AS score FROM short")
 def sentence_abbreviations(spark, d):
-    return S.abbreviations(S.type_counts(S.tokens(planted(spark, d)))).select("type", F.round("score", 6).alias("score"))
+    counts = stored(S.type_counts(S.token_counts(planted(spark, d))), "types")
+    return S.abbreviations(counts).select("type", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {ORTHOGRAPHY} SELECT type, n, n_upper, n_lower, n_upper_mid, n_lower_begin, n_start, starter FROM ortho")

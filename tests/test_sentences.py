@@ -57,3 +57,19 @@ def test_shape_of_sentences(spark, tmp_path):
     assert got == sorted([(1, 0, "Un dos."), (1, 1, "«Tres quatre.»"), (1, 2, "Cinc!"), (1, 3, "seis… sèt"), (1, 0, "Un dos."), (0, 0, "Sens id."), (0, 1, "Òc")])
     none = docs.where("doc_id > 9")
     assert S.sentences(none, S.learn(none)).count() == 0
+
+
+def test_tokens_alone_are_those_with_their_neighbours(spark):
+    texts = ["Lo Sr. Pons\r\nes aquí.\x0bE  \x1cnos fa\u0085gaug.", "", None, " \t\n", "Sr. Pons"] + [t if isinstance(t, str) else str(t) for t in corpus(2, 5)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    want = {r.token: r.n for r in S.tokens(df).groupBy("token").agg(F.sum("n").alias("n")).collect()}
+    assert {r.token: r.n for r in S.token_counts(df).collect()} == want
+
+
+def test_abbreviations_read_the_texts_once(spark, tmp_path):
+    from dialectry.plans import boundaries
+
+    texts = [(i, f"lo st. Gran va {i} al mas. E la fin. ") for i in range(40)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = boundaries.sentence_abbreviations(spark, str(tmp_path))
+    assert not any("documents.parquet" in f for f in got.inputFiles()) and got.count() >= 1
