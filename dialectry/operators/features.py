@@ -109,14 +109,22 @@ def _blocks(words: pa.ListArray, group: np.ndarray):
         at, before = end, ends[end - 1]
 
 
+def _bytes(text: pa.StringArray) -> bytes:
+    """The bytes of all texts, one behind the other."""
+    if not len(text):
+        return b""
+    ends = np.frombuffer(text.buffers()[1], np.int32)[text.offset : text.offset + len(text) + 1]
+    return memoryview(text.buffers()[2])[ends[0] : ends[-1]].tobytes()
+
+
 def _cut(words: pa.StringArray, low: int, high: int) -> tuple[np.ndarray, np.ndarray, pa.StringArray]:
     """Where each word's n-grams begin, their numbers, and the n-grams by number; a word's n-gram is there as often as in the word.
 
     An n-gram is numbered by the number of its first n - 1 characters and its last one.
     """
-    text = pc.binary_join_element_wise("", words, "", " ")
+    text = pc.binary_join_element_wise("", words, "", " ").cast(pa.string())
     size = np.asarray(pc.utf8_length(text)).astype(np.int64)
-    raw = np.frombuffer(b"".join(text.cast(pa.binary()).to_pylist()), np.uint8)
+    raw = np.frombuffer(_bytes(text), np.uint8)
     code = np.frombuffer(raw.tobytes().decode().encode("utf-32-le"), np.uint32)
     byte = np.append(0, np.cumsum(1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000)))
     begin = np.cumsum(size) - size
@@ -130,8 +138,11 @@ def _cut(words: pa.StringArray, low: int, high: int) -> tuple[np.ndarray, np.nda
         at = at[left[at] >= n]
         if n > 1:
             number[at] = pa.array(number[at] * n_chars + last[at + n - 1]).dictionary_encode().indices.to_numpy()
-        own = at if n >= low else at[(within[at] == 0) & (left[at] == n)]
-        each.append((n, own, pa.array(number[own]).dictionary_encode().indices.to_numpy().astype(np.int64)))
+        if n >= low and n > 1:
+            each.append((n, at, number[at]))  # numbered from 0 without gaps as they are
+        else:
+            own = at if n >= low else at[(within[at] == 0) & (left[at] == n)]
+            each.append((n, own, pa.array(number[own]).dictionary_encode().indices.to_numpy().astype(np.int64)))
     has = [np.bincount(word[own], minlength=len(size)) for _, own, _ in each]
     starts = np.append(0, np.cumsum(sum(has)))
     ids, base, lows, highs = np.empty(starts[-1], np.int64), 0, [], []

@@ -109,6 +109,19 @@ def test_char_grams_in_arrow_equal_the_column(spark):
     assert V.term_frequencies(df.where("false"), V.CharGrams(F.col("t"))).count() == 0
 
 
+def test_words_are_cut_from_their_buffer(monkeypatch):
+    import pyarrow as pa
+
+    words = pa.array(["--", "été", "é", "", "a𝄞b", "xx"]).slice(1)
+    assert V._bytes(words) == "étééa𝄞bxx".encode() and V._bytes(words.slice(5)) == b""
+    made = []
+    monkeypatch.setattr(pa, "array", lambda *x, f=pa.array: made.append(1) or f(*x))
+    starts, ids, terms = V._cut(words, 2, 5)
+    monkeypatch.undo()
+    # an array for the characters, one for n-grams of each length from 2, one for the first characters: no length is numbered twice
+    assert len(made) <= 6 and sorted(terms.take(pa.array(ids[starts[1] : starts[2]])).to_pylist()) == [" é", " é ", "é "]
+
+
 def test_sketch_never_drops_a_frequent_term(spark):
     r = random.Random(5)
     docs = [(i, [f"t{int(r.paretovariate(0.6)) % 4000}" for _ in range(60)] + [f"own{i}-{k}" for k in range(20)]) for i in range(300)]
