@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from dialectry.functions import labels as L
 from dialectry.functions import text as X
@@ -74,15 +73,16 @@ def _section_files(spark: SparkSession, d: str) -> str:
     label = F.concat(F.lit("OC-"), variety, F.when(F.col("doc_id") % 2 == 0, "-grclass").otherwise("-grmistr"))
     base = scratch_path(spark, "section")
     for n, name in enumerate("bac"):
-        K.one_file(documents(spark, d).where(k == n).orderBy("doc_id").select(F.concat_ws("§", F.replace("text", F.lit("\n"), F.lit(" ")), label, F.lit("x")).alias("value")), f"{base}/oc-{name}.csv")
+        rows = documents(spark, d).where(k == n).orderBy("doc_id")
+        K.text_parts(rows.select(F.concat_ws("§", F.replace("text", F.lit("\n"), F.lit(" ")), label, F.lit("x")).alias("value")), f"{base}/oc-{name}.csv")
     return base
 
 
 @query(f"WITH {SECTION} SELECT text, label AS dialect, file, row_number() OVER (PARTITION BY file ORDER BY doc_id) - 1 AS place FROM f")
 def section_csv(spark, d):
     """Lines keep their place in each file, however files are dealt out."""
-    rows = R.section_csv(spark, _section_files(spark, d))
-    return rows.select("text", "dialect", F.substring_index("file", "/", -1).alias("file"), (F.row_number().over(Window.partitionBy("file").orderBy("row_id")) - 1).alias("place"))
+    rows = R.placed(R.section_csv(spark, _section_files(spark, d)))
+    return rows.select("text", "dialect", F.substring_index("file", "/", -1).alias("file"), F.col("place").cast("int").alias("place"))
 
 
 @query(f"""WITH {SECTION}, m AS (SELECT *, regexp_extract(label, '^OC-([a-z]+)-gr', 1) AS dialect FROM f)

@@ -56,14 +56,30 @@ def csv_with_missing(spark: SparkSession, path: str, schema: str = S.LABELLED, c
 def section_csv(spark: SparkSession, folder: str) -> DataFrame:
     """Files ``oc-*.csv`` without header and quotes, fields parted by a section sign: text, label, file, and ``row_id``.
 
-    ``row_id`` (file, block, number) sorts by file name and by place in the file, however Spark deals out files and blocks.
+    A folder ``oc-*.csv`` of part files is one file, its parts in the order of their names.
+    ``row_id`` (file, part, block, number) sorts by file name and by place in the file, however Spark deals out files and blocks.
     """
     df = spark.read.text(f"{folder.rstrip('/')}/oc-*.csv")
-    parts, file = F.split("value", "§"), F.col("_metadata.file_path")
-    row = F.struct(file.alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"))
+    parts, part = F.split("value", "§"), F.col("_metadata.file_path")
+    file = F.regexp_replace(part, r"(/oc-[^/]*\.csv)/[^/]*$", "$1")
+    row = F.struct(file.alias("file"), part.alias("part"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"))
     return df.select(parts[0].alias("text"), F.try_element_at(parts, F.lit(2)).alias("dialect"), file.alias("file"), row.alias("row_id"))
 
 
+def placed(rows: DataFrame) -> DataFrame:
+    """Rows of :func:`section_csv` with ``place``, the line's number in its file, from 0.
+
+    Lines are numbered where they are read: a block's lines follow one another in one task. Only a row for each block is shuffled and
+    broadcast. The files are read twice and dealt out alike both times, as the same table reads them.
+    """
+    block = ["file", "part", "block"]
+    sizes = rows.groupBy(*[F.col(f"row_id.{c}").alias(c) for c in block]).agg(F.min("row_id.n").alias("first"), F.count(F.lit(1)).alias("size"))
+    before = F.sum("size").over(Window.partitionBy("file").orderBy("part", "block").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select(F.struct(*block).alias("_block"), (F.coalesce(before, F.lit(0)) - F.col("first")).alias("_start"))
+    own = rows.withColumn("_block", F.struct(*[F.col(f"row_id.{c}").alias(c) for c in block]))
+    return own.join(F.broadcast(starts), "_block").withColumn("place", F.col("row_id.n") + F.col("_start")).drop("_block", "_start")
+
+
 def merged_sections(spark: SparkSession, folders: list[str], left_out: tuple[str, ...] = ("cisaup",)) -> DataFrame:
     """The files of several folders, in order: labels without their spelling, the first of equal rows, then without some varieties."""
     from dialectry.operators.split import keep_first

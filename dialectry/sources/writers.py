@@ -46,6 +46,11 @@ def one_file(lines: DataFrame, path: str) -> None:
     _renamed_parts(lines.sparkSession, folder, path)
 
 
+def text_parts(lines: DataFrame, path: str) -> None:
+    """The column ``value`` as a folder of part files whose names sort in the order of the lines."""
+    lines.select("value").write.mode("overwrite").text(path)
+
+
 CSV = {"header": True, "quote": '"', "escape": '"', "emptyValue": ""}
 
 

@@ -43,6 +43,33 @@ def test_section_csv(spark, tmp_path):
     assert [tuple(r) for r in got] == [("y", "lemosin"), ('x "q', "gascon")]
 
 
+def test_lines_are_placed_where_they_are_read(spark, tmp_path):
+    from dialectry.plans.roundtrips import _section_files
+
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("line "), "id").alias("text"), F.lit("fr").alias("lang")).repartition(7)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10k")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        base = _section_files(spark, str(tmp_path))
+        rows = R.section_csv(spark, base)
+        # no file is written or read by one task
+        assert rows.rdd.getNumPartitions() > 3 and rows.select("row_id.part").distinct().count() > 3 and rows.select("file").distinct().count() == 3
+        got = R.placed(rows)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        wanted = {(f"line {i}", f"oc-{'bac'[i % 3]}.csv", i // 3) for i in range(3000)}
+        assert {(r.text, r.file.rsplit("/", 1)[-1], r.place) for r in got.collect()} == wanted
+        # plain files and folders of parts beside each other
+        put(tmp_path / "oc-y.csv", "".join(f"y{i}§l\n" for i in range(900)))
+        K.text_parts(spark.range(900).select(F.concat(F.lit("z"), "id", F.lit("§l")).alias("value")), str(tmp_path / "oc-x.csv"))
+        got = R.placed(R.section_csv(spark, str(tmp_path)))
+        assert {(r.text, r.place) for r in got.collect()} == {(f"{c}{i}", i) for c in "yz" for i in range(900)}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_conllu_and_lines(spark, tmp_path):
     p = put(tmp_path / "a.conllu", "# sent_id = f_gascon.conllu.s1\n# text = Un dos.\n1\tUn\n\n# sent_id = f_limousin.conllu.s2\n# text = Tres\n1\tTres\n\n")
     assert [tuple(r) for r in R.conllu(spark, p).collect()] == [("f_gascon.conllu.s1", "Un dos.", "gascon"), ("f_limousin.conllu.s2", "Tres", "limousin")]
