@@ -111,7 +111,8 @@ def sentence_abbreviations(spark, d):
 @query(f"WITH {ORTHOGRAPHY} SELECT type, n, n_upper, n_lower, n_upper_mid, n_lower_begin, n_start, starter FROM ortho")
 def sentence_orthography(spark, d):
     words = stored(S.tokens(planted(spark, d)), "tokens")
-    return S.orthography(S.contexts(words, S.abbreviations(S.type_counts(words))))
+    short = stored(S.abbreviations(stored(S.type_counts(words), "types")), "abbreviations")
+    return S.orthography(S.contexts(words, short))
 
 
 @query(f"WITH {PAIRS} SELECT lft AS left_type, type FROM pairs")
