@@ -25,6 +25,8 @@ from dialectry.sources.scratch import stored
 ABBREVIATION, COLLOCATION, STARTER, WITH_PERIOD = 0.3, 7.88, 30.0, 0.99
 #: The type of all numbers.
 NUMBER = "##"
+#: The share of all occurrences from which a type is looked up by broadcast.
+FREQUENT = 1 / 2000
 CLOSING = "\"'»”’)]"
 #: A space behind a mark that may end a sentence and up to three closing marks.
 PIECE_BREAK = r" (?<=[.!?…][\"'»”’)\]]{0,3} )"
@@ -123,7 +125,9 @@ def contexts(words: DataFrame, abbreviated: DataFrame) -> DataFrame:
     """
     rows = words.select(core(F.col("token")).alias("c"), core(F.col("prev")).alias("pc"), "first", "n", ending(F.col("prev")).alias("end"))
     rows = rows.withColumn("left", F.when(has_period(F.col("pc")), word_type(F.col("pc"))))
-    rows = rows.join(abbreviated.select(F.col("type").alias("_t"), F.lit(True).alias("_a")), F.col("left") == F.col("_t"), "left")
+    # most words have no period before them: a key of their own, which no type is, spreads them if the join is shuffled
+    key = F.coalesce("left", F.concat(F.lit(" "), "c"))
+    rows = rows.join(abbreviated.select(F.col("type").alias("_t"), F.lit(True).alias("_a")), key == F.col("_t"), "left")
     unsure = F.coalesce(F.col("_a").isNotNull() | (F.col("end") == "ellipsis") | _initial(F.col("left")) | (F.col("left") == NUMBER), F.lit(False))
     place = F.when(F.col("first"), "begin").when(unsure, F.lit(None)).when(F.col("end").isNotNull(), "begin").otherwise("mid")
     return rows.select(word_type(F.col("c")).alias("type"), "left", (~F.col("first")).alias("inner"), unsure.alias("unsure"), is_upper(F.col("c")).alias("upper"), is_lower(F.col("c")).alias("lower"), place.alias("place"), "n").where("type <> ''")
@@ -202,6 +206,22 @@ def is_break() -> Column:
     return F.when(F.col("end") == "strong", True).when(short, after_short).when(F.col("initial") | F.col("number"), after_initial).otherwise(True)
 
 
+def _looked_up(rows: DataFrame, known: DataFrame, own: Column) -> DataFrame:
+    """``rows`` with the orthography of the type ``right``.
+
+    The types with a share of ``FREQUENT`` of all occurrences are broadcast, at most one in that share. In the texts learned from no other
+    type has more rows than that share of the tokens, so no key of the second join is hot. ``own`` are keys that no type is.
+    """
+    values = ["n_upper", "n_lower", "n_upper_mid", "n_lower_begin", "starter"]
+    total = known.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    is_frequent = F.col("n") >= F.lit(FREQUENT * total)
+    frequent = known.where(is_frequent).select(F.col("type").alias("right"), F.struct(*values).alias("_frequent"))
+    others = known.where(~is_frequent).select(F.col("type").alias("_key"), F.struct(*values).alias("_other"))
+    rows = rows.join(F.broadcast(frequent), "right", "left").withColumn("_key", F.when(F.col("_frequent").isNull(), F.col("right")).otherwise(own))
+    rows = rows.join(others, "_key", "left").withColumn("_found", F.coalesce("_frequent", "_other"))
+    return rows.withColumns({c: F.col(f"_found.{c}") for c in values}).drop("_key", "_frequent", "_other", "_found")
+
+
 def sentences(docs: DataFrame, model: SentenceModel, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, pos, segment): the sentences with two letters of every line of every text, tidied, in order from 0.
 
@@ -225,7 +245,7 @@ def sentences(docs: DataFrame, model: SentenceModel, id_col: str = "doc_id", tex
     doubtful = ~F.col("last") & (F.col("short") | F.col("initial") | F.col("number") | (F.col("end") == "ellipsis"))
     own = F.concat_ws(" ", F.lit(""), "_row", "_line", "_k")
     rows = rows.withColumn("right", F.when(doubtful, F.col("right")).otherwise(own))
-    rows = rows.join(model.orthography.select(F.col("type").alias("right"), "n_upper", "n_lower", "n_upper_mid", "n_lower_begin", "starter"), "right", "left")
+    rows = _looked_up(rows, model.orthography, own)
     pairs = model.collocations.select("left", F.col("type").alias("right"), F.lit(True).alias("pair"))
     rows = rows.join(pairs, ["left", "right"], "left").withColumn("pair", F.coalesce("pair", F.lit(False)))
     cut = rows.select("_row", "_id", "_line", "_k", "piece", (F.col("last") | is_break()).alias("cut"))

@@ -73,3 +73,27 @@ def test_abbreviations_read_the_texts_once(spark, tmp_path):
     spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = boundaries.sentence_abbreviations(spark, str(tmp_path))
     assert not any("documents.parquet" in f for f in got.inputFiles()) and got.count() >= 1
+
+
+def test_no_key_of_the_lookups_is_hot(spark):
+    put = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    for k, v in put.items():
+        spark.conf.set(k, v)
+    try:
+        largest = lambda df: max(r["count"] for r in df.groupBy(F.spark_partition_id().alias("p")).count().collect())
+        # most words have nothing before them that ends a sentence
+        words = spark.range(2000).select(F.concat(F.lit("w"), "id").alias("token"), F.lit(None).cast("string").alias("prev"), F.lit(False).alias("first"), F.lit(1).cast("long").alias("n"))
+        short = spark.createDataFrame([("st", 1.0)], "type string, score double")
+        got = S.contexts(words, short)
+        assert got.count() == 2000 and largest(got) < 1000
+        # one type behind every doubtful period
+        known = spark.createDataFrame([("hot", 5000, 1, 2, 3, 4, True), *[(f"w{k}", 1, 5, 6, 7, 8, False) for k in range(3000)]], "type string, n long, n_upper long, n_lower long, n_upper_mid long, n_lower_begin long, starter boolean")
+        rows = spark.range(4000).select("id", F.when(F.col("id") < 3000, F.lit("hot")).otherwise(F.concat(F.lit("w"), F.col("id") * 2 - 3500)).alias("right"))
+        got = S._looked_up(rows, known, F.concat(F.lit(" "), "id"))
+        assert largest(got) < 2000
+        found = {r.id: (r.right, r.n_upper, r.n_lower, r.n_upper_mid, r.n_lower_begin, r.starter) for r in got.collect()}
+        known_w = lambda k: (f"w{k}", 5, 6, 7, 8, False) if k < 3000 else (f"w{k}", *[None] * 5)
+        assert found == {i: ("hot", 1, 2, 3, 4, True) if i < 3000 else known_w(2 * i - 3500) for i in range(4000)}
+    finally:
+        for k in put:
+            spark.conf.unset(k)
