@@ -377,7 +377,8 @@ def _found(slices: Slices, min_df: int, max_df: float, sketch_bits: int | None)
     if sketch_bits is not None:
         own = stored(own, "slice-terms")
         own = own.where(frequent_terms(own, min_df, sketch_bits)(F.col("term")))
-    every = own.withColumn("df", F.sum("n").over(Window.partitionBy("term")))
+    # as many tasks as slices: one holds about as many terms as a slice has
+    every = own.repartition(slices.n, "term").withColumn("df", F.sum("n").over(Window.partitionBy("term")))
     return _with_idf(every, slices.rows, min_df, max_df)
 
 

@@ -122,6 +122,15 @@ def test_words_are_cut_from_their_buffer(monkeypatch):
     assert len(made) <= 6 and sorted(terms.take(pa.array(ids[starts[1] : starts[2]])).to_pylist()) == [" é", " é ", "é "]
 
 
+def test_terms_are_dealt_to_as_many_tasks_as_slices(spark, monkeypatch):
+    monkeypatch.setattr(V, "SLICE", 50)
+    df = spark.range(200).select(F.col("id").alias("doc_id"), F.transform(F.sequence(F.lit(0), F.lit(9)), lambda k: F.concat(F.lit("t"), F.col("id") % 20 * 10 + k)).alias("toks"))
+    slices = V.Slices(df, F.col("toks"))
+    found = V._found(slices, 1, 1.0, None)
+    assert slices.n == 40 and found.rdd.getNumPartitions() == 40
+    assert {(r.term, r.df) for r in found.collect()} == {(f"t{k}", 10) for k in range(200)}
+
+
 def test_sketch_never_drops_a_frequent_term(spark):
     r = random.Random(5)
     docs = [(i, [f"t{int(r.paretovariate(0.6)) % 4000}" for _ in range(60)] + [f"own{i}-{k}" for k in range(20)]) for i in range(300)]
