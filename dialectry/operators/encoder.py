@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import json
 import time
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dialectry.operators import metrics as M
-from dialectry.operators.subword import SubwordVectors, epochs, first_vector, local_vectors, text_blocks
-from dialectry.sources.scratch import stored
+from dialectry.operators.subword import SubwordVectors, TextGroups, first_vector, group_epochs, looked_up, received, text_groups, texts_of
+from dialectry.sources.scratch import discard
 
 #: Padded places of a batch, and the most texts in it.
 CELLS, ROWS = 1 << 15, 16
@@ -80,28 +82,39 @@ class Encoder:
     subwords: tuple[int, int] | None
     buckets: int
 
-    def predict(self, df: DataFrame, tokens: str = "tokens", doc: str = "row_id", block_tokens: int = 1 << 19) -> DataFrame:
+    def predict(self, df: DataFrame, tokens: str = "tokens", doc: str = "row_id", block_tokens: int = 1 << 19, groups: TextGroups | None = None) -> DataFrame:
         """(doc, label, score, runtime): the most likely label, its probability and the block's mean milliseconds a text; an empty text is judged by the zero vector."""
         found = {r[0]: np.frombuffer(bytes(r[1]), dtype=np.float32) for r in self.vectors.where(F.col("id").isin(self.dense_ids)).select("id", "vec").collect()}
         dense = Dense(starting_layers(self.dense_ids, found, self.dim, self.hidden), self.hidden, len(self.labels))
         labels, dim = self.labels, self.dim
-        rows, needs = text_blocks(df.select(F.col(doc).alias("_doc"), F.col(tokens).alias("tokens")), 1, self.subwords, self.buckets, block_tokens)
-        vectors = needs.join(self.vectors, "id").select("block", "id", "vec")
-
-        def run(left: pa.Table, right: pa.Table) -> pa.Table:
-            began = time.perf_counter()
-            held = {i: np.frombuffer(v.as_buffer(), dtype=np.float32) for i, v in zip(right.column("id").to_pylist(), right.column("vec"))}
-            lists = [[held[i] for i in ids if i in held] for ids in left.column("ids").to_pylist()]
+        groups = self.groups(df, tokens, doc, block_tokens) if groups is None else groups
+        parts = groups.parts(self.vectors)
+
+        def run(batches: Iterator[pa.RecordBatch]):
+            batches = iter(batches)
+            if (one := next(batches, None)) is None:
+                return
+            own_type = one.schema.field("own").type.value_type
+            _, _, held, known, blocks = received(chain([one], batches), parts, dim)
             empty = dense.forward(np.zeros((1, 1, dim), np.float32), np.ones((1, 1), bool))[3][0]
-            p = np.tile(empty, (len(lists), 1))
-            for batch in batches_by_length([len(x) for x in lists]):
-                e, mask = padded([np.stack(lists[r]) for r in batch], dim)
-                p[batch] = dense.forward(e, mask)[3]
-            best = p.argmax(axis=1) if len(p) else np.zeros(0, dtype=int)
-            each = 1000 * (time.perf_counter() - began) / max(1, len(lists))
-            return pa.table([left.column("_doc").combine_chunks(), pa.array([labels[k] for k in best], pa.string()), pa.array([float(p[r, k]) for r, k in enumerate(best)], pa.float64()), pa.array([each] * len(best), pa.float64())], [doc, "label", "score", "runtime"])
-
-        return rows.groupBy("block").cogroup(vectors.groupBy("block")).applyInArrow(run, f"{doc} {df.schema[doc].dataType.simpleString()}, label string, score double, runtime double")
+            for block in blocks:
+                began = time.perf_counter()
+                own, texts = texts_of(block)
+                vectors, has = held[own], known[own]
+                lists = [x[has[x]] for x in texts]
+                p = np.tile(empty, (len(lists), 1))
+                for batch in batches_by_length([len(x) for x in lists]):
+                    e, mask = padded([vectors[lists[r]] for r in batch], dim)
+                    p[batch] = dense.forward(e, mask)[3]
+                best = p.argmax(axis=1)
+                each = 1000 * (time.perf_counter() - began) / max(1, len(lists))
+                yield pa.record_batch([pa.array(block["own"], own_type), pa.array([labels[k] for k in best], pa.string()), pa.array([float(p[r, k]) for r, k in enumerate(best)], pa.float64()), pa.array([each] * len(best), pa.float64())], [doc, "label", "score", "runtime"])
+
+        return groups.with_vectors(looked_up(groups, self.vectors, parts), run, f"{doc} {df.schema[doc].dataType.simpleString()}, label string, score double, runtime double")
+
+    def groups(self, df: DataFrame, tokens: str = "tokens", doc: str = "row_id", block_tokens: int = 1 << 19) -> TextGroups:
+        """Texts made ready for :meth:`predict`, of this encoder or of its other epochs."""
+        return text_groups(df.select(F.col(doc).alias("_doc"), F.col(tokens).alias("tokens")), "_doc", self.dim, 1, self.subwords, self.buckets, block_tokens)
 
 
 def padded(lists: list[np.ndarray], dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -132,55 +145,46 @@ def fine_tune(df: DataFrame, dev: DataFrame, folder: str, tokens: str = "tokens"
     k, n_dense = len(labels), hidden + len(labels) + 2
     dense_ids = [r[0] for r in spark.range(1).select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(n_dense - 1)), lambda x: F.xxhash64(F.lit("layer"), x)))).collect()]
     number = F.array_position(F.array(*map(F.lit, labels)), F.col(label)) - 1
-    rows, needs = text_blocks(df.select(number.cast("int").alias("label"), F.col(tokens).alias("tokens")), 1, subwords, buckets, block_tokens)
-    needs = stored(needs.unionByName(rows.select("block").distinct().select("block", F.explode(F.array(*map(F.lit, dense_ids))).alias("id"))), "needs")
-
-    def steps(epoch: int):
-        def train(_: int, table: pa.Table, held: dict[int, np.ndarray]):
-            rng = np.random.default_rng([seed, epoch, table.column("block")[0].as_py()])
-            y, lists = table.column("label").to_numpy(), table.column("ids").to_pylist()
-            inputs = sorted({i for x in lists for i in x})
-            place = {i: p for p, i in enumerate(inputs)}
-            a = local_vectors(inputs, held, dim, set()).copy()
-            dense = Dense(starting_layers(dense_ids, held, dim, hidden), hidden, k)
-            texts = [np.array([place[i] for i in x], dtype=np.int64) for x in lists]
-            used, groups = np.zeros(len(inputs)), batches_by_length([len(x) for x in texts])
-            # steps are divided by the size of those before them, in this epoch and block (Adagrad)
-            past, dense_past, lr = np.zeros((len(inputs), dim)), np.zeros_like(dense.rows, dtype=np.float64), rate * (1 - epoch / n_epochs)
-            for b in np.concatenate([rng.permutation(len(groups)) for _ in range(passes)]):
-                own = [texts[r] for r in groups[b]]
-                e, mask = padded([a[x] for x in own], dim)
-                de, g = dense.gradients(e, mask, y[groups[b]])
-                ids, at = np.unique(np.concatenate(own), return_inverse=True)
-                pull = np.zeros((len(ids), dim))
-                np.add.at(pull, at, de[mask])
-                past[ids] += pull * pull
-                a[ids] -= (lr * pull / (np.sqrt(past[ids]) + 1e-8)).astype(np.float32)
-                dense_past += g * g
-                dense.rows -= (lr * g / (np.sqrt(dense_past) + 1e-8)).astype(np.float32)
-                used[ids] += 1
-            total = float(max(1, len(groups)))
-            for p in np.flatnonzero(used):
-                yield inputs[p], a[p].tobytes(), float(used[p])
-            for i, row in zip(dense_ids, dense.rows):
-                yield i, row.astype(np.float32).tobytes(), total
-
-        return train
+    groups = text_groups(df.select(number.cast("int").alias("label"), F.col(tokens).alias("tokens")), "label", dim, 1, subwords, buckets, block_tokens, dense_ids)
+
+    def train(epoch: int, block: int, y: list[int], texts: list[np.ndarray], a: np.ndarray, rows: np.ndarray):
+        rng = np.random.default_rng([seed, epoch, block])
+        dense, y = Dense(rows, hidden, k), np.array(y)
+        used, batches = np.zeros(len(a)), batches_by_length([len(x) for x in texts])
+        # steps are divided by the size of those before them, in this epoch and block (Adagrad)
+        past, dense_past, lr = np.zeros((len(a), dim)), np.zeros_like(dense.rows, dtype=np.float64), rate * (1 - epoch / n_epochs)
+        for b in np.concatenate([rng.permutation(len(batches)) for _ in range(passes)]):
+            own = [texts[r] for r in batches[b]]
+            e, mask = padded([a[x] for x in own], dim)
+            de, g = dense.gradients(e, mask, y[batches[b]])
+            ids, at = np.unique(np.concatenate(own), return_inverse=True)
+            pull = np.zeros((len(ids), dim))
+            np.add.at(pull, at, de[mask])
+            past[ids] += pull * pull
+            a[ids] -= (lr * pull / (np.sqrt(past[ids]) + 1e-8)).astype(np.float32)
+            dense_past += g * g
+            dense.rows -= (lr * g / (np.sqrt(dense_past) + 1e-8)).astype(np.float32)
+            used[ids] += 1
+        return used, np.full(len(rows), float(max(1, len(batches))))
 
     scores: list[float] = []
+    held: TextGroups | None = None
     params = pretrained.vectors if pretrained else None
     made = lambda vectors: Encoder(vectors, dense_ids, labels, dim, hidden, subwords, buckets)
     for epoch in range(n_epochs):
         at = f"{folder}/epoch-{epoch}"
         if not _complete(spark, f"{at}/score"):
-            epochs(rows, needs, params, 1, steps(epoch), spark).write.mode("overwrite").parquet(f"{at}/vectors")
-            got = dev.select(F.col(doc).alias("row_id"), F.col(label).alias("ref")).join(made(spark.read.parquet(f"{at}/vectors")).predict(dev, tokens, doc).select(F.col(doc).alias("row_id"), "label"), "row_id")
+            group_epochs(groups, dense_ids, dense_ids[hidden:], params, range(epoch, epoch + 1), train, pretrained is not None).write.mode("overwrite").parquet(f"{at}/vectors")
+            now = made(spark.read.parquet(f"{at}/vectors"))
+            held = now.groups(dev, tokens, doc) if held is None else held
+            got = dev.select(F.col(doc).alias("row_id"), F.col(label).alias("ref")).join(now.predict(dev, tokens, doc, groups=held).select(F.col(doc).alias("row_id"), "label"), "row_id")
             f1 = float(M.scores(got, "ref", "label").first()["f1_macro"] or 0.0)
             spark.createDataFrame([(json.dumps({"f1_macro": f1}),)], "meta string").coalesce(1).write.mode("overwrite").parquet(f"{at}/score")
         scores.append(json.loads(spark.read.parquet(f"{at}/score").first()[0])["f1_macro"])
         params = spark.read.parquet(f"{at}/vectors")
         if epoch - int(np.argmax(scores)) >= patience:
             break
+    discard(groups.rows, *([held.rows] if held else []))
     return made(spark.read.parquet(f"{folder}/epoch-{int(np.argmax(scores))}/vectors")), scores
 
 

@@ -96,3 +96,27 @@ def test_pretrained_vectors_are_where_training_begins(spark):
     assert {r.id: bytes(r.vec) for r in clf.vectors.collect()} == before
     clf = S.train_classifier(docs.where(F.array_contains("tokens", "a")).unionByName(docs.where(F.array_contains("tokens", "d"))), dim=4, n_epochs=3, rate=0.5, pretrained=vectors)
     assert {r.row_id: r.label for r in clf.predict(spark.createDataFrame([(1, ["a"]), (2, ["e"])], "row_id long, tokens array<string>")).collect()} == {1: "x", 2: "y"}
+
+
+@pytest.mark.parametrize("numbers", [[], [0], [5, 0, 300, 70_000, 2**31 - 1]])
+def test_numbers_are_squeezed_and_back(numbers):
+    assert S.unsqueezed(S.squeezed(np.array(numbers, np.int32)), len(numbers)).tolist() == numbers
+
+
+def test_a_group_gets_each_vector_once_and_trains_as_its_blocks_do(spark, monkeypatch):
+    rnd = random.Random(5)
+    rows = [(i, [rnd.choice([f"m{i % 3}", "e", "lo", f"u{i}"]) for _ in range(6)], f"l{i % 3}") for i in range(400)] + [(900, None, "l0"), (901, [], "l1")]
+    df = spark.createDataFrame(rows, "row_id long, tokens array<string>, label string").coalesce(1)
+    made, sent = [], []
+    for limit in (1, 1 << 30):  # each block by itself; as many groups as there are tasks
+        monkeypatch.setattr(S, "GROUP_BYTES", limit)
+        clf = S.train_classifier(df, dim=8, n_epochs=6, rate=0.5, block_tokens=150, passes=2)
+        made.append({r.id: np.frombuffer(bytes(r.vec), np.float32) for r in clf.vectors.collect()})
+        groups = S.text_groups(df.select("tokens", "row_id"), "row_id", 8, 1, None, 100, 150)
+        got = groups.rows.collect()
+        assert sorted(i for r in got if r.own is not None for i in r.own) == sorted(r[0] for r in rows)
+        assert len([r for r in got if r.names is not None]) == groups.n
+        sent.append(sum(len(r.names) // 8 for r in got if r.names is not None))
+    assert made[0].keys() == made[1].keys()
+    assert max(np.abs(made[0][i] - made[1][i]).max() for i in made[0]) < 1e-4
+    assert sent[1] < 0.9 * sent[0]
