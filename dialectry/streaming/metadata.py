@@ -1,20 +1,22 @@
 """Contributor metadata kept up to date: state by page, updated by new revisions only.
 
-The state of a page is the statistics of each of its contributors (:func:`contributions.contributor_stats`) and the runs
-of consecutive revisions seen so far, with the length at each run's end. A revision is counted as soon as the one
-before it has been met, so files may bring revisions in any order, and a revision that comes again changes nothing.
-Per page, the state grows with its contributors, not with its revisions.
+The state of a page is one value: the runs of consecutive revisions seen so far, with the length at each run's end. A
+revision is counted as soon as the one before it has been met, so files may bring revisions in any order, and a revision
+that comes again changes nothing. The state grows with the gaps between revisions, not with these or with contributors.
 
-Each micro-batch writes the contributors that changed to a folder of its own number, so a repeated batch overwrites
-itself; the newest row of a page and contributor is the valid one.
+Each micro-batch writes what it adds to the statistics of contributors (:func:`contributions.contributor_stats`) to a folder of
+its own number, so a repeated batch overwrites itself; the rows of a page and contributor add up. Checkpoints of the former
+state, by contributor, can't be gone on with.
 """
 
 from __future__ import annotations
 
 import bisect
+import json
 from collections.abc import Iterator
+from itertools import islice
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -23,6 +25,8 @@ from dialectry.schema import NON_EMPTY_BYTES, SIGNIFICANT_BYTES
 
 REVISIONS = "page_id long, pos_revision long, contributor_id string, user_id long, len_bytes long"
 CHANGED = f"page_id long, contributor_id string, user_id long, {STATS}"
+#: Revisions of a page that are put in order at once.
+CHUNK = 10_000
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -43,30 +47,25 @@ def counted(stats: tuple | None, user_id: int | None, pos: int, length: int, dif
 
 
 class Contributors(StatefulProcessor):
-    """Keeps the statistics of a page's contributors; yields those that changed."""
+    """Keeps the runs of a page's revisions; yields what new ones add to its contributors' statistics."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        # a run of revisions, by its first place: the last one and its length, and the first one itself, which is not counted before the run is joined to another or begins at 0
-        self.runs = handle.getMapState("runs", "first long", "last long, last_len long, contributor_id string, user_id long, first_len long")
-        self.people = handle.getMapState("people", "contributor_id string", f"user_id long, {STATS}")
+        # a list of runs: first and last place, the last one's length, and contributor, user and length of the first one, which is not counted before the run is joined to another or begins at 0
+        self.runs = handle.getValueState("runs", "runs string")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator:
-        import pandas as pd
-
-        runs = {k[0]: tuple(v) for k, v in self.runs.iterator()}
-        before, starts = dict(runs), sorted(runs)
-        changed: dict[str, tuple] = {}
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        known = self.runs.get()
+        before = known[0] if known is not None else "[]"
+        runs = {first: tuple(run) for first, *run in json.loads(before)}
+        starts = sorted(runs)
+        added: dict[str, tuple] = {}
 
         def count(who: str, user: int | None, pos: int, length: int, diff: int) -> None:
-            known = changed.get(who)
-            if known is None and self.people.containsKey((who,)):
-                known = tuple(self.people.getValue((who,)))
-            changed[who] = counted(known, user, pos, length, diff)
-
-        for part in rows:
-            part = part.sort_values("pos_revision")
-            for pos, who, user, length in zip(part["pos_revision"].tolist(), part["contributor_id"].tolist(), part["user_id"].tolist(), part["len_bytes"].tolist()):
-                pos, length, user = int(pos), int(length), None if pd.isna(user) else int(user)
+            added[who] = counted(added.get(who), user, pos, length, diff)
+
+        rows = iter(rows)
+        while part := sorted(((r["pos_revision"], r["contributor_id"], r["user_id"], r["len_bytes"]) for r in islice(rows, CHUNK)), key=lambda r: r[0]):
+            for pos, who, user, length in part:
                 i = bisect.bisect_right(starts, pos) - 1
                 end = runs[starts[i]][0] if i >= 0 else -1
                 if pos <= end:
@@ -86,16 +85,12 @@ class Contributors(StatefulProcessor):
                     last, last_len, next_who, next_user, next_len = runs.pop(starts.pop(i + 1))
                     count(next_who, next_user, pos + 1, next_len, next_len - length)
                     runs[start] = (last, last_len, *first)
-        for first in before.keys() - runs.keys():
-            self.runs.removeKey((first,))
-        for first, run in runs.items():
-            if before.get(first) != run:
-                self.runs.updateValue((first,), run)
-        for who, stats in changed.items():
-            self.people.updateValue((who,), stats)
+        after = json.dumps([[first, *runs[first]] for first in starts])
+        if after != before:
+            self.runs.update((after,))
         names = [c.split(" ")[0] for c in CHANGED.split(", ")]
-        out = pd.DataFrame([(key[0], who, *stats) for who, stats in changed.items()], columns=names)
-        yield out.astype({c: "Int64" for c in names if c != "contributor_id"})
+        for who, stats in added.items():
+            yield Row(**dict(zip(names, (key[0], who, *stats), strict=True)))
 
     def close(self) -> None:
         pass
@@ -110,16 +105,16 @@ def keep_up(spark: SparkSession, source: str, target: str, checkpoint: str, file
 
     reader = spark.readStream.format(fmt).schema(REVISIONS)
     stream = (reader if files is None else reader.option("maxFilesPerTrigger", files)).load(source)
-    kept = stream.groupBy("page_id").transformWithStateInPandas(Contributors(), outputStructType=CHANGED, outputMode="Update", timeMode="None")
+    kept = stream.groupBy("page_id").transformWithState(Contributors(), outputStructType=CHANGED, outputMode="Update", timeMode="None")
     kept.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def current(spark: SparkSession, target: str) -> DataFrame:
-    """The statistics as they are now: of each page and contributor the row of the newest batch."""
+    """The statistics as they are now: of each page and contributor the sum of all batches."""
     rows = spark.read.option("basePath", target).schema(f"{CHANGED}, batch long").parquet(target)
-    names = [c for c in rows.columns if c not in ("page_id", "contributor_id", "batch")]
-    newest = rows.groupBy("page_id", "contributor_id").agg(F.max_by(F.struct(*names), "batch").alias("s"))
-    return newest.select("page_id", "contributor_id", "s.*")
+    of = lambda c: F.sum if c in ("n", "size", "rank_size") else F.min if c.startswith("first") else F.max
+    names = [c.split(" ")[0] for c in STATS.split(", ")]
+    return rows.groupBy("page_id", "contributor_id").agg(F.max_by("user_id", "batch").alias("user_id"), *[of(c)(c).alias(c) for c in names])
 
 
 def compact(spark: SparkSession, target: str, compacted: str) -> DataFrame:

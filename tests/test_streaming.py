@@ -47,3 +47,46 @@ def test_only_what_changed_is_written(spark, revisions, tmp_path):
     M.keep_up(spark, src, out, check)
     last = spark.read.parquet(out).where("batch = 1").collect()
     assert [(r.page_id, r.contributor_id, r.n) for r in last] == [(0, "9", 1)]
+
+
+def test_batches_after_compaction_add_up(spark, revisions, tmp_path):
+    src, out, check, one = (str(tmp_path / x) for x in ("in", "out", "check", "one"))
+    odd = F.col("pos_revision") % 2 == 1
+    revisions.where(odd).coalesce(1).write.parquet(src)
+    M.keep_up(spark, src, out, check)
+    M.compact(spark, out, one)
+    revisions.where(~odd).coalesce(1).write.mode("append").parquet(src)
+    M.keep_up(spark, src, one, check)
+    assert rows_of(M.current(spark, one)) == rows_of(C.contributor_stats(C.with_diff(revisions)))
+
+
+class Counted:
+    """A state that counts how often it is asked or told."""
+
+    def __init__(self):
+        self.value, self.calls = {}, 0
+
+    def getValueState(self, *_):
+        return self
+
+    def getMapState(self, *_):
+        return self
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.calls += 1
+            if name == "update":
+                self.value = args[0]
+            return self.value or None
+
+        return call
+
+
+def test_state_is_asked_and_told_once_a_page_and_batch():
+    state, page = Counted(), M.Contributors()
+    page.init(state)
+    row = lambda k: {"pos_revision": k, "contributor_id": f"u{k}", "user_id": k, "len_bytes": 10 * k}
+    assert list(page.handleInputRows((7,), iter([row(k) for k in range(399, 0, -2)]), None)) == []
+    got = list(page.handleInputRows((7,), iter([row(k) for k in range(0, 400, 2)]), None))
+    assert sorted((r.contributor_id, r.n, r.size) for r in got) == sorted((f"u{k}", 1, 10 if k else 1) for k in range(400))
+    assert state.calls == 4
