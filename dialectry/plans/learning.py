@@ -10,7 +10,7 @@ from dialectry.operators import metrics as M
 from dialectry.operators import encoder, models, subword
 from dialectry.operators import split as P
 from dialectry.plans.registry import documents, query, table
-from dialectry.sources.scratch import scratch_path
+from dialectry.sources.scratch import scratch_path, stored
 
 
 def marked(spark: SparkSession, d: str) -> DataFrame:
@@ -153,6 +153,6 @@ def encoder_held_out(spark, d):
     clf, _ = encoder.fine_tune(rows.where("row_id % 3 = 0"), rows.where("row_id % 3 = 2"), scratch_path(spark, "encoder"), dim=16, hidden=8, n_epochs=3, rate=0.2, passes=6)
     got = held.select("row_id", F.col("label").alias("ref")).join(clf.predict(held).select("row_id", F.col("label").alias("pred"), "score", "runtime"), "row_id")
     ok = (F.col("score") > 0) & (F.col("score") <= 1) & (F.col("runtime") >= 0)
-    per = got.groupBy(F.col("ref").alias("label")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("ref") == F.col("pred")).alias("hit"), F.bool_and(ok).alias("scored"))
+    per = stored(got.groupBy(F.col("ref").alias("label")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("ref") == F.col("pred")).alias("hit"), F.bool_and(ok).alias("scored")), "encoder-held-out")
     hit, n = per.agg(F.sum("hit"), F.sum("n")).first()
     return per.select("label", "n", F.lit(hit / n > 0.85).alias("accurate"), "scored")

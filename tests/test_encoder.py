@@ -64,3 +64,10 @@ def test_pretrained_vectors_are_fine_tuned(spark, tmp_path):
     clf, _ = E.fine_tune(df, df, str(tmp_path / "p"), dim=8, hidden=2, n_epochs=1, subwords=(3, 3), buckets=100, pretrained=vectors)
     before, after = ({r.id: bytes(r.vec) for r in x.collect()} for x in (vectors.vectors, clf.vectors))
     assert before.keys() < after.keys() and before != {k: after[k] for k in before}
+
+
+def test_texts_are_made_ready_once_for_all_epochs(spark, tmp_path, monkeypatch):
+    df, made_ready, ready = spark.createDataFrame(made(60), "row_id long, tokens array<string>, label string"), [], E.text_groups
+    monkeypatch.setattr(E, "text_groups", lambda *a, **k: made_ready.append(1) or ready(*a, **k))
+    _, scores = E.fine_tune(df, df, str(tmp_path / "once"), dim=6, hidden=2, n_epochs=2, block_tokens=200)
+    assert len(scores) == 2 and len(made_ready) == 2  # to train on and to score
