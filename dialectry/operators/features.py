@@ -383,7 +383,8 @@ def _found(slices: Slices, min_df: int, max_df: float, sketch_bits: int | None)
 
 
 def _looked_up(slices: Slices, fitted: DataFrame) -> DataFrame:
-    return slices.terms().select("_slice", "term").join(fitted, "term")
+    """``fitted`` of the slices' terms, by as many tasks as slices; a small ``fitted`` is broadcast, and the terms stay where they are."""
+    return slices.terms().select("_slice", "term").join(fitted.repartition(slices.n, "term"), "term")
 
 
 def tf_idf(df: DataFrame, grams: Grams, doc: str = "doc_id", min_df: int = 2, max_df: float = 0.9, sublinear: bool = True, fitted: DataFrame | None = None, sketch_bits: int | None = None) -> DataFrame:

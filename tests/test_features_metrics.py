@@ -131,6 +131,24 @@ def test_terms_are_dealt_to_as_many_tasks_as_slices(spark, monkeypatch):
     assert {(r.term, r.df) for r in found.collect()} == {(f"t{k}", 10) for k in range(200)}
 
 
+def test_fitted_terms_are_looked_up_by_as_many_tasks_as_slices(spark, monkeypatch):
+    monkeypatch.setattr(V, "SLICE", 50)
+    df = spark.range(200).select(F.col("id").alias("doc_id"), F.transform(F.sequence(F.lit(0), F.lit(9)), lambda k: F.concat(F.lit("t"), F.col("id") % 20 * 10 + k)).alias("toks"))
+    fitted = spark.range(0, 400, 2).select(F.concat(F.lit("t"), "id").alias("term"), F.col("id").alias("idf"))
+    slices = V.Slices(df, F.col("toks"))
+    own = {(x["_slice"], x.term) for x in slices.terms().collect()}
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    for limit, tasks in (("-1", 40), (before, None)):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        try:
+            got = V._looked_up(slices, fitted)
+            rows = got.collect()
+            assert tasks is None or got.rdd.getNumPartitions() == tasks
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        assert slices.n == 40 and sorted((x["_slice"], x.term, x.idf) for x in rows) == sorted((k, t, int(t[1:])) for k, t in own if int(t[1:]) % 2 == 0)
+
+
 def test_sketch_never_drops_a_frequent_term(spark):
     r = random.Random(5)
     docs = [(i, [f"t{int(r.paretovariate(0.6)) % 4000}" for _ in range(60)] + [f"own{i}-{k}" for k in range(20)]) for i in range(300)]
