@@ -288,8 +288,11 @@ class Slices:
     def __post_init__(self) -> None:
         self.words, self.span = _words(self.grams)
         self.rows, size = self.df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size(self.words).cast("long")), F.lit(0))).first()
-        self.n = max(self.df.sparkSession.sparkContext.defaultParallelism, -(-size // SLICE))
-        self.dealt = self.df.withColumn("_slice", F.pmod(F.xxhash64(self.doc), F.lit(self.n)).cast("int"))
+        self.deal(max(self.df.sparkSession.sparkContext.defaultParallelism, -(-size // SLICE)))
+
+    def deal(self, n: int) -> None:
+        self.n = n
+        self.dealt = self.df.withColumn("_slice", F.pmod(F.xxhash64(self.doc), F.lit(n)).cast("int"))
 
     def terms(self) -> DataFrame:
         """(_slice, term, n): the distinct terms of each slice, and in how many of its rows they are."""
@@ -317,36 +320,99 @@ class Slices:
         ``found`` is (_slice, term, value, idx). ``use`` gets the documents' ids, the cells' document, term, tf, value and idx, and the terms, and yields
         batches; cells without a value are left out. Rows of a repeated id are one document.
         """
+        rows, received, known = self._dealt_with(found)
+
+        def run(batches):
+            table, texts = received(batches)
+            if table is None or texts is None:
+                return
+            docs = texts.column(0).chunk(0).dictionary_encode("encode")
+            group = docs.indices.to_numpy().astype(np.int64)
+            order = np.argsort(group, kind="stable")
+            words, group = texts.column(1).chunk(0).take(pa.array(order)), group[order]
+            for lo, hi in _blocks(words, group):
+                d, t, tf, value, idx, terms = known(words.slice(lo, hi - lo), group[lo:hi], table)
+                yield from use(docs.dictionary, d, t, tf, value, idx, terms)
+
+        return rows.mapInArrow(run, schema)
+
+    def cells(self, found: DataFrame, label: str, kind: int, base: int, n_blocks: int, offsets: dict[int, int]) -> DataFrame:
+        """``linear.PIECE`` rows of the documents' cells, of labels and of norms, in ``n_blocks`` blocks from ``base``; ``offsets`` are the rows before each slice.
+
+        Rows of a repeated id have the cells of all of them, rows without an id none.
+        """
+        from dialectry.operators import linear
+
+        rows, received, known = self._dealt_with(found, label)
+
+        def run(batches):
+            table, texts = received(batches)
+            if texts is None:
+                return
+            order = pc.sort_indices(pa.table({"d": texts.column(0), "y": texts.column(2)}), sort_keys=[("d", "ascending"), ("y", "ascending")])
+            texts = texts.take(order).combine_chunks()
+            ids, words = texts.column(0).chunk(0), texts.column(1).chunk(0)
+            docs = ids.dictionary_encode("encode")
+            group, n = docs.indices.to_numpy().astype(np.int64), len(ids)
+            first, each = np.unique(group, return_index=True, return_counts=True)[1:]
+            at, norms = offsets[texts.column(3)[0].as_py()], np.ones(n)
+            held, size = [], 0
+
+            def flush():
+                yield from linear.pieces(kind, base, n_blocks, *(np.concatenate(x) for x in zip(*held)))
+
+            for lo, hi in _blocks(words, group):
+                d, _, tf, value, idx, _ = known(words.slice(lo, hi - lo), group[lo:hi], table) if table is not None else (np.zeros(0, np.int64),) * 6
+                if ids.null_count:
+                    some = ids.is_valid().to_numpy(zero_copy_only=False)[first[d]]
+                    d, tf, value, idx = d[some], tf[some], value[some], idx[some]
+                if not len(d):
+                    continue
+                w = np.log(tf) + 1
+                square = np.bincount(d - d[0], (w * value) ** 2)
+                own = np.unique(d)
+                for again in range(int(each[own].max())):
+                    few, with_it = own[each[own] > again], each[d] > again
+                    norms[first[few] + again] = np.sqrt(square[few - d[0]])
+                    held.append((at + first[d[with_it]] + again, idx[with_it].astype(np.int64), w[with_it]))
+                    size += int(with_it.sum())
+                if size > linear.STORED_CELLS:
+                    yield from flush()
+                    held.clear()
+                    size = 0
+            if held:
+                yield from flush()
+            labels = texts.column(2).to_numpy().astype(np.int32).tobytes()
+            yield linear._row(linear.PIECE, block=base + at % n_blocks, kind=kind, first=at, labels=labels, norms=norms.tobytes())
+
+        return rows.mapInArrow(run, linear.PIECE)
+
+    def _dealt_with(self, found: DataFrame, *others: str):
+        """Rows of terms and texts by slice; how a task tells them apart; and the known cells of a block of documents."""
         span = self.span
         own = found.select("_slice", F.col("term").alias("_term"), F.col("value").alias("_value"), F.col("idx").alias("_idx"))
         both = own.unionByName(self.dealt, allowMissingColumns=True).repartitionById(self.n, F.col("_slice"))
-        rows = both.select("_term", "_value", "_idx", self.doc, F.coalesce(self.words, F.array().cast("array<string>")).alias("_words"))
+        rows = both.select("_term", "_value", "_idx", self.doc, F.coalesce(self.words, F.array().cast("array<string>")).alias("_words"), *others, "_slice")
 
-        def run(batches):
+        def received(batches):
             parts = [[], []]
             for batch in batches:
                 is_text = batch.column(0).is_null()
                 for k, mask in enumerate((pc.invert(is_text), is_text)):
-                    part = batch.filter(mask).select([[0, 1, 2], [3, 4]][k])
+                    part = batch.filter(mask)
                     if part.num_rows:
-                        parts[k].append(part)
-            if not all(parts):
-                return
-            table, texts = (pa.Table.from_batches(p).combine_chunks() for p in parts)
+                        parts[k].append(part.select(range(3) if k == 0 else range(3, part.num_columns)))
+            return tuple(pa.Table.from_batches(p).combine_chunks() if p else None for p in parts)
+
+        def known(words, group, table):
+            d, t, tf, terms = _counted(words, group, span)
             term, value, idx = (table.column(k).chunk(0) for k in range(3))
-            value, idx = value.to_numpy(zero_copy_only=False), idx.to_numpy(zero_copy_only=False)
-            docs = texts.column(0).chunk(0).dictionary_encode("encode")
-            group = docs.indices.to_numpy().astype(np.int64)
-            order = np.argsort(group, kind="stable")
-            words, group = texts.column(1).chunk(0).take(pa.array(order)), group[order]
-            for lo, hi in _blocks(words, group):
-                d, t, tf, terms = _counted(words.slice(lo, hi - lo), group[lo:hi], span)
-                place = pc.fill_null(pc.index_in(terms, value_set=term), -1).to_numpy()[t]
-                known = np.flatnonzero(place >= 0)
-                place = place[known]
-                yield from use(docs.dictionary, d[known], t[known], tf[known], value[place], idx[place], terms)
+            place = pc.fill_null(pc.index_in(terms, value_set=term), -1).to_numpy()[t]
+            some = np.flatnonzero(place >= 0)
+            place = place[some]
+            return d[some], t[some], tf[some], value.to_numpy(zero_copy_only=False)[place], idx.to_numpy(zero_copy_only=False)[place], terms
 
-        return rows.mapInArrow(run, schema)
+        return rows, received, known
 
     def weighted(self, found: DataFrame, weigh: Callable) -> DataFrame:
         """(doc, term, weight) with the weights that ``weigh`` makes of the cells' document, tf and value."""
@@ -382,9 +448,9 @@ def _found(slices: Slices, min_df: int, max_df: float, sketch_bits: int | None)
     return _with_idf(every, slices.rows, min_df, max_df)
 
 
-def _looked_up(slices: Slices, fitted: DataFrame) -> DataFrame:
-    """``fitted`` of the slices' terms, by as many tasks as slices; a small ``fitted`` is broadcast, and the terms stay where they are."""
-    return slices.terms().select("_slice", "term").join(fitted.repartition(slices.n, "term"), "term")
+def _looked_up(slices: Slices, fitted: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+    """``fitted`` of the slices' terms (``terms`` if they are stored), by as many tasks as slices; a small ``fitted`` is broadcast, and the terms stay where they are."""
+    return (slices.terms() if terms is None else terms).select("_slice", "term").join(fitted.repartition(slices.n, "term"), "term")
 
 
 def tf_idf(df: DataFrame, grams: Grams, doc: str = "doc_id", min_df: int = 2, max_df: float = 0.9, sublinear: bool = True, fitted: DataFrame | None = None, sketch_bits: int | None = None) -> DataFrame:
@@ -419,6 +485,26 @@ def indexed_tf_idf(df: DataFrame, grams: Grams, fitted: DataFrame, doc: str = "d
     return slices.apply(_looked_up(slices, fitted).select("_slice", "term", F.col("idf").alias("value"), "idx"), use, schema)
 
 
+def linear_scores(df: DataFrame, grams: Grams, fitted: DataFrame, weights: np.ndarray, doc: str = "doc_id", sublinear: bool = True) -> DataFrame:
+    """(doc, scores): of each document with a known term its vector times ``weights`` (features by columns); ``fitted`` as in :func:`indexed_tf_idf`.
+
+    Documents are scored where they are counted, so their cells stay there.
+    """
+    slices, weigh = Slices(df, grams, doc), _unit_length(sublinear)
+    sent = df.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
+
+    def use(docs, d, t, tf, value, idx, terms):
+        if not len(d):
+            return
+        w, own = weigh(d, tf, value), np.unique(d)
+        got = np.stack([np.bincount(d - d[0], w * column[idx])[own - d[0]] for column in sent.value.T], axis=1)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1) * got.shape[1], pa.int32()), pa.array(got.ravel()))
+        yield pa.record_batch([docs.take(pa.array(own)), lists], [doc, "scores"])
+
+    schema = StructType([df.schema[doc], StructField("scores", ArrayType(DoubleType()))])
+    return slices.apply(_looked_up(slices, fitted).select("_slice", "term", F.col("idf").alias("value"), "idx"), use, schema)
+
+
 VECTORIZERS: dict[str, Callable] = {"tfidf": tf_idf, "count": counts}
 
 

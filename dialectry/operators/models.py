@@ -41,16 +41,30 @@ class NgramClassifier:
 
     def features(self, df: DataFrame, text: str = "text", doc: str = "row_id") -> DataFrame:
         """(doc, indices, values) of texts in the fitted space."""
-        own = F.col(self.list_col) if self.list_col else self.tokens(F.lower(text))
-        return _indexed(df, {"w": (self.words, own), "c": (self.chars, feat.CharGrams(F.col(text)))}, self.terms, doc)
+        return _indexed(df, self._blocks(text), self.terms, doc)
 
     def predict(self, df: DataFrame, text: str = "text", doc: str = "row_id") -> DataFrame:
         """``df`` with ``label_pred``; a text without a known feature gets the label of the largest bias, to nine digits, the first of equal ones."""
-        names = F.array(*map(F.lit, self.labels))
-        kind = df.schema[doc].dataType.simpleString()
-        got = linear.predict(self.features(df, text, doc), self.weights_, doc, kind)
-        default = int(self.weights_[-1].round(9).argmax())
-        return df.join(got, doc, "left").withColumn("label_pred", F.element_at(names, F.coalesce("best", F.lit(default)) + 1)).drop("best")
+        return self.predict_each(df, [self.weights_], text, doc).withColumn("label_pred", F.col("preds")[0]).drop("preds")
+
+    def predict_each(self, df: DataFrame, weights: list[np.ndarray], text: str = "text", doc: str = "row_id") -> DataFrame:
+        """``df`` with ``preds``, the labels by several models over the same features, as :meth:`predict` gives them."""
+        names, k = F.array(*map(F.lit, self.labels)), len(self.labels)
+        whole = np.concatenate(weights, axis=1)
+        parts = [feat.linear_scores(df, grams, _numbered(fitted, self.terms, kind), whole, doc) for kind, (fitted, grams) in self._blocks(text).items() if fitted is not None]
+        sums = parts[0] if len(parts) < 2 else parts[0].unionByName(parts[1]).groupBy(doc).agg(*(F.sum(F.col("scores")[x]).alias(f"s{x}") for x in range(whole.shape[1])))
+        score = (lambda x: F.col("scores")[x]) if len(parts) < 2 else (lambda x: F.col(f"s{x}"))
+        best, default = [], []
+        for w, at in zip(weights, range(0, whole.shape[1], k)):
+            scores = F.array(*(score(at + x) + F.lit(float(np.float32(w[-1, x]))) for x in range(k)))
+            best.append(_bound(scores, lambda s: F.array_position(s, F.array_max(s)).cast("int")))
+            default.append(F.lit(int(w[-1].round(9).argmax()) + 1))
+        got = sums.select(doc, F.array(*best).alias("_best"))
+        return df.join(got, doc, "left").withColumn("preds", F.array(*(F.element_at(names, F.coalesce(F.col("_best")[x], d)) for x, d in enumerate(default)))).drop("_best")
+
+    def _blocks(self, text: str) -> dict:
+        own = F.col(self.list_col) if self.list_col else self.tokens(F.lower(text))
+        return {"w": (self.words, own), "c": (self.chars, feat.CharGrams(F.col(text)))}
 
     def predict_list(self, spark, texts: list[str]) -> list[str]:
         rows = spark.createDataFrame(list(enumerate(texts)), "row_id long, text string")
@@ -84,18 +98,39 @@ class NgramClassifier:
         return self.terms.join(self._numbers(self.terms.sparkSession), "idx").select("term", F.explode(pairs).alias("p")).select("term", "p.label", "p.weight")
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    return F.transform(F.array(value), use)[0]
+
+
+def _numbered(fitted: DataFrame, terms: DataFrame, kind: str) -> DataFrame:
+    """(term, idf, idx) of a fitted vocabulary."""
+    named = fitted.withColumn("_name", X.feature_name(F.col("term"), kind))
+    return named.join(terms.withColumnRenamed("term", "_name"), "_name").select("term", "idf", "idx")
+
+
 def _indexed(df: DataFrame, blocks: dict, terms: DataFrame, doc: str) -> DataFrame:
     """(doc, indices, values) of the blocks side by side; a block has its kind, fitted vocabulary (or none) and n-grams."""
     parts = []
     for kind, (fitted, grams) in blocks.items():
         if fitted is not None:
-            numbered = fitted.withColumn("_name", X.feature_name(F.col("term"), kind)).join(terms.withColumnRenamed("term", "_name"), "_name")
-            parts.append(feat.indexed_tf_idf(df, grams, numbered.select("term", "idf", "idx"), doc))
+            parts.append(feat.indexed_tf_idf(df, grams, _numbered(fitted, terms, kind), doc))
     if len(parts) < 2:
         return parts[0]
     return parts[0].unionByName(parts[1]).groupBy(doc).agg(F.flatten(F.collect_list("indices")).alias("indices"), F.flatten(F.collect_list("values")).alias("values"))
 
 
+def _numbered_labels(df: DataFrame, label: str) -> tuple[Column, list[str], list[int]]:
+    """The number of a row's label from 0, the labels by number, and their rows."""
+    counts = {r[0]: r[1] for r in df.groupBy(label).count().collect()}
+    names = sorted(counts)
+    number = F.array_position(F.array(*map(F.lit, names)), F.col(label)) - 1
+    return number.cast("int"), names, [counts[x] for x in names]
+
+
+def _terms(fitted: dict, doc: str) -> DataFrame:
+    return stored(feat.numbered_terms(feat.union_features({k: v.withColumns({doc: F.lit(0), "weight": F.lit(0.0)}) for k, v in fitted.items() if v is not None}, doc)), "terms")
+
+
 def prepare(df: DataFrame, text: str = "text", label: str = "dialect", doc: str = "row_id", words: bool = True, chars: bool = True, min_df: int = 2, max_df: float = 0.9, tokens: Callable = X.tokenize, list_col: str | None = None):
     """The fitted feature space (words, chars, terms), the labelled sparse rows, the label names and their counts; all tables are stored.
 
@@ -106,16 +141,44 @@ def prepare(df: DataFrame, text: str = "text", label: str = "dialect", doc: str
     own = F.col(list_col) if list_col else tokens(F.lower(text))
     grams = {"w": own if words else None, "c": feat.CharGrams(F.col(text)) if chars else None}
     fitted = {kind: None if g is None else stored(feat.vocabulary(df, g, n, min_df, max_df), f"vocabulary-{kind}") for kind, g in grams.items()}
-    terms = stored(feat.numbered_terms(feat.union_features({k: v.withColumns({doc: F.lit(0), "weight": F.lit(0.0)}) for k, v in fitted.items() if v is not None}, doc)), "terms")
-    counts = {r[0]: r[1] for r in df.groupBy(label).count().collect()}
-    names = sorted(counts)
-    number = F.array_position(F.array(*map(F.lit, names)), F.col(label)) - 1
+    terms = _terms(fitted, doc)
+    number, names, counts = _numbered_labels(df, label)
     cells = _indexed(df, {k: (fitted[k], g) for k, g in grams.items()}, terms, doc)
-    rows = df.select(doc, number.cast("int").alias("label")).join(cells, doc, "left")
+    rows = df.select(doc, number.alias("label")).join(cells, doc, "left")
     empty = lambda c, t: F.coalesce(c, F.array().cast(f"array<{t}>")).alias(c)
     ready = stored(rows.select("label", empty("indices", "int"), empty("values", "double")), "rows", "zstd")
     discard(df)
-    return (fitted["w"], fitted["c"], terms), ready, names, [counts[x] for x in names]
+    return (fitted["w"], fitted["c"], terms), ready, names, counts
+
+
+def prepare_cells(df: DataFrame, text: str = "text", label: str = "dialect", doc: str = "row_id", words: bool = True, chars: bool = True, min_df: int = 2, max_df: float = 0.9, tokens: Callable = X.tokenize, list_col: str | None = None) -> tuple[tuple, linear.Cells, list[str], list[int]]:
+    """As :func:`prepare`, with the cells by feature instead of rows: a document's cells are packed where they are counted, and words' and characters' are never brought together."""
+    df = stored(df.where(F.col(label).isNotNull()).select(*(x for x in df.columns if x in (doc, text, label, list_col))), "texts")
+    number, names, counts = _numbered_labels(df, label)
+    own = F.col(list_col) if list_col else tokens(F.lower(text))
+    every = {k: feat.Slices(df.withColumn("_label", number), g, doc) for k, g in (("w", own if words else None), ("c", feat.CharGrams(F.col(text)) if chars else None)) if g is not None}
+    found, fitted = {}, {"w": None, "c": None}
+    for kind, slices in every.items():
+        slices.deal(max(x.n for x in every.values()))  # rows are numbered by slice, alike for all kinds
+        found[kind] = stored(slices.terms(), f"terms-{kind}", "zstd")
+        fitted[kind] = stored(feat._with_idf(found[kind].groupBy("term").agg(F.sum("n").alias("df")), slices.rows, min_df, max_df), f"vocabulary-{kind}")
+    terms = _terms(fitted, doc)
+    sizes = dict(sorted((r[0], r[1]) for r in slices.dealt.groupBy("_slice").count().collect()))
+    offsets = dict(zip(sizes, np.cumsum([0, *sizes.values()]).tolist()))
+    parts, base, kept = [], 0, [df, *found.values()]
+    for k, (kind, slices) in enumerate(every.items()):
+        n_blocks = linear.blocks_for(fitted[kind].agg(F.sum("df")).first()[0] or 0)
+        numbered = stored(_numbered(fitted[kind], terms, kind), "numbered")
+        kept.append(numbered)
+        known = feat._looked_up(slices, numbered, found[kind]).select("_slice", "term", F.col("idf").alias("value"), "idx")
+        parts += [slices.cells(known, "_label", k, base, n_blocks, offsets), numbered.select((F.lit(base) + F.col("idx") % n_blocks).alias("block"), F.lit(k).alias("kind"), "idx", F.col("idf").alias("scale"))]
+        base += n_blocks
+    pieces = parts[0]
+    for p in parts[1:]:
+        pieces = pieces.unionByName(p, allowMissingColumns=True)
+    cells = linear.Cells.stored(pieces, base, sum(counts))
+    discard(*kept)
+    return (fitted["w"], fitted["c"], terms), cells, names, counts
 
 
 def train(df: DataFrame, text: str = "text", label: str = "dialect", doc: str = "row_id", words: bool = True, chars: bool = True, max_iter: int = 2000, c: float = 1.0, min_df: int = 2, max_df: float = 0.9, tokens: Callable = X.tokenize, list_col: str | None = None, balanced: bool = True) -> NgramClassifier:
@@ -123,9 +186,9 @@ def train(df: DataFrame, text: str = "text", label: str = "dialect", doc: str =
 
     With ``list_col`` the word features come from that column of token lists.
     """
-    (w_terms, c_terms, terms), rows, names, counts = prepare(df, text, label, doc, words, chars, min_df, max_df, tokens, list_col)
-    w = linear.fit(rows, terms.count(), counts, c, balanced, max_iter)
-    discard(rows)
+    (w_terms, c_terms, terms), cells, names, counts = prepare_cells(df, text, label, doc, words, chars, min_df, max_df, tokens, list_col)
+    w = linear.fit(cells, terms.count(), counts, c, balanced, max_iter)
+    discard(cells.blocks)
     return NgramClassifier(w, names, w_terms, c_terms, terms, tokens, list_col)
 
 
@@ -200,13 +263,16 @@ def grid_search(df: DataFrame, grid: dict[str, list], folds: int = 5, label: str
     combos = [dict(zip(grid, values)) for values in itertools.product(*grid.values())]
     spark, got = df.sparkSession, []
     for k in range(folds):
-        space, ready, names, counts = prepare(rows.where(F.col("_fold") != k), label=label, doc=doc, **options)
+        space, cells, names, counts = prepare_cells(rows.where(F.col("_fold") != k), label=label, doc=doc, **options)
         held, size = rows.where(F.col("_fold") == k), space[2].count()
-        for p in combos:
-            clf = NgramClassifier(linear.fit(ready, size, counts, **p), names, *space, **{x: options[x] for x in ("tokens", "list_col") if x in options})
-            f1 = M.scores(clf.predict(held, doc=doc), label, "label_pred").first()["f1_macro"]
+        weights = [linear.fit(cells, size, counts, **p) for p in combos]
+        clf = NgramClassifier(weights[0], names, *space, **{x: options[x] for x in ("tokens", "list_col") if x in options})
+        # held rows are scored once for all parameters
+        preds = stored(clf.predict_each(held, weights, doc=doc).select(label, "preds"), "preds")
+        for x, p in enumerate(combos):
+            f1 = M.scores(preds.withColumn("label_pred", F.col("preds")[x]), label, "label_pred").first()["f1_macro"]
             got.append((json.dumps(p, sort_keys=True), k, float(f1)))
-        discard(ready)
+        discard(cells.blocks, preds)
     table = spark.createDataFrame(got, "params string, fold int, f1_macro double")
     mean = {p: sum(f for q, _, f in got if q == p) for p, _, _ in got}
     return json.loads(max(mean, key=mean.get)), table

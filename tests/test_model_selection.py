@@ -77,3 +77,24 @@ def test_subword_vectors(spark, rows):
     got = {r.word: r.vector for r in models.vectors_of(model, spark.createDataFrame([("gat",), ("gats",), ("zzz",)], "word string"), (3, 4)).collect()}
     known = {r.word: r.vector.toArray() for r in model.getVectors().collect()}
     assert np.allclose(got["gats"], np.mean([known[p] for p in ("<ga", "gat", "<gat")], axis=0)) and got["zzz"] is None and len(got["gat"]) == 4
+
+
+def test_cells_by_feature_are_those_of_the_rows(spark, monkeypatch):
+    """Cells in several blocks and slices give the optimum of the whole problem, rows of a repeated id, without one or without a text among them."""
+    data = [(i, ("lo gat e la taula " if i % 2 else "the cat and a table ") + "xyz"[i % 3] + f" own{i // 2}", "oc" if i % 2 else "en") for i in range(40)] + [(7, "lo lo gat", "oc"), (None, "lo gat", "oc"), (50, None, "en"), (51, "gat", None)]
+    df = spark.createDataFrame(data, "row_id long, text string, dialect string")
+    (words, chars, terms), ready, names, counts = models.prepare(df)
+    size = terms.count()
+    want = linear.fit(ready, size, counts, tol=1e-6)
+    for name, k in (("STORED_CELLS", 300), ("CELLS", 20), ("BLOCK", 7)):
+        monkeypatch.setattr(linear, name, k)
+    monkeypatch.setattr(models.feat, "SLICE", 30)
+    space, cells, same, n = models.prepare_cells(df)
+    assert (same, n, cells.n) == (names, counts, 43) and space[2].exceptAll(terms).isEmpty() and cells.blocks.where("n is not null").count() > 4
+    assert np.bincount(cells.labels).tolist() == counts
+    got = linear.fit(cells, size, counts, tol=1e-6)
+    assert np.abs(got - want).max() < 1e-4
+    turned = cells.turned(np.ones((2, 43)))
+    assert turned.shape == (2, 43) and np.isfinite(turned).all()
+    rows = {r.row_id: r.preds for r in models.NgramClassifier(got, names, *space).predict_each(df, [got, np.zeros_like(got)]).collect()}
+    assert rows[0] == ["en", "en"] and rows[1] == ["oc", "en"]
