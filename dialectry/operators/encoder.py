@@ -125,6 +125,29 @@ def padded(lists: list[np.ndarray], dim: int) -> tuple[np.ndarray, np.ndarray]:
     return e, mask
 
 
+class Places:
+    """Where the distinct ids of a batch's texts stand in its padded texts."""
+
+    def __init__(self, rows: list[int], lists: list[np.ndarray]):
+        self.rows = rows
+        self.ids, at = np.unique(np.concatenate(lists), return_inverse=True)
+        sizes = np.array([len(x) for x in lists])
+        self.mask = np.arange(sizes.max()) < sizes[:, None]
+        self.at, place = at.astype(np.int32), np.flatnonzero(self.mask)
+        order = np.argsort(at, kind="stable")
+        # padded places by id, and where each id's begin
+        self.place, self.starts = place[order].astype(np.int32), np.flatnonzero(np.diff(at[order], prepend=-1))
+
+    def filled(self, vectors: np.ndarray) -> np.ndarray:
+        e = np.zeros((*self.mask.shape, vectors.shape[1]), dtype=np.float32)
+        e[self.mask] = vectors[self.at]
+        return e
+
+    def summed(self, de: np.ndarray) -> np.ndarray:
+        """The sum of ``de`` over the places of each id."""
+        return np.add.reduceat(de.reshape(-1, de.shape[-1])[self.place], self.starts, axis=0).astype(np.float64)
+
+
 def starting_layers(ids: list[int], held: dict[int, np.ndarray], dim: int, hidden: int) -> np.ndarray:
     """The layers' rows: as held, else attention drawn from its ids and all others zero."""
     return np.stack([held[i] if i in held else first_vector(i, dim) if k < hidden else np.zeros(dim, np.float32) for k, i in enumerate(ids)]).copy()
@@ -153,18 +176,18 @@ def fine_tune(df: DataFrame, dev: DataFrame, folder: str, tokens: str = "tokens"
         used, batches = np.zeros(len(a)), batches_by_length([len(x) for x in texts])
         # steps are divided by the size of those before them, in this epoch and block (Adagrad)
         past, dense_past, lr = np.zeros((len(a), dim)), np.zeros_like(dense.rows, dtype=np.float64), rate * (1 - epoch / n_epochs)
+        ready = [Places(x, [texts[r] for r in x]) for x in batches]  # once for all passes
         for b in np.concatenate([rng.permutation(len(batches)) for _ in range(passes)]):
-            own = [texts[r] for r in batches[b]]
-            e, mask = padded([a[x] for x in own], dim)
-            de, g = dense.gradients(e, mask, y[batches[b]])
-            ids, at = np.unique(np.concatenate(own), return_inverse=True)
-            pull = np.zeros((len(ids), dim))
-            np.add.at(pull, at, de[mask])
-            past[ids] += pull * pull
-            a[ids] -= (lr * pull / (np.sqrt(past[ids]) + 1e-8)).astype(np.float32)
+            one = ready[b]
+            own = a[one.ids]
+            de, g = dense.gradients(one.filled(own), one.mask, y[one.rows])
+            pull = one.summed(de)
+            squares = past[one.ids] + pull * pull
+            past[one.ids] = squares
+            a[one.ids] = own - (lr * pull / (np.sqrt(squares) + 1e-8)).astype(np.float32)
             dense_past += g * g
             dense.rows -= (lr * g / (np.sqrt(dense_past) + 1e-8)).astype(np.float32)
-            used[ids] += 1
+            used[one.ids] += 1
         return used, np.full(len(rows), float(max(1, len(batches))))
 
     scores: list[float] = []

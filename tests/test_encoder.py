@@ -71,3 +71,14 @@ def test_texts_are_made_ready_once_for_all_epochs(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(E, "text_groups", lambda *a, **k: made_ready.append(1) or ready(*a, **k))
     _, scores = E.fine_tune(df, df, str(tmp_path / "once"), dim=6, hidden=2, n_epochs=2, block_tokens=200)
     assert len(scores) == 2 and len(made_ready) == 2  # to train on and to score
+
+
+def test_places_of_a_batch_are_found_once():
+    r = np.random.default_rng(3)
+    lists, a = [r.integers(0, 9, n) for n in (4, 1, 7)], r.normal(size=(9, 5)).astype(np.float32)
+    one = E.Places([2, 0, 1], lists)
+    e, mask = E.padded([a[x] for x in lists], 5)
+    assert (one.filled(a[one.ids]) == e).all() and (one.mask == mask).all() and one.ids.tolist() == np.unique(np.concatenate(lists)).tolist()
+    de, want = r.normal(size=e.shape), np.zeros((9, 5))
+    np.add.at(want, np.concatenate(lists), de[mask])
+    assert np.allclose(one.summed(de), want[one.ids])
