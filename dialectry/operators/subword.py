@@ -277,6 +277,12 @@ def asked(part: np.ndarray, p: int, known: bytes) -> np.ndarray:
     return at[np.unpackbits(np.frombuffer(known, np.uint8), count=len(at)).astype(bool)]
 
 
+def distinct_shares(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A text's distinct ids, and the share of its tokens that each has."""
+    own, n = np.unique(ids, return_counts=True)
+    return own, (n / max(1, len(ids))).astype(np.float32)
+
+
 def squeezed(numbers: np.ndarray) -> bytes:
     """Compressed by place of the bytes: the high ones are mostly zero."""
     return pa.compress(np.ascontiguousarray(numbers.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes(), codec="zstd", asbytes=True)
@@ -644,17 +650,21 @@ def train_classifier(df: DataFrame, tokens: str = "tokens", label: str = "label"
     def train(epoch: int, block: int, y: list[int], texts: list[np.ndarray], a: np.ndarray, o: np.ndarray):
         rng = np.random.default_rng([seed, epoch, block])
         used_in, used_out = np.zeros(len(a)), np.zeros(len(o))
+        # a text's distinct ids and their shares of its tokens are found once for all passes
+        shares = [distinct_shares(x) for x in texts]
+        turn = [np.array(x, dtype=np.float32) for x in turns]
+        ways = [np.array(x, dtype=np.int64) for x in paths]
         for t, r in enumerate(np.concatenate([rng.permutation(len(texts)) for _ in range(passes)])):
-            ids = texts[r]
+            ids, share = shares[r]
             if not len(ids) or not node_ids:
                 continue
             lr = rate * (1 - (epoch + t / (passes * len(texts))) / n_epochs)
-            path = paths[y[r]]
-            h = a[ids].mean(axis=0)
-            g = lr * (np.array(turns[y[r]], dtype=np.float32) - sigmoid(o[path] @ h))
-            pull = (g @ o[path]) / len(ids)
-            o[path] += g[:, None] * h
-            np.add.at(a, ids, pull.astype(np.float32))
+            path = ways[y[r]]
+            own, upper = a[ids], o[path]
+            h = share @ own
+            g = lr * (turn[y[r]] - sigmoid(upper @ h))
+            a[ids] = own + share[:, None] * (g @ upper).astype(np.float32)
+            o[path] = upper + g[:, None] * h
             used_in[ids] += 1
             used_out[path] += 1
         return used_in, used_out

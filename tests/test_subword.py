@@ -120,3 +120,14 @@ def test_a_group_gets_each_vector_once_and_trains_as_its_blocks_do(spark, monkey
     assert made[0].keys() == made[1].keys()
     assert max(np.abs(made[0][i] - made[1][i]).max() for i in made[0]) < 1e-4
     assert sent[1] < 0.9 * sent[0]
+
+
+def test_shares_of_distinct_ids_take_the_steps_of_all_tokens():
+    r = np.random.default_rng(2)
+    ids, a, pull = r.integers(0, 6, 40), r.normal(size=(6, 3)).astype(np.float32), r.normal(size=3)
+    own, share = S.distinct_shares(ids)
+    assert np.allclose(share @ a[own], a[ids].mean(axis=0), atol=1e-6) and S.distinct_shares(ids[:0])[0].size == 0
+    want = a.copy()
+    np.add.at(want, ids, (pull / 40).astype(np.float32))
+    a[own] += share[:, None] * pull.astype(np.float32)
+    assert np.allclose(a, want, atol=1e-6)
