@@ -217,3 +217,18 @@ def test_sparse_rows_without_rows_of_cells(spark):
     cells = lambda t: {x.row_id: sorted((i, round(v, 9)) for i, v in zip(x.indices, x["values"], strict=True)) for x in t.collect()}
     assert cells(got) == cells(want)
     assert not any("weight#" in x for x in _exchanges(got))
+
+
+def test_terms_travel_packed(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    terms = pa.array(["", " a", " été", "a𝄞b", "lo gat", "lo gatàs"])
+    assert V._unpacked(*V._packed(terms), len(terms)) == terms and V._unpacked(*V._packed(terms.slice(0, 1)), 1).to_pylist() == [""]
+    parts = V._parts(terms, 1 << 20)
+    assert len(set(parts)) == 6 and (V._parts(terms.slice(2), 1 << 20) == parts[2:]).all()
+    assert np.bincount(V._parts(pa.array([f"t{k}" for k in range(20_000)]), 20), minlength=20).min() > 800
+    df = spark.createDataFrame([(i, ["lo", "gat", f"u{i // 2}"]) for i in range(40)], "doc_id long, toks array<string>")
+    # no term is a row of an exchange, on its way to its count or back
+    seen = _exchanges(V.tf_idf(df, F.col("toks"), sketch_bits=16))
+    assert seen and not any("term#" in x or "idf#" in x for x in seen)
