@@ -98,3 +98,17 @@ def test_cells_by_feature_are_those_of_the_rows(spark, monkeypatch):
     assert turned.shape == (2, 43) and np.isfinite(turned).all()
     rows = {r.row_id: r.preds for r in models.NgramClassifier(got, names, *space).predict_each(df, [got, np.zeros_like(got)]).collect()}
     assert rows[0] == ["en", "en"] and rows[1] == ["oc", "en"]
+
+
+def test_held_rows_are_scored_once_for_all_parameters(rows, monkeypatch):
+    scored, score = [], models.feat.linear_scores
+    monkeypatch.setattr(models.feat, "linear_scores", lambda *a, **k: scored.append(1) or score(*a, **k))
+    best, table = models.grid_search(rows, {"max_iter": [0, 20]}, folds=2, chars=False)
+    assert len(scored) == 2 and best == {"max_iter": 20} and table.count() == 4
+
+
+def test_top_features_store_no_rows_of_vectors(rows, monkeypatch):
+    names, store = [], models.stored
+    monkeypatch.setattr(models, "stored", lambda df, name, *a: names.append(name) or store(df, name, *a))
+    top = models.top_features(models.train(rows, chars=False), 2)
+    assert "rows" not in names and {r.label for r in top.collect()} == {"en", "oc"} and top.count() == 4
