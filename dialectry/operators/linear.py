@@ -168,7 +168,7 @@ class Cells:
                         got = np.stack([np.add.reduceat(v[row] * val, starts) for v in own])
                         yield from use(r["kind"], names[lo:hi], few, row, val, scales[lo:hi], got)
                         lo = hi
-            yield from end()
+            yield from end(norms)
 
         few = self.blocks.where("first is null").select("kind", "n", "rows", "features", "sizes", "codes", "values", "scales")
         # what tasks add up has the size of the rows, so there are no more of them than can run at once
@@ -178,7 +178,7 @@ class Cells:
 
     def turned(self, vector: np.ndarray) -> np.ndarray:
         """(classes, rows): the margins of the weights that are the cells' combination by ``vector``; the bias is a feature that is one everywhere."""
-        k, n, norms = len(vector), self.n, self.norms
+        k, n = len(vector), self.n
         total: dict[int, np.ndarray] = {}
 
         def use(kind, names, sizes, row, value, scales, got):
@@ -187,7 +187,7 @@ class Cells:
                 np.add.at(to, row, value * np.repeat(w, sizes))
             return ()
 
-        def end():
+        def end(norms):
             whole = sum((x / norms[kind] if kind in norms else x for kind, x in total.items()), np.zeros((k, n)))
             total.clear()
             for at in range(0, n, BLOCK):
@@ -213,13 +213,14 @@ class Cells:
 
     def weights(self, vector: np.ndarray, size: int) -> np.ndarray:
         """(features, classes) that are the cells' combination by ``vector``; the last row is the bias."""
+
         def use(kind, names, sizes, row, value, scales, got):
             yield pa.record_batch([pa.array([names.astype(np.int32).tobytes()]), pa.array([(got * scales).tobytes()])], ["names", "data"])
 
         w, k = np.zeros((size + 1, len(vector))), len(vector)
         w[-1] = vector.sum(axis=1)
         if vector.any():
-            parts = self._mapped(vector, use, lambda: (), "names binary, data binary")
+            parts = self._mapped(vector, use, lambda norms: (), "names binary, data binary")
             found = stored(parts, "weights")
             for names, data in found.toLocalIterator():
                 w[np.frombuffer(bytes(names), np.int32)] = np.frombuffer(bytes(data)).reshape(k, -1).T
